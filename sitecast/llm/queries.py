@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from sitecast.llm.common import table
+from sitecast.llm.ngram_join import join_components
 from sitecast.llm.packing import pack
 from sitecast.llm.wavelet import round_trip
 
@@ -18,12 +19,17 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER, keep_ids=False).drop("ids")
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return join_components(table(spark, sf_dir, "documents")).drop("node")
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), TOKENIZER).drop("ids")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
+    "op4_ngram_join": op4_ngram_join,
     "op6_token_output": op6_token_output,
 }
 
