@@ -6,8 +6,11 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from sitecast.llm.common import table
+from sitecast.llm.decontaminate import digest, find_contamination
+from sitecast.llm.langid import identify
 from sitecast.llm.ngram_join import join_components
 from sitecast.llm.packing import pack
 from sitecast.llm.wavelet import round_trip
@@ -27,10 +30,23 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), TOKENIZER).drop("ids")
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digest(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    found = identify(docs, docs.where(~held_out).where("doc_id is not null"))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_packing": op2_packing,
     "op4_ngram_join": op4_ngram_join,
     "op6_token_output": op6_token_output,
+    "op8_decontamination": op8_decontamination,
+    "op9_language": op9_language,
 }
 
 ORACLE_SQL: dict[str, str] = {}
