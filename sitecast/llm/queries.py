@@ -8,8 +8,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from sitecast.llm import decontaminate, quality, secrets_scan
 from sitecast.llm.common import table
-from sitecast.llm.decontaminate import digest, find_contamination
 from sitecast.llm.langid import identify
 from sitecast.llm.ngram_join import join_components
 from sitecast.llm.packing import pack
@@ -18,6 +18,10 @@ from sitecast.llm.wavelet import round_trip
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets_scan.digest(secrets_scan.find_secrets(table(spark, sf_dir, "documents")))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER, keep_ids=False).drop("ids")
 
@@ -31,7 +35,7 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return digest(find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return decontaminate.digest(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
 
 def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -41,12 +45,19 @@ def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.judge(table(spark, sf_dir, "documents")).select(*columns)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
     "op4_ngram_join": op4_ngram_join,
     "op6_token_output": op6_token_output,
     "op8_decontamination": op8_decontamination,
     "op9_language": op9_language,
+    "op10_quality": op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
