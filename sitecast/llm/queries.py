@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitecast.llm import decontaminate, quality, secrets_scan
+from sitecast.llm import decontaminate, pii, quality, secrets_scan
 from sitecast.llm.common import table
 from sitecast.llm.langid import identify
 from sitecast.llm.ngram_join import join_components
@@ -30,6 +30,10 @@ def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents")).drop("node")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")).drop("redacted"))
+
+
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), TOKENIZER).drop("ids")
 
@@ -54,6 +58,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
     "op4_ngram_join": op4_ngram_join,
+    "op5_pii": op5_pii,
     "op6_token_output": op6_token_output,
     "op8_decontamination": op8_decontamination,
     "op9_language": op9_language,
