@@ -289,3 +289,9 @@ def join_components(docs: DataFrame, size: int = 5, threshold: float = 0.8, entr
     named = linked.groupBy("root").agg(F.min("least").alias("component")).join(roots, "root").select("node", "component")
     named = classes.join(named, "node", "left").select("node", F.coalesce("component", "least").alias("component"))
     return rows.join(named, "node", "left").select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"), "node")
+
+
+def one_of_each(docs: DataFrame, **options) -> DataFrame:
+    """The rows of ``docs`` with all their columns that name their component: of each group its smallest doc_id; null ids stay."""
+    gone = join_components(docs, **options).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id")).distinct()
+    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")

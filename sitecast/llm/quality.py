@@ -143,3 +143,9 @@ def judge(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
     base = [c for c in stats.columns if c not in FEATURES and c not in ("lang", "source")]
     good = far.select(*base, "distance", (F.col("distance") <= p.cutoff).alias("kept"))
     return good.unionByName(stats.where("base_failed").select(*base, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")))
+
+
+def keep(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
+    """The rows of ``docs`` with all their columns whose id has no row that is rejected."""
+    bad = judge(docs, p).where("not kept").select(F.col("doc_id").alias("bad_id")).distinct()
+    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")

@@ -8,11 +8,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitecast.llm import decontaminate, pii, quality, secrets_scan
+from sitecast.llm import decontaminate, licenses, pii, quality, secrets_scan
 from sitecast.llm.common import table
 from sitecast.llm.langid import identify
 from sitecast.llm.ngram_join import join_components
+from sitecast.llm.offsets import offsets
 from sitecast.llm.packing import pack
+from sitecast.llm.token_counts import count_tokens
 from sitecast.llm.wavelet import round_trip
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -26,6 +28,18 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), TOKENIZER, keep_ids=False).drop("ids")
 
 
+#: E-mail addresses, which the query's edits replace; possessive, so that each run is read once.
+ADDRESS = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
+
+
+def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts before and after every e-mail address gives way to a tag."""
+    text = F.coalesce("text", F.lit(""))
+    places = offsets(text, ADDRESS, F.regexp_extract_all(text, F.lit(ADDRESS), F.lit(0)))
+    edits = F.transform(places, lambda s: F.struct(s["start"].cast("long").alias("start"), s["stop"].cast("long").alias("stop"), F.lit("[EMAIL]").alias("replacement")))
+    return count_tokens(table(spark, sf_dir, "documents").select("doc_id", "text", edits.alias("edits")), TOKENIZER)
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return join_components(table(spark, sf_dir, "documents")).drop("node")
 
@@ -38,6 +52,10 @@ def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(table(spark, sf_dir, "documents"), TOKENIZER).drop("ids")
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.digest(licenses.find_licenses(table(spark, sf_dir, "documents")))
+
+
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
 
@@ -57,9 +75,11 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_secrets": op1_secrets,
     "op2_packing": op2_packing,
+    "op3_token_counts": op3_token_counts,
     "op4_ngram_join": op4_ngram_join,
     "op5_pii": op5_pii,
     "op6_token_output": op6_token_output,
+    "op7_licenses": op7_licenses,
     "op8_decontamination": op8_decontamination,
     "op9_language": op9_language,
     "op10_quality": op10_quality,
