@@ -11,6 +11,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from sitecast.functions import text as T
 from sitecast.functions.columns import flat_distance_m
@@ -153,7 +154,7 @@ def collapse(rows: DataFrame, metres: float = 1500.0) -> DataFrame:
     return lines.unionByName(areas.groupBy("key", "part").agg(best, F.count("*").alias("members")).drop("part"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     """Ratio of matching blocks (Ratcliff-Obershelp), as the standard library has it."""
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
