@@ -145,7 +145,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, sh
 def clean(docs: DataFrame, benchmark: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` with all their columns whose id has no contaminated row (null ids: none that is null)."""
     bad = find_contamination(docs, benchmark, **options).where("contaminated").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").cast("long").eqNullSafe(F.col("bad_id")), "left_anti")
+    return docs.join(bad, docs["doc_id"].cast("long").eqNullSafe(bad["bad_id"]), "left_anti")
 
 
 def digest(found: DataFrame) -> DataFrame:
