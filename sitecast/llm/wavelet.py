@@ -152,7 +152,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
             yield out()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    rows.repartitionByRange("doc_id", "text").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARD_SCHEMA).write.parquet(path)
+    rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARD_SCHEMA).write.parquet(path)
 
 
 def read_shards(spark: SparkSession, path: str) -> DataFrame:
