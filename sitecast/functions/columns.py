@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sitecast import params as P
@@ -105,6 +105,14 @@ def dissolved_oxygen(water: Column, wind: Column, fetch: Column, p: dict = P.OXY
     return F.when(gain.isNotNull(), F.least(sat, before + gain))
 
 
+def with_oxygen(rows: DataFrame, water: Column, wind: Column, fetch: Column, name: str = "oxygen", p: dict = P.OXYGEN) -> DataFrame:
+    """``rows`` with dissolved oxygen, step by step: each step is a column, so that the steps after it don't repeat it."""
+    rows = rows.withColumn("_t", clamp(water, 0, 40)).withColumn("_sat", oxygen_saturation(F.col("_t"), p))
+    rows = rows.withColumn("_before", F.when(water.isNotNull(), F.greatest(F.lit(0.0), F.col("_sat") - oxygen_respiration(water, p))))
+    rows = rows.withColumn("_gain", oxygen_reaeration(wind, fetch, F.col("_sat"), F.col("_before"), p))
+    return rows.withColumn(name, F.when(F.col("_gain").isNotNull(), F.least(F.col("_sat"), F.col("_before") + F.col("_gain")))).drop("_t", "_sat", "_before", "_gain")
+
+
 def oxygen_term(dissolved: Column, p: dict = P.OXYGEN) -> Column:
     """The owner's thresholds, or the provisional pair; null if neither or if they are the wrong way round."""
     lo, hi = (p["stops"], p["good"]) if p["stops"] is not None and p["good"] is not None else (p["provisional_stops"], p["provisional_good"])

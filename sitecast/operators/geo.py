@@ -70,8 +70,8 @@ def _rays(lat: np.ndarray, lon: np.ndarray, ring: np.ndarray, wind: float, reach
 def geometry(cells: DataFrame, rings: DataFrame, winds: list[float], reach: float = 500.0, key: str = "site_id") -> DataFrame:
     """Effective fetch for each wind and distance to the bank of every cell: (key, row, col, lat, lon, wind, fetch_m, shore_m).
 
-    Cells meet their site's ring in an equi-join, in batches as they come: a site of many cells is spread
-    over tasks by its rows, and no task holds a site whole.  A centre on the ring counts as inside.
+    Cells meet their site's ring by site and block of sixteen rows, so a site of many cells is spread over
+    tasks and none holds it whole.  A centre on the ring counts as inside.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,8 +88,9 @@ def geometry(cells: DataFrame, rings: DataFrame, winds: list[float], reach: floa
                     for wind in winds:
                         yield own[[key, "row", "col", "lat", "lon"]].assign(wind=float(wind), fetch_m=_rays(lat, lon, ring, wind, reach), shore_m=shore)
 
-    spread = cells.repartition(key, (F.col("row") / 16).cast("int"))
-    return spread.join(rings.select(key, "ring"), key).select(key, "row", "col", "lat", "lon", "ring").mapInPandas(run, f"{key} long, row long, col long, lat double, lon double, wind double, fetch_m double, shore_m double")
+    blocked = cells.withColumn("_block", F.floor(F.col("row") / 16))
+    ringed = blocked.select(key, "_block").distinct().join(rings.select(key, "ring"), key)
+    return blocked.join(ringed, [key, "_block"]).select(key, "row", "col", "lat", "lon", "ring").mapInPandas(run, f"{key} long, row long, col long, lat double, lon double, wind double, fetch_m double, shore_m double")
 
 
 def fetch_edges(points: DataFrame, wind: Column, reach: float = 500.0, key: str = "point_id") -> DataFrame:
@@ -260,7 +261,8 @@ def factor_score(cells: DataFrame, keys: list[str], p: dict = P.ZONE) -> DataFra
     the cell's oxygen adequacy, not by its oxygen advantage.
     """
     rows = type_weights(zone_inputs(cells), p)
-    rows = rows.withColumn("adequacy", C.oxygen_term(C.dissolved_oxygen(F.col("water_c"), F.col("wind_ms"), F.col("fetch_norm")))).where("adequacy is not null")
+    rows = C.with_oxygen(rows, F.col("water_c"), F.col("wind_ms"), F.col("fetch_norm"), "_o2")
+    rows = rows.withColumn("adequacy", C.oxygen_term(F.col("_o2"))).drop("_o2").where("adequacy is not null")
     toward = C.clamp((F.abs(F.col("water_24h") - F.col("t_opt")) - F.abs(F.col("water_c") - F.col("t_opt"))) / p["t_dir_full"], -1, 1)
     rows = rows.withColumn("t_temp", C.clamp(F.col("fetch_norm") * F.col("shore_prox"), 0, 1) * toward).withColumn("t_o2", C.clamp(F.col("fetch_norm") * (1 - F.col("adequacy")), 0, 1))
     rows = live_weights(rows, keys, p)

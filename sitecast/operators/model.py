@@ -101,8 +101,7 @@ def replay(anchors: DataFrame, readings: DataFrame, norms: DataFrame, t_opt: flo
     pressure = W.asof_offsets(anchors, readings, "pressure_msl", (0, 24), key)
     wind = W.asof_backward(anchors, readings, "wind_ms", key).select(key, "at", "wind_ms_asof")
     rows = water.join(calm, [key, "at"]).join(streak, [key, "at"]).join(pressure, [key, "at"]).join(wind, [key, "at"]).join(norms.select(key, "norm"), key, "left")
-    oxygen = C.dissolved_oxygen(F.col("water_c"), F.col("wind_ms_asof"), F.lit(P.OXYGEN["fetch"]))
-    rows = rows.withColumn("oxygen", oxygen).withColumns({
+    rows = C.with_oxygen(rows, F.col("water_c"), F.col("wind_ms_asof"), F.lit(P.OXYGEN["fetch"])).withColumns({
         "f_pressure": C.pressure_comfort(F.col("v_0"), F.col("norm")), "approach": C.pressure_approach(F.col("v_0"), F.col("norm"), F.col("v_24")),
         "f_oxygen": C.oxygen_term(F.col("oxygen")), "f_temp": C.temperature_term(F.col("water_c"), F.lit(t_opt)),
         "phase": C.phase_from_water(F.col("water_c"), F.col("trend_24h"), F.lit(t_opt)),
@@ -159,6 +158,6 @@ def predictions(sites: DataFrame, readings: DataFrame, today: int, horizons: int
 def sweep(conditions: DataFrame, temperatures: list[float], t_opt: float = P.SPECIES["roach"]) -> DataFrame:
     """The bite terms over water temperatures for every row of wind conditions (wind_ms)."""
     rows = conditions.withColumn("water_c", F.explode(F.array(*[F.lit(float(t)) for t in temperatures])))
-    rows = rows.withColumn("oxygen", C.dissolved_oxygen(F.col("water_c"), F.col("wind_ms"), F.lit(P.OXYGEN["fetch"])))
+    rows = C.with_oxygen(rows, F.col("water_c"), F.col("wind_ms"), F.lit(P.OXYGEN["fetch"]))
     rows = rows.withColumns({"f_oxygen": C.oxygen_term(F.col("oxygen")), "f_temp": C.temperature_term(F.col("water_c"), F.lit(t_opt))})
     return rows.withColumn("bite_index", C.combine(F.lit(1.0), F.col("f_oxygen"), F.col("f_temp"), F.lit(0.0), F.lit(1.0)))
