@@ -14,10 +14,12 @@ large that the untouched ones aren't all empty), which misses a pair just at the
 near exp(-16), and closer pairs far less.  Larger parts hardly ever hold a common passage and nothing
 else, so documents that merely share a passage don't meet.
 
-Signatures meet in buckets, as packed arrays.  Sets sharing a signature are paired with the least of them and
-each pair is checked on the exact sets.  Then components are taken; in signature groups that still hold
-several, every set outside the group's largest component is checked against all sets of the other
-components.  Nothing is capped.
+Signatures meet in buckets, as packed arrays.  Each set is checked against the leader of its signature
+group, the member that shares most signatures, on the exact sets.  Then components are taken.  In
+families (the sets tried against one leader) that still hold several, every set that isn't linked to the
+leader is compared with members of other components through the elements by which both differ from what
+most of the family holds (see ``_residues``), so that a large family of near copies costs no pairs but those that differ
+in the same way.  Nothing is capped.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitecast.llm.common import materialize, text_slices
@@ -188,7 +190,7 @@ def _bucketed(docs: DataFrame, size: int, threshold: float, buckets: int) -> Dat
 
 
 def _shared(bucketed: DataFrame) -> DataFrame:
-    """(sig, node, n) entries whose signature several sets have; sig is unique over all buckets."""
+    """(sig, node, n, held) entries whose signature several sets have; sig is unique over all buckets, held counts the sets."""
 
     def run(key: tuple, piece: pa.Table) -> pa.Table:
         column = lambda name, kind: np.frombuffer(b"".join(piece.column(name).to_pylist()), kind)
@@ -201,13 +203,15 @@ def _shared(bucketed: DataFrame) -> DataFrame:
         same = np.zeros(len(sig) + 1, bool)
         same[1:-1] = sig[1:] == sig[:-1]
         keep = same[1:] | same[:-1]
-        return pa.table({"sig": (sig[keep].astype(np.int64) | (np.int64(key[0].as_py()) << 32)), "node": node[keep], "n": n[keep].astype(np.int64)})
+        sig, node, n = sig[keep], node[keep], n[keep]
+        _, group, held = np.unique(sig, return_inverse=True, return_counts=True)
+        return pa.table({"sig": (sig.astype(np.int64) | (np.int64(key[0].as_py()) << 32)), "node": node, "n": n.astype(np.int64), "held": held[group].astype(np.int64)})
 
-    return bucketed.groupBy("bucket").applyInArrow(run, "sig long, node long, n long")
+    return bucketed.groupBy("bucket").applyInArrow(run, "sig long, node long, n long, held long")
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, size: int, threshold: float) -> DataFrame:
-    """The pairs (a, b) whose exact sets reach the threshold; only texts of sets in pairs are read again."""
+def _sets_of(pairs: DataFrame, docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of the sets in ``pairs``; only their texts are read again."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     ids = wanted.join(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node").select(F.col("doc_id").alias("wanted")).distinct()
 
@@ -225,24 +229,104 @@ def _verified(pairs: DataFrame, docs: DataFrame, rows: DataFrame, size: int, thr
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(raw, pa.binary())], names=["node", "shingles"])
 
     texts = _sets(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    sets = materialize(texts.mapInArrow(run, "node long, shingles binary"), "sets").dropDuplicates(["node"])
-    ready = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+    return materialize(texts.mapInArrow(run, "node long, shingles binary"), "sets")
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    one = sets.dropDuplicates(["node"])
+    return pairs.join(one.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(one.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``pairs`` (a, b) with ``linked``: whether the exact sets reach the threshold."""
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keep = []
+            linked = []
             for x, y in zip(batch.column(2), batch.column(3), strict=True):
-                p, q = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate((p, q))
+                both = np.concatenate((np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)))
                 both.sort(kind="stable")
                 common = int((both[1:] == both[:-1]).sum())
-                keep.append(common * 1_000_000 >= round(threshold * 1_000_000) * (len(both) - common))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
+                linked.append(common * 1_000_000 >= round(threshold * 1_000_000) * (len(both) - common))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
+
+    return materialize(_with_sets(pairs, sets).select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long, linked boolean"), "links")
+
+
+def _cores(family: DataFrame, sets: DataFrame, sample: int) -> DataFrame:
+    """For each leader a set that its family is measured against: what most of up to ``sample`` members hold.
+
+    Any set would give right results; one close to the members leaves small differences.  ``seen`` lists
+    the elements that several sampled members hold, for an order that puts rarer ones first.
+    """
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))
+    some = family.select("a", "b").withColumn("rank", rank).where(F.col("rank") <= sample).join(sets.dropDuplicates(["node"]).select(F.col("node").alias("b"), "shingles"), "b")
+
+    def run(key: tuple, rows: pa.Table) -> pa.Table:
+        held = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")]
+        e, n = np.unique(np.concatenate(held), return_counts=True)
+        return pa.table({"a": [key[0].as_py()], "core": [e[2 * n > len(held)].tobytes()], "seen": [e[n > 1].tobytes()]}, schema=pa.schema([("a", pa.int64()), ("core", pa.binary()), ("seen", pa.binary())]))
+
+    return some.select("a", "shingles").groupBy("a").applyInArrow(run, "a long, core binary, seen binary")
+
 
-    return materialize(ready.select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long"), "links")
+def _residues(family: DataFrame, sets: DataFrame, threshold: float, sample: int = 64) -> DataFrame:
+    """Prefix entries of each member's difference from its family's core: (a, e, node, root, linked, n, m, at).
 
+    With X, Y and A the differences of x, y and leader a from the core, |x ^ y| = |X ^ Y|, and sets within
+    k of each other need t = (|X| + |Y| - k) / 2 common elements of X and Y.  In any order that holds for
+    the family, their first common element stands no later than |X| - t + 1 in X, which is k + 1 at most.
+    If x isn't linked to a, then |X| > k(x, a) - |A|, and the same bound for Y comes to about
+    (|Y| + |A|) / 2 + 1.  The order is: outside the core and rare, outside and less rare, missing from it.
+    """
+    r = (1 - threshold) / (1 + threshold)
+    cores = _cores(family, sets, sample)
 
-def _able(a: str, b: str, threshold: float):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[tuple[np.ndarray, ...]] = []
+            for a, b, root, linked, x, y, c, s in zip(*(batch.column(i) for i in range(8)), strict=True):
+                lead, own, core, seen = (np.frombuffer(v.as_buffer(), np.uint64) for v in (x, y, c, s))
+                new, gone = np.setdiff1d(own, core, assume_unique=True), np.setdiff1d(core, own, assume_unique=True)
+                rare = ~np.isin(new, seen, assume_unique=True)
+                m = len(new) + len(gone)
+                off = len(np.setxor1d(lead, core, assume_unique=True))
+                most = math.floor(r * (len(own) + len(own) / threshold) + 1e-9) + 1
+                if linked.as_py():
+                    most = min(most, math.floor((m + off + r * max(0, len(own) - len(lead))) / 2) + 2)
+                e = np.concatenate((new[rare], new[~rare], gone))[:most].astype(np.int64)
+                full = lambda v, e=e: np.full(len(e), v, np.int64)
+                out.append((full(a.as_py()), e, full(b.as_py()), full(root.as_py()), full(int(linked.as_py())), full(len(own)), full(m), np.arange(1, len(e) + 1)))
+            columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 8
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "e", "node", "root", "linked", "n", "m", "at"])
+
+    rows = _with_sets(family, sets).join(cores, "a").select("a", "b", "root", "linked", "sa", "sb", "core", "seen")
+    return rows.mapInArrow(run, "a long, e long, node long, root long, linked long, n long, m long, at long")
+
+
+def _nearest(entries: DataFrame) -> DataFrame:
+    """Of each element's entries the one with the smallest difference from the core."""
+    best = F.min_by(F.struct("node", "root", "linked", "n", "m", "at"), F.struct("m", "node")).alias("s")
+    return entries.groupBy("a", "e").agg(best).select("a", "e", "s.*")
+
+
+def _rerooted(entries: DataFrame, roots: DataFrame) -> DataFrame:
+    """``entries`` under new components, without the families that have become one."""
+    now = entries.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    split = now.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("a")
+    return materialize(now.join(split, "a", "left_semi"), "entries")
+
+
+def _shared_ways(entries: DataFrame, against: DataFrame, threshold: float) -> DataFrame:
+    """Pairs (a, b) of different components, one not linked to its leader, that a common entry leaves possible."""
+    side = lambda df, s: df.select("a", "e", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "root", "linked", "n", "m", "at")))
+    k = F.floor((1 - threshold) / (1 + threshold) * (F.col("n_x") + F.col("n_y")) + 1e-9)
+    room = F.least(F.col("m_x") - F.col("at_x"), F.col("m_y") - F.col("at_y")) + 1
+    met = side(entries.where("linked = 0"), "x").join(side(against, "y"), ["a", "e"]).where((F.col("root_x") != F.col("root_y")) & (2 * room >= F.col("m_x") + F.col("m_y") - k) & _able("n_x", "n_y", threshold))
+    return met.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
+
+
+def _able(a: str, b: str, threshold: float) -> Column:
     """Sizes that can reach the threshold."""
     return F.least(a, b) >= threshold * F.greatest(a, b) - 1e-9
 
@@ -262,26 +346,31 @@ def join_components(docs: DataFrame, size: int = 5, threshold: float = 0.8, entr
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(0.5 * total / entries_per_bucket))
     shared = materialize(_shared(_bucketed(docs, size, threshold, buckets)), "shared")
 
-    # First round: every set against the smallest of its signature group.
-    lead = shared.groupBy("sig").agg(F.min(F.struct("node", "n")).alias("lead"))
-    pairs = shared.join(lead, "sig").where("node <> lead.node").where(_able("n", "lead.n", threshold))
-    pairs = materialize(pairs.select(F.col("lead.node").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
-    links = _verified(pairs, docs, rows, size, threshold)
+    # First round: every set against its group's leader, the set that shares most signatures.
+    fame = shared.groupBy("node").agg(F.sum("held").alias("fame"))
+    lead = shared.join(fame, "node").groupBy("sig").agg(F.max(F.struct("fame", "node")).alias("lead")).select("sig", F.col("lead.node").alias("a"))
+    pairs = materialize(shared.join(lead, "sig").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    sets = _sets_of(pairs, docs, rows, size)
+    tried = _verified(pairs, sets, threshold)
+    links = tried.where("linked").select("a", "b")
     roots = materialize(components(links), "roots")
 
-    # Second round: in groups that still hold several components, the sets outside the group's largest
-    # component against the sets of all other components.
-    tagged = shared.join(roots, "node", "left").select("sig", "node", "n", F.coalesce("root", "node").alias("root"))
-    held = tagged.groupBy("sig", "root").count().groupBy("sig").agg(F.max_by("root", F.struct("count", "root")).alias("main"), F.count("*").alias("roots"))
-    rest = materialize(tagged.join(held.where("roots > 1").select("sig", "main"), "sig"), "rest")
-    x = rest.where("root <> main").select("sig", *(F.col(c).alias(f"{c}_x") for c in ("node", "n", "root")))
-    y = rest.select("sig", "main", *(F.col(c).alias(f"{c}_y") for c in ("node", "n", "root")))
-    more = x.join(y, "sig").where("root_x <> root_y and (root_y = main or node_x < node_y)").where(_able("n_x", "n_y", threshold))
-    more = more.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
-    more = materialize(more.join(pairs, ["a", "b"], "left_anti"), "pairs")
-    if more.limit(1).count():
-        links = links.unionByName(_verified(more, docs, rows, size, threshold))
-        roots = materialize(components(links), "roots")
+    # Second round: in families that still hold several components, members that differ from the leader in the same way.
+    tagged = tried.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
+    tagged = tagged.join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left").withColumn("root_a", F.coalesce("root_a", "a"))
+    split = tagged.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("members > 1 and lo <> hi").select("a")
+    family = tagged.join(split, "a", "left_semi")
+    entries = materialize(_residues(family, sets, threshold), "entries")
+    # First only against each element's nearest holders, which links most that can be; then the rest against all.
+    apart = materialize(_shared_ways(entries, _nearest(entries), threshold), "pairs")
+    found = _verified(apart, sets, threshold)
+    links = links.unionByName(found.where("linked").select("a", "b"))
+    roots = materialize(components(links), "roots")
+    entries = _rerooted(entries, roots)
+    more = _shared_ways(entries, entries, threshold).join(apart, ["a", "b"], "left_anti")
+    last = _verified(materialize(more, "pairs"), sets, threshold).where("linked").select("a", "b")
+    if last.limit(1).count():
+        roots = materialize(components(links.unionByName(last)), "roots")
 
     # Smallest doc_id of each class of equal sets, then of each component.
     classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
@@ -294,4 +383,4 @@ def join_components(docs: DataFrame, size: int = 5, threshold: float = 0.8, entr
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` with all their columns that name their component: of each group its smallest doc_id; null ids stay."""
     gone = join_components(docs, **options).where("not (doc_id <=> component_id)").select(F.col("doc_id").alias("gone_id")).distinct()
-    return docs.join(gone, F.col("doc_id").cast("long").eqNullSafe(F.col("gone_id")), "left_anti")
+    return docs.join(gone, docs["doc_id"].cast("long").eqNullSafe(gone["gone_id"]), "left_anti")
