@@ -148,4 +148,4 @@ def judge(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
 def keep(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
     """The rows of ``docs`` with all their columns whose id has no row that is rejected."""
     bad = judge(docs, p).where("not kept").select(F.col("doc_id").alias("bad_id")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["bad_id"]), "left_anti")
