@@ -289,3 +289,18 @@ def top3_survivors(spark, sf_dir):
 def src10_section_features(spark, sf_dir):
     rows = G.river_score(sections(spark, sf_dir).join(sites(spark, sf_dir).select("site_id", F.col("wind").alias("wind_dir")), "site_id"))
     return G.to_features(rows.withColumn("score", F.when(F.col("site_id") % 2 == 0, F.round("raw", 3)))).select("site_id", F.col("index").cast("long").alias("index"), "feature")
+
+
+@query()
+def geo11_shore_distance(spark, sf_dir):
+    return measured(spark, sf_dir).select("site_id", "row", "col", F.round("shore_m", 2).alias("shore_m"))
+
+
+@query(f"{BASE} SELECT site_id, round(avg(vlat), 6) AS lat, round(avg(vlon), 6) AS lon FROM v GROUP BY 1")
+def geo17_representative_point(spark, sf_dir):
+    return geo16_thin_and_centre(spark, sf_dir).drop("kept")
+
+
+@query(f"WITH {SITES} SELECT site_id, round_even(cos(radians(wind - 45)), 3) AS exposure FROM s")
+def geo18_wind_exposure(spark, sf_dir):
+    return sites(spark, sf_dir).select("site_id", C.wind_exposure(F.col("wind"), F.lit(45.0)).alias("exposure"))

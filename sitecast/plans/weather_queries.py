@@ -426,3 +426,30 @@ def cal3_standing_offset(spark, sf_dir):
     modelled = M.water_estimate(anchors(spark, sf_dir), obs(spark, sf_dir)).select("site_id", "at", "water_c")
     seen = modelled.where("(at div 86400) % 3 = 0").select("site_id", "at", (F.round("water_c", 1) + (F.col("site_id") - 2) * 0.5).alias("observed_c"))
     return M.fit_offset(seen, modelled).select("site_id", F.round("offset_c", 5).alias("offset_c"), "n")
+
+
+@query(f"{BASE}, {WATER} SELECT site_id, at, round(water_c, 6) AS water_c FROM water")
+def mod4_relaxation(spark, sf_dir):
+    return r6(M.water_estimate(anchors(spark, sf_dir), obs(spark, sf_dir)).select("site_id", "at", "water_c"))
+
+
+@query(f"{BASE}, {WATER} SELECT site_id, at, round(air_min - 6, 6) AS low_guard, round(air_max + 4, 6) AS high_guard FROM water")
+def mod6_envelope(spark, sf_dir):
+    return r6(M.envelope(M.water_estimate(anchors(spark, sf_dir), obs(spark, sf_dir))).select("site_id", "at", "low_guard", "high_guard"))
+
+
+@query(f"{BASE}, {REPLAY} SELECT site_id, at, round(bite, 5) AS bite_index FROM j4")
+def mod14_combine(spark, sf_dir):
+    return mod21_replay(spark, sf_dir).select("site_id", "at", "bite_index")
+
+
+@query(f"{BASE}, {REPLAY} SELECT site_id, at, round(CASE WHEN stability IS NOT NULL THEN conf END, 5) AS confidence FROM j4")
+def mod15_confidence(spark, sf_dir):
+    return mod21_replay(spark, sf_dir).select("site_id", "at", "confidence")
+
+
+@query(f"{BASE}, {WATER} SELECT site_id, at, round(round(water_c, 1) + (site_id - 2) * 0.5 - water_c, 5) AS residual FROM water WHERE water_c IS NOT NULL AND (at // 86400) % 3 = 0")
+def jn12_observed_vs_modelled(spark, sf_dir):
+    modelled = M.water_estimate(anchors(spark, sf_dir), obs(spark, sf_dir)).select("site_id", "at", "water_c").where("water_c is not null")
+    seen = modelled.where("(at div 86400) % 3 = 0").select("site_id", "at", (F.round("water_c", 1) + (F.col("site_id") - 2) * 0.5).alias("observed_c"))
+    return seen.join(modelled, ["site_id", "at"]).select("site_id", "at", F.round(F.col("observed_c") - F.col("water_c"), 5).alias("residual"))
