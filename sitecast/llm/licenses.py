@@ -7,7 +7,8 @@ with it; with ``bands`` min-hashes of one row each, such a window and template a
 a chance of (1 - least) ** bands.  Windows that agree are verified by exact shingle containment.
 
 Min-hashes can only agree on a shingle that both hold, and every shingle of a template holds one of the
-template words picked as anchors.  So windows without an anchor can't retrieve anything, and aren't hashed.
+pairs of neighbouring words picked as anchors.  So windows without an anchor can't retrieve anything, and
+aren't hashed.
 """
 
 from __future__ import annotations
@@ -51,12 +52,13 @@ def _shingles(own: list[str], size: int) -> list[str]:
 
 
 def anchors(shingles: list[str]) -> list[str]:
-    """Words of which every shingle holds one, long ones first: greedily those that cover most."""
-    left, out = [set(s.split()) for s in shingles], []
-    while left:
-        best = max(sorted({w for s in left for w in s}), key=lambda w: (len(w) >= 4, sum(w in s for s in left), len(w)))
+    """Word pairs (or words, of one-word shingles) of which every shingle holds one, pairs of longer words first: greedily those that cover most."""
+    pairs = [{" ".join(w[i : i + 2]) for i in range(max(1, len(w) - 1))} for w in (s.split() for s in shingles)]
+    out: list[str] = []
+    while pairs:
+        best = max(sorted({p for s in pairs for p in s}), key=lambda p: (min(map(len, p.split())) >= 4, sum(p in s for s in pairs), len(p)))
         out.append(best)
-        left = [s for s in left if best not in s]
+        pairs = [s for s in pairs if best not in s]
     return out
 
 
@@ -91,13 +93,14 @@ def find_licenses(docs: DataFrame, p: LicenseParams = LicenseParams()) -> DataFr
     picked = anchors([s for own in split.values() for s in _shingles(own, size)])
     # Documents without an anchor keep no words.
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    held = F.col("text").rlike("(?i)" + "|".join(picked))
+    held = F.col("text").rlike("(?i)" + "|".join(p.replace(" ", "[^a-z0-9]+") for p in picked))
     rows = rows.withColumn("w", F.when(held, F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))))
-    rows = rows.withColumn("at", F.expr(f"filter(transform(w, (x, i) -> case when x in ({', '.join(repr(a) for a in picked)}) then i end), i -> i is not null)"))
+    names = ", ".join(repr(a) for a in picked)
+    rows = rows.withColumn("at", F.expr(f"filter(transform(w, (x, i) -> case when concat_ws(' ', x, get(w, i + 1)) in ({names}) or x in ({names}) then i end), i -> i is not null)"))
     found = []
-    for (c, k), names in groups.items():
-        hashes = {n: [F.xxhash64(F.lit(s)) for s in _shingles(split[n], k)] for n in names}
-        templates = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*hashes[n]).alias("own"), _bands(F.array(*hashes[n]), p.bands).alias("bands")) for n in names])
+    for (c, k), own in groups.items():
+        hashes = {n: [F.xxhash64(F.lit(s)) for s in _shingles(split[n], k)] for n in own}
+        templates = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*hashes[n]).alias("own"), _bands(F.array(*hashes[n]), p.bands).alias("bands")) for n in own])
         rows = rows.withColumn("numbers", F.expr(f"array_distinct(flatten(transform(at, i -> filter(array(cast(i div {c} as int) - 1, cast(i div {c} as int)), b -> b >= 0))))"))
         rows = rows.withColumn("windows", F.expr(f"filter(transform(numbers, b -> transform(sequence(0, greatest(0, least({2 * c}, size(w) - b * {c}) - {k})), i -> xxhash64(array_join(slice(w, b * {c} + i + 1, {k}), ' ')))), x -> size(x) > 0)"))
         rows = rows.withColumn("signed", F.transform("windows", lambda x: F.struct(x.alias("own"), _bands(x, p.bands).alias("bands"))))
