@@ -95,6 +95,7 @@ class Encoder(dict):
         super().__init__()
         self.path, self.max_words = path, max_words
         self.model, self.chars = tokenizer(path).model, _byte_chars()
+        self.blank, self.line_end = self.chars[32], encode(path, ["\n"])[0]
         self.marks: dict[str, list[int]] = {"": []}
         self._forget()
 
@@ -111,17 +112,19 @@ class Encoder(dict):
 
     def _ids(self, word: str) -> list[int] | None:
         """None for a word that can't stand alone.  A word starts with a blank that isn't written, with a line end, or, the first of a text, with \\r."""
-        rest = word[1:] if word[:1] in ("\r", "\n") else word
-        if not rest or "<|" in rest or len(rest.split()) != 1 or rest.split()[0] != rest:
-            return None
+        first = word[:1]
+        rest = word[1:] if first in ("\r", "\n") else word
         stem = rest.rstrip(_MARKS)
-        if rest is word and stem.isalpha():
-            tail = rest[len(stem) :]
-            if tail not in self.marks:
-                self.marks[tail] = encode(self.path, [tail])[0]
-            spelled = f" {stem}".encode().decode("latin-1").translate(self.chars)
-            return [t.id for t in self.model.tokenize(spelled)] + self.marks[tail]
-        return encode(self.path, [rest if word[0] == "\r" else word if word[0] == "\n" else f" {word}"])[0]
+        if stem.isalpha():  # then the word is this pre-token, the marks another, and a line end before it one more
+            tail = self.marks.get(rest[len(stem) :])
+            if tail is None:
+                tail = self.marks[rest[len(stem) :]] = encode(self.path, [rest[len(stem) :]])[0]
+            spelled = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.chars)
+            ids = [t.id for t in self.model.tokenize(spelled if rest is not word else f"{self.blank}{spelled}")]
+            return (self.line_end + ids if first == "\n" else ids) + tail
+        if not rest or "<|" in rest or rest.split() != [rest]:
+            return None
+        return encode(self.path, [rest if first == "\r" else word if first == "\n" else f" {word}"])[0]
 
     def _learn(self) -> None:
         ids = [self._ids(w) for w in self.new]
