@@ -149,9 +149,9 @@ def samples(labelled: DataFrame, params: LanguageParams) -> dict[str, str]:
     if len(langs) > params.max_languages:
         raise ValueError(f"more than {params.max_languages} languages")
     share = params.sample_chars // params.sample_docs
-    # The middle of a document stands for it; ranks bound the rows that come to the driver.
+    # The middle of a document stands for it.  ids has max_languages * sample_docs rows at most.
     text = F.expr(f"substring(text, greatest(1, int(length(text) / 2) - {2 * share}), {4 * share})")
-    rows = labelled.join(ids.select(F.col("doc_id").alias("id"), "rank"), F.col("doc_id") == F.col("id")).select("lang", "rank", "doc_id", text.alias("text")).collect()
+    rows = labelled.join(F.broadcast(ids.select(F.col("doc_id").alias("id"), "rank")), F.col("doc_id") == F.col("id")).select("lang", "rank", "doc_id", text.alias("text")).collect()
     out = {}
     for lang in langs:
         own = [fold(r.text).strip() for r in sorted((r for r in rows if r.lang == lang), key=lambda r: (r.rank, r.text))]
