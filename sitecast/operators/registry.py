@@ -42,8 +42,12 @@ def merge(rows: DataFrame, fields: Sequence[str], order: str = "src_ord") -> Dat
 
 def match_exact(queries: DataFrame, registry: DataFrame) -> DataFrame:
     """Queries (query_id, key) with their only entry of equal key; none where it is missing or ambiguous."""
-    hits = queries.join(registry.select("key", "entry_id"), "key").groupBy("query_id").agg(F.count("*").alias("hits"), F.min("entry_id").alias("entry_id"))
-    return queries.join(hits, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"), F.when(F.col("hits") == 1, F.col("entry_id")).alias("entry_id"))
+    return _only(queries, registry.groupBy("key").agg(F.count("*").alias("hits"), F.min("entry_id").alias("entry_id")))
+
+
+def _only(queries: DataFrame, found: DataFrame) -> DataFrame:
+    """Queries with the ``found`` (key, hits, entry_id) of their key, the entry where it is the only one."""
+    return queries.select("query_id", "key").join(found, "key", "left").select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"), F.when(F.col("hits") == 1, F.col("entry_id")).alias("entry_id"))
 
 
 def tokens(key: Column) -> Column:
@@ -60,14 +64,15 @@ def match_fuzzy(queries: DataFrame, registry: DataFrame) -> DataFrame:
     """Queries with their only entry whose tokens hold the query's head and all its others.
 
     Matching tokens are equal or share four characters, so candidates meet on the first four of the head
-    and of some token: nothing is missed, nothing else is compared.
+    and of some token: nothing is missed, nothing else is compared.  Distinct keys meet, not rows: tokens
+    that many entries share are compared once for each spelling, and only then are the entries counted.
     """
-    asked = queries.withColumn("q", tokens(F.col("key"))).where(F.size("q") > 0).withColumn("b", F.left(F.get("q", F.lit(0)), F.lit(4)))
-    listed = registry.select("entry_id", tokens(F.col("key")).alias("k")).withColumn("b", F.explode(F.array_distinct(F.transform("k", lambda t: F.left(t, F.lit(4))))))
+    asked = queries.select(F.col("key").alias("asked")).distinct().withColumn("q", tokens(F.col("asked"))).where(F.size("q") > 0).withColumn("b", F.left(F.get("q", F.lit(0)), F.lit(4)))
+    listed = registry.select("key").distinct().withColumn("k", tokens(F.col("key"))).withColumn("b", F.explode(F.array_distinct(F.transform("k", lambda t: F.left(t, F.lit(4))))))
     has = lambda t: F.exists("k", lambda o: tokens_match(t, o))
-    met = asked.join(listed, "b").where(has(F.get("q", F.lit(0))) & F.forall("q", has)).select("query_id", "entry_id").distinct()
-    hits = met.groupBy("query_id").agg(F.count("*").alias("hits"), F.min("entry_id").alias("entry_id"))
-    return queries.join(hits, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"), F.when(F.col("hits") == 1, F.col("entry_id")).alias("entry_id"))
+    met = asked.join(listed, "b").where(has(F.get("q", F.lit(0))) & F.forall("q", has)).select("asked", "key").distinct()
+    entries = met.join(registry.select("key", "entry_id").distinct(), "key").select("asked", "entry_id").distinct()
+    return _only(queries, entries.groupBy(F.col("asked").alias("key")).agg(F.count("*").alias("hits"), F.min("entry_id").alias("entry_id")))
 
 
 def cascade(queries: DataFrame, inside: DataFrame, exact: DataFrame, fuzzy: DataFrame) -> DataFrame:

@@ -165,7 +165,7 @@ def geo19_sector_fetch(spark, sf_dir):
   SELECT q.query_id, coalesce(hits, 0) AS hits, CASE WHEN hits = 1 THEN entry_id END AS entry_id FROM q LEFT JOIN h USING (query_id)""")
 def jn7_point_in_polygon(spark, sf_dir):
     s = sites(spark, sf_dir)
-    listed = s.where("site_id % 2 = 0").select(F.col("site_id").alias("entry_id"), C.circle_ring(F.col("lat"), F.col("lon"), F.lit(314.159265)).alias("ring"))
+    listed = s.select(F.col("site_id").alias("entry_id"), C.circle_ring(F.col("lat"), F.col("lon"), F.lit(314.159265)).alias("ring"))
     return G.points_in_rings(s.select(F.col("site_id").alias("query_id"), (F.col("lat") + F.col("site_id") % 3 * 0.02).alias("lat"), "lon"), listed)
 
 
@@ -173,7 +173,7 @@ def jn7_point_in_polygon(spark, sf_dir):
   SELECT query_id, arg_min(entry_id, (km, entry_id)) AS entry_id, round(min(km), 4) AS km FROM d WHERE km <= 8 GROUP BY 1""")
 def jn9_nearest_district(spark, sf_dir):
     s = sites(spark, sf_dir)
-    lines = s.where("site_id % 5 = 0").select(F.col("site_id").alias("entry_id"), F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct((F.col("lat") + i * 0.01).alias("lat"), (F.col("lon") + 0.03).alias("lon"))).alias("line"))
+    lines = s.select(F.col("site_id").alias("entry_id"), F.transform(F.sequence(F.lit(0), F.lit(4)), lambda i: F.struct((F.col("lat") + i * 0.01).alias("lat"), (F.col("lon") + 0.03).alias("lon"))).alias("line"))
     return G.nearest_vertex(s.select(F.col("site_id").alias("query_id"), "lat", "lon"), lines).select("query_id", "entry_id", F.round("km", 4).alias("km"))
 
 

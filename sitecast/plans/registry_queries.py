@@ -158,7 +158,7 @@ def asked(spark, sf_dir):
 
 @query(f"WITH {PART}, {QUERIES_SQL} SELECT query_id, count(entry_id) AS hits, CASE WHEN count(entry_id) = 1 THEN min(entry_id) END AS entry_id FROM q LEFT JOIN (SELECT key, entry_id FROM reg WHERE entry_id % 40 = 5) r USING (key) GROUP BY 1")
 def jn5_exact_match(spark, sf_dir):
-    return R.match_exact(asked(spark, sf_dir), part(spark, sf_dir).where("entry_id % 40 = 5"))
+    return R.match_exact(asked(spark, sf_dir), part(spark, sf_dir))
 
 
 FUZZY = """tk AS (SELECT entry_id, list_filter(string_split(key, ' '), lambda t: length(t) >= 3) AS k FROM reg WHERE entry_id % 40 = 5), tq AS (SELECT query_id, list_filter(string_split(key, ' '), lambda t: length(t) >= 3) AS q FROM q),
@@ -168,14 +168,14 @@ FUZZY = """tk AS (SELECT entry_id, list_filter(string_split(key, ' '), lambda t:
 
 @query(f"WITH {PART}, {QUERIES_SQL}, {FUZZY} SELECT query_id, hits, entry_id FROM fz")
 def jn6_fuzzy_match(spark, sf_dir):
-    return R.match_fuzzy(asked(spark, sf_dir), part(spark, sf_dir).where("entry_id % 40 = 5"))
+    return R.match_fuzzy(asked(spark, sf_dir), part(spark, sf_dir))
 
 
 @query(f"""WITH {PART}, {QUERIES_SQL}, {FUZZY}, ex AS (SELECT query_id, count(entry_id) AS hits, CASE WHEN count(entry_id) = 1 THEN min(entry_id) END AS entry_id FROM q LEFT JOIN (SELECT key, entry_id FROM reg WHERE entry_id % 40 = 5) r USING (key) GROUP BY 1), ins AS (SELECT query_id, query_id + 1000 AS entry_id FROM q WHERE query_id % 9 = 0)
   SELECT q.query_id, CASE WHEN ins.entry_id IS NOT NULL THEN 'inside' WHEN ex.entry_id IS NOT NULL THEN 'exact' WHEN ex.hits = 0 AND fz.entry_id IS NOT NULL THEN 'fuzzy' END AS how, CASE WHEN ins.entry_id IS NOT NULL THEN ins.entry_id WHEN ex.entry_id IS NOT NULL THEN ex.entry_id WHEN ex.hits = 0 THEN fz.entry_id END AS entry_id
   FROM q LEFT JOIN ins USING (query_id) LEFT JOIN ex USING (query_id) LEFT JOIN fz USING (query_id)""")
 def jn8_match_cascade(spark, sf_dir):
-    queries, listed = asked(spark, sf_dir), part(spark, sf_dir).where("entry_id % 40 = 5")
+    queries, listed = asked(spark, sf_dir), part(spark, sf_dir)
     inside = queries.where("query_id % 9 = 0").select("query_id", (F.col("query_id") + 1000).alias("entry_id"))
     return R.cascade(queries, inside, R.match_exact(queries, listed), R.match_fuzzy(queries, listed))
 
