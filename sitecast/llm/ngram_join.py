@@ -19,7 +19,8 @@ group, the member that shares most signatures, on the exact sets.  Then componen
 families (the sets tried against one leader) that still hold several, every set that isn't linked to the
 leader is compared with members of other components through the elements by which both differ from what
 most of the family holds (see ``_residues``), so that a large family of near copies costs no pairs but those that differ
-in the same way.  Nothing is capped.
+in the same way.  Members so close to the core that they need no such element are linked to the closest one (see
+``_near_core``).  Nothing is capped.
 """
 
 from __future__ import annotations
@@ -273,8 +274,10 @@ def _cores(family: DataFrame, sets: DataFrame, sample: int) -> DataFrame:
 def _residues(family: DataFrame, sets: DataFrame, threshold: float, sample: int = 64) -> DataFrame:
     """Prefix entries of each member's difference from its family's core: (a, e, node, root, linked, n, m, at).
 
+    At 0 stands an entry without an element for each member, even one that equals the core.
+
     With X, Y and A the differences of x, y and leader a from the core, |x ^ y| = |X ^ Y|, and sets within
-    k of each other need t = (|X| + |Y| - k) / 2 common elements of X and Y.  In any order that holds for
+    k of each other need t = (|X| + |Y| - k) / 2 common elements of X and Y (none up to 0: see ``_near_core``).  In any order that holds for
     the family, their first common element stands no later than |X| - t + 1 in X, which is k + 1 at most.
     If x isn't linked to a, then |X| > k(x, a) - |A|, and the same bound for Y comes to about
     (|Y| + |A|) / 2 + 1.  The order is: outside the core and rare, outside and less rare, missing from it.
@@ -294,9 +297,9 @@ def _residues(family: DataFrame, sets: DataFrame, threshold: float, sample: int
                 most = math.floor(r * (len(own) + len(own) / threshold) + 1e-9) + 1
                 if linked.as_py():
                     most = min(most, math.floor((m + off + r * max(0, len(own) - len(lead))) / 2) + 2)
-                e = np.concatenate((new[rare], new[~rare], gone))[:most].astype(np.int64)
+                e = np.concatenate((np.zeros(1, np.uint64), new[rare], new[~rare], gone))[: most + 1].astype(np.int64)
                 full = lambda v, e=e: np.full(len(e), v, np.int64)
-                out.append((full(a.as_py()), e, full(b.as_py()), full(root.as_py()), full(int(linked.as_py())), full(len(own)), full(m), np.arange(1, len(e) + 1)))
+                out.append((full(a.as_py()), e, full(b.as_py()), full(root.as_py()), full(int(linked.as_py())), full(len(own)), full(m), np.arange(len(e))))
             columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 8
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=["a", "e", "node", "root", "linked", "n", "m", "at"])
 
@@ -304,6 +307,20 @@ def _residues(family: DataFrame, sets: DataFrame, threshold: float, sample: int
     return rows.mapInArrow(run, "a long, e long, node long, root long, linked long, n long, m long, at long")
 
 
+def _near_core(members: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) between members of one family whose differences X and Y from the core have |X| + |Y| <= k.
+
+    |x ^ y| <= |X| + |Y|, so all of them are links.  With s = |X| - r * |x| (in integers, as the exact check
+    has the threshold) the condition is s(x) + s(y) <= 0.  The member with the least s meets it with x and
+    with y whenever they meet it with each other, so links to it alone join all that such pairs join.
+    """
+    t = round(threshold * 1_000_000)
+    scored = members.select("a", "node", "root", (F.col("m") * (1_000_000 + t) - F.col("n") * (1_000_000 - t)).alias("s"))
+    best = scored.groupBy("a").agg(F.min(F.struct("s", "node", "root")).alias("c"))
+    met = scored.join(best, "a").where((F.col("root") != F.col("c.root")) & (F.col("s") + F.col("c.s") <= 0))
+    return met.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+
+
 def _nearest(entries: DataFrame) -> DataFrame:
     """Of each element's entries the one with the smallest difference from the core."""
     best = F.min_by(F.struct("node", "root", "linked", "n", "m", "at"), F.struct("m", "node")).alias("s")
@@ -360,11 +377,13 @@ def join_components(docs: DataFrame, size: int = 5, threshold: float = 0.8, entr
     tagged = tagged.join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left").withColumn("root_a", F.coalesce("root_a", "a"))
     split = tagged.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("members > 1 and lo <> hi").select("a")
     family = tagged.join(split, "a", "left_semi")
-    entries = materialize(_residues(family, sets, threshold), "entries")
+    residues = materialize(_residues(family, sets, threshold), "entries")
+    entries = residues.where("at > 0")
     # First only against each element's nearest holders, which links most that can be; then the rest against all.
     apart = materialize(_shared_ways(entries, _nearest(entries), threshold), "pairs")
     found = _verified(apart, sets, threshold)
-    links = links.unionByName(found.where("linked").select("a", "b"))
+    close = materialize(_near_core(residues.where("at = 0"), threshold), "links")
+    links = links.unionByName(found.where("linked").select("a", "b")).unionByName(close)
     roots = materialize(components(links), "roots")
     entries = _rerooted(entries, roots)
     more = _shared_ways(entries, entries, threshold).join(apart, ["a", "b"], "left_anti")
