@@ -143,6 +143,7 @@ _parsers: dict[object, Parser] = {}
 
 def samples(labelled: DataFrame, params: LanguageParams) -> dict[str, str]:
     """A bounded sample of text by language: of each, the documents whose ids hash lowest, in equal shares."""
+    labelled = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
     rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     ids = labelled.where("lang is not null and text is not null").select("doc_id", "lang").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= params.sample_docs)
     langs = sorted(r[0] for r in ids.select("lang").distinct().limit(params.max_languages + 1).collect())
