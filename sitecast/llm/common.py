@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -70,94 +71,175 @@ def tokenizer(path: str):
     return _tokenizers[path]
 
 
+def text_arrays(batches: Iterator[pa.RecordBatch], max_bytes: int = 2_000_000) -> Iterator[tuple[pa.RecordBatch, pa.StringArray]]:
+    """As ``text_slices``, but with the texts as an Arrow array, cut at about ``max_bytes``."""
+    for batch in batches:
+        texts = pc.fill_null(batch.column(batch.schema.get_field_index("text")).cast(pa.string()), "")
+        sums = np.cumsum(pc.binary_length(texts).to_numpy().astype(np.int64))
+        begin = 0
+        while begin < len(texts):
+            done = int(sums[begin - 1]) if begin else 0
+            end = max(begin + 1, int(np.searchsorted(sums, done + max_bytes, side="right")))
+            yield batch.slice(begin, end - begin), texts.slice(begin, end - begin)
+            begin = end
+
+
 #: Marks that may follow a word; together with other marks they form a token run of their own.
 _MARKS = ".,;:!?#$%&*()"
+#: Letters below this have been letters in every version of the character tables that the library may hold.
+_SETTLED = "\u0530"
 
 
-def _byte_chars() -> dict[int, str]:
+def _byte_chars() -> np.ndarray:
     """The printable stand-in of each byte in byte-level vocabularies: itself, or the next free code point from 256."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in plain]
-    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+    table = np.arange(256, dtype="<u2")
+    table[rest] = 256 + np.arange(len(rest))
+    return table
+
+
+class _Runs(dict):
+    """Ids of runs of marks, and of line ends before a word, remembered; there are few."""
+
+    def __init__(self, path: str):
+        super().__init__({"": []})
+        self.path = path
 
+    def __missing__(self, run: str) -> list[int]:
+        if len(self) > 100_000:
+            self.clear()
+        # Of line ends before a word the last is a pre-token of its own.
+        parts = [run[:-1], "\n"] if run[:1] == "\n" else [run]
+        self[run] = ids = [i for x in encode(self.path, parts) for i in x]
+        return ids
 
-class Encoder(dict):
-    """Token ids of whole texts, remembered word by word; as a dict, from a word to its number.
 
-    The byte-level tokenizer never lets a token cross from one word into the blank before the next, so
-    where words are set apart by one blank or one line end, the ids of a word, with what stands before
-    it, don't depend on the rest.  The library is asked once for each word while it is remembered; texts
-    with any other white space go to the library whole.  At ``max_words`` remembered words the memory is
-    emptied, which bounds it.
+class Encoder:
+    """Token ids of whole texts, remembered word by word.
+
+    The byte-level tokenizer never lets a token cross from one word into the white space before the next,
+    so where words are set apart by one blank or by line ends, the ids of a word, with what stands before
+    it, don't depend on the rest.  Arrow splits the texts and numbers their words; the library is asked
+    once for each word while it is remembered.  Texts with any other white space, and those with added
+    tokens, go to the library whole.  Beyond ``max_words`` the words met least often are forgotten, half of
+    them at least, which bounds the memory.
+
+    Keys: a word with the blank before it is itself, one after line ends starts with these, and the first
+    of a text, which has nothing before it, starts with a blank, as no other can.
     """
 
-    def __init__(self, path: str, max_words: int = 600_000):
-        super().__init__()
-        self.path, self.max_words = path, max_words
-        self.model, self.chars = tokenizer(path).model, _byte_chars()
-        self.blank, self.line_end = self.chars[32], encode(path, ["\n"])[0]
-        self.marks: dict[str, list[int]] = {"": []}
-        self._forget()
+    def __init__(self, path: str, max_words: int = 400_000):
+        self.path, self.max_words, self.chars = path, max_words, _byte_chars()
+        self.around = _Runs(path)
+        self.model = tokenizer(path).model
+        self._keep({}, np.zeros(0, np.int64))
+
+    def _keep(self, known: dict[str, int], kept: np.ndarray) -> None:
+        """Remember only the words ``known``, which had the numbers ``kept``."""
+        self.known = known
+        if not len(kept):
+            self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+            self.uses, self.apart = np.zeros(0, np.int64), np.zeros(0, bool)
+            return
+        self.flat, self.uses, self.apart, sizes = self._gather(kept), self.uses[kept] // 2, self.apart[kept], self.sizes[kept]
+        self.starts, self.sizes = np.cumsum(sizes) - sizes, sizes
 
     def _forget(self) -> None:
-        self.clear()
-        self.new: list[str] = []
-        self.flat, self.starts, self.sizes = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.apart = np.zeros(0, bool)
-
-    def __missing__(self, word: str) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
-
-    def _ids(self, word: str) -> list[int] | None:
-        """None for a word that can't stand alone.  A word starts with a blank that isn't written, with a line end, or, the first of a text, with \\r."""
-        first = word[:1]
-        rest = word[1:] if first in ("\r", "\n") else word
-        stem = rest.rstrip(_MARKS)
-        if stem.isalpha():  # then the word is this pre-token, the marks another, and a line end before it one more
-            tail = self.marks.get(rest[len(stem) :])
-            if tail is None:
-                tail = self.marks[rest[len(stem) :]] = encode(self.path, [rest[len(stem) :]])[0]
-            spelled = stem if stem.isascii() else stem.encode().decode("latin-1").translate(self.chars)
-            ids = [t.id for t in self.model.tokenize(spelled if rest is not word else f"{self.blank}{spelled}")]
-            return (self.line_end + ids if first == "\n" else ids) + tail
-        if not rest or "<|" in rest or rest.split() != [rest]:
-            return None
-        return encode(self.path, [rest if first == "\r" else word if first == "\n" else f" {word}"])[0]
-
-    def _learn(self) -> None:
-        ids = [self._ids(w) for w in self.new]
-        self.apart = np.concatenate((self.apart, np.fromiter((x is None for x in ids), bool, len(ids))))
-        ids = [x or [] for x in ids]
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids))
-        self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
-        self.sizes = np.concatenate((self.sizes, sizes))
-        self.flat = np.concatenate((self.flat, np.fromiter(itertools.chain.from_iterable(ids), np.uint32, int(sizes.sum()))))
-        self.new = []
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        if not texts:
-            return []
-        if len(self) > self.max_words:
-            self._forget()
-        words, counts = [], []
-        for text in texts:
-            own = f"\r{text}".replace("\n", " \n").split(" ")
-            words += own
-            counts.append(len(own))
-        at = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
-        if self.new:
-            self._learn()
-        last = np.cumsum(counts)
+        least = 2
+        while 2 * (self.uses >= least).sum() > self.max_words:
+            least *= 2
+        often = self.uses >= least
+        words = itertools.compress(list(self.known), often.tolist())
+        self._keep({w: i for i, w in enumerate(words)}, np.flatnonzero(often))
+
+    def _numbers(self, keys: list[str]) -> np.ndarray:
+        """The numbers of distinct words; the next free ones for those that aren't known, which are learned."""
+        found = list(map(self.known.get, keys))
+        new = [w for w, n in zip(keys, found, strict=True) if n is None]
+        if new:
+            free = itertools.count(len(self.known))
+            found = [next(free) if n is None else n for n in found]
+            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+            self._learn(new)
+        return np.array(found, np.int64)
+
+    def _gather(self, at: np.ndarray) -> np.ndarray:
+        """The ids of the words numbered ``at``, in order."""
         sizes = self.sizes[at]
         ends = np.cumsum(sizes)
-        ids = self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1])]
-        out = np.split(ids, ends[last[:-1] - 1]) if len(texts) > 1 else [ids]
-        if len(whole := np.flatnonzero(np.add.reduceat(self.apart[at], last - counts))):
-            for i, x in zip(whole.tolist(), encode(self.path, [texts[i] for i in whole]), strict=True):
-                out[i] = np.array(x, np.uint32)
-        return out
+        return self.flat[np.repeat(self.starts[at] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+    def _plain(self, key: str) -> tuple[str, str, str] | None:
+        """Line ends, letters with the blank before them, and marks, if the word is nothing else."""
+        if key.isalpha() and (key.isascii() or max(key) < _SETTLED):
+            return "", f" {key}", ""
+        rest = key.lstrip("\n") if key[:1] == "\n" else key
+        bare = rest[1:] if rest[:1] == " " else rest
+        stem = bare.rstrip(_MARKS)
+        if not stem.isalpha() or not (stem.isascii() or max(stem) < _SETTLED):
+            return None
+        return key[: len(key) - len(rest)], stem if rest is not bare or rest is not key else f" {stem}", bare[len(stem) :]
+
+    def _learn(self, new: list[str]) -> None:
+        split = list(map(self._plain, new))
+        plain = np.fromiter((p is not None for p in split), bool, len(new))
+        leads, stems, tails = zip(*filter(None, split), strict=True) if plain.any() else ((), (), ())
+        # Letters as the model has their bytes; no word holds byte 0, which keeps them apart.
+        raw = np.frombuffer("\0".join(stems).encode(), np.uint8)
+        spelled = self.chars[raw].tobytes().decode("utf-16-le").split(chr(self.chars[0]))
+        flat: list[int] = []
+        ends, tokenize, around = [0], self.model.tokenize, self.around
+        for lead, word, tail in zip(leads, spelled, tails):  # noqa: B905 - an empty list splits to one empty word
+            flat += [t.id for t in tokenize(word)]
+            if lead or tail:
+                flat[ends[-1] : ends[-1]] = around[lead]
+                flat += around[tail]
+            ends.append(len(flat))
+        apart = np.zeros(len(new), bool)
+        hard, texts = np.flatnonzero(~plain).tolist(), []
+        for i in hard:
+            key = new[i]
+            rest = key.lstrip("\n") if key[:1] == "\n" else key[1:] if key[:1] == " " else key
+            # One word, line ends alone, or an empty text; else the text must go to the library whole.
+            apart[i] = "<|" in rest or rest.split() != [rest] if rest else not key
+            texts.append("" if apart[i] else key[1:] if key[:1] == " " else key if key[:1] == "\n" else f" {key}")
+        for own in encode(self.path, texts):
+            flat += own
+            ends.append(len(flat))
+        order = np.empty(len(new), np.int64)
+        order[np.concatenate((np.flatnonzero(plain), np.array(hard, np.int64)))] = np.arange(len(new))
+        edges = np.array(ends, np.int64)
+        self.starts = np.concatenate((self.starts, edges[order] + len(self.flat)))
+        self.sizes, self.apart = np.concatenate((self.sizes, np.diff(edges)[order])), np.concatenate((self.apart, apart))
+        self.uses = np.concatenate((self.uses, np.zeros(len(new), np.int64)))
+        self.flat = np.concatenate((self.flat, np.array(flat, np.uint32)))
+
+    def __call__(self, texts: pa.StringArray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts one after another, each with ``end_id`` behind it unless that is None, and how many each has."""
+        if not len(texts):
+            return np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        if len(self.known) > self.max_words:
+            self._forget()
+        split = pc.split_pattern(pc.replace_substring_regex(texts, "(\n+)", r" \1"), " ")
+        words, begins = split.flatten().dictionary_encode(), split.offsets.to_numpy()
+        begins = begins - begins[0]
+        keys = words.dictionary.to_numpy(zero_copy_only=False).tolist()
+        codes = words.indices.to_numpy()
+        at = self._numbers(keys)[codes]
+        firsts, place = np.unique(codes[begins[:-1]], return_inverse=True)
+        at[begins[:-1]] = self._numbers([f" {keys[i]}" for i in firsts.tolist()])[place]
+        self.uses += np.bincount(at, minlength=len(self.uses))
+        flat = self._gather(at)
+        sizes = np.add.reduceat(self.sizes[at], begins[:-1])
+        if len(whole := np.flatnonzero(np.add.reduceat(self.apart[at], begins[:-1]))):
+            each = np.split(flat, np.cumsum(sizes)[:-1])
+            for i, x in zip(whole.tolist(), encode(self.path, texts.take(pa.array(whole)).to_pylist()), strict=True):
+                each[i], sizes[i] = np.array(x, np.uint32), len(x)
+            flat = np.concatenate(each)
+        if end_id is not None:
+            flat, sizes = np.insert(flat, np.cumsum(sizes), end_id), sizes + 1
+        return flat, sizes
 
 
 _encoders: dict[str, Encoder] = {}
@@ -165,7 +247,9 @@ _encoders: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """One per Python worker, so that tasks share what it remembers."""
-    return _encoders.setdefault(path, Encoder(path))
+    if path not in _encoders:
+        _encoders[path] = Encoder(path)
+    return _encoders[path]
 
 
 def encode(path: str, texts: list[str]) -> list[list[int]]:

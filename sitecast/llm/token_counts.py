@@ -1,13 +1,15 @@
 """Edit-aware token counts (op 3).
 
 A document that edits touch is held as a segment tree over its pre-tokens, with sums of characters and of
-tokens.  An edit descends by characters to the pre-tokens it meets, encodes their new text again with one
-pre-token of context before and as many after as it takes until old and new boundaries coincide, and
+tokens; an added token of the tokenizer is a pre-token of its own.  An edit descends by characters to the pre-tokens it meets, encodes their new text again with a few
+pre-tokens of context before and as many after as it takes until old and new boundaries coincide, and
 updates the sums above them; the rest of the document is left alone.
 """
 
 from __future__ import annotations
 
+import functools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -15,16 +17,26 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sitecast.llm.common import encoder, text_slices, tokenizer
+from sitecast.llm.common import encoder, text_arrays, tokenizer
 
 EDITS = "array<struct<start: long, stop: long, replacement: string>>"
 
 
+@functools.lru_cache
+def added_tokens(path: str) -> tuple[re.Pattern | None, int]:
+    """A pattern of the tokens that are cut out before all else, and how many pre-tokens around an edit they may reach over."""
+    tok = tokenizer(path)
+    own = sorted({t.content for t in tok.get_added_tokens_decoder().values()}, key=lambda t: (-len(t), t))
+    most = max((len(tok.pre_tokenizer.pre_tokenize_str(t)) for t in own), default=0)
+    return re.compile("|".join(map(re.escape, own))) if own else None, max(2, most)
+
+
 class TokenTree:
     """Token counts of one text under edits."""
 
     def __init__(self, text: str, path: str, sizes: dict[str, int]):
         self.tok, self.sizes = tokenizer(path), sizes
+        self.added, self.context = added_tokens(path)
         pieces = self._split(text)
         self.base = 1
         while self.base < max(1, len(pieces)):
@@ -40,7 +52,16 @@ class TokenTree:
         self.encoded = 0
 
     def _split(self, text: str) -> list[tuple[str, int]]:
-        """(pre-token, its tokens); the tokenizer's own pre-tokenizer and model."""
+        """(pre-token, its tokens); the tokenizer's own pre-tokenizer and model between added tokens, which are one token each."""
+        if self.added:
+            out, done = [], 0
+            for m in self.added.finditer(text):
+                out += [*self._plain(text[done : m.start()]), (m.group(), 1)]
+                done = m.end()
+            return out + self._plain(text[done:])
+        return self._plain(text)
+
+    def _plain(self, text: str) -> list[tuple[str, int]]:
         out = []
         for spelled, (a, b) in self.tok.pre_tokenizer.pre_tokenize_str(text):
             if spelled not in self.sizes:
@@ -88,12 +109,12 @@ class TokenTree:
         if start == stop and not new:
             return
         first, begin = self._leaf(max(start - 1, 0)) if total else (0, 0)
-        for _ in range(2):
+        for _ in range(self.context):
             if (left := self._before(first)) != first:
                 begin -= len(self.text[left])
                 first = left
         last, last_begin = self._leaf(min(stop, total - 1)) if total else (0, 0)
-        reach = 4
+        reach = self.context + 2
         while True:
             end, stretch = last, 0
             while end + 1 < self.base and stretch < reach:
@@ -104,7 +125,7 @@ class TokenTree:
             text = region[: start - begin] + new + region[stop - begin :]
             pieces = self._split(text)
             whole = end + 1 >= self.base or begin + len(region) >= total
-            # Old boundaries after the edit, in new places; two pre-tokens at the end may be cut short.
+            # Old boundaries after the edit, in new places; pre-tokens at the end may be cut short.
             shift = len(new) - (stop - start)
             edges, at = {}, 0
             for k, t in enumerate(old):
@@ -112,7 +133,7 @@ class TokenTree:
                     edges[at + shift] = first + k
                 at += len(t)
             at, take, upto = 0, None, None
-            for k, (t, _) in enumerate(pieces[: len(pieces) - 2]):
+            for k, (t, _) in enumerate(pieces[: max(0, len(pieces) - self.context)]):
                 if at >= start - begin + len(new) and at in edges:
                     take, upto = k, edges[at]
                     break
@@ -149,8 +170,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sizes: dict[str, int] = {}
         encode = encoder(tokenizer_path)
-        for batch, texts in text_slices(batches, 1_000_000):
-            counts = [len(x) for x in encode(texts)]
+        for batch, texts in text_arrays(batches):
+            counts = encode(texts)[1].tolist()
             after, done, encoded = [], [], []
             for text, n, edits in zip(texts, counts, batch.column(2).to_pylist(), strict=True):
                 own, at = [], 0
@@ -159,7 +180,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                     at = max(begin, e["stop"] or 0)
                     own.append((begin, at, e["replacement"] or ""))
                 if own:
-                    tree = TokenTree(text, tokenizer_path, sizes)
+                    tree = TokenTree(text.as_py(), tokenizer_path, sizes)
                     for begin, end, new in reversed(own):
                         tree.replace(begin, end, new)
                     n, again = tree.total, tree.encoded

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sitecast.llm.common import encoder, shared_dir, text_slices
+from sitecast.llm.common import encoder, shared_dir, text_arrays
 
 MAGIC = b"WVM1"
 BLOCK_WORDS = 8
@@ -53,14 +53,14 @@ class WaveletMatrix:
         words = -(-n // 64)
         body, zeros = [], []
         for b in range(planes - 1, -1, -1):
-            one = ((cur >> b) & 1).astype(bool)
+            one = (cur & cur.dtype.type(1 << b)) != 0
             packed = np.packbits(one, bitorder="little").tobytes().ljust(words * 8, b"\0")
             counts = np.bitwise_count(np.frombuffer(packed, "<u8"))
             per_block = np.add.reduceat(counts, np.arange(0, words, BLOCK_WORDS), dtype=np.uint32) if words else np.zeros(0, np.uint32)
             body += [packed, np.concatenate(([0], np.cumsum(per_block))).astype("<u4").tobytes()]
-            low = cur[~one]
+            low = np.compress(~one, cur)
             zeros.append(len(low))
-            cur = np.concatenate((low, cur[one]))
+            cur = np.concatenate((low, np.compress(one, cur)))
         return MAGIC + np.uint32(planes).tobytes() + np.uint64(n).tobytes() + np.array(zeros, "<u8").tobytes() + b"".join(body)
 
     def _rank1(self, plane: int, i: int) -> int:
@@ -115,10 +115,8 @@ class WaveletMatrix:
         for p in range(self.planes - 1, -1, -1):
             one = np.unpackbits(self.bits[p].view(np.uint8), bitorder="little", count=self.size).astype(bool)
             above = np.empty_like(out)
-            z = int(self.zeros[p])
-            above[~one] = out[:z]
-            above[one] = out[z:] | out.dtype.type(1 << (self.planes - 1 - p))
-            out = above
+            above[np.concatenate((np.flatnonzero(~one), np.flatnonzero(one)))] = out
+            out = above | one * out.dtype.type(1 << (self.planes - 1 - p))
         return out.astype(np.uint32)
 
 
@@ -133,23 +131,28 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        split, shard, held, ids, sizes = TaskContext.get().partitionId(), 0, [], [], 0
-
-        def out() -> pa.RecordBatch:
-            columns = [[split], [shard], [sizes], [held], [[len(x) for x in ids]], [WaveletMatrix.encode(np.concatenate(ids))]]
-            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in SHARD_SCHEMA.split(", ")])
-
-        for batch, texts in text_slices(batches, 1_000_000):
-            for doc, x in zip(batch.column(0).to_pylist(), encoder(tokenizer_path)(texts), strict=True):
-                held.append(doc)
-                ids.append(np.append(x, np.uint32(end_id)))
-                sizes += len(x) + 1
-                if sizes >= shard_ids:
-                    yield out()
-                    shard, held, ids, sizes = shard + 1, [], [], 0
-        if held:
-            yield out()
+        split, shard = TaskContext.get().partitionId(), 0
+        docs, ids, sizes = pa.array([], pa.int64()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+
+        def out(docs: pa.Array, flat: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
+            columns = [pa.array([x], pa.int64()) for x in (split, shard, len(flat))]
+            columns += [pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), x) for x in (docs, pa.array(own, pa.int64()))]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([WaveletMatrix.encode(flat)], pa.binary())], names=[c.split()[0] for c in SHARD_SCHEMA.split(", ")])
+
+        for batch, texts in text_arrays(batches):
+            flat, own = encoder(tokenizer_path)(texts, end_id)
+            docs, ids, sizes = pa.concat_arrays([docs, batch.column(0)]), np.concatenate((ids, flat)), np.concatenate((sizes, own))
+            begin, ends = 0, np.cumsum(sizes)
+            while begin < len(ends):
+                done = int(ends[begin - 1]) if begin else 0
+                end = int(np.searchsorted(ends, done + shard_ids)) + 1
+                if end > len(ends):
+                    break
+                yield out(docs[begin:end], ids[done : int(ends[end - 1])], sizes[begin:end])
+                begin, shard = end, shard + 1
+            docs, ids, sizes = docs[begin:], ids[int(ends[begin - 1]) if begin else 0 :], sizes[begin:]
+        if len(sizes):
+            yield out(docs, ids, sizes)
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARD_SCHEMA).write.parquet(path)
@@ -173,8 +176,9 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
             for row in batch.to_pylist():
                 ids = WaveletMatrix(row["data"]).decode().astype("<u4")
                 ends = np.cumsum(row["doc_sizes"])
-                raw = [x.tobytes() for x in np.split(ids, ends[:-1])]
-                columns = [[row["split"]] * len(raw), [row["shard"]] * len(raw), row["doc_ids"], (ends - row["doc_sizes"]).tolist(), row["doc_sizes"], [zlib.crc32(x) for x in raw], raw]
+                view = memoryview(ids).cast("B")
+                raw = [view[4 * a : 4 * b] for a, b in zip((ends - row["doc_sizes"]).tolist(), ends.tolist(), strict=True)]
+                columns = [[row["split"]] * len(raw), [row["shard"]] * len(raw), row["doc_ids"], ends - row["doc_sizes"], row["doc_sizes"], list(map(zlib.crc32, raw)), raw]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 6 + [pa.binary()], strict=True)], names=["split", "shard", "doc_id", "in_shard", "n_tokens", "ids_crc32", "ids"])
 
     docs = shards.select("split", "shard", "n_ids", "doc_ids", "doc_sizes", "data").mapInArrow(run, "split long, shard long, doc_id long, in_shard long, n_tokens long, ids_crc32 long, ids binary")
