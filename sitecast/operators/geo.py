@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,55 +43,99 @@ def wedges(sites: DataFrame) -> DataFrame:
     return rows.withColumn("ring", F.concat(centre, arc, centre))
 
 
-def grid(sites: DataFrame, key: str = "site_id") -> DataFrame:
-    """Cells of ``cell_m`` whose centre lies in the ring: (key, row, col, lat, lon); one row for each candidate row of cells first, then its columns."""
+def _boxes(sites: DataFrame) -> DataFrame:
+    """``sites`` (ring, cell_m) with the south-west corner, cell extent and numbers of rows and columns of their grids."""
     lats, lons = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lon"])
     box = sites.withColumns({"y0": F.array_min(lats), "y1": F.array_max(lats), "x0": F.array_min(lons), "x1": F.array_max(lons)})
     box = box.withColumn("dy", F.col("cell_m") / M).withColumn("dx", F.col("cell_m") / (M * F.cos(F.radians((F.col("y0") + F.col("y1")) / 2))))
-    box = box.withColumn("rows", F.greatest(F.lit(1), F.ceil((F.col("y1") - F.col("y0")) / F.col("dy")))).withColumn("cols", F.greatest(F.lit(1), F.ceil((F.col("x1") - F.col("x0")) / F.col("dx"))))
-    cells = box.withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)))
+    return box.withColumn("rows", F.greatest(F.lit(1), F.ceil((F.col("y1") - F.col("y0")) / F.col("dy")))).withColumn("cols", F.greatest(F.lit(1), F.ceil((F.col("x1") - F.col("x0")) / F.col("dx"))))
+
+
+def grid(sites: DataFrame, key: str = "site_id") -> DataFrame:
+    """Cells of ``cell_m`` whose centre lies in the ring: (key, row, col, lat, lon); one row for each candidate row of cells first, then its columns."""
+    cells = _boxes(sites).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)))
     cells = cells.withColumn("clat", F.col("y0") + (F.col("row") + 0.5) * F.col("dy")).withColumn("clon", F.col("x0") + (F.col("col") + 0.5) * F.col("dx"))
     return cells.where(C.point_in_ring(F.col("clat"), F.col("clon"), F.col("ring"))).select(key, "row", "col", F.col("clat").alias("lat"), F.col("clon").alias("lon"))
 
 
-def _rays(lat: np.ndarray, lon: np.ndarray, ring: np.ndarray, wind: float, reach: float) -> np.ndarray:
-    """Metres of water upwind of points inside the ring: to the first edge that each ray meets, ``reach`` at most."""
-    kx = M * np.cos(np.radians(lat))
-    dx, dy = np.sin(np.radians(wind)), np.cos(np.radians(wind))
-    ax, ay = (ring[None, :-1, 0] - lon[:, None]) * kx[:, None], (ring[None, :-1, 1] - lat[:, None]) * M
-    bx, by = (ring[None, 1:, 0] - lon[:, None]) * kx[:, None], (ring[None, 1:, 1] - lat[:, None]) * M
-    ex, ey = bx - ax, by - ay
-    den = dx * ey - dy * ex
-    with np.errstate(divide="ignore", invalid="ignore"):
-        t, s = (ax * ey - ay * ex) / den, (ax * dy - ay * dx) / den
-    hit = (den != 0) & (t >= 0) & (s >= 0) & (s <= 1)
-    return np.minimum(np.where(hit, t, np.inf).min(axis=1), reach)
+def _inside(lat: np.ndarray, lon: np.ndarray, ax: np.ndarray, ay: np.ndarray) -> np.ndarray:
+    """Parity of the edges that a ray to the east crosses, row of cells by row: the edges that span a row's latitude are few."""
+    bx, by = np.append(ax[1:], ax[0]), np.append(ay[1:], ay[0])
+    out = np.zeros((len(lat), len(lon)), bool)
+    for r, y in enumerate(lat):
+        e = np.flatnonzero((ay > y) != (by > y))
+        at = (bx[e] - ax[e]) * (y - ay[e]) / (by[e] - ay[e]) + ax[e]
+        out[r] = (lon[:, None] < at[None, :]).sum(axis=1) % 2 == 1
+    return out
 
 
-def geometry(cells: DataFrame, rings: DataFrame, winds: list[float], reach: float = 500.0, key: str = "site_id") -> DataFrame:
-    """Effective fetch for each wind and distance to the bank of every cell: (key, row, col, lat, lon, wind, fetch_m, shore_m).
+def _rays(x: np.ndarray, y: np.ndarray, kx: np.ndarray, ring: np.ndarray, winds: list[float], reach: float) -> np.ndarray:
+    """Metres of water upwind of points inside the ring, by wind: to the first edge that each ray meets, ``reach`` at most.
 
-    Cells meet their site's ring by site and block of sixteen rows, so a site of many cells is spread over
-    tasks and none holds it whole.  A centre on the ring counts as inside.
+    An edge meets a ray where its ends lie on different sides of it; only edges with an end within reach
+    along the ray's axis can.  Points go through in chunks that fit the cache.
+    """
+    out = np.full((len(winds), len(x)), reach)
+    ex, ey = np.diff(ring[:, 0]), np.diff(ring[:, 1]) * M
+    step = max(1, 60_000 // max(1, len(ring)))
+    for begin in range(0, len(x), step):
+        at = slice(begin, begin + step)
+        px, py = (ring[None, :, 0] - x[at, None]) * kx[at, None], (ring[None, :, 1] - y[at, None]) * M
+        edge_x = ex[None, :] * kx[at, None]
+        for k, wind in enumerate(winds):
+            dx, dy = np.sin(np.radians(wind)), np.cos(np.radians(wind))
+            side = px * dy - py * dx
+            den = dx * ey[None, :] - dy * edge_x
+            cell, e = np.nonzero((side[:, :-1] * side[:, 1:] <= 0) & (den != 0))
+            t = (px[cell, e] * ey[e] - py[cell, e] * edge_x[cell, e]) / den[cell, e]
+            ahead = t >= 0
+            np.minimum.at(out[k, at], cell[ahead], t[ahead])
+    return out
+
+
+def _shore(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """Degrees, counted alike both ways, to the nearest point of the ring."""
+    a, e = ring[:-1], np.diff(ring, axis=0)
+    length = np.maximum((e**2).sum(axis=1), 1e-30)
+    out = np.empty(len(x))
+    step = max(1, 60_000 // max(1, len(a)))
+    for begin in range(0, len(x), step):
+        wx, wy = x[begin : begin + step, None] - a[None, :, 0], y[begin : begin + step, None] - a[None, :, 1]
+        t = np.clip((wx * e[:, 0] + wy * e[:, 1]) / length, 0, 1)
+        wx -= t * e[:, 0]
+        wy -= t * e[:, 1]
+        out[begin : begin + step] = np.sqrt((wx * wx + wy * wy).min(axis=1))
+    return out
+
+
+def geometry(sites: DataFrame, winds: list[float], reach: float = 500.0, key: str = "site_id", block: int = 16) -> DataFrame:
+    """The cells of ``grid`` with effective fetch for each wind and distance to the bank: (key, row, col, lat, lon, wind, fetch_m, shore_m).
+
+    sites: key, ring, cell_m.  One input row stands for a site and ``block`` rows of cells and carries the
+    ring once, as flat coordinates; its cells are made and measured in numpy.  So a site of many cells is
+    spread over tasks and none holds it whole.  A centre on the ring counts as inside.
     """
+    names = [key, "row", "col", "lat", "lon", "wind", "fetch_m", "shore_m"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, part in batch.groupby(key, sort=False):
-                ring = np.array([(p["lon"], p["lat"]) for p in part["ring"].iloc[0]])
-                for begin in range(0, len(part), 2048):
-                    own = part.iloc[begin : begin + 2048]
-                    lat, lon = own["lat"].to_numpy(), own["lon"].to_numpy()
-                    a, e = ring[:-1], np.diff(ring, axis=0)
-                    w = np.stack((lon[:, None] - a[None, :, 0], lat[:, None] - a[None, :, 1]))
-                    t = np.clip((w[0] * e[:, 0] + w[1] * e[:, 1]) / np.maximum((e**2).sum(axis=1), 1e-30), 0, 1)
-                    shore = np.hypot(w[0] - t * e[:, 0], w[1] - t * e[:, 1]).min(axis=1) * M
-                    for wind in winds:
-                        yield own[[key, "row", "col", "lat", "lon"]].assign(wind=float(wind), fetch_m=_rays(lat, lon, ring, wind, reach), shore_m=shore)
-
-    blocked = cells.withColumn("_block", F.floor(F.col("row") / 16))
-    ringed = blocked.select(key, "_block").distinct().join(rings.select(key, "ring"), key)
-    return blocked.join(ringed, [key, "_block"]).select(key, "row", "col", "lat", "lon", "ring").mapInPandas(run, f"{key} long, row long, col long, lat double, lon double, wind double, fetch_m double, shore_m double")
+            for i, (site, first, last, cols, y0, x0, dy, dx) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(8)), strict=True)):
+                ring = np.stack([batch.column(c)[i].values.to_numpy() for c in (8, 9)], axis=1)
+                rows, ys, xs = np.arange(first, last), y0 + (np.arange(first, last) + 0.5) * dy, x0 + (np.arange(cols) + 0.5) * dx
+                r, c = np.nonzero(_inside(ys, xs, ring[:, 0], ring[:, 1]))
+                if not len(r):
+                    continue
+                lat, lon = ys[r], xs[c]
+                shore, fetch = _shore(lon, lat, ring) * M, _rays(lon, lat, M * np.cos(np.radians(lat)), ring, winds, reach)
+                for wind, own in zip(winds, fetch, strict=True):
+                    columns = (np.full(len(r), site, np.int64), rows[r], c, lat, lon, np.full(len(r), float(wind)), own, shore)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=names)
+
+    flat = lambda c: F.transform("ring", lambda p: p[c])
+    blocks = _boxes(sites).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("rows") - 1, F.lit(block).cast("long"))))
+    rows = blocks.select(F.col(key).cast("long").alias(key), "first", F.least(F.col("first") + block, F.col("rows")).alias("last"), "cols", "y0", "x0", "dy", "dx", flat("lon").alias("lons"), flat("lat").alias("lats"))
+    # Sites differ in their blocks by orders of magnitude; dealt anew, the blocks are the units of work.
+    return rows.repartition(key, "first").mapInArrow(run, f"{key} long, row long, col long, lat double, lon double, wind double, fetch_m double, shore_m double")
 
 
 def fetch_edges(points: DataFrame, wind: Column, reach: float = 500.0, key: str = "point_id") -> DataFrame:
@@ -101,8 +146,9 @@ def fetch_edges(points: DataFrame, wind: Column, reach: float = 500.0, key: str
     e = edges.withColumns({"ax": at(F.col("i"), "x", "lon"), "ay": at(F.col("i"), "y", "lat"), "bx": at(F.col("i") + 1, "x", "lon"), "by": at(F.col("i") + 1, "y", "lat"), "dx": F.sin(F.radians("w")), "dy": F.cos(F.radians("w"))})
     e = e.withColumns({"ex": F.col("bx") - F.col("ax"), "ey": F.col("by") - F.col("ay")}).withColumn("den", F.col("dx") * F.col("ey") - F.col("dy") * F.col("ex"))
     t = F.try_divide(F.col("ax") * F.col("ey") - F.col("ay") * F.col("ex"), F.col("den"))
-    s = F.try_divide(F.col("ax") * F.col("dy") - F.col("ay") * F.col("dx"), F.col("den"))
-    hit = (t >= 0) & (s >= 0) & (s <= 1)
+    # An edge is met if its ends lie on different sides of the ray, or on it: a ray through a vertex meets an edge for certain.
+    side = lambda p: F.col(f"{p}x") * F.col("dy") - F.col(f"{p}y") * F.col("dx")
+    hit = (t >= 0) & (side("a") * side("b") <= 0)
     return e.groupBy(key).agg(F.least(F.lit(reach), F.coalesce(F.min(F.when(hit, t)), F.lit(reach))).alias("fetch_m"))
 
 
@@ -121,67 +167,116 @@ def points_in_rings(points: DataFrame, rings: DataFrame, tile: float = 0.25) ->
     return points.select("query_id").join(hits, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"), F.when(F.col("hits") == 1, F.col("entry_id")).alias("entry_id"))
 
 
+def _near_pairs(points: DataFrame, others: DataFrame, km: float, lat: str, lon: str) -> DataFrame:
+    """Pairs of ``points`` (lat, lon) and ``others`` (columns ``lat`` and ``lon``) that may be within ``km``, met in tiles and their neighbours.
+
+    Tiles are bands of that height, as wide as it takes at the band's edge nearest to a pole.
+    """
+    size = km / (M / 1000)
+    band = lambda y: F.floor(y / size)
+    # Of a band and the next toward the pole the cosine is least at the far edge; none is taken below a hundredth.
+    width = lambda b: size / F.greatest(F.lit(0.01), F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs(b), F.abs(b + 1)) * size + size))))
+    held = others.withColumn("ty", band(F.col(lat))).withColumn("tx", F.floor(F.col(lon) / width(F.col("ty"))))
+    around = points.withColumn("ty", F.explode(F.sequence(band(F.col("lat")) - 1, band(F.col("lat")) + 1)))
+    tile = F.floor(F.col("lon") / width(F.col("ty")))
+    return around.withColumn("tx", F.explode(F.sequence(tile - 1, tile + 1))).join(held, ["ty", "tx"]).drop("ty", "tx")
+
+
 def nearest_vertex(points: DataFrame, lines: DataFrame, km: float = 8.0) -> DataFrame:
-    """Points with the line (entry_id, line) that has the nearest vertex, none beyond ``km``; met in tiles of that size and their neighbours."""
-    size = km / 111.32
+    """Points with the line (entry_id, line) that has the nearest vertex, none beyond ``km``."""
     v = lines.select("entry_id", F.explode("line").alias("p")).select("entry_id", F.col("p.lat").alias("vlat"), F.col("p.lon").alias("vlon"))
-    v = v.withColumn("ty", F.floor(F.col("vlat") / size)).withColumn("tx", F.floor(F.col("vlon") / (2 * size)))
-    near = points.withColumn("ty", F.explode(F.sequence(F.floor(F.col("lat") / size) - 1, F.floor(F.col("lat") / size) + 1))).withColumn("tx", F.explode(F.sequence(F.floor(F.col("lon") / (2 * size)) - 1, F.floor(F.col("lon") / (2 * size)) + 1)))
-    met = near.join(v, ["ty", "tx"]).withColumn("km", C.flat_distance_m(F.col("lat"), F.col("lon"), F.col("vlat"), F.col("vlon")) / 1000).where(F.col("km") <= km)
+    met = _near_pairs(points, v, km, "vlat", "vlon").withColumn("km", C.flat_distance_m(F.col("lat"), F.col("lon"), F.col("vlat"), F.col("vlon")) / 1000).where(F.col("km") <= km)
     return met.groupBy("query_id").agg(F.min_by("entry_id", F.struct("km", "entry_id")).alias("entry_id"), F.min("km").alias("km"))
 
 
+def points_near(points: DataFrame, others: DataFrame, metres: float = 20.0) -> DataFrame:
+    """Pairs (query_id, entry_id, metres) of ``points`` (query_id, lat, lon) and ``others`` (entry_id, lat, lon) no further apart than that."""
+    held = others.select("entry_id", F.col("lat").alias("elat"), F.col("lon").alias("elon"))
+    met = _near_pairs(points.select("query_id", "lat", "lon"), held, metres / 1000, "elat", "elon")
+    return met.select("query_id", "entry_id", C.flat_distance_m(F.col("lat"), F.col("lon"), F.col("elat"), F.col("elon")).alias("metres")).where(F.col("metres") <= metres)
+
+
+def _walked(line: str) -> Column:
+    """Metres from the line's first point to each of its points."""
+    step = lambda i: C.flat_distance_m(F.get(line, i - 1)["lat"], F.get(line, i - 1)["lon"], F.get(line, i)["lat"], F.get(line, i)["lon"])
+    return F.when(F.size(line) >= 2, F.aggregate(F.sequence(F.lit(1), F.size(line) - 1), F.array(F.lit(0.0)), lambda acc, i: F.concat(acc, F.array(F.element_at(acc, -1) + step(i))))).otherwise(F.array(F.lit(0.0)))
+
+
+def _point_at(line: str, walked: str, metres: Column) -> Column:
+    """The point so far along a line."""
+    i = F.greatest(F.lit(1), F.least(F.size(line) - 1, F.size(F.filter(walked, lambda c: c < metres))))
+    a, b, c0, c1 = F.get(line, i - 1), F.get(line, i), F.get(walked, i - 1), F.get(walked, i)
+    f = F.when(c1 > c0, (metres - c0) / (c1 - c0)).otherwise(0.0)
+    return F.struct((a["lat"] + (b["lat"] - a["lat"]) * f).alias("lat"), (a["lon"] + (b["lon"] - a["lon"]) * f).alias("lon"))
+
+
+def shore_segments(rings: DataFrame, piece_m: float = 25.0, key: str = "site_id") -> DataFrame:
+    """The bank cut into equal pieces of about ``piece_m``: key, index, length_m, lat, lon (the middle between its ends), normal_deg.
+
+    ``normal_deg`` is the bearing that points out of the water: to the right of a ring that runs against the clock.
+    """
+    rows = rings.withColumn("walked", _walked("ring")).withColumn("total", F.element_at("walked", -1)).where("total > 0")
+    turn = F.aggregate(F.sequence(F.lit(1), F.size("ring") - 1), F.lit(0.0), lambda s, i: s + F.get("ring", i - 1)["lon"] * F.get("ring", i)["lat"] - F.get("ring", i)["lon"] * F.get("ring", i - 1)["lat"])
+    rows = rows.withColumn("side", F.when(turn > 0, 90.0).otherwise(-90.0)).withColumn("n", F.greatest(F.lit(1), F.bround(F.col("total") / piece_m).cast("int")))
+    rows = rows.withColumn("index", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("length_m", F.col("total") / F.col("n"))
+    rows = rows.withColumn("a", _point_at("ring", "walked", F.col("index") * F.col("length_m"))).withColumn("b", _point_at("ring", "walked", (F.col("index") + 1) * F.col("length_m")))
+    return rows.select(key, "index", "length_m", ((F.col("a.lat") + F.col("b.lat")) / 2).alias("lat"), ((F.col("a.lon") + F.col("b.lon")) / 2).alias("lon"), F.pmod(_bearing(F.col("a"), F.col("b")) + F.col("side"), F.lit(360.0)).alias("normal_deg"))
+
+
+def _bearing(a: Column, b: Column) -> Column:
+    mid = F.radians((a["lat"] + b["lat"]) / 2)
+    return F.pmod(F.degrees(F.atan2((b["lon"] - a["lon"]) * M * F.cos(mid), (b["lat"] - a["lat"]) * M)), F.lit(360.0))
+
+
 def cut_sections(lines: DataFrame, target: int = 40, lo: float = 250.0, hi: float = 2500.0, step: float = 50.0, cap: int = 120, tail: float = 0.35, key: str = "site_id") -> DataFrame:
     """Lines (key, line: lat/lon structs) cut at exact distances into about ``target`` stretches of ``lo`` to ``hi`` metres.
 
     A rest under ``tail`` of a stretch joins the one before it on the same line.  Lines stay apart.  One row
     a stretch: index, start_m, length_m, points (the cut points interpolated).
     """
-    seg = lines.withColumn("cum", F.aggregate(F.sequence(F.lit(1), F.size("line") - 1), F.array(F.lit(0.0)), lambda acc, i: F.concat(acc, F.array(F.element_at(acc, -1) + C.flat_distance_m(F.get("line", i - 1)["lat"], F.get("line", i - 1)["lon"], F.get("line", i)["lat"], F.get("line", i)["lon"])))))
-    seg = seg.where(F.size("line") >= 2).withColumn("total", F.element_at("cum", -1)).where("total > 0")
+    seg = lines.where(F.size("line") >= 2).withColumn("cum", _walked("line")).withColumn("total", F.element_at("cum", -1)).where("total > 0")
     size = F.greatest(F.lit(lo), F.least(F.lit(hi), F.bround(F.col("total") / target / step) * step), F.ceil(F.col("total") / cap))
     seg = seg.withColumn("size", size).withColumn("whole", F.floor(F.col("total") / F.col("size")))
     rest = F.col("total") - F.col("whole") * F.col("size")
     seg = seg.withColumn("n", F.greatest(F.lit(1), F.col("whole") + F.when(rest >= tail * F.col("size"), 1).otherwise(0)))
     out = seg.withColumn("index", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).withColumn("start_m", F.col("index") * F.col("size")).withColumn("end_m", F.when(F.col("index") == F.col("n") - 1, F.col("total")).otherwise((F.col("index") + 1) * F.col("size")))
 
-    def at(d: Column) -> Column:
-        i = F.greatest(F.lit(1), F.least(F.size("line") - 1, F.size(F.filter("cum", lambda c: c < d))))
-        a, b, c0, c1 = F.get("line", i - 1), F.get("line", i), F.get("cum", i - 1), F.get("cum", i)
-        f = F.when(c1 > c0, (d - c0) / (c1 - c0)).otherwise(0.0)
-        return F.struct((a["lat"] + (b["lat"] - a["lat"]) * f).alias("lat"), (a["lon"] + (b["lon"] - a["lon"]) * f).alias("lon"))
-
+    at = lambda d: _point_at("line", "cum", d)
     inner = F.transform(F.filter(F.arrays_zip(F.col("line").alias("p"), F.col("cum").alias("c")), lambda x: (x["c"] > F.col("start_m")) & (x["c"] < F.col("end_m"))), lambda x: F.struct(x["p"]["lat"].alias("lat"), x["p"]["lon"].alias("lon")))
     return out.select(key, "index", "start_m", (F.col("end_m") - F.col("start_m")).alias("length_m"), F.concat(F.array(at(F.col("start_m"))), inner, F.array(at(F.col("end_m")))).alias("points"))
 
 
 def section_shape(sections: DataFrame) -> DataFrame:
-    """Bearing end to end, bend index (sinuosity less one, 0..1) and midpoint by distance."""
+    """Bearing end to end, bend index (sinuosity less one, 0..1) and the point halfway along, of a section without length its middle vertex."""
     a, b = F.element_at("points", 1), F.element_at("points", -1)
-    mid = F.radians((a["lat"] + b["lat"]) / 2)
-    bearing = F.pmod(F.degrees(F.atan2((b["lon"] - a["lon"]) * M * F.cos(mid), (b["lat"] - a["lat"]) * M)), F.lit(360.0))
     straight = C.flat_distance_m(a["lat"], a["lon"], b["lat"], b["lon"])
     bend = F.when((straight > 0) & (F.col("length_m") > 0), C.clamp(F.col("length_m") / straight - 1, 0, 1)).otherwise(0.0)
-    return sections.withColumn("bearing_deg", bearing).withColumn("bend_index", bend).withColumn("mid", F.get("points", (F.size("points") / 2).cast("int")))
+    rows = sections.withColumn("bearing_deg", _bearing(a, b)).withColumn("bend_index", bend).withColumn("walked", _walked("points"))
+    half = F.element_at("walked", -1) / 2
+    middle = F.get("points", (F.size("points") / 2).cast("int"))
+    return rows.withColumn("mid", F.when(half > 0, _point_at("points", "walked", half)).otherwise(F.struct(middle["lat"].alias("lat"), middle["lon"].alias("lon")))).drop("walked")
 
 
 def stitch(fragments: DataFrame, key: str = "relation_id") -> DataFrame:
-    """Way fragments (key, way_id, points) joined end to end into closed rings, turned round where needed; the unjoinable are dropped.
+    """Way fragments (key, way_id, points) joined at either end into closed rings, turned round where needed; the unjoinable are dropped.
 
     The order of joining decides, so one relation's fragments are taken together: as many as a map relation has ways.
     """
 
     def join(group: pd.DataFrame) -> pd.DataFrame:
-        left = [[(p["lat"], p["lon"]) for p in x] for x in group.sort_values("way_id")["points"]]
+        left = [x for x in ([(p["lat"], p["lon"]) for p in x] for x in group.sort_values("way_id")["points"]) if len(x) >= 2]
         rings = []
         while left:
             cur = left.pop(0)
             while cur[0] != cur[-1]:
-                at = next((i for i, x in enumerate(left) if cur[-1] in (x[0], x[-1])), None)
+                at = next((i for i, x in enumerate(left) if {x[0], x[-1]} & {cur[0], cur[-1]}), None)
                 if at is None:
                     break
                 nxt = left.pop(at)
-                cur = cur + (nxt if nxt[0] == cur[-1] else nxt[::-1])[1:]
+                if cur[-1] in (nxt[0], nxt[-1]):
+                    cur = cur + (nxt if nxt[0] == cur[-1] else nxt[::-1])[1:]
+                else:
+                    cur = (nxt if nxt[-1] == cur[0] else nxt[::-1])[:-1] + cur
             if len(cur) >= 4 and cur[0] == cur[-1]:
                 rings.append(cur)
         rows = [(group[key].iloc[0], i, len(r), [b for _, b in r], [a for a, _ in r]) for i, r in enumerate(rings)]

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,35 +37,39 @@ def water_band(anchors: DataFrame, readings: DataFrame, depth_m: float = P.WATER
     """Median, lowest and highest of 27 models, cut to the envelope.
 
     The members differ in coefficients alone: each window is gathered once and all members step through
-    it as one vector.  A window holds ``hours`` + 1 rows at most, whatever the length of the history.
+    all windows of a batch as one array.  A window holds ``hours`` + 1 rows at most, whatever the length of the history.
     """
     near = W.lookback(anchors, readings.where("temp_c is not null").select(key, "ts", "temp_c", "shortwave", "dewpoint_c", "wind_ms"), p["hours"], key)
     windows = near.groupBy(key, "at").agg(F.array_sort(F.collect_list(F.struct("ts", "temp_c", "shortwave", "dewpoint_c", "wind_ms"))).alias("s"))
     tau_f, sun_f, loss_f = (np.array(x) for x in zip(*[(a, b, c) for a in e["tau"] for b in e["sun"] for c in e["evaporation"]], strict=True))
     tau = p["tau_days_per_m"] * max(0.3, depth_m) * 24 * tau_f
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out = []
-            for site, at, s in zip(batch[key], batch["at"], batch["s"], strict=True):
-                if len(s) < 2 or min(1.0, len(s) / p["hours"]) < p["min_coverage"]:
-                    continue
-                air = [x["temp_c"] for x in s]
-                water, before = np.full(len(tau), sum(air) / len(air)), None
-                for x in s:
-                    eq = x["temp_c"] * p["air_weight"] + np.zeros(len(tau))
-                    if x["shortwave"] is not None:
-                        eq = eq + p["sun_gain"] * sun_f * x["shortwave"] / 1000
-                    if x["dewpoint_c"] is not None:
-                        eq = eq - p["evaporation"] * loss_f * max(0.0, x["temp_c"] - x["dewpoint_c"]) * min(p["wind_cap"], 1 + (x["wind_ms"] or 0.0) / p["wind_ref"])
-                    step = 1.0 if before is None else (x["ts"] - before) / P.HOUR
-                    water = water + (eq - water) * (np.clip(step, 0, tau) / tau)
-                    before = x["ts"]
-                runs = np.sort(np.clip(water + offset_c, min(air) - p["below_min"], max(air) + p["above_max"]))
-                out.append((site, at, float(runs[len(runs) // 2]), float(runs[0]), float(runs[-1])))
-            yield pd.DataFrame(out, columns=[key, "at", "central", "low", "high"])
-
-    found = windows.mapInPandas(run, f"{key} long, at long, central double, low double, high double")
+            held = batch.column(2)
+            begins, fields = held.offsets.to_numpy(), held.values.flatten()
+            size = np.diff(begins)
+            grid = np.full((5, len(size), max(1, int(size.max(initial=1)))), np.nan)
+            at = np.repeat(np.arange(len(size)), size), np.arange(int(size.sum())) - np.repeat(begins[:-1] - begins[0], size)
+            for k, column in enumerate(fields):
+                grid[k][at] = column.slice(begins[0], int(size.sum())).cast(pa.float64()).to_numpy(zero_copy_only=False)
+            ts, air, sun, dew, wind = grid
+            gain = p["sun_gain"] * np.nan_to_num(sun) / 1000
+            loss = np.where(np.isnan(dew), 0.0, p["evaporation"] * np.maximum(0.0, air - dew) * np.minimum(p["wind_cap"], 1 + np.nan_to_num(wind) / p["wind_ref"]))
+            hours = np.concatenate((np.ones((len(size), 1)), np.diff(ts, axis=1) / P.HOUR), axis=1)
+            whole = (size >= 2) & (np.minimum(1.0, size / p["hours"]) >= p["min_coverage"])
+            water = np.repeat(np.nansum(air, axis=1)[:, None] / np.maximum(size, 1)[:, None], len(tau), axis=1)
+            for j in range(grid.shape[2]):  # an hour of all windows and members at once
+                on = np.flatnonzero(size > j)
+                eq = air[on, j, None] * p["air_weight"] + gain[on, j, None] * sun_f - loss[on, j, None] * loss_f
+                water[on] += (eq - water[on]) * (np.clip(hours[on, j, None], 0, tau) / tau)
+            low, high = np.nanmin(air, axis=1, initial=np.inf) - p["below_min"], np.nanmax(air, axis=1, initial=-np.inf) + p["above_max"]
+            runs = np.sort(np.clip(water + offset_c, low[:, None], high[:, None]), axis=1)[whole]
+            keys = [batch.column(i).filter(pa.array(whole)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*keys, *(pa.array(runs[:, i]) for i in (runs.shape[1] // 2, 0, -1))], names=[key, "at", "central", "low", "high"])
+
+    rows = windows.select(F.col(key).cast("long").alias(key), F.col("at").cast("long").alias("at"), "s")
+    found = rows.mapInArrow(run, f"{key} long, at long, central double, low double, high double")
     return anchors.join(found, [key, "at"], "left")
 
 
@@ -100,13 +104,18 @@ def replay(anchors: DataFrame, readings: DataFrame, norms: DataFrame, t_opt: flo
     streak = W.stable_streak(W.daily_spans(anchors, readings, key=key), key=key)
     pressure = W.asof_offsets(anchors, readings, "pressure_msl", (0, 24), key)
     wind = W.asof_backward(anchors, readings, "wind_ms", key).select(key, "at", "wind_ms_asof")
-    rows = water.join(calm, [key, "at"]).join(streak, [key, "at"]).join(pressure, [key, "at"]).join(wind, [key, "at"]).join(norms.select(key, "norm"), key, "left")
-    rows = C.with_oxygen(rows, F.col("water_c"), F.col("wind_ms_asof"), F.lit(P.OXYGEN["fetch"])).withColumns({
+    # Each part is dealt by site and instant, a few rows, and so are the joined rows: what runs between is then generated as
+    # a method of its own, else one would hold all parts, joins and factors, which is more than Java compiles.
+    rows, *rest = (part.repartition(key, "at") for part in (water, calm, streak, pressure, wind))
+    for part in rest:
+        rows = rows.join(part, [key, "at"])
+    rows = rows.join(norms.select(key, "norm"), key, "left")
+    rows = C.with_oxygen(rows.repartition(key, "at"), F.col("water_c"), F.col("wind_ms_asof"), F.lit(P.OXYGEN["fetch"])).withColumns({
         "f_pressure": C.pressure_comfort(F.col("v_0"), F.col("norm")), "approach": C.pressure_approach(F.col("v_0"), F.col("norm"), F.col("v_24")),
         "f_oxygen": C.oxygen_term(F.col("oxygen")), "f_temp": C.temperature_term(F.col("water_c"), F.lit(t_opt)),
         "phase": C.phase_from_water(F.col("water_c"), F.col("trend_24h"), F.lit(t_opt)),
     })
-    return assess(rows)
+    return assess(rows.repartition(key, "at"))
 
 
 def sun_times(rows: DataFrame, day: str = "day") -> DataFrame:

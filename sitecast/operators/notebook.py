@@ -121,8 +121,9 @@ def limiter(attempts: DataFrame, limits: Sequence[tuple] = LIMITS) -> DataFrame:
     nothing.  The self-join meets within time buckets of the window's width.
     """
     after = Window.partitionBy("email").orderBy("ts", "attempt_id").rowsBetween(1, Window.unboundedFollowing)
-    cleared = attempts.withColumn("cleared", F.when(F.col("email").isNotNull(), F.min(F.when(F.col("ok"), F.col("ts"))).over(after)))
-    failures = cleared.where("not ok")
+    # Attempts without an email are kept out of the window: they are one key, and nothing clears them.
+    cleared = attempts.where("email is not null").withColumn("cleared", F.min(F.when(F.col("ok"), F.col("ts"))).over(after))
+    failures = cleared.unionByName(attempts.where("email is null").withColumn("cleared", F.lit(None).cast("long"))).where("not ok")
     out = failures.select("attempt_id", "email", "ip", "ts")
     for name, keys, most, width in limits:
         keyed = failures.dropna(subset=list(keys)).select("attempt_id", *keys, "ts", "cleared")

@@ -165,21 +165,71 @@ def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
 
 
+#: Letters by how rarely names hold them, rare ones first; others come before all.
+RARE_FIRST = "qxvfjhguybldspmctkwzrnoeia 0123456789"
+
+
+def _letters(key: Column) -> Column:
+    """The key's characters as elements of a set, each with its number among equal ones, rare ones first."""
+    chars = F.filter(F.split(key, ""), lambda c: c != "")
+    numbered = F.transform(chars, lambda c, i: F.struct(F.instr(F.lit(RARE_FIRST), c).alias("rank"), c.alias("c"), F.size(F.filter(F.slice(chars, 1, i + 1), lambda x: x == c)).alias("n")))
+    return F.transform(F.array_sort(numbered), lambda e: F.concat(e["c"], e["n"].cast("string")))
+
+
+def _alike_in_letters(asked: DataFrame, listed: DataFrame, cut: float) -> DataFrame:
+    """Pairs (q, key) whose letters allow a similarity of ``cut``; asked has q, listed has key.
+
+    The ratio of matching blocks is at most twice the common letters over both lengths.  With lengths a
+    and b it takes cut * (a + b) / 2 common ones, of which there are a * cut / (2 - cut) at least, so pairs
+    share one of the first a - that + 1 of each side's letters in an order that holds for both.
+    """
+    least = cut / (2 - cut)
+    first = lambda df, c: df.withColumn("e", F.explode(F.slice(_letters(F.col(c)), F.lit(1), F.length(c) - F.ceil(F.length(c) * least - 1e-9).cast("int") + 1)))
+    met = first(asked, "q").join(first(listed, "key"), "e").where(F.least(F.length("q"), F.length("key")) >= least * F.greatest(F.length("q"), F.length("key")) - 1e-9)
+    return met.select("q", "key").distinct()
+
+
 def suggest(queries: DataFrame, registry: DataFrame, k: int = 5, cut: float = 0.62, bonus: float = 0.15) -> DataFrame:
-    """The ``k`` entries closest in spelling, distinct by key, best first.
+    """The ``k`` entries closest in spelling, distinct by key, best first; queries (query_id, key) of three letters at least.
 
-    Pairs meet on a shared character, which a ratio over the cut needs, once each; the ratio can't exceed
-    what the lengths allow, so pairs out of reach are dropped before it is worked out.
+    Keys that begin alike with four letters gain ``bonus``.  They meet on these letters, other pairs on
+    letters that a ratio over the cut needs them to share; the ratio is worked out once for distinct keys.
     """
-    asked = queries.where(F.length("key") >= 3).select("query_id", F.col("key").alias("q")).distinct()
-    listed = registry.groupBy("key").agg(F.min("name").alias("name"))
-    letters = lambda c: F.array_distinct(F.filter(F.split(c, ""), lambda x: (x != "") & (x != " ")))
-    pairs = asked.withColumn("c", F.explode(letters(F.col("q")))).join(listed.withColumn("c", F.explode(letters(F.col("key")))), "c").select("query_id", "q", "key", "name").distinct()
-    gain = F.when(F.col("key").startswith(F.left("q", F.lit(4))) | F.col("q").startswith(F.left("key", F.lit(4))), bonus).otherwise(0.0)
+    asked = queries.where(F.length("key") >= 3).select("query_id", F.col("key").alias("q"))
+    words, listed = asked.select("q").distinct(), registry.where("key <> ''").groupBy("key").agg(F.min("name").alias("name"))
+    head = lambda c, n: F.left(c, F.lit(n))
+    gain = F.when(F.col("key").startswith(head(F.col("q"), 4)) | F.col("q").startswith(head(F.col("key"), 4)), bonus).otherwise(0.0)
+    # Keys of fewer than four letters are the whole of what must begin alike: they meet on each of their first letters' counts.
+    begins = None
+    for n in (1, 2, 3, 4):
+        short = lambda c, n=n: F.length(c) == n if n < 4 else F.length(c) >= 4
+        for x, y in ((words.where(short("q")), listed), (words, listed.where(short("key")))):
+            met = x.withColumn("h", head(F.col("q"), n)).join(y.select("key", head(F.col("key"), n).alias("h")), "h").select("q", "key")
+            begins = met if begins is None else begins.unionByName(met)
+    pairs = begins.unionByName(_alike_in_letters(words, listed.select("key"), cut)).distinct()
     bound = 2 * F.least(F.length("q"), F.length("key")) / (F.length("q") + F.length("key"))
     scored = pairs.withColumn("gain", gain).where(bound + F.col("gain") >= cut).withColumn("ratio", similarity("q", "key") + F.col("gain")).where(F.col("ratio") >= cut)
+    found = asked.join(scored, "q").join(listed, "key")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("ratio"), "name", "key"))
-    return scored.withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", "key", "name", "ratio")
+    return found.withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", "key", "name", "ratio")
+
+
+def districts(queries: DataFrame, registry: DataFrame, k: int = 8, cut: float = 0.62, front: float = 0.35, within: float = 0.2) -> DataFrame:
+    """The ``k`` districts that fit what was typed, best first; registry: entry_id, name, key, lat, line.
+
+    Only districts with a position or a line count, and each is an answer of its own, also where keys are
+    equal.  A key that begins with the query gains ``front``, one that holds it elsewhere ``within``.
+    """
+    asked = queries.where(F.length("key") >= 3).select("query_id", F.col("key").alias("q"))
+    placed = registry.where(T.is_district(F.col("name")) & (F.col("lat").isNotNull() | (F.size("line") > 0))).select("entry_id", "name", "key")
+    words, listed = asked.select("q").distinct(), placed.select("key").distinct()
+    # A key that holds the query holds its rarest letter, with its number or a higher one of the same letter, so also that number.
+    holding = words.withColumn("e", F.get(_letters(F.col("q")), F.lit(0))).join(listed.withColumn("e", F.explode(_letters(F.col("key")))), "e").where(F.col("key").contains(F.col("q"))).select("q", "key")
+    pairs = holding.unionByName(_alike_in_letters(words, listed, cut)).distinct()
+    gain = F.when(F.col("key").startswith(F.col("q")), front).when(F.col("key").contains(F.col("q")), within).otherwise(0.0)
+    scored = pairs.withColumn("ratio", similarity("q", "key") + gain).where(F.col("ratio") >= cut)
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("ratio"), "name", "entry_id"))
+    return asked.join(scored, "q").join(placed, "key").withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", "entry_id", "key", "name", "ratio")
 
 
 def sync_reference(source: DataFrame, target: DataFrame, columns: Sequence[str], key: str = "slug") -> DataFrame:

@@ -89,17 +89,25 @@ def cells(spark, sf_dir, scale: float = 3.0):
     return G.grid(base), base
 
 
-@query()
+CELLED = """bx AS (SELECT v.site_id, min(vlat) AS y0, max(vlat) AS y1, min(vlon) AS x0, max(vlon) AS x1, greatest(5.0, least(150.0, round_even(sqrt(max(v.area_ha) * 10000 / 5000), 0))) * 3 AS cell_m FROM v GROUP BY 1),
+  dm AS (SELECT *, cell_m / 111320 AS dy, cell_m / (111320 * cos(radians((y0 + y1) / 2))) AS dx FROM bx), cd AS (SELECT site_id, r.r AS "row", c.c AS col, y0 + (r.r + 0.5::double) * dy AS lat, x0 + (c.c + 0.5::double) * dx AS lon FROM dm JOIN range(0, 100) r(r) ON r.r < greatest(1, ceil((y1 - y0) / dy)) JOIN range(0, 100) c(c) ON c.c < greatest(1, ceil((x1 - x0) / dx))),
+  ed AS (SELECT site_id, vlat, vlon, lead(vlat) OVER w AS nlat, lead(vlon) OVER w AS nlon FROM v WINDOW w AS (PARTITION BY site_id ORDER BY deg)), eg AS (SELECT * FROM ed WHERE nlat IS NOT NULL),
+  ce AS (SELECT cd.site_id, cd."row", col, any_value(lat) AS lat, any_value(lon) AS lon FROM cd JOIN eg ON cd.site_id = eg.site_id GROUP BY 1, 2, 3 HAVING count(*) FILTER ((vlat > lat) <> (nlat > lat) AND lon < (nlon - vlon) * (lat - vlat) / (nlat - vlat) + vlon) % 2 = 1)"""
+MEASURED = f"""{CELLED}, q0 AS (SELECT ce.*, (vlon - lon) * 111320 * cos(radians(lat)) AS ax, (vlat - lat) * 111320 AS ay, (nlon - lon) * 111320 * cos(radians(lat)) AS bx, (nlat - lat) * 111320 AS "by", sin(radians(225.0)) AS dx, cos(radians(225.0)) AS dy, lon - vlon AS wx, lat - vlat AS wy, nlon - vlon AS ex, nlat - vlat AS ey FROM ce JOIN eg ON ce.site_id = eg.site_id),
+  q1 AS (SELECT *, greatest(0.0, least(1.0, (wx * ex + wy * ey) / (ex * ex + ey * ey))) AS u, dx * ("by" - ay) - dy * (bx - ax) AS den FROM q0), q2 AS (SELECT site_id, "row", col, sqrt(pow(wx - u * ex, 2) + pow(wy - u * ey, 2)) * 111320 AS shore, CASE WHEN den <> 0 AND (ax * dy - ay * dx) * (bx * dy - "by" * dx) <= 0 THEN (ax * ("by" - ay) - ay * (bx - ax)) / den END AS t FROM q1)"""
+
+
+@query(f'WITH {SITES}, {RINGS}, {CELLED} SELECT site_id, "row", col, round(lat, 6) AS lat, round(lon, 6) AS lon FROM ce')
 def geo9_grid_cells(spark, sf_dir):
     return cells(spark, sf_dir)[0].select("site_id", F.col("row").cast("long").alias("row"), F.col("col").cast("long").alias("col"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"))
 
 
 def measured(spark, sf_dir, winds=(225.0,)):
-    grid, base = cells(spark, sf_dir)
-    return G.geometry(grid, base, list(winds)).join(base.select("site_id", "wind", "water_type").withColumnRenamed("wind", "site_wind"), "site_id")
+    base = cells(spark, sf_dir)[1]
+    return G.geometry(base, list(winds)).join(base.select("site_id", "wind", "water_type").withColumnRenamed("wind", "site_wind"), "site_id")
 
 
-@query()
+@query(f'WITH {SITES}, {RINGS}, {MEASURED} SELECT site_id, "row", col, round(least(500.0, coalesce(min(t) FILTER (t >= 0), 500.0)), 2) AS fetch_m, round(min(shore), 2) AS shore_m FROM q2 GROUP BY 1, 2, 3')
 def geo10_fetch_and_shore(spark, sf_dir):
     return measured(spark, sf_dir).select("site_id", "row", "col", F.round("fetch_m", 2).alias("fetch_m"), F.round("shore_m", 2).alias("shore_m"))
 
@@ -133,7 +141,18 @@ def geo13_cut_sections(spark, sf_dir):
     return sections(spark, sf_dir).groupBy("site_id").agg(F.count("*").alias("n_sections"), F.round(F.sum("length_m"), 2).alias("total_m"))
 
 
-@query()
+FLAT = "sqrt(pow(({a}y - {b}y) * 111320, 2) + pow(({a}x - {b}x) * 111320 * cos(radians(({a}y + {b}y) / 2)), 2))"
+SHAPED = f"""{LINES}, wk AS (SELECT lv.*, coalesce(sum(d) OVER (PARTITION BY site_id ORDER BY i), 0) AS c FROM (SELECT site_id, i, y, x, {FLAT.format(a="", b="p")} AS d FROM (SELECT *, lag(y) OVER w AS py, lag(x) OVER w AS px FROM lv WINDOW w AS (PARTITION BY site_id ORDER BY i))) lv),
+  t2 AS (SELECT site_id, max(c) AS total FROM wk GROUP BY 1), z2 AS (SELECT *, greatest(250.0, least(2500.0, round_even(total / 40 / 50, 0) * 50), ceil(total / 120)) AS size FROM t2), n2 AS (SELECT *, greatest(1, floor(total / size) + CASE WHEN total - floor(total / size) * size >= 0.35 * size THEN 1 ELSE 0 END) AS n FROM z2),
+  sc AS (SELECT site_id, k.k AS idx, k.k * size AS d0, CASE WHEN k.k = n - 1 THEN total ELSE (k.k + 1) * size END AS d1 FROM n2 JOIN range(0, 200) k(k) ON k.k < n), sg AS (SELECT site_id, lag(c) OVER w AS c0, c AS c1, lag(y) OVER w AS y0, y AS y1, lag(x) OVER w AS x0, x AS x1 FROM wk WINDOW w AS (PARTITION BY site_id ORDER BY i)),
+  cut AS (SELECT sc.site_id, idx, d0 AS d FROM sc UNION ALL SELECT site_id, idx, d1 FROM sc), pt AS (SELECT cut.site_id, idx, d, y0 + (y1 - y0) * (d - c0) / (c1 - c0) AS y, x0 + (x1 - x0) * (d - c0) / (c1 - c0) AS x FROM cut JOIN sg ON cut.site_id = sg.site_id AND ((d > c0 AND d <= c1) OR (d = 0 AND c0 = 0)) UNION ALL SELECT sc.site_id, idx, c, y, x FROM sc JOIN wk ON sc.site_id = wk.site_id AND c > d0 AND c < d1),
+  st AS (SELECT *, {FLAT.format(a="", b="p")} AS step FROM (SELECT *, lag(y) OVER w AS py, lag(x) OVER w AS px FROM pt WINDOW w AS (PARTITION BY site_id, idx ORDER BY d))), cw AS (SELECT *, coalesce(sum(step) OVER (PARTITION BY site_id, idx ORDER BY d), 0) AS w1, coalesce(step, 0) AS s1 FROM st), hf AS (SELECT site_id, idx, max(w1) / 2 AS half, arg_min(y, d) AS fy, arg_min(x, d) AS fx, arg_max(y, d) AS ly, arg_max(x, d) AS lx FROM cw GROUP BY 1, 2),
+  md AS (SELECT cw.site_id, cw.idx, py + (y - py) * (half - (w1 - s1)) / s1 AS mid_lat FROM cw JOIN hf ON cw.site_id = hf.site_id AND cw.idx = hf.idx AND w1 >= half AND w1 - s1 < half),
+  sh AS (SELECT sc.site_id, sc.idx, mid_lat, d1 - d0 AS length_m, degrees(atan2((lx - fx) * 111320 * cos(radians((fy + ly) / 2)), (ly - fy) * 111320)) AS deg, greatest(0.0, least(1.0, (d1 - d0) / {FLAT.format(a="l", b="f")} - 1)) AS bend FROM sc JOIN hf ON sc.site_id = hf.site_id AND sc.idx = hf.idx JOIN md ON sc.site_id = md.site_id AND sc.idx = md.idx), sx AS (SELECT *, CASE WHEN deg < 0 THEN deg + 360 ELSE deg END AS bearing FROM sh)"""
+RIVER = f"{SHAPED}, rv AS (SELECT sx.site_id, idx, bearing, bend, mid_lat, length_m, round(0.6 * bend + 0.4 * abs(sin(radians(coalesce(CASE WHEN {{calm}} THEN NULL ELSE wind END, bearing) - bearing))), 6) AS raw FROM sx JOIN s USING (site_id))"
+
+
+@query(f'WITH {SHAPED} SELECT site_id, idx AS "index", round(bearing, 3) AS bearing_deg, round(bend, 4) AS bend_index, round(mid_lat, 5) AS mid_lat FROM sx')
 def geo14_section_shape(spark, sf_dir):
     return sections(spark, sf_dir).select("site_id", F.col("index").cast("long").alias("index"), F.round("bearing_deg", 3).alias("bearing_deg"), F.round("bend_index", 4).alias("bend_index"), F.round("mid.lat", 5).alias("mid_lat"))
 
@@ -154,14 +173,38 @@ def geo16_thin_and_centre(spark, sf_dir):
     return rings(spark, sf_dir).select("site_id", F.size(G.thin(F.col("ring"), 9)).alias("kept"), mean("lat"), mean("lon"))
 
 
-@query()
+@query(f"""{BASE}, x0 AS (SELECT v.site_id, deg, k.k AS k, (vlon - v.lon) * 111320 * cos(radians(v.lat)) AS ax, (vlat - v.lat) * 111320 AS ay, sin(radians(k.k * 22.5::double)) AS dx, cos(radians(k.k * 22.5::double)) AS dy FROM v CROSS JOIN range(0, 16) k(k)), x1 AS (SELECT *, lead(ax) OVER w AS bx, lead(ay) OVER w AS "by" FROM x0 WINDOW w AS (PARTITION BY site_id, k ORDER BY deg)), x2 AS (SELECT *, dx * ("by" - ay) - dy * (bx - ax) AS den FROM x1 WHERE bx IS NOT NULL)
+  SELECT site_id * 16 + k AS point_id, round(least(500.0, coalesce(min((ax * ("by" - ay) - ay * (bx - ax)) / nullif(den, 0)) FILTER ((ax * ("by" - ay) - ay * (bx - ax)) / nullif(den, 0) >= 0 AND (ax * dy - ay * dx) * (bx * dy - "by" * dx) <= 0), 500.0)), 2) AS fetch_m FROM x2 GROUP BY 1""")
 def geo19_sector_fetch(spark, sf_dir):
     rows = rings(spark, sf_dir).withColumn("sector", F.explode(F.sequence(F.lit(0), F.lit(15)))).withColumn("point_id", F.col("site_id") * 16 + F.col("sector"))
     found = G.fetch_edges(rows.select("point_id", "lat", "lon", "ring", (F.col("sector") * 22.5).alias("deg")), F.col("deg"))
     return found.select("point_id", F.round("fetch_m", 2).alias("fetch_m"))
 
 
-@query(f"""WITH {SITES}, q AS (SELECT site_id AS query_id, lat + (site_id % 3) * 0.02 AS lat, lon FROM s), h AS (SELECT query_id, count(*) AS hits, min(s.site_id) AS entry_id FROM q JOIN s ON s.site_id % 2 = 0 AND sqrt(pow((q.lat - s.lat) * 111320, 2) + pow((q.lon - s.lon) * 111320 * cos(radians(s.lat)), 2)) < 1000 GROUP BY 1)
+@query(f"""{BASE}, o AS (SELECT *, coalesce({FLAT.format(a="v", b="p")}, 0) AS d FROM (SELECT site_id, deg, vlat AS vy, vlon AS vx, lag(vlat) OVER w AS py, lag(vlon) OVER w AS px FROM v WINDOW w AS (PARTITION BY site_id ORDER BY deg))), oc AS (SELECT *, sum(d) OVER (PARTITION BY site_id ORDER BY deg) AS c1 FROM o), tl AS (SELECT site_id, max(c1) AS total, greatest(1, round_even(max(c1) / 25, 0)) AS n FROM oc GROUP BY 1),
+  ends AS (SELECT site_id, k.k AS k, n, k.k * (total / n) AS m FROM tl JOIN range(0, 1000) k(k) ON k.k <= n), pt AS (SELECT ends.site_id, k, n, py + (vy - py) * (m - (c1 - d)) / d AS y, px + (vx - px) * (m - (c1 - d)) / d AS x FROM ends JOIN (SELECT *, lag(c1) OVER (PARTITION BY site_id ORDER BY deg) AS c0, max(c1) OVER (PARTITION BY site_id) AS total FROM oc) e ON ends.site_id = e.site_id AND c0 IS NOT NULL AND ((m > c0 AND m <= c1) OR (m = 0 AND c0 = 0) OR (m > total AND c1 = total))),
+  nx AS (SELECT *, lead(y) OVER w AS y2, lead(x) OVER w AS x2 FROM pt WINDOW w AS (PARTITION BY site_id ORDER BY k)) SELECT site_id, k AS "index", round((y + y2) / 2, 6) AS lat, round((x + x2) / 2, 6) AS lon, round((degrees(atan2((x2 - x) * 111320 * cos(radians((y + y2) / 2)), (y2 - y) * 111320)) - 90 + 720) % 360, 2) AS normal_deg FROM nx WHERE y2 IS NOT NULL""")
+def geo19_shore_segments(spark, sf_dir):
+    found = G.shore_segments(rings(spark, sf_dir))
+    return found.select("site_id", F.col("index").cast("long").alias("index"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("normal_deg", 2).alias("normal_deg"))
+
+
+@query(f"""WITH {SITES}, st AS (SELECT n_nationkey AS entry_id, 49 + n_nationkey / 4.0::double AS y, 14 + n_nationkey / 3.0::double AS x FROM nation), d AS (SELECT site_id AS query_id, entry_id, sqrt(pow((y - lat) * 111320, 2) + pow((x - lon) * 111320 * cos(radians((lat + y) / 2)), 2)) / 1000 AS km FROM s CROSS JOIN st) SELECT query_id, arg_min(entry_id, (km, entry_id)) AS entry_id, round(min(km), 4) AS km FROM d WHERE km <= 150 GROUP BY 1""")
+def geo19_nearest_station(spark, sf_dir):
+    stations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("entry_id"), F.array(F.struct((49 + F.col("n_nationkey") / 4).alias("lat"), (14 + F.col("n_nationkey") / 3).alias("lon"))).alias("line"))
+    found = G.nearest_vertex(sites(spark, sf_dir).select(F.col("site_id").alias("query_id"), "lat", "lon"), stations, 150.0)
+    return found.select("query_id", "entry_id", F.round("km", 4).alias("km"))
+
+
+@query(f"""WITH {SITES}, o AS (SELECT o_orderkey AS entry_id, 49 + (o_orderkey % 60) / 10.0::double + (o_orderkey % 7) * 5e-5::double AS y, 14 + (o_orderkey % 90) / 10.0::double AS x FROM orders), d AS (SELECT site_id AS query_id, entry_id, sqrt(pow((y - lat) * 111320, 2) + pow((x - lon) * 111320 * cos(radians((lat + y) / 2)), 2)) AS metres FROM s JOIN o ON abs(y - lat) < 0.001) SELECT query_id, entry_id, round(metres, 3) AS metres FROM d WHERE metres <= 20""")
+def geo19_sessions_near(spark, sf_dir):
+    """Orders as sessions logged at some metres from the sites."""
+    logged = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("entry_id"), (49 + F.col("o_orderkey") % 60 / 10 + F.col("o_orderkey") % 7 * F.lit(5e-5)).alias("lat"), (14 + F.col("o_orderkey") % 90 / 10).alias("lon"))
+    found = G.points_near(sites(spark, sf_dir).select(F.col("site_id").alias("query_id"), "lat", "lon"), logged)
+    return found.select("query_id", "entry_id", F.round("metres", 3).alias("metres"))
+
+
+@query(f"""WITH {SITES}, q AS (SELECT site_id AS query_id, lat + (site_id % 3) * 0.02 AS lat, lon FROM s), h AS (SELECT query_id, count(*) AS hits, min(s.site_id) AS entry_id FROM q JOIN s ON sqrt(pow((q.lat - s.lat) * 111320, 2) + pow((q.lon - s.lon) * 111320 * cos(radians(s.lat)), 2)) < 1000 GROUP BY 1)
   SELECT q.query_id, coalesce(hits, 0) AS hits, CASE WHEN hits = 1 THEN entry_id END AS entry_id FROM q LEFT JOIN h USING (query_id)""")
 def jn7_point_in_polygon(spark, sf_dir):
     s = sites(spark, sf_dir)
@@ -169,7 +212,7 @@ def jn7_point_in_polygon(spark, sf_dir):
     return G.points_in_rings(s.select(F.col("site_id").alias("query_id"), (F.col("lat") + F.col("site_id") % 3 * 0.02).alias("lat"), "lon"), listed)
 
 
-@query(f"""WITH {SITES}, lv AS (SELECT site_id AS entry_id, lat + i.i * 0.01::double AS vlat, lon + 0.03::double AS vlon FROM s CROSS JOIN range(0, 5) i(i) WHERE site_id % 5 = 0), d AS (SELECT s.site_id AS query_id, entry_id, sqrt(pow((vlat - lat) * 111320, 2) + pow((vlon - lon) * 111320 * cos(radians((lat + vlat) / 2)), 2)) / 1000 AS km FROM s JOIN lv ON abs(vlat - lat) < 0.2)
+@query(f"""WITH {SITES}, lv AS (SELECT site_id AS entry_id, lat + i.i * 0.01::double AS vlat, lon + 0.03::double AS vlon FROM s CROSS JOIN range(0, 5) i(i)), d AS (SELECT s.site_id AS query_id, entry_id, sqrt(pow((vlat - lat) * 111320, 2) + pow((vlon - lon) * 111320 * cos(radians((lat + vlat) / 2)), 2)) / 1000 AS km FROM s JOIN lv ON abs(vlat - lat) < 0.2)
   SELECT query_id, arg_min(entry_id, (km, entry_id)) AS entry_id, round(min(km), 4) AS km FROM d WHERE km <= 8 GROUP BY 1""")
 def jn9_nearest_district(spark, sf_dir):
     s = sites(spark, sf_dir)
@@ -253,10 +296,11 @@ def zon4_type_weights(spark, sf_dir):
     return G.type_weights(sites(spark, sf_dir)).select("site_id", "w_food", "w_margin", "w_o2")
 
 
-@query()
+@query("WITH " + RIVER.format(calm="s.site_id % 3 = 0") + """ SELECT site_id, idx AS "index", raw, round(CASE WHEN count(*) OVER w = 1 OR max(raw) OVER w - min(raw) OVER w < 1e-9 THEN 0.5 ELSE (row_number() OVER (PARTITION BY site_id ORDER BY raw, idx) - 1) / (count(*) OVER w - 1)::double END, 4) AS score FROM rv WINDOW w AS (PARTITION BY site_id)""")
 def zon5_river_score(spark, sf_dir):
-    rows = G.river_score(sections(spark, sf_dir).join(sites(spark, sf_dir).select("site_id", F.when(F.col("site_id") % 3 > 0, F.col("wind")).alias("wind_dir")), "site_id"))
-    return rows.select("site_id", F.col("index").cast("long").alias("index"), F.round("raw", 4).alias("raw"), F.round(G.ordinal("raw", "index", ["site_id"]), 4).alias("score"))
+    """Raw scores to six places, so that sections alike but for the last bits rank by their order."""
+    rows = G.river_score(sections(spark, sf_dir).join(sites(spark, sf_dir).select("site_id", F.when(F.col("site_id") % 3 > 0, F.col("wind")).alias("wind_dir")), "site_id")).withColumn("raw", F.round("raw", 6))
+    return rows.select("site_id", F.col("index").cast("long").alias("index"), "raw", F.round(G.ordinal("raw", "index", ["site_id"]), 4).alias("score"))
 
 
 def biased(spark, sf_dir, biases=(-2.0, -1.0, 1.0, 2.0)):
@@ -265,7 +309,8 @@ def biased(spark, sf_dir, biases=(-2.0, -1.0, 1.0, 2.0)):
     return base, G.factor_score(moved, ["site_id", "bias"]).select("site_id", "bias", "row", "col", F.round("raw", 6).alias("raw_b"))
 
 
-@query()
+@query(f"WITH {CELLS}, {factor_sql()}, b0 AS (SELECT site_id, row, col, round(raw, 6) AS raw FROM fs), " + ", ".join(f"m{i} AS (WITH {factor_sql(b)} SELECT site_id, {b}::double AS bias, row, col, round(raw, 6) AS raw_b FROM fs)" for i, b in enumerate(("-2.0", "-1.0", "1.0", "2.0"))) + """, mv AS (SELECT * FROM m0 UNION ALL SELECT * FROM m1 UNION ALL SELECT * FROM m2 UNION ALL SELECT * FROM m3), j AS (SELECT mv.site_id, bias, raw, raw_b, mv.row * 10 + mv.col AS place FROM mv JOIN b0 ON mv.site_id = b0.site_id AND mv.row = b0.row AND mv.col = b0.col),
+  k AS (SELECT site_id, bias, row_number() OVER (PARTITION BY site_id, bias ORDER BY raw, place) - row_number() OVER (PARTITION BY site_id, bias ORDER BY raw_b, place) AS d FROM j) SELECT site_id, bias, count(*) AS n, round(1 - 6 * sum(d * d)::double / (count(*)::double * (count(*)::double * count(*) - 1)), 3) AS rho FROM k GROUP BY 1, 2""")
 def cal2_bias_sensitivity(spark, sf_dir):
     """Rank correlation of every site's map with the same map at 1 and 2 degrees more or less."""
     base, moved = biased(spark, sf_dir)
@@ -291,7 +336,15 @@ def src10_section_features(spark, sf_dir):
     return G.to_features(rows.withColumn("score", F.when(F.col("site_id") % 2 == 0, F.round("raw", 3)))).select("site_id", F.col("index").cast("long").alias("index"), "feature")
 
 
-@query()
+@query("WITH " + RIVER.format(calm="false") + """ SELECT site_id, idx AS "index", 'LineString' AS kind, round(length_m, 1) AS length_m, round(bearing, 1) AS bearing_deg, round(bend, 3) AS bend_index, CASE WHEN site_id % 2 = 0 THEN round(raw, 3) END AS score FROM rv""")
+def src10_feature_fields(spark, sf_dir):
+    """The features of ``src10_section_features`` read back."""
+    shape = "type string, geometry struct<type string, coordinates array<array<double>>>, properties struct<index long, length_m double, bearing_deg double, bend_index double, score double>"
+    f = src10_section_features(spark, sf_dir).select("site_id", F.from_json("feature", shape).alias("f"))
+    return f.where("f.type = 'Feature' and size(f.geometry.coordinates) >= 2").select("site_id", "f.properties.index", F.col("f.geometry.type").alias("kind"), "f.properties.length_m", "f.properties.bearing_deg", "f.properties.bend_index", "f.properties.score")
+
+
+@query(f'WITH {SITES}, {RINGS}, {MEASURED} SELECT site_id, "row", col, round(min(shore), 2) AS shore_m FROM q2 GROUP BY 1, 2, 3')
 def geo11_shore_distance(spark, sf_dir):
     return measured(spark, sf_dir).select("site_id", "row", "col", F.round("shore_m", 2).alias("shore_m"))
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from sitecast import params as P
 from sitecast.functions import rules as R
 from sitecast.operators import weather as W
 from sitecast.plans import notebook_queries as NQ
-from sitecast.plans.fixtures import OBS_SQL, anchors, obs, r6, table
+from sitecast.plans.fixtures import DAY0, OBS_SQL, anchors, obs, r6, table
 from sitecast.plans.weather_queries import BASE, FEATURES, QUERIES as WEATHER
 from sitecast.sources import weather_json as J
 from sitecast.streaming import jobs as S
@@ -83,11 +83,17 @@ def src8_replace_grids(spark, sf_dir):
     return spark.read.parquet(path).select(F.col("site_id").cast("long").alias("site_id"), F.col("for_day").cast("long").alias("for_day"), "cells")
 
 
-def _stream(spark: SparkSession, rows: DataFrame, name: str) -> DataFrame:
-    """Rows as a file stream."""
+def _stream(spark: SparkSession, rows: DataFrame, name: str, chunk: str | None = None) -> DataFrame:
+    """Rows as a file stream; by ``chunk`` (0 to 3) they come in this order, each part in batches of its own."""
     path = scratch(spark, name)
-    rows.write.parquet(path)
-    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4).parquet(path)
+    for part in [rows] if chunk is None else [rows.where(f"{chunk} = {i}").repartition(2) for i in range(4)]:
+        part.write.mode("append").parquet(path)
+    return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 4 if chunk is None else 2).parquet(path)
+
+
+def _week(ts: str = "ts") -> Column:
+    """Quarters of a month of 30 days."""
+    return F.greatest(F.lit(0), F.least(F.lit(3), F.floor((F.col(ts) - DAY0 * P.DAY) / (7.5 * P.DAY)))).cast("int")
 
 
 def _collected(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
@@ -116,6 +122,26 @@ def stm1_upsert_stream(spark, sf_dir):
     return r6(spark.read.parquet(path).select("site_id", "ts", "temp_c"))
 
 
+LAST_WEEK = f"({DAY0} * 86400 + 22.5 * 86400)"
+
+
+@query(f"WITH {OBS_SQL} SELECT site_id, ts, round(temp_c + CASE WHEN ts >= {LAST_WEEK} - 3 * 86400 AND ts < {LAST_WEEK} - 2 * 86400 THEN 1 ELSE 0 END, 6) AS temp_c FROM obs")
+def stm1_late_hours(spark, sf_dir):
+    """Hours in the order of their weeks; with the last come a day of hours two days behind, which count, and days of hours that are too late."""
+    path = scratch(spark, "late-hours")
+    hours = obs(spark, sf_dir).select("site_id", F.col("ts").alias("epoch"), "temp_c", F.lit(1).alias("delivery")).withColumn("week", _week("epoch"))
+    back = (DAY0 + 22.5) * P.DAY - F.col("epoch")
+    again = lambda first, last, more: hours.where((back > last * P.DAY) & (back <= first * P.DAY)).select("site_id", "epoch", (F.col("temp_c") + more).alias("temp_c"), F.lit(2).alias("delivery"), F.lit(3).alias("week"))
+    rows = hours.unionByName(again(3, 2, 1.0)).unionByName(again(18, 16, 2.0)).withColumn("ts", F.timestamp_seconds("epoch")).withColumn("month", F.floor(F.col("epoch") / (7 * P.DAY)))
+    merge = lambda df: df.groupBy("site_id", "epoch", "month").agg(F.max_by("temp_c", "delivery").alias("temp_c"), F.max("delivery").alias("delivery"))
+
+    def write(batch: DataFrame) -> None:
+        J.upsert_months(batch.select("site_id", "epoch", "month", "temp_c", "delivery"), path, merge)
+
+    S.upsert_stream(_stream(spark, rows, "late", "week"), write, scratch(spark, "late-state"), "6 days", ("site_id", "ts", "delivery")).awaitTermination()
+    return r6(spark.read.parquet(path).select("site_id", F.col("epoch").alias("ts"), "temp_c"))
+
+
 @query(f"WITH {OBS_SQL} SELECT site_id, (ts + 3600) // 86400 AS day, round(min(temp_c), 6) AS temp_min, round(max(temp_c), 6) AS temp_max, count(*) AS n_hours FROM obs WHERE NOT is_forecast GROUP BY 1, 2")
 def stm2_daily_summary(spark, sf_dir):
     rows = obs(spark, sf_dir).withColumn("epoch", F.col("ts")).withColumn("ts", F.timestamp_seconds("ts"))
@@ -124,15 +150,24 @@ def stm2_daily_summary(spark, sf_dir):
     return r6(last.select("site_id", F.floor((F.unix_timestamp("day.start") + P.HOUR) / P.DAY).alias("day"), "r.*"))
 
 
-@query()
+@query(f"WITH {NQ.ATTEMPTS}, k AS (SELECT * FROM a WHERE ip IS NOT NULL), g AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY email, ip ORDER BY ts, attempt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM k), f AS (SELECT * FROM g WHERE NOT ok), n AS (SELECT f.attempt_id, f.ts, count(p.ts) AS c, min(p.ts) AS oldest FROM f LEFT JOIN f p ON p.email = f.email AND p.ip = f.ip AND p.run = f.run AND p.ts >= f.ts - 36000 AND p.ts < f.ts GROUP BY 1, 2) SELECT attempt_id, c >= 2 AS blocked, CASE WHEN c >= 2 THEN greatest(0, oldest + 36000 - ts) ELSE 0 END AS retry_after FROM n")
 def stm3_attempt_limits(spark, sf_dir):
-    """The pair rule over the attempt stream, all in one batch so that the order is that of the batch operator."""
-    rows = NQ.attempts(spark, sf_dir).withColumnRenamed("ts", "epoch").coalesce(1)
-    return _collected(S.limiter_stream(_stream(spark, rows, "attempts"), 2, 36000), "limits")
+    """The pair rule over the attempt stream, in the order of time."""
+    rows = NQ.attempts(spark, sf_dir).withColumn("week", _week()).withColumnRenamed("ts", "epoch")
+    return _collected(S.limiter_stream(_stream(spark, rows, "attempts", "week"), 2, 36000), "limits")
+
+
+@query(NQ.ORACLES["win12_attempt_limits"])
+def stm3_all_rules(spark, sf_dir):
+    """The three rules over the attempts in several batches, which aren't in the order of time."""
+    rows = NQ.attempts(spark, sf_dir).withColumn("chunk", (F.col("attempt_id") % 4).cast("int"))
+    store, decisions = scratch(spark, "attempts"), scratch(spark, "decisions")
+    S.limiter_upserts(_stream(spark, rows, "attempt-stream", "chunk"), store, decisions, scratch(spark, "attempt-state"), NQ.SMALL_LIMITS).awaitTermination()
+    return S.standing(spark.read.parquet(decisions))
 
 
 @query(f"WITH {OBS_SQL}, o AS (SELECT site_id, ts, lead(ts) OVER (PARTITION BY site_id ORDER BY ts) AS nxt FROM obs WHERE NOT is_forecast AND hod NOT BETWEEN 8 AND 16) SELECT site_id, ts AS last_epoch FROM o WHERE nxt - ts > 6 * 3600")
 def stm4_silence_alarm(spark, sf_dir):
-    """Hours from 8 to 16 are taken out; one batch, so that no hour is late."""
-    rows = obs(spark, sf_dir).where("hod not between 8 and 16").withColumn("epoch", F.col("ts")).withColumn("ts", F.timestamp_seconds("ts")).coalesce(1)
-    return _collected(S.silence_stream(_stream(spark, rows, "observed")), "alarms")
+    """Hours from 8 to 16 are taken out; the weeks come one after another."""
+    rows = obs(spark, sf_dir).where("hod not between 8 and 16").withColumn("week", _week()).withColumn("epoch", F.col("ts")).withColumn("ts", F.timestamp_seconds("ts"))
+    return _collected(S.silence_stream(_stream(spark, rows, "observed", "week")), "alarms")

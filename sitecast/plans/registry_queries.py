@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sitecast.functions import text as T
 from sitecast.functions.columns import flat_distance_m
+from sitecast.operators import extract as X
 from sitecast.operators import registry as R
 from sitecast.plans.fixtures import r6, table
 
@@ -58,6 +59,55 @@ def str4_page_records(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", F.trim(F.regexp_extract("html", r"(?s)<title>(.*?)</title>", 1)).alias("title"), F.size(F.regexp_extract_all("html", F.lit(r'<a href="([^"]*)"'), F.lit(1))).alias("links"), F.regexp_extract("url", r"[?&]page=(\d+)", 1).try_cast("int").alias("page"), F.regexp_extract("url", "^https?://([^/?#]*)", 1).alias("host"))
 
 
+def _pages(spark, sf_dir):
+    """The pages, each with three cards, an embedded map and two drawn objects after its own text."""
+    p, k = "page_id", "k"
+    card = f"""concat('<article><a href="/waters/w', {p}, '-', {k}, '?from=list"><img src="x"></a><span class="etiquette ">Kind ', {k}, '</span><h3>', if({p} % 5 = 0 and {k} = 2, ' ', concat(' Water\u00a0', {p}, '  no ', {k})), '</h3><p class="item_category place">Town ', {p} % 7, if({k} = 0, '', concat(', Region ', {k})), '</p><p>Przynależność: Club ', {p} % 3, '<br>Gospodarz: Host ', {k}, '<br></article>')"""
+    at = f"concat('5', {p} % 9, '.', 1000 + {p} % 9000)"
+    drawn = f"""concat('objectsData[0] = {{"nazwa": "Lake ', {p}, ' \\\\"x\\\\"", "kind": "', if({p} % 2 = 0, 'closed', 'open'), '", "tresc": "note {{}}"}} objectPoints[0] = [new google.maps.LatLng(', {at}, ', 20.5), new google.maps.LatLng(51.5, 20.5), new google.maps.LatLng( 51.5,21.5), new google.maps.LatLng(50.5, 21.25)]; objectsData[1] = {{"nazwa": "Spot ', {p}, '", "kind": "closed"}} objectPoints[1] = [new google.maps.LatLng(', {at}, ', 20.5)];')"""
+    html = f"concat(html, array_join(transform(sequence(0, 2), k -> {card}), ''), '<iframe src=\"https://m.example/maps/embed/v1/place?key=a&q=', {at}, ',20.', 10000 + {p} % 9000, '\"></iframe><script>', {drawn}, '</script>')"
+    return table(spark, sf_dir, "pages").select("page_id", F.expr(html).alias("html"))
+
+
+@query("SELECT page_id, CAST(k.k AS integer) AS pos, 'w' || page_id || '-' || k.k AS slug, 'Water ' || page_id || ' no ' || k.k AS name, 'Kind ' || k.k AS kind, 'Town ' || page_id % 7 AS place, CASE WHEN k.k > 0 THEN 'Region ' || k.k ELSE '' END AS region, 'Club ' || page_id % 3 AS belongs, 'Host ' || k.k AS host FROM pages CROSS JOIN range(0, 3) k(k) WHERE NOT (page_id % 5 = 0 AND k.k = 2)")
+def str4_page_cards(spark, sf_dir):
+    return X.page_cards(_pages(spark, sf_dir))
+
+
+POINT = "CAST('5' || page_id % 9 || '.' || (1000 + page_id % 9000) AS double)"
+
+
+@query(f"SELECT page_id, {POINT} AS lat, CAST('20.' || (10000 + page_id % 9000) AS double) AS lon FROM pages")
+def str4_embedded_positions(spark, sf_dir):
+    return _pages(spark, sf_dir).select("page_id", X.embedded_position(F.col("html")).alias("at")).select("page_id", "at.lat", "at.lon")
+
+
+@query(f"""SELECT page_id, 0 AS index, 'Lake ' || page_id || ' "x"' AS name, CASE WHEN page_id % 2 = 0 THEN 'closed' ELSE 'open' END AS kind, 'note {{}}' AS note, CASE WHEN page_id % 2 = 0 THEN 4 ELSE 0 END AS n_ring, CASE WHEN page_id % 2 = 0 THEN 0 ELSE 4 END AS n_line, round_even(({POINT} + 51.5 + 51.5 + 50.5) / 4, 6) AS lat, 20.9375::double AS lon FROM pages
+  UNION ALL SELECT page_id, 1, 'Spot ' || page_id, 'closed', '', 0, 0, {POINT}, 20.5 FROM pages""")
+def str4_map_records(spark, sf_dir):
+    found = X.map_records(_pages(spark, sf_dir))
+    points = lambda c: F.coalesce(F.size(c), F.lit(0)).alias(f"n_{c}")
+    return found.select("page_id", "index", "name", "kind", "note", *(F.when(F.col(c).isNull(), 0).otherwise(points(c)).alias(f"n_{c}") for c in ("ring", "line")), "point.lat", "point.lon")
+
+
+def _reports(spark, sf_dir):
+    """A catch report for each part: contents, then two sections with figures made of its number."""
+    n = "p_partkey"
+    text = f"""concat('Spis treści\n1. Jezioro Inne (Tabela nr 9) 12 wędkarzy ..... 5\nII. Łowiska wędkarskie\n1.2. Jezioro Żół-\nwie ', {n}, ' (Tabela nr ', {n} % 900 + 1, ')\n1 ', 100 + {n} % 900, ' wędkarzy złożyło rejestry. Roczne odłowy wyniosły ', {n} % 5000, ',5 kg. Jeden łowił 2,', {n} % 10, ' kg rocznie. ',
+      'Średni dzienny odłów to 0,', {n} % 10, ' kg. Wędkowano 12,5 dni. Łowiono karpia (', {n} % 60, ',5%) i ryby karpiowate 99%. leszcz o średniej masie 1,', {n} % 10, ' kg stanowił ', {n} % 40, '%. Największym udziałem (', {n} % 30, '%) zaznaczył się sum. Płoć, jaź i lin stanowiące odpowiednio 7%, 6% i 5%.\n',
+      '2. Rzeka Mała (Tabela nr ', {n} % 7, ')\nWędkarze łowili średnio 1,', {n} % 10, ' kg ryb na dzień. Złowiono średnio 3,36-kilogramowy karp.')"""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("report_id"), F.expr(text).alias("text"))
+
+
+@query("""SELECT p_partkey AS report_id, p_partkey % 900 + 1 AS table_no, 'Jezioro Żółwie ' || p_partkey AS name, 1100 + p_partkey % 900 AS anglers, p_partkey % 5000 + 0.5::double AS total_kg, 2 + (p_partkey % 10) / 10.0::double AS kg_per_angler_year, (p_partkey % 10) / 10.0::double AS kg_per_angler_day, 12.5::double AS days_per_angler, p_partkey % 60 + 0.5::double AS carp, (p_partkey % 40)::double AS bream, (p_partkey % 30)::double AS catfish, 3 AS n_species, 1 + (p_partkey % 10) / 10.0::double AS bream_kg, NULL::double AS carp_kg FROM part
+  UNION ALL SELECT p_partkey, p_partkey % 7, 'Rzeka Mała', NULL, NULL, NULL, 1 + (p_partkey % 10) / 10.0::double, NULL, NULL, NULL, NULL, 0, NULL, 3.36 FROM part""")
+def str5_report_figures(spark, sf_dir):
+    found = X.report_figures(_reports(spark, sf_dir))
+    share = lambda s: F.try_element_at("species_pct", F.lit(s)).alias(s)
+    weight = lambda s: F.try_element_at("species_mean_kg", F.lit(s)).alias(f"{s}_kg")
+    return found.select("report_id", F.col("table_no").cast("long").alias("table_no"), "name", *X.FIGURES, share("carp"), share("bream"), share("catfish"), F.size("species_pct").alias("n_species"), weight("bream"), weight("carp"))
+
+
 @query("SELECT doc_id, TRY_CAST(replace(nullif(regexp_extract(text, '([0-9]+(?:,[0-9]+)?)', 1), ''), ',', '.') AS double) AS first_number, len(regexp_extract_all(text, '[0-9]+(?:,[0-9]+)?')) AS n_numbers FROM documents")
 def str5_prose_numbers(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
@@ -76,6 +126,23 @@ def str6_table_lines(spark, sf_dir):
     return lines.select("doc_id", head.alias("head_line"), "line_no", F.size(F.split("line", "  ", -1)).alias("cells"))
 
 
+@query("""SELECT p_partkey % 25 AS doc_id, p_partkey * 3 AS line_no, CASE WHEN p_partkey % 7 = 0 THEN 'Rzeka Nazwa' ELSE 'Jezioro ' || split_part(p_name, ' ', 1) END AS name, CASE WHEN p_partkey % 7 = 0 THEN 'Town X' ELSE 'Town ' || p_size END || CASE WHEN p_partkey % 4 = 0 THEN ' and more' ELSE '' END AS place, CASE WHEN p_partkey % 7 = 0 THEN 10.5 ELSE p_size + 0.25 END::double AS area_ha FROM part""")
+def str6_table_rows(spark, sf_dir):
+    """A printed row for each part, some with a wrapped rest below, page numbers and headings between."""
+    line = """element_at(array(
+        if(p_partkey % 7 = 0, ' rz. Nazwa12   , 3  Town X    10,50', concat('j. ', split_part(p_name, ' ', 1), '14  Town ', p_size, '  ', p_size, ',25')),
+        if(p_partkey % 4 = 0, '   and more', ' '),
+        element_at(array('12', '3. Nagłówek', 'II. Wody', 'Nazwa akwenu  Miejsce  Area'), cast(p_partkey % 4 as int) + 1)), k + 1)"""
+    lines = table(spark, sf_dir, "part").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(2)))).select((F.col("p_partkey") % 25).alias("doc_id"), (F.col("p_partkey") * 3 + F.col("k")).alias("line_no"), F.expr(line).alias("line"))
+    return X.table_rows(lines)
+
+
+@query("""SELECT p_partkey AS entry_id, CASE p_partkey % 5 WHEN 0 THEN 'Jezioro ' || split_part(p_name, ' ', 1) WHEN 1 THEN 'Rzeka ' || split_part(p_name, ' ', 2) WHEN 2 THEN 'Zbiornik Zegrzyńskie' WHEN 3 THEN 'Rzeka Narew' ELSE 'rzeki Rakutowka' END AS name FROM part""")
+def str6_tidy_names(spark, sf_dir):
+    cell = """element_at(array(concat('j. ', split_part(p_name, ' ', 1), '4 w zlewni rzeki Wkra Nr ', p_size), concat('rz. ', split_part(p_name, ' ', 2), '   ', p_size), concat('zb. Zegrzyńs-  kie na rzece Narew Nr 7, ', p_size), concat('- rz. Narew ', p_size, ', Nr 8'), 'rzeki Rakutowka Nr 2 j.Toczylowo'), cast(p_partkey % 5 as int) + 1)"""
+    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_id"), X.tidy_name(F.expr(cell)).alias("name"))
+
+
 TAGS = "SELECT p_partkey AS tag_id, (['water', 'natural', 'waterway', 'landuse', 'leisure', 'highway'])[p_partkey % 6 + 1] AS category, (['lake', 'water', 'weir', 'reservoir', 'marina', 'river', 'Wood ', 'pitch', 'bay', 'canal', 'basin'])[p_partkey % 11 + 1] AS kind FROM part"
 
 
@@ -148,36 +215,46 @@ def agg15_top_species(spark, sf_dir):
     return r6(R.top_species(maps, {"A": "Bream", "N": "Roach"}, 2))
 
 
-QUERIES_SQL = "q AS (SELECT s_suppkey AS query_id, (['ring small', 'widget red', 'small', 'green bolt zolw nr 3', 'large gearing', 'red widg', 'blue zzz'])[s_suppkey % 7 + 1] AS key FROM supplier)"
+#: Every third entry has a word of its own, so that some keys are unique; half the queries ask for one, whole or cut short.
+QUERIES_SQL = """listed AS (SELECT entry_id, name, key || CASE WHEN entry_id % 3 = 0 THEN ' ' || translate(CAST(entry_id AS varchar), '0123456789', 'abcdefghij') || 'own' ELSE '' END AS key FROM reg),
+  q AS (SELECT s_suppkey AS query_id, CASE WHEN s_suppkey % 4 = 1 AND key IS NOT NULL THEN key WHEN s_suppkey % 4 = 3 AND key IS NOT NULL THEN left(key, length(key) - 1) ELSE (['ring small', 'widget red', 'small', 'green bolt zolw nr 3', 'large gearing', 'red widg', 'blue zzz'])[s_suppkey % 7 + 1] END AS key FROM supplier LEFT JOIN listed ON entry_id = 3 * s_suppkey)"""
+
+
+def listed(spark, sf_dir):
+    own = F.when(F.col("entry_id") % 3 == 0, F.concat(F.lit(" "), F.translate(F.col("entry_id").cast("string"), "0123456789", "abcdefghij"), F.lit("own"))).otherwise("")
+    return part(spark, sf_dir).withColumn("key", F.concat("key", own))
 
 
 def asked(spark, sf_dir):
     names = ["ring small", "widget red", "small", "green bolt zolw nr 3", "large gearing", "red widg", "blue zzz"]
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.expr(f"element_at(array({', '.join(map(repr, names))}), cast(s_suppkey % 7 as int) + 1)").alias("key"))
+    common = F.expr(f"element_at(array({', '.join(map(repr, names))}), cast(query_id % 7 as int) + 1)")
+    rows = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), (F.col("s_suppkey") * 3).alias("entry_id")).join(listed(spark, sf_dir).select("entry_id", "key"), "entry_id", "left")
+    turn = F.when(F.col("key").isNotNull(), F.col("query_id") % 4)
+    return rows.select("query_id", F.when(turn == 1, F.col("key")).when(turn == 3, F.left("key", F.length("key") - 1)).otherwise(common).alias("key"))
 
 
-@query(f"WITH {PART}, {QUERIES_SQL} SELECT query_id, count(entry_id) AS hits, CASE WHEN count(entry_id) = 1 THEN min(entry_id) END AS entry_id FROM q LEFT JOIN (SELECT key, entry_id FROM reg WHERE entry_id % 40 = 5) r USING (key) GROUP BY 1")
+@query(f"WITH {PART}, {QUERIES_SQL} SELECT query_id, count(entry_id) AS hits, CASE WHEN count(entry_id) = 1 THEN min(entry_id) END AS entry_id FROM q LEFT JOIN (SELECT key, entry_id FROM listed) r USING (key) GROUP BY 1")
 def jn5_exact_match(spark, sf_dir):
-    return R.match_exact(asked(spark, sf_dir), part(spark, sf_dir))
+    return R.match_exact(asked(spark, sf_dir), listed(spark, sf_dir))
 
 
-FUZZY = """tk AS (SELECT entry_id, list_filter(string_split(key, ' '), lambda t: length(t) >= 3) AS k FROM reg WHERE entry_id % 40 = 5), tq AS (SELECT query_id, list_filter(string_split(key, ' '), lambda t: length(t) >= 3) AS q FROM q),
+FUZZY = """tk AS (SELECT entry_id, list_filter(string_split(key, ' '), lambda t: length(t) >= 3) AS k FROM listed), tq AS (SELECT query_id, list_filter(string_split(key, ' '), lambda t: length(t) >= 3) AS q FROM q),
   uq AS (SELECT query_id, q[1] AS head, unnest(q) AS t FROM tq), uk AS (SELECT entry_id, unnest(k) AS o FROM tk), tm AS (SELECT DISTINCT query_id, entry_id, t FROM uq JOIN uk ON t = o OR (length(t) >= greatest(4, (7 * greatest(length(t), length(o)) + 9) // 10) AND length(o) >= greatest(4, (7 * greatest(length(t), length(o)) + 9) // 10) AND left(t, CAST(greatest(4, (7 * greatest(length(t), length(o)) + 9) // 10) AS bigint)) = left(o, CAST(greatest(4, (7 * greatest(length(t), length(o)) + 9) // 10) AS bigint)))),
   full_ AS (SELECT tm.query_id, entry_id FROM tm JOIN (SELECT query_id, count(DISTINCT t) AS n FROM uq GROUP BY 1) n ON n.query_id = tm.query_id GROUP BY 1, 2, n.n HAVING count(DISTINCT t) = n.n), fz AS (SELECT q.query_id, count(entry_id) AS hits, CASE WHEN count(entry_id) = 1 THEN min(entry_id) END AS entry_id FROM q LEFT JOIN full_ USING (query_id) GROUP BY 1)"""
 
 
 @query(f"WITH {PART}, {QUERIES_SQL}, {FUZZY} SELECT query_id, hits, entry_id FROM fz")
 def jn6_fuzzy_match(spark, sf_dir):
-    return R.match_fuzzy(asked(spark, sf_dir), part(spark, sf_dir))
+    return R.match_fuzzy(asked(spark, sf_dir), listed(spark, sf_dir))
 
 
-@query(f"""WITH {PART}, {QUERIES_SQL}, {FUZZY}, ex AS (SELECT query_id, count(entry_id) AS hits, CASE WHEN count(entry_id) = 1 THEN min(entry_id) END AS entry_id FROM q LEFT JOIN (SELECT key, entry_id FROM reg WHERE entry_id % 40 = 5) r USING (key) GROUP BY 1), ins AS (SELECT query_id, query_id + 1000 AS entry_id FROM q WHERE query_id % 9 = 0)
+@query(f"""WITH {PART}, {QUERIES_SQL}, {FUZZY}, ex AS (SELECT query_id, count(entry_id) AS hits, CASE WHEN count(entry_id) = 1 THEN min(entry_id) END AS entry_id FROM q LEFT JOIN (SELECT key, entry_id FROM listed) r USING (key) GROUP BY 1), ins AS (SELECT query_id, query_id + 1000 AS entry_id FROM q WHERE query_id % 9 = 0)
   SELECT q.query_id, CASE WHEN ins.entry_id IS NOT NULL THEN 'inside' WHEN ex.entry_id IS NOT NULL THEN 'exact' WHEN ex.hits = 0 AND fz.entry_id IS NOT NULL THEN 'fuzzy' END AS how, CASE WHEN ins.entry_id IS NOT NULL THEN ins.entry_id WHEN ex.entry_id IS NOT NULL THEN ex.entry_id WHEN ex.hits = 0 THEN fz.entry_id END AS entry_id
   FROM q LEFT JOIN ins USING (query_id) LEFT JOIN ex USING (query_id) LEFT JOIN fz USING (query_id)""")
 def jn8_match_cascade(spark, sf_dir):
-    queries, listed = asked(spark, sf_dir), part(spark, sf_dir)
+    queries, entries = asked(spark, sf_dir), listed(spark, sf_dir)
     inside = queries.where("query_id % 9 = 0").select("query_id", (F.col("query_id") + 1000).alias("entry_id"))
-    return R.cascade(queries, inside, R.match_exact(queries, listed), R.match_fuzzy(queries, listed))
+    return R.cascade(queries, inside, R.match_exact(queries, entries), R.match_fuzzy(queries, entries))
 
 
 POSITIONS = "49 + (s_suppkey % 60) / 10.0 AS lat, 14 + (s_suppkey % 90) / 10.0 AS lon"
@@ -233,9 +310,9 @@ def top1_by_area(spark, sf_dir):
 
 @query()
 def top2_district_suggestions(spark, sf_dir):
-    rows = part(spark, sf_dir).where(T.is_district(F.col("name")))
-    queries = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.expr("element_at(array('small ring', 'red', 'zolw', 'green bolt'), cast(s_suppkey % 4 as int) + 1)").alias("key"))
-    return r6(R.suggest(queries, rows, 8, bonus=0.35))
+    rows = part(spark, sf_dir).select("entry_id", "name", "key", F.when(F.col("entry_id") % 3 > 0, F.col("area_ha")).alias("lat"), F.when(F.col("entry_id") % 6 == 0, F.array(F.lit(1.0))).alias("line"))
+    queries = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.expr("element_at(array('small ring', 'red', 'zolw', 'green bolt', 'widget zolw nr', 'ed'), cast(s_suppkey % 6 as int) + 1)").alias("key"))
+    return r6(R.districts(queries, rows))
 
 
 # Facts

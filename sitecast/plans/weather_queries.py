@@ -371,11 +371,11 @@ def mod12_pressure_factor(spark, sf_dir):
     return r6(rows.select("site_id", F.col("at").alias("ts"), C.pressure_comfort(p, n).alias("comfort"), C.pressure_approach(p, n, d).alias("approach")))
 
 
-@query(f"{BASE}, sp(species, t_opt) AS (VALUES ('roach', 26.8), ('bream', 27.9), ('crucian', 27.0), ('carp', 26.0), ('rudd', 24.0), ('ide', 20.0), ('pike', NULL)) SELECT site_id, ts, species, round(CASE WHEN t_opt IS NOT NULL THEN greatest(0.0, least(1.0, (temp_c - 4.0) / (t_opt::double - 4.0::double))) END, 4) AS f_temp FROM obs CROSS JOIN sp")
+@query(f"{BASE}, sp(species, t_opt) AS (VALUES ('roach', 26.8), ('bream', 27.9), ('crucian', 27.0), ('carp', 26.0), ('rudd', 24.0), ('ide', 20.0), ('pike', NULL)) SELECT site_id, ts, species, round(CASE WHEN t_opt IS NOT NULL THEN greatest(0.0, least(1.0, (temp_c - 4.0) / (t_opt::double - 4.0::double))) END + 1e-9, 6) AS f_temp FROM obs CROSS JOIN sp")
 def mod13_temperature_factor(spark, sf_dir):
     species = F.explode(F.array(*[F.struct(F.lit(s).alias("species"), F.lit(t).cast("double").alias("t_opt")) for s, t in (P.SPECIES | {"pike": None}).items()]))
     rows = obs(spark, sf_dir).select("site_id", "ts", "temp_c", species.alias("s"))
-    return rows.select("site_id", "ts", "s.species", F.round(C.temperature_term(F.col("temp_c"), F.col("s.t_opt")), 4).alias("f_temp"))
+    return rows.select("site_id", "ts", "s.species", F.round(C.temperature_term(F.col("temp_c"), F.col("s.t_opt")) + 1e-9, 6).alias("f_temp"))
 
 
 REPLAY = f"""{WATER}, {STABILITY}, {SPANS}, {STREAK}, nm AS (SELECT site_id, CASE WHEN count(*) >= {NORM_SAMPLES} THEN quantile_cont(pressure_msl, 0.5) END AS norm FROM obs GROUP BY 1),

@@ -2,16 +2,24 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from sitecast.operators import notebook as N
 
-def upsert_stream(hours: DataFrame, write: Callable[[DataFrame], None], checkpoint: str):
-    """Every micro-batch of hourly rows goes to ``write``, an upsert that may run twice for one batch."""
+
+def upsert_stream(hours: DataFrame, write: Callable[[DataFrame], None], checkpoint: str, late: str | None = None, keys: Sequence[str] = ("site_id", "ts")):
+    """Every micro-batch of hourly rows goes to ``write``, an upsert that may run twice for one batch.
+
+    With ``late``, rows further behind the newest event time (column ``ts``, a timestamp) than that are
+    left out, and a row with the ``keys`` of one that came within that time is passed on once.
+    """
+    if late:
+        hours = hours.withWatermark("ts", late).dropDuplicatesWithinWatermark(list(keys))
     return hours.writeStream.foreachBatch(lambda batch, _: write(batch)).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
@@ -21,12 +29,6 @@ def daily_summary(hours: DataFrame, late: str = "6 days", offset: str = "23 hour
     return rows.groupBy("site_id", F.window("ts", "1 day", "1 day", offset).alias("day")).agg(F.min("temp_c").alias("temp_min"), F.max("temp_c").alias("temp_max"), F.count("*").alias("n_hours"))
 
 
-def failure_counts(attempts: DataFrame, width: str = "15 minutes", slide: str = "1 minute", late: str = "1 hour") -> DataFrame:
-    """Failed attempts by address in sliding windows; those without one don't count."""
-    rows = attempts.where("not ok and ip is not null").withWatermark("ts", late)
-    return rows.groupBy("ip", F.window("ts", width, slide).alias("span")).agg(F.count("*").alias("failures"))
-
-
 def limiter_stream(attempts: DataFrame, most: int, width_s: int) -> DataFrame:
     """For each failed attempt of a (email, ip) pair, whether earlier failures in the window breach the limit; a success clears them.
 
@@ -51,24 +53,58 @@ def limiter_stream(attempts: DataFrame, most: int, width_s: int) -> DataFrame:
     return keyed.groupBy("email", "ip").applyInPandasWithState(step, "attempt_id long, blocked boolean, retry_after long", "times array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
-def silence_stream(hours: DataFrame, limit_s: int = 6 * 3600) -> DataFrame:
-    """A row (site_id, last_epoch) for every stretch of ``limit_s`` without an observed hour, by event time.
+def limiter_upserts(attempts: DataFrame, store: str, decisions: str, checkpoint: str, limits: Sequence[tuple] = N.LIMITS):
+    """All the rules of ``limiter`` over a stream of attempts (attempt_id, email, ip, ts, ok).
+
+    Attempts go to ``store`` by batch and day.  Each batch decides again on the failed attempts from its earliest on, with
+    what the store holds of the widest window before them, so attempts that come late correct the
+    decisions they touch.  A batch that runs twice overwrites its own files.  ``standing`` reads the result.
+    """
+    widest = max(width for *_, width in limits)
+    columns = ("attempt_id", "email", "ip", "ts", "ok")
+
+    def decide(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        rows = batch.select(*columns, F.lit(number).alias("batch"), F.floor(F.col("ts") / 86400).alias("day"))
+        rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch", "day").parquet(store)
+        first = rows.agg(F.min("ts")).first()[0]
+        if first is None:
+            return
+        known = spark.read.parquet(store).where((F.col("day") >= (first - widest) // 86400) & (F.col("ts") >= first - widest) & (F.col("batch") <= number)).select(*columns).dropDuplicates(["attempt_id"])
+        due = known.where(~F.col("ok") & (F.col("ts") >= first)).select("attempt_id")
+        found = due.join(N.limiter(known, limits), "attempt_id", "left").withColumn("batch", F.lit(number))
+        found.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(decisions)
+
+    return attempts.writeStream.foreachBatch(decide).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def standing(decisions: DataFrame) -> DataFrame:
+    """The newest decision on each attempt that found a rule breached."""
+    last = decisions.groupBy("attempt_id").agg(F.max_by(F.struct("rule", "retry_after"), "batch").alias("d"))
+    return last.select("attempt_id", "d.rule", "d.retry_after").where("rule is not null")
 
-    Gaps inside a batch show at once, the last one when the watermark passes it.  An hour that comes with
-    a later batch can't withdraw an alarm.
+
+def silence_stream(hours: DataFrame, limit_s: int = 6 * 3600, late: str = "1 hour") -> DataFrame:
+    """A row (site_id, last_epoch) for every observed hour that none followed within ``limit_s``, by event time.
+
+    An alarm is raised when the watermark has passed the end of the silence, so no later batch can refute
+    it; hours further behind than ``late`` don't count.  State holds the hours that aren't settled.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            last = state.get[0]
+        held = set(state.get[0]) if state.exists else set()
+        if not state.hasTimedOut:
+            held |= {int(x) for b in batches for x in b["epoch"]}
+        now = state.getCurrentWatermarkMs() / 1000
+        times = sorted(held)
+        silent = [a for a, b in zip(times, [*times[1:], float("inf")], strict=True) if a + limit_s <= now and b > a + limit_s]
+        rest = [t for t in times if t + limit_s > now]
+        if rest:
+            state.update((rest,))
+            state.setTimeoutTimestamp(max((rest[0] + limit_s) * 1000, state.getCurrentWatermarkMs() + 1))
+        elif state.exists:
             state.remove()
-            yield pd.DataFrame({"site_id": [key[0]], "last_epoch": [last]})
-            return
-        times = sorted({int(x) for b in batches for x in b["epoch"]} | ({state.get[0]} if state.exists else set()))
-        silent = [a for a, b in zip(times, times[1:], strict=False) if b - a > limit_s]
-        state.update((times[-1],))
-        state.setTimeoutTimestamp(max((times[-1] + limit_s) * 1000, state.getCurrentWatermarkMs() + 1))
         yield pd.DataFrame({"site_id": [key[0]] * len(silent), "last_epoch": silent}).astype("int64")
 
-    rows = hours.where("not is_forecast").withWatermark("ts", "1 hour").select("site_id", "ts", "epoch")
-    return rows.groupBy("site_id").applyInPandasWithState(step, "site_id long, last_epoch long", "last long", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = hours.where("not is_forecast").withWatermark("ts", late).select("site_id", "ts", "epoch")
+    return rows.groupBy("site_id").applyInPandasWithState(step, "site_id long, last_epoch long", "times array<long>", "append", GroupStateTimeout.EventTimeTimeout)

@@ -95,7 +95,7 @@ def test_rings_are_stitched(spark):
 def test_both_fetches_agree(spark):
     base = spark.createDataFrame([(1, 52.0, 21.0, 30.0)], "site_id long, lat double, lon double, area_ha double").withColumn("ring", C.circle_ring(F.col("lat"), F.col("lon"), F.col("area_ha"))).withColumn("cell_m", F.lit(60.0))
     grid = G.grid(base)
-    fast = {(r.row, r.col): r for r in G.geometry(grid, base, [225.0]).collect()}
+    fast = {(r.row, r.col): r for r in G.geometry(base, [225.0]).collect()}
     points = grid.select((F.col("row") * 1000 + F.col("col")).alias("point_id"), "lat", "lon").crossJoin(base.select("ring"))
     slow = {r.point_id: r.fetch_m for r in G.fetch_edges(points, F.lit(225.0)).collect()}
     assert len(fast) > 60 and all(abs(r.fetch_m - slow[r.row * 1000 + r.col]) < 0.01 for r in fast.values())
