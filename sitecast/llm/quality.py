@@ -1,11 +1,16 @@
 """Quality rules with robust multivariate outliers (op 10), in DataFrame and SQL functions alone.
 
 Each document becomes a vector of transformed text statistics.  For every language and source the
-minimum-covariance-determinant estimate of mean and covariance is approached by concentration steps: from
-coordinate-wise medians and spreads, the documents with the smallest Mahalanobis distances (a share
-``core`` of the group) give the next mean and covariance.  Documents far off by the last estimate go.
-Groups below ``min_group`` documents use the estimate of all documents.  All estimates are aggregates; a
-group's rows are never gathered.
+minimum-covariance-determinant estimate of mean and covariance is approached by concentration steps from
+three deterministic starts: coordinate-wise medians and spreads, the moments of all rows, and the spatial
+signs around the medians.  In a step the documents with the smallest Mahalanobis distances (a share ``core``
+of the group) give the next mean and covariance; of the three results the one with the smallest
+determinant stands.  Documents far off by it go.
+
+A group's estimate is blended with that of all documents as if ``prior`` documents more had shown the
+latter, at every group size, so verdicts don't turn where a group passes some size.  All estimates are
+aggregates that are combined before the shuffle, and rows meet them over salted keys, so no task gathers a
+group.
 """
 
 from __future__ import annotations
@@ -15,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sitecast.llm.common import materialize
+from sitecast.llm.common import delete, materialize
 
 SPACE = r"[ \x09-\x0D]+"
 #: The vector: word length, symbols, repeated lines, repeated words, capitals and exclamation marks.
@@ -26,31 +31,38 @@ FEATURES = ("x_length", "x_symbols", "x_lines", "x_repeats", "x_capitals", "x_ma
 class QualityParams:
     core: float = 0.75
     steps: int = 3
-    min_group: int = 200
-    #: Chi-square median and the distance beyond which a document goes, for six coordinates.
+    #: Documents of all groups that a group's estimate is blended with.
+    prior: float = 200.0
+    #: Median of the chi-square distribution of six degrees of freedom, which ``scale`` refers to, and the distance
+    #: that it exceeds with a chance of 4e-15: documents as normal ones are in no corpus go beyond it.
     median: float = 5.348
     cutoff: float = 80.0
-    #: Least standard deviation that a coordinate counts with.
+    #: Least standard deviation that a coordinate counts with, about what one event more makes of a text of some
+    #: hundred words: a symbol or mark in 400 (the root of 1 / 400), a capital in 400 letters, one of 16 lines or of
+    #: 16 words repeated, a third of a letter in the mean word.
     floors: tuple[float, ...] = (0.35, 0.05, 0.06, 0.06, 0.05, 0.04)
+    #: Rows of one group meet its estimate in so many tasks.
+    salts: int = 64
 
 
 def statistics(docs: DataFrame) -> DataFrame:
     """``docs`` with the base statistics of its texts (null: no words) and the features beside doc_id, lang and source.
 
-    Words are runs of characters other than ASCII white space.  The windows of three words are hashed
-    with their positions into one long each; equal windows are neighbours once these are sorted.
+    Words are runs of characters other than ASCII white space.  The windows of three words are hashed to 64
+    bits; equal hashes are neighbours once they are sorted.
     """
     rows = docs.select("doc_id", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows = rows.withColumn("words", F.filter(F.split("text", SPACE), lambda x: x != ""))
     rows = rows.withColumn("n", F.size("words"))
     rows = rows.withColumn("hashes", F.expr("case when n >= 3 then transform(sequence(0, n - 3), i -> xxhash64(get(words, i), get(words, i + 1), get(words, i + 2))) else cast(array() as array<bigint>) end"))
     rows = rows.select("doc_id", "lang", "source", "text", "n", "hashes", F.length(F.array_join("words", "")).cast("long").alias("word_chars"), F.expr("size(hashes) > size(array_distinct(hashes))").alias("repeats"))
-    # The position takes the low bits, as many as the text needs.
+    # Windows whose hashes agree in the high bits, the position in the low ones; then those whose whole hashes agree.
     rows = rows.withColumn("bits", F.expr("cast(ceil(log2(n + 1)) as int) + 1"))
     rows = rows.withColumn("sorted", F.expr("case when repeats then sort_array(transform(hashes, (h, i) -> shiftleft(shiftright(h, bits), bits) + i)) end"))
-    rows = rows.withColumn("places", F.expr("""case when repeats then sort_array(transform(
+    rows = rows.withColumn("likely", F.expr("""case when repeats then sort_array(transform(
         filter(transform(sorted, (h, i) -> struct(h as h, shiftright(h, bits) = shiftright(get(sorted, i - 1), bits) or shiftright(h, bits) = shiftright(get(sorted, i + 1), bits) as twice)), x -> x.twice),
-        x -> x.h - shiftleft(shiftright(x.h, bits), bits))) end"""))
+        x -> struct(get(hashes, cast(x.h - shiftleft(shiftright(x.h, bits), bits) as int)) as h, x.h - shiftleft(shiftright(x.h, bits), bits) as i))) end"""))
+    rows = rows.withColumn("places", F.expr("case when repeats then sort_array(transform(filter(transform(likely, (x, k) -> struct(x.i as i, x.h = get(likely, k - 1).h or x.h = get(likely, k + 1).h as twice)), x -> x.twice), x -> x.i)) end"))
     repeated = F.expr("coalesce(aggregate(transform(places, (p, i) -> least(3L, coalesce(get(places, i + 1) - p, 3L))), 0L, (s, x) -> s + x), 0L)")
     lines = F.filter(F.split("text", "\n"), lambda x: x.rlike(r"[^ \x09-\x0D]"))
     rows = rows.select("doc_id", "lang", "source", F.col("n").cast("long").alias("n_words"), "word_chars", F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"), lines.alias("lines"), repeated.alias("n_repeat_words"), F.regexp_count("text", F.lit("[A-Z]")).alias("capitals"), F.regexp_count("text", F.lit("!")).alias("marks"))
@@ -65,61 +77,104 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
 
 
-def _factor(p: QualityParams) -> list[Column]:
-    """Columns of a group's Cholesky factor, row by row, from the columns c_i_j of its covariance."""
-    k = len(FEATURES)
-    out: dict[tuple[int, int], Column] = {}
-    for i in range(k):
+PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
+
+
+def _with_factor(est: DataFrame, p: QualityParams) -> DataFrame:
+    """``est`` (means m_i, covariances c_i_j) with the Cholesky factor l_i_j, whose columns build on each other, instead of the covariances."""
+    made = []
+    for i in range(len(FEATURES)):
         for j in range(i + 1):
-            rest = F.col(f"c_{j}_{i}")
-            if i == j:
-                rest = rest + p.floors[i] ** 2
+            rest = F.col(f"c_{j}_{i}") + (p.floors[i] ** 2 if i == j else 0.0)
             for m in range(j):
                 rest = rest - F.col(f"l_{i}_{m}") * F.col(f"l_{j}_{m}")
-            out[i, j] = F.sqrt(F.greatest(rest, F.lit(p.floors[i] ** 2 / 4))) if i == j else rest / F.col(f"l_{j}_{j}")
-    return out
+            made.append((F.sqrt(F.greatest(rest, F.lit(p.floors[i] ** 2 / 4))) if i == j else rest / F.col(f"l_{j}_{j}")).alias(f"l_{i}_{j}"))
+    covariances = {f"c_{i}_{j}" for i, j in PAIRS}
+    return est.select(*(c for c in est.columns if c not in covariances), *made)
 
 
-def _with_factor(est: DataFrame, p: QualityParams) -> DataFrame:
-    """``est`` (means m_i, covariances c_i_j) with the factor l_i_j."""
-    for (i, j), column in _factor(p).items():
-        est = est.withColumn(f"l_{i}_{j}", column)
-    return est.drop(*(f"c_{i}_{j}" for i in range(len(FEATURES)) for j in range(i, len(FEATURES))))
+def _blended(est: DataFrame, p: QualityParams) -> DataFrame:
+    """``est`` (g, start, size, m_i, c_i_j) with each group's moments blended with those of all rows (g empty) of the same start."""
+    k = range(len(FEATURES))
+    every = est.where("g = ''").select("start", *(F.col(f"m_{i}").alias(f"am_{i}") for i in k), *(F.col(f"c_{i}_{j}").alias(f"ac_{i}_{j}") for i, j in PAIRS))
+    own = F.when(F.col("g") == "", 1.0).otherwise(F.col("size") / (F.col("size") + p.prior))
+    met = est.join(F.broadcast(every), "start").withColumn("own", own)  # one row a start
+    both = lambda a, b: F.col("own") * a + (1 - F.col("own")) * b
+    off = lambda i: F.col(f"m_{i}") - F.col(f"am_{i}")
+    means = [both(F.col(f"m_{i}"), F.col(f"am_{i}")).alias(f"m_{i}") for i in k]
+    spread = [(both(F.col(f"c_{i}_{j}"), F.col(f"ac_{i}_{j}")) + F.col("own") * (1 - F.col("own")) * off(i) * off(j)).alias(f"c_{i}_{j}") for i, j in PAIRS]
+    return met.select("g", "start", "size", *means, *spread)
+
+
+def _meet(rows: DataFrame, est: DataFrame, p: QualityParams) -> DataFrame:
+    """``rows`` with the estimates of their group, over salted keys: Spark broadcasts a small ``est`` by its size, else a hot group is spread."""
+    salted = rows.withColumn("salt", F.pmod(F.xxhash64(*FEATURES), F.lit(p.salts)))
+    return salted.join(est.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(p.salts - 1).cast("long")))), ["g", "salt"]).drop("salt")
 
 
 def _distance(rows: DataFrame) -> DataFrame:
-    """``rows`` with the squared Mahalanobis distance d2, by forward substitution."""
+    """``rows`` with the squared Mahalanobis distance d2, by forward substitution: the columns build on each other."""
+    made = []
     for i, x in enumerate(FEATURES):
         z = F.col(x) - F.col(f"m_{i}")
         for j in range(i):
             z = z - F.col(f"l_{i}_{j}") * F.col(f"z_{j}")
-        rows = rows.withColumn(f"z_{i}", z / F.col(f"l_{i}_{i}"))
+        made.append((z / F.col(f"l_{i}_{i}")).alias(f"z_{i}"))
     d2 = sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(len(FEATURES))), F.lit(0.0))
-    return rows.withColumn("d2", d2)
+    return rows.select(*rows.columns, *made, d2.alias("d2"))
 
 
-def _moments() -> list[Column]:
-    k = range(len(FEATURES))
-    return [F.avg(FEATURES[i]).alias(f"m_{i}") for i in k] + [F.covar_pop(FEATURES[i], FEATURES[j]).alias(f"c_{i}_{j}") for i in k for j in k if i <= j]
+def _moments(columns: tuple[str, ...] = FEATURES) -> list[Column]:
+    return [F.avg(x).alias(f"m_{i}") for i, x in enumerate(columns)] + [F.covar_pop(columns[i], columns[j]).alias(f"c_{i}_{j}") for i, j in PAIRS]
+
+
+def group_key() -> Column:
+    return F.concat_ws("\x01", F.coalesce("lang", F.lit("\x02")), F.coalesce("source", F.lit("\x02")))
 
 
 def estimates(stats: DataFrame, p: QualityParams) -> DataFrame:
-    """A row for each group of at least ``min_group`` rows, and one with null keys for all rows; ``scale`` makes the median distance that of chi-square."""
-    k = len(FEATURES)
-    # Every row counts for its group and for the group of all.
-    rows = stats.select(F.explode(F.array(F.struct(F.concat_ws("\x01", F.coalesce("lang", F.lit("\x02")), F.coalesce("source", F.lit("\x02"))).alias("g")), F.struct(F.lit("").alias("g")))).alias("k"), *FEATURES).select("k.g", *FEATURES)
-    sizes = rows.groupBy("g").agg(F.count("*").alias("size"), *(F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)), 2000).alias(f"q_{i}") for i, x in enumerate(FEATURES)))
-    sizes = sizes.where((F.col("size") >= p.min_group) | (F.col("g") == ""))
+    """A row for each group of rows, and one with an empty key for all: g, means, factor, and ``scale``, which makes the median distance that of chi-square."""
+    k = range(len(FEATURES))
+    # Every row counts for its group and for all.
+    rows = stats.select(F.explode(F.array(group_key(), F.lit(""))).alias("g"), *FEATURES)
+    made: list[DataFrame] = []
+
+    def kept(est: DataFrame) -> DataFrame:
+        made.append(materialize(_with_factor(_blended(est, p), p), "estimates"))
+        return made[-1]
+
+    quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
+    seen = rows.groupBy("g").agg(F.count("*").alias("size"), *_moments(), *(F.percentile_approx(x, quarters, 2000).alias(f"q_{i}") for i, x in enumerate(FEATURES)))
+    made.append(materialize(seen, "estimates"))
     spread = lambda i: F.pow((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, 2)
-    est = sizes.select("g", *(F.col(f"q_{i}")[1].alias(f"m_{i}") for i in range(k)), *((spread(i) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i in range(k) for j in range(i, k)))
-    est = materialize(_with_factor(est, p), "estimates")
+    middle = made[0].select("g", F.lit(0).alias("start"), "size", *(F.col(f"q_{i}")[1].alias(f"m_{i}") for i in k), *((spread(i) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in PAIRS))
+    first = kept(middle)
+    # Signs: directions from the medians, in units of the spreads, as long as one.
+    away = _meet(rows, first, p).withColumns({f"s_{i}": (F.col(x) - F.col(f"m_{i}")) / F.col(f"l_{i}_{i}") for i, x in enumerate(FEATURES)})
+    length = F.sqrt(sum((F.col(f"s_{i}") * F.col(f"s_{i}") for i in k), F.lit(1e-12)))
+    signs = away.groupBy("g").agg(F.first("size").alias("size"), *(F.first(f"{x}_{i}" if x == "m" else f"l_{i}_{i}").alias(f"{x}_{i}") for i in k for x in "ml"), *(F.avg(F.col(f"s_{i}") * F.col(f"s_{j}") / (length * length)).alias(f"u_{i}_{j}") for i, j in PAIRS))
+    signs = signs.select("g", F.lit(2).alias("start"), "size", *(f"m_{i}" for i in k), *((F.col(f"u_{i}_{j}") * F.col(f"l_{i}") * F.col(f"l_{j}") * len(FEATURES)).alias(f"c_{i}_{j}") for i, j in PAIRS))
+    starts = made[0].select("g", F.lit(1).alias("start"), "size", *(f"m_{i}" for i in k), *(f"c_{i}_{j}" for i, j in PAIRS)).unionByName(signs)
+    est = materialize(first.unionByName(kept(starts)), "estimates")
+    made.append(est)
     for _ in range(p.steps):
-        far = _distance(rows.join(est, "g")).select("g", "d2", *FEATURES)
-        core = far.groupBy("g").agg(F.percentile_approx("d2", p.core, 2000).alias("most"))
-        kept = far.join(core, "g").where("d2 <= most")
-        est = materialize(_with_factor(kept.groupBy("g").agg(*_moments()), p), "estimates")
-    scale = _distance(rows.join(est, "g")).groupBy("g").agg((F.percentile_approx("d2", 0.5, 2000) / p.median).alias("scale"))
-    return materialize(est.join(scale, "g").withColumn("scale", F.greatest("scale", F.lit(1.0))), "estimates")
+        core = _distance(_meet(rows, est, p)).groupBy("g", "start").agg(F.percentile_approx("d2", p.core, 2000).alias("most"))
+        within = materialize(est.join(core, ["g", "start"]), "estimates")
+        made.append(within)
+        near = _distance(_meet(rows, within, p)).where("d2 <= most")
+        est = kept(near.groupBy("g", "start").agg(F.first("size").alias("size"), *_moments()))
+    lowest = F.min_by(F.struct(*(c for c in est.columns if c not in ("g", "start"))), F.struct(F.round(sum((F.log(f"l_{i}_{i}") for i in k), F.lit(0.0)), 9), F.col("start"))).alias("e")
+    best = materialize(est.groupBy("g").agg(lowest).select("g", "e.*"), "estimates")
+    made.append(best)
+    scale = _distance(_meet(rows, best, p)).groupBy("g").agg((F.percentile_approx("d2", 0.5, 2000) / p.median).alias("scale"))
+    # A group's scale is blended as its moments are.
+    every = scale.where("g = ''").select(F.col("scale").alias("all_scale"))
+    own = F.col("size") / (F.col("size") + p.prior)
+    scaled = best.join(scale, "g").join(F.broadcast(every), F.lit(True))  # one row
+    out = materialize(scaled.withColumn("scale", F.greatest(own * F.col("scale") + (1 - own) * F.col("all_scale"), F.lit(1.0))).drop("all_scale", "size"), "estimates")
+    for df in made:
+        delete(df)
+    return out
 
 
 def judge(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
@@ -133,13 +188,7 @@ def judge(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
     stats = stats.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     passed = stats.where("not base_failed")
     est = estimates(passed, p)
-    own = F.concat_ws("\x01", F.coalesce("lang", F.lit("\x02")), F.coalesce("source", F.lit("\x02")))
-    everyone = est.where("g = ''")
-    # One row at most: the estimate of all documents, for groups without their own.
-    mine = passed.withColumn("own", own).select("own").distinct().join(est.select(F.col("g").alias("own"), F.lit(True).alias("has")), "own", "left")
-    lacking = mine.where("has is null").select(F.col("own").alias("g")).join(F.broadcast(everyone.drop("g")), F.lit(True))
-    groups = est.where("g <> ''").unionByName(lacking)
-    far = _distance(passed.withColumn("g", own).join(groups, "g")).withColumn("distance", F.col("d2") / F.col("scale"))
+    far = _distance(_meet(passed.withColumn("g", group_key()), est, p)).withColumn("distance", F.col("d2") / F.col("scale"))
     base = [c for c in stats.columns if c not in FEATURES and c not in ("lang", "source")]
     good = far.select(*base, "distance", (F.col("distance") <= p.cutoff).alias("kept"))
     return good.unionByName(stats.where("base_failed").select(*base, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")))
