@@ -3,8 +3,8 @@
 Template texts are cut into five-word shingles.  A document's words are read in overlapping windows, for
 each template size class 2c words long and c apart, so that every stretch of c words lies whole in one.
 A window that holds ``share`` of a template's shingles has a Jaccard similarity of at least ``least``
-with it; with ``bands`` min-hashes of one row each, such a window and template agree in some band but for
-a chance of (1 - least) ** bands.  Windows that agree are verified by exact shingle containment.
+with it; with min-hashes of one row each, such a window and template agree in some band but for a chance of
+(1 - least) ** bands, and each class of sizes has as many bands as bring that to ``miss``.  Windows that agree are verified by exact shingle containment.
 
 Min-hashes can only agree on a shingle that both hold, and every shingle of a template holds one of the
 pairs of neighbouring words picked as anchors.  So windows without an anchor can't retrieve anything, and
@@ -13,24 +13,32 @@ aren't hashed.
 
 from __future__ import annotations
 
+import math
 import re
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Notices that a text may carry.
+# Notices that a text may carry, as their licenses word them.
 TEMPLATES = {
+    "agpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "apache-2.0": "Licensed under the Apache License, Version 2.0.",
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at",
+    "apache-2.0-warranty": "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.",
     "bsd": "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met",
+    "bsd-no-endorsement": "Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission.",
     "cc-by-4.0": "Licensed under CC BY 4.0.",
     "cc-by-nc-4.0": "Licensed under CC BY-NC 4.0.",
     "cc-by-sa-4.0": "Licensed under CC BY-SA 4.0.",
     "gpl-3.0": "This work is licensed under the GNU General Public License, version 3.",
     "gpl-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation",
+    "isc": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "lgpl-notice": "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation",
     "mit": "Released under the MIT License.",
     "mit-notice": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction",
+    "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at",
+    "unlicense": "This is free and unencumbered software released into the public domain.",
 }
 
 
@@ -39,7 +47,8 @@ class LicenseParams:
     templates: dict[str, str] = field(default_factory=lambda: dict(TEMPLATES))
     shingle: int = 5
     share: float = 0.8
-    bands: int = 64
+    #: Chance that a window which holds ``share`` of a template isn't retrieved; it settles the number of bands.
+    miss: float = 1e-6
 
 
 def words(text: str) -> list[str]:
@@ -69,6 +78,13 @@ def size_class(n: int) -> int:
     return c
 
 
+def bands_of(counts: list[int], window: int, p: LicenseParams) -> int:
+    """One-row bands for templates of so many shingles and windows of ``window``: by the least Jaccard similarity of a match."""
+    need = [(math.ceil(p.share * n - 1e-9), n) for n in counts]
+    least = min(k / (window + n - k) for k, n in need)
+    return 1 if least >= 1 else max(1, math.ceil(math.log(p.miss) / math.log(1 - least)))
+
+
 def _bands(hashes: Column, n: int) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda j: F.xxhash64(j, F.array_min(F.transform(hashes, lambda h: F.xxhash64(h, j)))))
 
@@ -100,10 +116,11 @@ def find_licenses(docs: DataFrame, p: LicenseParams = LicenseParams()) -> DataFr
     found = []
     for (c, k), own in groups.items():
         hashes = {n: [F.xxhash64(F.lit(s)) for s in _shingles(split[n], k)] for n in own}
-        templates = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*hashes[n]).alias("own"), _bands(F.array(*hashes[n]), p.bands).alias("bands")) for n in own])
+        bands = bands_of([len(x) for x in hashes.values()], 2 * c - k + 1, p)
+        templates = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*hashes[n]).alias("own"), _bands(F.array(*hashes[n]), bands).alias("bands")) for n in own])
         rows = rows.withColumn("numbers", F.expr(f"array_distinct(flatten(transform(at, i -> filter(array(cast(i div {c} as int) - 1, cast(i div {c} as int)), b -> b >= 0))))"))
         rows = rows.withColumn("windows", F.expr(f"filter(transform(numbers, b -> transform(sequence(0, greatest(0, least({2 * c}, size(w) - b * {c}) - {k})), i -> xxhash64(array_join(slice(w, b * {c} + i + 1, {k}), ' ')))), x -> size(x) > 0)"))
-        rows = rows.withColumn("signed", F.transform("windows", lambda x: F.struct(x.alias("own"), _bands(x, p.bands).alias("bands"))))
+        rows = rows.withColumn("signed", F.transform("windows", lambda x: F.struct(x.alias("own"), _bands(x, bands).alias("bands"))))
         rows = rows.withColumn(f"t_{c}_{k}", F.when(F.size("at") > 0, templates))
 
         def near(t: Column) -> Column:
