@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sitecast.llm.common import text_slices
+from sitecast.llm.common import materialize, text_slices
 
 #: A-Z to a-z; every other ASCII character that isn't a digit or a-z to a blank; other bytes stay.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or b >= 97 and b <= 122 or b >= 128 else 32 for b in range(256))
@@ -60,23 +60,18 @@ def automaton(items: list[tuple[str, str]], size: int, name: str):
     return _built[name]
 
 
-def blocks(benchmark: DataFrame, max_chars: int) -> Iterator[list[tuple[str, str]]]:
-    """The items with words, in blocks of ``max_chars`` characters at most (or one item)."""
-    held, chars = [], 0
-    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text"))
-    for item, text in rows.where("item_id is not null and text is not null").toLocalIterator():
-        if held and chars + len(text) > max_chars:
-            yield held
-            held, chars = [], 0
-        held.append((item, text))
-        chars += len(text)
-    yield held
+def _numbered(benchmark: DataFrame, max_chars: int) -> tuple[DataFrame, int]:
+    """The items with words and the number of the block that each falls into, and how many blocks of about ``max_chars`` there are."""
+    rows = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("text")).where("item_id is not null and text is not null")
+    chars = rows.agg(F.sum(F.length("text"))).first()[0] or 0
+    n = max(1, -(-chars // max_chars))
+    return rows.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))), n
 
 
 def _scan(docs: DataFrame, items: list[tuple[str, str]], size: int) -> DataFrame:
     spark = docs.sparkSession
     name = hashlib.sha256(repr((size, items)).encode("utf-8", "surrogatepass")).hexdigest()
-    sent = spark.sparkContext.broadcast(items)  # at most the block's characters
+    sent = spark.sparkContext.broadcast(items)  # about the block's characters
 
     def hits(text: str, a) -> tuple[int, list[int], list[str], list[tuple[int, int]]]:
         words = words_of(text)
@@ -121,17 +116,19 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, sh
     contaminated when ``share`` times its hit words reach its words.  ``spans`` are the runs of hit words
     as code points of the original text.  Null texts have no words; items with a null id or text, or
     without words, are left out; a repeated item id counts once.  Documents are matched row by row, so
-    repeated rows give repeated rows.  The items go out in blocks of ``max_chars``; with several, each
-    reads all documents and results meet by row.
+    repeated rows give repeated rows.  The items go out in blocks of about ``max_chars``, one at a time: no
+    more than a block is in the driver, and an automaton holds no more.  With several, each reads all
+    documents, its hits are written, and they meet by row.
     """
-    parts = list(blocks(benchmark, max_chars))
-    if len(parts) == 1:
-        found = _scan(docs, parts[0], size)
+    items, n = _numbered(benchmark, max_chars)
+    block = lambda i: [tuple(r) for r in items.where(F.col("block") == i).select("item_id", "text").orderBy("item_id", "text").collect()]
+    if n == 1:
+        found = _scan(docs, block(0), size)
     else:
         # Rows meet by id and text, so that equal rows (which have equal results) stay apart by count alone.
         keyed = docs.select("doc_id", "text").groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
         keyed = keyed.withColumn("key", F.xxhash64("doc_id", "text"))
-        each = [_scan(keyed.select(F.col("key").alias("doc_id"), "text"), p, size) for p in parts]
+        each = [materialize(_scan(keyed.select(F.col("key").alias("doc_id"), "text"), block(i), size), "hits") for i in range(n)]
         every = each[0]
         for x in each[1:]:
             every = every.unionByName(x)

@@ -85,4 +85,20 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_quality": op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+#: Where SQL can express the whole result: all pairs over shared shingles, and windows looked up as text.
+ORACLE_SQL: dict[str, str] = {
+    "op4_ngram_join": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+      sh AS (SELECT DISTINCT doc_id, array_to_string(w[k.k : k.k + 4], ' ') AS s FROM w, range(1, 30000) k(k) WHERE k.k <= greatest(1, len(w) - 4) AND len(w) > 0),
+      n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY 1), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM sh a JOIN sh b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+      l AS (SELECT a, b FROM c JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * c >= 80 * (x.n + y.n - c)),
+      r AS (SELECT doc_id AS doc, doc_id AS root FROM w UNION SELECT l.b, r.root FROM r JOIN l ON l.a = r.doc)
+      SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM w LEFT JOIN n USING (doc_id) JOIN (SELECT doc, min(root) AS component_id FROM r GROUP BY 1) m ON m.doc = w.doc_id""",
+    "op8_decontamination": rf"""WITH d AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents), i AS (SELECT CAST(item_id AS varchar) AS item_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+      iw AS (SELECT DISTINCT item_id, least(13, len(w)) AS n, array_to_string(w[k.k : k.k + least(13, len(w)) - 1], ' ') AS s FROM i, range(1, 30000) k(k) WHERE len(w) > 0 AND k.k <= greatest(1, len(w) - 12)),
+      dw AS (SELECT doc_id, k.k AS k, z.n, array_to_string(w[k.k : k.k + z.n - 1], ' ') AS s FROM d, (SELECT DISTINCT n FROM iw) z, range(1, 30000) k(k) WHERE k.k <= len(w) - z.n + 1),
+      h AS (SELECT doc_id, k, dw.n, item_id FROM dw JOIN iw ON dw.s = iw.s AND dw.n = iw.n), hw AS (SELECT doc_id, count(DISTINCT p) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + n)) AS p FROM h) GROUP BY 1),
+      it AS (SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS items FROM (SELECT DISTINCT doc_id, item_id FROM h) GROUP BY 1)
+      SELECT d.doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN hw USING (doc_id) LEFT JOIN it USING (doc_id)""",
+}

@@ -369,6 +369,36 @@ def test_licenses(docs, spark, empty):
     assert all(any(p in s for p in picked) for s in shingles_)
 
 
+def test_licenses_equal_containment_in_every_window(spark):
+    """Whole, shortened, stretched and mixed notices against every window's exact shingle containment."""
+    rng = random.Random(6)
+    made = []
+    for i in range(150):
+        text = sentence(rng, rng.randint(0, 60))
+        for name in rng.sample(sorted(licenses.TEMPLATES), rng.randint(0, 3)):
+            own = licenses.TEMPLATES[name].split()
+            for _ in range(rng.choice((0, 0, 1, 2, 5))):
+                own[rng.randrange(len(own))] = rng.choice(WORDS)
+            cut = rng.choice((0, 0, 0, len(own) // 6, len(own) // 3))
+            text += " " + " ".join(own[cut:]) + " " + sentence(rng, rng.randint(0, 30))
+        made.append((i, text))
+    found = {r.doc_id: {(m.template, round(m.containment, 6)) for m in r.matches} for r in licenses.find_licenses(spark.createDataFrame(made, "doc_id long, text string")).collect()}
+    assert sum(map(bool, found.values())) > 60
+    for i, text in made:
+        words, want = licenses.words(text), set()
+        for name, template in licenses.TEMPLATES.items():
+            own = licenses.words(template)
+            k, c = min(5, len(own)), licenses.size_class(len(own))
+            target = set(licenses._shingles(own, k))
+            best = 0.0
+            for b in range(len(words) // c + 1):
+                held = words[b * c : b * c + 2 * c]
+                best = max(best, len(target & {" ".join(held[j : j + k]) for j in range(len(held) - k + 1)}) / len(target))
+            if best >= 0.8:
+                want.add((name, round(best, 6)))
+        assert found[i] == want, text
+
+
 def test_quality_statistics(docs, empty):
     found = by_id(quality.judge(docs))
     word = re.compile(r"[^\x20\x09-\x0D]+")
