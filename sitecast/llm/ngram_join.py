@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from sitecast.llm.common import materialize, text_slices
+from sitecast.llm.common import delete, materialize, text_slices
 from sitecast.llm.components import components
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
@@ -88,8 +88,10 @@ def differences(band: int, threshold: float) -> int:
     return math.floor((1 - threshold) / (1 + threshold) * 2 * most + 1e-9)
 
 
-def parts_of(k: int, sure: float = 16.0) -> int:
-    """Parts of the domain for k differences: enough that one is untouched and not empty, but for a chance of exp(-sure)."""
+def parts_of(k: int, sure: float | None = 16.0) -> int:
+    """Parts of the domain for k differences: enough that one is untouched and not empty, but for a chance of exp(-sure); None: k + 1."""
+    if sure is None:
+        return k + 1
     n = max(1, k // 8)
     while n < k + 1 and n * math.exp(-k / n) < sure:
         n += max(1, n // 40)
@@ -100,11 +102,12 @@ class Signer:
     """Signatures of sets under one threshold; remembers each band's partition.
 
     Up to ``few`` differences the domain has k + 3 parts and every 3 of them give a signature, of which
-    one is untouched for certain.  Beyond, every part that isn't empty gives one.
+    one is untouched for certain.  Beyond, every part that isn't empty gives one.  With ``sure`` None there
+    are k + 1 parts, and empty ones give a signature too, so that no pair can be missed.
     """
 
-    def __init__(self, threshold: float, few: int = 6):
-        self.threshold, self.few, self.bands = threshold, few, {}
+    def __init__(self, threshold: float, few: int = 6, sure: float | None = 16.0):
+        self.threshold, self.few, self.sure, self.bands = threshold, few, sure, {}
 
     def _band(self, band: int) -> tuple[int, np.uint64, np.ndarray | None]:
         if band not in self.bands:
@@ -117,7 +120,7 @@ class Signer:
                     table[i, list(own)] = 1
                 self.bands[band] = k + 3, salt, table
             else:
-                self.bands[band] = parts_of(k), salt, None
+                self.bands[band] = parts_of(k, self.sure), salt, None
         return self.bands[band]
 
     def __call__(self, s: np.ndarray) -> np.ndarray:
@@ -132,7 +135,7 @@ class Signer:
             if table is not None:
                 where, total = np.arange(len(table)), table @ total
             else:
-                where = np.flatnonzero(np.bincount(part, minlength=n))
+                where = np.arange(n) if self.sure is None else np.flatnonzero(np.bincount(part, minlength=n))
                 total = total[where]
             out.append(_mix(total + _mix(where.astype(np.uint64) + salt)))
         return np.concatenate(out)
@@ -152,23 +155,46 @@ def _identified(docs: DataFrame, size: int) -> DataFrame:
     return _sets(docs).mapInArrow(run, "doc_id long, n_shingles long, node long")
 
 
-def _bucketed(docs: DataFrame, size: int, threshold: float, buckets: int) -> DataFrame:
-    """Packed (signature, node, set size) entries by bucket; a task signs equal sets once."""
+#: Of the sets that share a signature in one task so many go to its bucket; the rest are only counted there.
+LOCAL = 64
+
+
+def _bucketed(docs: DataFrame, size: int, threshold: float, buckets: int, sure: float | None) -> DataFrame:
+    """Packed (signature, node, set size) entries by bucket; a task signs equal sets once.
+
+    Of a signature that many sets of one task have, the first LOCAL go to the signature's bucket, the first
+    of them with the number of the others.  These go to buckets from ``buckets`` on, by their nodes, so
+    that no bucket grows with a family.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, sign, seen = _Words(), Signer(threshold), set()
+        words, sign, seen = _Words(), Signer(threshold, sure=sure), set()
         sigs, nodes, sizes, held = [], [], [], 0
 
         def out() -> pa.RecordBatch:
             sig = np.concatenate(sigs)
             count = np.array([len(x) for x in sigs])
             node, n = np.repeat(np.array(nodes, np.int64), count), np.repeat(np.array(sizes, np.int32), count)
-            bucket = (sig >> np.uint64(32)) % np.uint64(buckets)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order])) + 1
-            pieces = np.split(order, cuts)
-            columns = [[int(bucket[p[0]]) for p in pieces], *([x[p].tobytes() for p in pieces] for x in (sig.astype("<u4"), node.astype("<i8"), n.astype("<i4")))]
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] + [pa.binary()] * 3, strict=True)], names=["bucket", "sigs", "nodes", "sizes"])
+            sig = ((sig >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32) | sig & np.uint64(0xFFFFFFFF)
+            order = np.argsort(sig, kind="stable")
+            sig, node, n = sig[order], node[order], n[order]
+            first = np.flatnonzero(np.concatenate(([True], sig[1:] != sig[:-1])))
+            many = np.diff(np.append(first, len(sig)))
+            rank = np.arange(len(sig)) - np.repeat(first, many)
+            others = np.zeros(len(sig), np.int32)
+            others[first] = np.maximum(0, many - LOCAL)
+            bucket = (sig >> np.uint64(32)).astype(np.int64)
+            if (aside := rank >= LOCAL).any():
+                bucket[aside] = buckets + node[aside] % buckets
+                order = np.argsort(bucket, kind="stable")
+                sig, node, n, others, bucket = sig[order], node[order], n[order], others[order], bucket[order]
+            edges = [0, *(np.flatnonzero(np.diff(bucket)) + 1).tolist(), len(sig)]
+            pieces = list(zip(edges, edges[1:], strict=False))
+            own = [int(bucket[a]) for a, _ in pieces]
+            # Inside its bucket the low half names a signature; numbers of others stand only where there are any.
+            sets = [[x[a:b].tobytes() for a, b in pieces] for x in (sig.astype("<u4"), node.astype("<i8"), n.astype("<i4"))]
+            more = [(sig[a:b] >> np.uint64(32)).astype("<u4").tobytes() if k >= buckets else others[a:b].astype("<u4").tobytes() if others[a:b].any() else b"" for k, (a, b) in zip(own, pieces, strict=True)]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip([own, *sets, more], [pa.int64()] + [pa.binary()] * 4, strict=True)], names=["bucket", "sigs", "nodes", "sizes", "more"])
 
         for _, texts in text_slices(batches):
             for t in texts:
@@ -187,26 +213,31 @@ def _bucketed(docs: DataFrame, size: int, threshold: float, buckets: int) -> Dat
         if sigs:
             yield out()
 
-    return _sets(docs).mapInArrow(run, "bucket long, sigs binary, nodes binary, sizes binary")
+    return _sets(docs).mapInArrow(run, "bucket long, sigs binary, nodes binary, sizes binary, more binary")
 
 
-def _shared(bucketed: DataFrame) -> DataFrame:
-    """(sig, node, n, held) entries whose signature several sets have; sig is unique over all buckets, held counts the sets."""
+def _shared(bucketed: DataFrame, buckets: int) -> DataFrame:
+    """(sig, node, n, held) entries whose signature several sets have; held counts the sets (0 for those beside their bucket)."""
 
     def run(key: tuple, piece: pa.Table) -> pa.Table:
         column = lambda name, kind: np.frombuffer(b"".join(piece.column(name).to_pylist()), kind)
-        sig, node, n = column("sigs", "<u4"), column("nodes", "<i8"), column("sizes", "<i4")
+        sig, node, n = column("sigs", "<u4").astype(np.int64), column("nodes", "<i8"), column("sizes", "<i4")
+        if key[0].as_py() >= buckets:
+            sig |= column("more", "<u4").astype(np.int64) << 32
+            return pa.table({"sig": sig, "node": node, "n": n.astype(np.int64), "held": np.zeros(len(sig), np.int64)})
+        sig |= np.int64(key[0].as_py()) << 32
+        counts = zip(piece.column("sigs").to_pylist(), piece.column("more").to_pylist(), strict=True)
+        others = np.concatenate([np.frombuffer(m, "<u4") if m else np.zeros(len(x) // 4, np.uint32) for x, m in counts])
         order = np.lexsort((node, sig))
-        sig, node, n = sig[order], node[order], n[order]
+        sig, node, n, others = sig[order], node[order], n[order], others[order]
+        _, group = np.unique(sig, return_inverse=True)
+        more = np.bincount(group, weights=others, minlength=1).astype(np.int64)
         first = np.ones(len(sig), bool)
         first[1:] = (sig[1:] != sig[:-1]) | (node[1:] != node[:-1])
-        sig, node, n = sig[first], node[first], n[first]
-        same = np.zeros(len(sig) + 1, bool)
-        same[1:-1] = sig[1:] == sig[:-1]
-        keep = same[1:] | same[:-1]
-        sig, node, n = sig[keep], node[keep], n[keep]
-        _, group, held = np.unique(sig, return_inverse=True, return_counts=True)
-        return pa.table({"sig": (sig.astype(np.int64) | (np.int64(key[0].as_py()) << 32)), "node": node, "n": n.astype(np.int64), "held": held[group].astype(np.int64)})
+        sig, node, n, group = sig[first], node[first], n[first], group[first]
+        held = (np.bincount(group, minlength=1) + more)[group]
+        keep = held > 1
+        return pa.table({"sig": sig[keep], "node": node[keep], "n": n[keep].astype(np.int64), "held": held[keep].astype(np.int64)})
 
     return bucketed.groupBy("bucket").applyInArrow(run, "sig long, node long, n long, held long")
 
@@ -230,11 +261,15 @@ def _sets_of(pairs: DataFrame, docs: DataFrame, rows: DataFrame, size: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(raw, pa.binary())], names=["node", "shingles"])
 
     texts = _sets(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    return materialize(texts.mapInArrow(run, "node long, shingles binary"), "sets")
+    # One row a set, so that the joins with them are plain ones, of which Spark splits the hot keys; only repeated ids give more.
+    sets = materialize(texts.mapInArrow(run, "node long, shingles binary"), "sets")
+    if sets.groupBy("node").count().where("count > 1").limit(1).count():
+        every, sets = sets, materialize(sets.dropDuplicates(["node"]), "sets")
+        delete(every)
+    return sets
 
 
-def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    one = sets.dropDuplicates(["node"])
+def _with_sets(pairs: DataFrame, one: DataFrame) -> DataFrame:
     return pairs.join(one.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(one.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
 
 
@@ -261,7 +296,7 @@ def _cores(family: DataFrame, sets: DataFrame, sample: int) -> DataFrame:
     the elements that several sampled members hold, for an order that puts rarer ones first.
     """
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))
-    some = family.select("a", "b").withColumn("rank", rank).where(F.col("rank") <= sample).join(sets.dropDuplicates(["node"]).select(F.col("node").alias("b"), "shingles"), "b")
+    some = family.select("a", "b").withColumn("rank", rank).where(F.col("rank") <= sample).join(sets.select(F.col("node").alias("b"), "shingles"), "b")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         held = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")]
@@ -348,27 +383,30 @@ def _able(a: str, b: str, threshold: float) -> Column:
     return F.least(a, b) >= threshold * F.greatest(a, b) - 1e-9
 
 
-def join_components(docs: DataFrame, size: int = 5, threshold: float = 0.8, entries_per_bucket: int = 1_000_000) -> DataFrame:
+def join_components(docs: DataFrame, size: int = 5, threshold: float = 0.8, entries_per_bucket: int = 1_000_000, sure: float | None = 16.0) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, node.
 
     Component_id is the smallest doc_id reachable over links.  A null or wordless text has no shingles,
     links with nothing and is its own component; equal texts are one node and link.  A null doc_id never
     names a component unless nothing else is there.  Repeated rows give repeated rows; other columns are
-    ignored; an empty table gives no rows.
+    ignored; an empty table gives no rows.  ``sure`` None is the exact mode, with k + 1 parts and many more
+    signatures; else a pair just at the threshold is missed with a chance of exp(-sure), above six differences.
     """
     spark = docs.sparkSession
     rows = materialize(_identified(docs, size), "shingle-sizes")
     # About 0.45 signatures a shingle: so many buckets that each holds a bounded number of entries.
     total = rows.agg(F.sum("n_shingles")).first()[0] or 0
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(0.5 * total / entries_per_bucket))
-    shared = materialize(_shared(_bucketed(docs, size, threshold, buckets)), "shared")
+    shared = materialize(_shared(_bucketed(docs, size, threshold, buckets, sure), buckets), "shared")
 
     # First round: every set against its group's leader, the set that shares most signatures.
     fame = shared.groupBy("node").agg(F.sum("held").alias("fame"))
     lead = shared.join(fame, "node").groupBy("sig").agg(F.max(F.struct("fame", "node")).alias("lead")).select("sig", F.col("lead.node").alias("a"))
     pairs = materialize(shared.join(lead, "sig").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    delete(shared)
     sets = _sets_of(pairs, docs, rows, size)
     tried = _verified(pairs, sets, threshold)
+    delete(pairs)
     links = tried.where("linked").select("a", "b")
     roots = materialize(components(links), "roots")
 
@@ -384,12 +422,17 @@ def join_components(docs: DataFrame, size: int = 5, threshold: float = 0.8, entr
     found = _verified(apart, sets, threshold)
     close = materialize(_near_core(residues.where("at = 0"), threshold), "links")
     links = links.unionByName(found.where("linked").select("a", "b")).unionByName(close)
+    delete(roots)
     roots = materialize(components(links), "roots")
     entries = _rerooted(entries, roots)
     more = _shared_ways(entries, entries, threshold).join(apart, ["a", "b"], "left_anti")
-    last = _verified(materialize(more, "pairs"), sets, threshold).where("linked").select("a", "b")
+    more = materialize(more, "pairs")
+    last = _verified(more, sets, threshold).where("linked").select("a", "b")
     if last.limit(1).count():
+        delete(roots)
         roots = materialize(components(links.unionByName(last)), "roots")
+    for done in (sets, tried, residues, apart, found, close, entries, more, last):
+        delete(done)
 
     # Smallest doc_id of each class of equal sets, then of each component.
     classes = rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
