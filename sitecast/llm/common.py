@@ -129,7 +129,7 @@ class Encoder:
     of a text, which has nothing before it, starts with a blank, as no other can.
     """
 
-    def __init__(self, path: str, max_words: int = 400_000):
+    def __init__(self, path: str, max_words: int = 250_000):
         self.path, self.max_words, self.chars = path, max_words, _byte_chars()
         self.around = _Runs(path)
         self.model = tokenizer(path).model
@@ -145,14 +145,20 @@ class Encoder:
         self.flat, self.uses, self.apart, sizes = self._gather(kept), self.uses[kept] // 2, self.apart[kept], self.sizes[kept]
         self.starts, self.sizes = np.cumsum(sizes) - sizes, sizes
 
-    def _forget(self) -> None:
+    def _forget(self, most: int) -> None:
+        """Remember only the words met most often, ``most`` at most."""
         least = 2
-        while 2 * (self.uses >= least).sum() > self.max_words:
+        while (self.uses >= least).sum() > most:
             least *= 2
         often = self.uses >= least
         words = itertools.compress(list(self.known), often.tolist())
         self._keep({w: i for i, w in enumerate(words)}, np.flatnonzero(often))
 
+    def rest(self) -> None:
+        """At the end of a task: give back what rare words took, so that a waiting worker holds little."""
+        self._forget(50_000)
+        pa.default_memory_pool().release_unused()
+
     def _numbers(self, keys: list[str]) -> np.ndarray:
         """The numbers of distinct words; the next free ones for those that aren't known, which are learned."""
         found = list(map(self.known.get, keys))
@@ -220,7 +226,7 @@ class Encoder:
         if not len(texts):
             return np.zeros(0, np.uint32), np.zeros(0, np.int64)
         if len(self.known) > self.max_words:
-            self._forget()
+            self._forget(self.max_words // 2)
         split = pc.split_pattern(pc.replace_substring_regex(texts, "(\n+)", r" \1"), " ")
         words, begins = split.flatten().dictionary_encode(), split.offsets.to_numpy()
         begins = begins - begins[0]
@@ -248,6 +254,7 @@ _encoders: dict[str, Encoder] = {}
 def encoder(path: str) -> Encoder:
     """One per Python worker, so that tasks share what it remembers."""
     if path not in _encoders:
+        pa.set_memory_pool(pa.system_memory_pool())  # which gives what a batch took back to the executor
         _encoders[path] = Encoder(path)
     return _encoders[path]
 

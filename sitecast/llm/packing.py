@@ -173,5 +173,6 @@ def pack(docs: DataFrame, tokenizer_path: str, params: PackingParams = PackingPa
                 yield pa.RecordBatch.from_arrays(rows, names=names)
         if rows := packer.plan(True):
             yield pa.RecordBatch.from_arrays(rows, names=names)
+        encoder(tokenizer_path).rest()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, SCHEMA)

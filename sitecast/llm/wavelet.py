@@ -153,6 +153,7 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
             docs, ids, sizes = docs[begin:], ids[int(ends[begin - 1]) if begin else 0 :], sizes[begin:]
         if len(sizes):
             yield out(docs, ids, sizes)
+        encoder(tokenizer_path).rest()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARD_SCHEMA).write.parquet(path)
