@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 import __spark_entry__
 import corpus_pipeline
 
@@ -26,3 +28,29 @@ def test_stages_narrow_the_documents(spark):
     assert {r.doc_id for r in pieces.select("doc_id").distinct().collect()} == ids
     tokens = pieces.groupBy("doc_id").sum("length").collect()
     assert all(r[1] > 0 for r in tokens)
+
+
+def test_awkward_rows_go_through_the_chain(spark, tmp_path):
+    """Nulls, empty, repeated and very long texts, clashing columns, and empty tables."""
+    rng = random.Random(2)
+    words = [f"{a}{b}" for a in ("river", "stone", "meadow", "cloud", "bridge", "narrow", "golden", "quiet") for b in range(400)]
+    text = lambda n: " ".join(rng.choice(words) for _ in range(n)) + "."
+    base = text(120)
+    texts = [None, "", " \n ", "short", base, base, base + " one more", "w " * 3000, " ".join(text(200) for _ in range(150)), f"mail jane.roe@x.org now {text(90)}", *(text(rng.randint(60, 200)) for _ in range(40))]
+    rows = [(i, t, "en" if i % 3 else None, "s" if i % 4 else None, len(t or ""), 1, 2, "k") for i, t in enumerate(texts)]
+    rows += [rows[4], (None, text(80), "en", "s", 9, 1, 2, "k")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, node long, g int, key string"
+    leak = (1, " ".join(texts[12].split()[:40]))
+    for name, docs, bench in (("some", rows, [leak, (2, None), (None, "x")]), ("none", [], [])):
+        spark.createDataFrame(docs, schema).repartition(2).write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        spark.createDataFrame(bench, "item_id long, text string").write.parquet(f"{tmp_path}/{name}/benchmark.parquet")
+    kept = spark.read.parquet(f"{tmp_path}/some/documents.parquet")
+    columns = kept.columns
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, kept, f"{tmp_path}/some").cache()
+        assert kept.columns == columns
+    left = {r.doc_id: r.text for r in kept.collect()}
+    assert not left.keys() & {0, 1, 2, 3, 5, 6, 7, 12} and left.keys() >= {4, 9, None} and "[EMAIL]" in left[9]
+    pieces = corpus_pipeline.run(spark, f"{tmp_path}/some").groupBy("doc_id").sum("length").collect()
+    assert {r.doc_id for r in pieces} == left.keys()
+    assert corpus_pipeline.run(spark, f"{tmp_path}/none").count() == 0
