@@ -261,15 +261,11 @@ def _sets_of(pairs: DataFrame, docs: DataFrame, rows: DataFrame, size: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(raw, pa.binary())], names=["node", "shingles"])
 
     texts = _sets(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    # One row a set, so that the joins with them are plain ones, of which Spark splits the hot keys; only repeated ids give more.
-    sets = materialize(texts.mapInArrow(run, "node long, shingles binary"), "sets")
-    if sets.groupBy("node").count().where("count > 1").limit(1).count():
-        every, sets = sets, materialize(sets.dropDuplicates(["node"]), "sets")
-        delete(every)
-    return sets
+    return materialize(texts.mapInArrow(run, "node long, shingles binary"), "sets")
 
 
-def _with_sets(pairs: DataFrame, one: DataFrame) -> DataFrame:
+def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    one = sets.dropDuplicates(["node"])  # both joins read the one exchange of it
     return pairs.join(one.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(one.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
 
 
@@ -296,7 +292,7 @@ def _cores(family: DataFrame, sets: DataFrame, sample: int) -> DataFrame:
     the elements that several sampled members hold, for an order that puts rarer ones first.
     """
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.xxhash64("b"), "b"))
-    some = family.select("a", "b").withColumn("rank", rank).where(F.col("rank") <= sample).join(sets.select(F.col("node").alias("b"), "shingles"), "b")
+    some = family.select("a", "b").withColumn("rank", rank).where(F.col("rank") <= sample).join(sets.dropDuplicates(["node"]).select(F.col("node").alias("b"), "shingles"), "b")
 
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         held = [np.frombuffer(x.as_buffer(), np.uint64) for x in rows.column("shingles")]
