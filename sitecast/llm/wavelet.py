@@ -131,28 +131,24 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        split, shard = TaskContext.get().partitionId(), 0
-        docs, ids, sizes = pa.array([], pa.int64()), np.zeros(0, np.uint32), np.zeros(0, np.int64)
+        split, shard, held, ids, sizes = TaskContext.get().partitionId(), 0, [], [], 0
 
-        def out(docs: pa.Array, flat: np.ndarray, own: np.ndarray) -> pa.RecordBatch:
-            columns = [pa.array([x], pa.int64()) for x in (split, shard, len(flat))]
-            columns += [pa.ListArray.from_arrays(pa.array([0, len(own)], pa.int32()), x) for x in (docs, pa.array(own, pa.int64()))]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([WaveletMatrix.encode(flat)], pa.binary())], names=[c.split()[0] for c in SHARD_SCHEMA.split(", ")])
+        def out() -> pa.RecordBatch:
+            columns = [[split], [shard], [sizes], [held], [[len(x) for x in ids]], [WaveletMatrix.encode(np.concatenate(ids))]]
+            kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())] * 2 + [pa.binary()]
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[c.split()[0] for c in SHARD_SCHEMA.split(", ")])
 
         for batch, texts in text_arrays(batches):
             flat, own = encoder(tokenizer_path)(texts, end_id)
-            docs, ids, sizes = pa.concat_arrays([docs, batch.column(0)]), np.concatenate((ids, flat)), np.concatenate((sizes, own))
-            begin, ends = 0, np.cumsum(sizes)
-            while begin < len(ends):
-                done = int(ends[begin - 1]) if begin else 0
-                end = int(np.searchsorted(ends, done + shard_ids)) + 1
-                if end > len(ends):
-                    break
-                yield out(docs[begin:end], ids[done : int(ends[end - 1])], sizes[begin:end])
-                begin, shard = end, shard + 1
-            docs, ids, sizes = docs[begin:], ids[int(ends[begin - 1]) if begin else 0 :], sizes[begin:]
-        if len(sizes):
-            yield out(docs, ids, sizes)
+            for doc, x in zip(batch.column(0).to_pylist(), np.split(flat, np.cumsum(own)[:-1]), strict=True):
+                held.append(doc)
+                ids.append(x)
+                sizes += len(x)
+                if sizes >= shard_ids:
+                    yield out()
+                    shard, held, ids, sizes = shard + 1, [], [], 0
+        if held:
+            yield out()
         encoder(tokenizer_path).rest()
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
@@ -177,8 +173,7 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
             for row in batch.to_pylist():
                 ids = WaveletMatrix(row["data"]).decode().astype("<u4")
                 ends = np.cumsum(row["doc_sizes"])
-                view = memoryview(ids).cast("B")
-                raw = [view[4 * a : 4 * b] for a, b in zip((ends - row["doc_sizes"]).tolist(), ends.tolist(), strict=True)]
+                raw = [x.tobytes() for x in np.split(ids, ends[:-1])]
                 columns = [[row["split"]] * len(raw), [row["shard"]] * len(raw), row["doc_ids"], ends - row["doc_sizes"], row["doc_sizes"], list(map(zlib.crc32, raw)), raw]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 6 + [pa.binary()], strict=True)], names=["split", "shard", "doc_id", "in_shard", "n_tokens", "ids_crc32", "ids"])
 
