@@ -12,7 +12,7 @@ from sitecast.functions import rules as R
 from sitecast.operators import weather as W
 from sitecast.plans import notebook_queries as NQ
 from sitecast.plans.fixtures import DAY0, OBS_SQL, anchors, obs, r6, table
-from sitecast.plans.weather_queries import BASE, FEATURES, QUERIES as WEATHER
+from sitecast.plans.weather_queries import BASE, FEATURES, ORACLES as WEATHER_SQL, QUERIES as WEATHER
 from sitecast.sources import weather_json as J
 from sitecast.streaming import jobs as S
 
@@ -63,7 +63,7 @@ def src1_hourly_json(spark, sf_dir):
     return found.select("site_id", F.unix_timestamp("ts").alias("epoch"), "temperature_2m", "dewpoint_2m", "precipitation")
 
 
-@query()
+@query(f"SELECT site_id, target_day, horizon, run, day_score FROM ({WEATHER_SQL['mod19_predictions']}) m CROSS JOIN (VALUES (1), (2)) r(run)")
 def src7_append_predictions(spark, sf_dir):
     """Two runs of predictions appended; both stay."""
     path = scratch(spark, "predictions")
