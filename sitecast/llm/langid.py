@@ -77,10 +77,9 @@ class Parser:
         self.langs, self.piece = sorted(samples), piece
         letters = sorted({c for s in samples.values() for c in s} | {" "})
         self.symbols = len(letters) + 1  # 0: a letter that no sample has
-        self.code = np.zeros(0x10000, np.uint16)
+        self.code = np.zeros(0x110000, np.uint16)
         for i, c in enumerate(letters):
-            if ord(c) < 0x10000:
-                self.code[ord(c)] = i + 1
+            self.code[ord(c)] = i + 1
         self.cost = np.array([math.log2(len(samples[x]) + 2) for x in self.langs])
         tables, offset = [], 0
         for x in self.langs:
@@ -88,7 +87,7 @@ class Parser:
             t = np.full((n, self.symbols), -1, np.int32)
             for state, moves in enumerate(nxt):
                 for c, to in moves.items():
-                    t[state, self.code[ord(c)] if ord(c) < 0x10000 else 0] = to
+                    t[state, self.code[ord(c)]] = to
             # Where a phrase ends the parse goes on from the start: such moves are kept as odd numbers.
             start = np.where(t[0] < 0, 0, t[0])
             tables.append(np.where(t >= 0, (t + offset) * 2, (start + offset)[None, :] * 2 + 1))
@@ -109,7 +108,7 @@ class Parser:
         order = sorted(range(len(pieces)), key=lambda i: -len(pieces[i]))
         sizes = np.array([len(pieces[i]) for i in order])
         joined = np.frombuffer("".join(pieces[i] for i in order).encode("utf-32-le", "surrogatepass"), "<u4")
-        codes = self.code[np.where(joined < 0x10000, joined, 0)]
+        codes = self.code[joined]
         grid = np.zeros((int(sizes[0]), len(order)), np.uint16)
         at = np.arange(len(codes)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         grid[at, np.repeat(np.arange(len(order)), sizes)] = codes
@@ -142,20 +141,23 @@ _parsers: dict[object, Parser] = {}
 
 
 def samples(labelled: DataFrame, params: LanguageParams) -> dict[str, str]:
-    """A bounded sample of text by language: of each, the documents whose ids hash lowest, in equal shares."""
-    labelled = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.where("lang is not null and text is not null").select("doc_id", "lang").withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= params.sample_docs)
-    langs = sorted(r[0] for r in ids.select("lang").distinct().limit(params.max_languages + 1).collect())
-    if len(langs) > params.max_languages:
-        raise ValueError(f"more than {params.max_languages} languages")
+    """A bounded sample of text by language: of each, the documents whose ids hash lowest, in equal shares.
+
+    Each ranked row carries its own piece of text, so rows that share an id count as rows and no more than
+    ``max_languages`` * ``sample_docs`` pieces reach the driver, whatever repeats.
+    """
     share = params.sample_chars // params.sample_docs
-    # The middle of a document stands for it.  ids has max_languages * sample_docs rows at most.
+    # The middle of a document stands for it.
     text = F.expr(f"substring(text, greatest(1, int(length(text) / 2) - {2 * share}), {4 * share})")
-    rows = labelled.join(F.broadcast(ids.select(F.col("doc_id").alias("id"), "rank")), F.col("doc_id") == F.col("id")).select("lang", "rank", "doc_id", text.alias("text")).collect()
+    labelled = labelled.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where("lang is not null and text is not null")
+    langs = sorted(r[0] for r in labelled.select("lang").distinct().limit(params.max_languages + 1).collect())
+    if len(langs) > params.max_languages:
+        raise ValueError(f"more than {params.max_languages} languages")
+    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "text")
+    rows = labelled.select("doc_id", "lang", text.alias("text")).withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= params.sample_docs).select("lang", "rank", "text").collect()
     out = {}
     for lang in langs:
-        own = [fold(r.text).strip() for r in sorted((r for r in rows if r.lang == lang), key=lambda r: (r.rank, r.text))]
+        own = [fold(r.text).strip() for r in sorted((r for r in rows if r.lang == lang), key=lambda r: r.rank)]
         own = [x for x in own if x]
         if own:
             each = max(share, params.sample_chars // len(own))
