@@ -32,19 +32,42 @@ def part(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("key", T.name_key(F.col("name")))
 
 
-KEY = "trim(regexp_replace(trim(regexp_replace(replace(strip_accents(lower(regexp_replace(trim(name), '^\\d+(?:\\.\\d+)*\\s+', ''))), 'ł', 'l'), '[^a-z0-9]+', ' ', 'g')), '^(?:(?:jeziora|jezioro|zbiornik|zbiorniki|zalew|staw|stawy|glinianki|glinianka|rzeki|rzeka|kanal|j|rz|zb)(?:\\s+|$))*', ''))"
+KEY_BARE = "lower(regexp_replace(trim(name), '^\\d+(?:\\.\\d+)*\\s+', ''))"
+KEY_FOLD = f"replace(strip_accents({KEY_BARE}), 'ł', 'l')"
+KEY = f"trim(regexp_replace(trim(regexp_replace({KEY_FOLD}, '[^a-z0-9]+', ' ', 'g')), '^(?:(?:jeziora|jezioro|zbiornik|zbiorniki|zalew|staw|stawy|glinianki|glinianka|rzeki|rzeka|kanal|j|rz|zb)(?:\\s+|$))*', ''))"
 PART = f"""p0 AS (SELECT p_partkey AS entry_id, CASE p_partkey % 4 WHEN 0 THEN 'Jezioro ' WHEN 1 THEN 'j. ' WHEN 2 THEN '0.10 Stawy ' ELSE '' END || upper(substr(split_part(p_name, ' ', 1), 1, 1)) || substr(split_part(p_name, ' ', 1), 2) || ' ' || upper(substr(split_part(p_name, ' ', 2), 1, 1)) || substr(split_part(p_name, ' ', 2), 2) || CASE WHEN p_partkey % 5 = 0 THEN ' Żółw nr 3' ELSE '' END AS name,
   CASE WHEN p_size % 3 > 0 THEN p_brand ELSE '' END AS place, CASE WHEN p_size % 4 > 0 THEN p_type END AS section, CASE WHEN p_size > 5 THEN p_size::double END AS area_ha, p_partkey % 3 AS src_ord FROM part), reg AS (SELECT *, {KEY} AS key FROM p0)"""
 
 
-@query(f"WITH {PART} SELECT entry_id, name, key FROM reg")
+#: Spellings that follow the names of entries in turn: marks of their own, ligatures, compatibility letters, letters without a plain form.
+SPELLINGS = ("", " Zegrzyński", " ﬁlip–Dół", " K²", " Straße", " Ⅷ ½", "™ ŁÓDŹ", " ＡＢ①", " Ȩ́té", " Öа")
+
+
+def spelled(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry's names with the spellings at their ends."""
+    ends = F.array(*map(F.lit, SPELLINGS))
+    return part(spark, sf_dir).select("entry_id", F.concat("name", F.element_at(ends, (F.col("entry_id") % len(SPELLINGS) + 1).cast("int"))).alias("name"))
+
+
+SPELLED = f"""{PART}, sp AS (SELECT entry_id, name || [{", ".join(f"'{x}'" for x in SPELLINGS)}][entry_id % {len(SPELLINGS)} + 1] AS name FROM reg)"""
+#: What the twins write for the letters that the other engine's accents leave: in keys and in slugs.
+_WRITTEN = (("ﬁ", "fi", "fi"), ("–", " ", ""), ("²", "2", "2"), ("ß", " ", ""), ("Ⅷ", "viii", "viii"), ("ⅷ", "viii", "viii"), ("½", "1 2", "12"), ("™", " ", "tm"), ("Ａ", "a", "a"), ("Ｂ", "b", "b"), ("ａ", "a", "a"), ("ｂ", "b", "b"), ("①", "1", "1"), (" ", " ", " "), ("а", " ", ""))
+
+
+def _plain_sql(x: str, slug: bool) -> str:
+    for letter, key, short in _WRITTEN:
+        x = f"replace({x}, '{letter}', '{short if slug else key}')"
+    return f"replace(strip_accents({x}), 'ł', 'l')"
+
+
+@query(f"WITH {SPELLED} SELECT entry_id, name, {KEY.replace(KEY_FOLD, _plain_sql(KEY_BARE, False))} AS key FROM sp")
 def str1_name_key(spark, sf_dir):
-    return part(spark, sf_dir).select("entry_id", "name", "key")
+    return spelled(spark, sf_dir).withColumn("key", T.name_key(F.col("name")))
 
 
-@query(f"WITH {PART}, b AS (SELECT entry_id, trim(regexp_replace(replace(strip_accents(lower(name)), 'ł', 'l'), '[^a-z0-9]+', '-', 'g'), '-') AS base FROM reg), w AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY entry_id) AS r FROM b) SELECT entry_id, CASE WHEN r = 1 THEN base ELSE base || '-' || r END AS slug FROM w")
+@query(f"WITH {SPELLED}, b AS (SELECT entry_id, trim(regexp_replace({_plain_sql('lower(name)', True)}, '[^a-z0-9]+', '-', 'g'), '-') AS base FROM sp), w AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY entry_id) AS r FROM b) SELECT entry_id, CASE WHEN r = 1 THEN base ELSE base || '-' || r END AS slug FROM w")
 def str2_unique_slug(spark, sf_dir):
-    return R.unique_slugs(part(spark, sf_dir), "entry_id").select("entry_id", "slug")
+    return R.unique_slugs(spelled(spark, sf_dir), "entry_id").select("entry_id", "slug")
 
 
 @query()
@@ -160,11 +183,11 @@ def flt4_districts(spark, sf_dir):
     return part(spark, sf_dir).select("entry_id", T.is_district(name).alias("is_district"))
 
 
-@query("SELECT page_id, u.u AS variant, CASE u.u WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN true END AS usable FROM pages CROSS JOIN range(0, 4) u(u)")
+@query("SELECT page_id, u.u AS variant, CASE u.u WHEN 0 THEN true WHEN 1 THEN false WHEN 2 THEN false WHEN 3 THEN true WHEN 4 THEN true WHEN 5 THEN false END AS usable FROM pages CROSS JOIN range(0, 6) u(u)")
 def flt7_usable_sources(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages").select("page_id", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("variant"), "url")
+    pages = table(spark, sf_dir, "pages").select("page_id", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("variant"), "url")
     v = F.col("variant")
-    url = F.when(v == 0, F.col("url")).when(v == 1, F.regexp_replace("url", "^http", "ftp")).when(v == 2, F.regexp_replace("url", r"://[^/]*", "://host")).otherwise(F.regexp_replace("url", "://", "://me:x@"))
+    url = F.when(v == 0, F.col("url")).when(v == 1, F.regexp_replace("url", "^http", "ftp")).when(v == 2, F.regexp_replace("url", r"://[^/]*", "://host")).when(v == 3, F.regexp_replace("url", "://", "://me:x@")).when(v == 4, F.upper("url")).otherwise(F.regexp_replace(F.upper("url"), r"://[^/]*", "://HOST."))
     return pages.select("page_id", F.col("variant").cast("long").alias("variant"), T.usable_source(url).alias("usable"))
 
 
