@@ -82,7 +82,10 @@ def phase_from_water(water: Column, trend: Column, t_opt: Column, p: dict = P.PH
 
 
 def oxygen_saturation(water: Column, p: dict = P.OXYGEN) -> Column:
-    t = clamp(water, 0, 40)
+    return _saturation_at(clamp(water, 0, 40), p)
+
+
+def _saturation_at(t: Column, p: dict = P.OXYGEN) -> Column:
     c = p["saturation"]
     return c[0] + c[1] * t + c[2] * t * t + c[3] * t * t * t
 
@@ -107,7 +110,7 @@ def dissolved_oxygen(water: Column, wind: Column, fetch: Column, p: dict = P.OXY
 
 def with_oxygen(rows: DataFrame, water: Column, wind: Column, fetch: Column, name: str = "oxygen", p: dict = P.OXYGEN) -> DataFrame:
     """``rows`` with dissolved oxygen, step by step: each step is a column, so that the steps after it don't repeat it."""
-    rows = rows.withColumn("_t", clamp(water, 0, 40)).withColumn("_sat", oxygen_saturation(F.col("_t"), p))
+    rows = rows.withColumn("_t", clamp(water, 0, 40)).withColumn("_sat", _saturation_at(F.col("_t"), p))
     rows = rows.withColumn("_before", F.when(water.isNotNull(), F.greatest(F.lit(0.0), F.col("_sat") - oxygen_respiration(water, p))))
     rows = rows.withColumn("_gain", oxygen_reaeration(wind, fetch, F.col("_sat"), F.col("_before"), p))
     return rows.withColumn(name, F.when(F.col("_gain").isNotNull(), F.least(F.col("_sat"), F.col("_before") + F.col("_gain")))).drop("_t", "_sat", "_before", "_gain")

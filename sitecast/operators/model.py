@@ -97,25 +97,56 @@ def assess(rows: DataFrame) -> DataFrame:
     })
 
 
-def replay(anchors: DataFrame, readings: DataFrame, norms: DataFrame, t_opt: float = P.SPECIES["roach"], key: str = "site_id") -> DataFrame:
-    """Everything about a site at past instants: water, oxygen, stability, factors and the assessment, from one ruleset."""
-    water = water_estimate(anchors, readings, key=key).select(key, "at", "water_c", "trend_24h", "coverage")
-    calm = W.stability(anchors, readings, key=key).select(key, "at", "stability")
-    streak = W.stable_streak(W.daily_spans(anchors, readings, key=key), key=key)
-    pressure = W.asof_offsets(anchors, readings, "pressure_msl", (0, 24), key)
-    wind = W.asof_backward(anchors, readings, "wind_ms", key).select(key, "at", "wind_ms_asof")
-    # Each part is dealt by site and instant, a few rows, and so are the joined rows: what runs between is then generated as
-    # a method of its own, else one would hold all parts, joins and factors, which is more than Java compiles.
-    rows, *rest = (part.repartition(key, "at") for part in (water, calm, streak, pressure, wind))
-    for part in rest:
-        rows = rows.join(part, [key, "at"])
-    rows = rows.join(norms.select(key, "norm"), key, "left")
-    rows = C.with_oxygen(rows.repartition(key, "at"), F.col("water_c"), F.col("wind_ms_asof"), F.lit(P.OXYGEN["fetch"])).withColumns({
-        "f_pressure": C.pressure_comfort(F.col("v_0"), F.col("norm")), "approach": C.pressure_approach(F.col("v_0"), F.col("norm"), F.col("v_24")),
+def _windows(anchors: DataFrame, readings: DataFrame, p: dict, w: dict, key: str) -> DataFrame:
+    """What ``replay`` needs of the hours before each anchor, gathered in one pass over the longest window.
+
+    n_p, n_t, span_p and span_t of the stability window, stable_days of the daily blocks, and the sorted samples, seed and hours
+    of the water model; as ``weather.stability``, ``weather.stable_streak`` and ``water_estimate`` have them.
+    """
+    eq = C.equilibrium(F.col("temp_c"), F.col("shortwave"), F.col("dewpoint_c"), F.col("wind_ms"), w)
+    near = W.lookback(anchors, readings.select(key, "ts", "temp_c", "pressure_msl", eq.alias("eq")), max(24 * p["days"], p["hours"], w["hours"]), key)
+    age = F.col("at") - F.col("ts")
+    recent = lambda c, hours: F.when(age <= hours * P.HOUR, F.col(c))
+    parts = [F.array_sort(F.collect_list(F.when((age <= w["hours"] * P.HOUR) & F.col("temp_c").isNotNull(), F.struct("ts", "eq")))).alias("s"), F.avg(recent("temp_c", w["hours"])).alias("seed")]
+    for c, s in (("pressure_msl", "p"), ("temp_c", "t")):
+        parts += [F.count(recent(c, p["hours"])).alias(f"n_{s}"), (F.max(recent(c, p["hours"])) - F.min(recent(c, p["hours"]))).alias(f"span_{s}")]
+        for k in range(p["days"]):
+            block = F.when(age.between(k * P.DAY, (k + 1) * P.DAY), F.col(c))
+            parts.append(F.when(F.count(block) >= 2, F.max(block) - F.min(block)).alias(f"day_{s}_{k}"))
+    held = near.groupBy(key, "at").agg(*parts)
+    restless = F
+    for k in range(p["days"]):
+        calm = (F.col(f"day_p_{k}") <= p["day_pressure_max"]) & (F.col(f"day_t_{k}") <= p["day_temp_max"])
+        restless = restless.when(~F.coalesce(calm, F.lit(False)), k)
+    return held.select(key, "at", "s", "seed", F.size("s").alias("hours"), *(f"{c}_{s}" for c in ("n", "span") for s in "pt"), restless.otherwise(p["days"]).cast("long").alias("stable_days"))
+
+
+def replay(anchors: DataFrame, readings: DataFrame, norms: DataFrame, t_opt: float = P.SPECIES["roach"], key: str = "site_id", scored_only: bool = False, p: dict = P.STABILITY, w: dict = P.WATER) -> DataFrame:
+    """Everything about a site at past instants: water, oxygen, stability, factors and the assessment, from one ruleset.
+
+    ``norms`` has a norm by site, or, for a replay of what was known then, by site and ``at`` (see ``weather.rolling_norm``).
+    ``scored_only`` leaves out instants that lack an input of the index.  The readings are brought to the anchors
+    twice, for the windows and for the last values; everything after is columns of one row.
+    """
+    rows = anchors.select(key, "at").distinct().join(_windows(anchors, readings, p, w, key), [key, "at"], "left").fillna(0, ["hours", "n_p", "n_t", "stable_days"])
+    rows = rows.withColumn("coverage", F.least(F.lit(1.0), F.col("hours") / w["hours"]))
+    path = C.relax(F.col("s"), F.col("seed"), F.lit(float(w["depth_m"])), w)
+    rows = rows.withColumn("path", F.when((F.col("hours") >= 2) & (F.col("coverage") >= w["min_coverage"]), path))
+    before = F.filter("path", lambda x: x["ts"] <= F.col("at") - P.DAY)
+    rows = rows.withColumns({"water_c": F.try_element_at("path", F.lit(-1))["water"], "_ago": F.try_element_at(before, F.lit(-1))["water"], "stability": C.stability_index(p)})
+    rows = rows.select(key, "at", "water_c", (F.col("water_c") - F.col("_ago")).alias("trend_24h"), F.when(F.col("hours") > 0, F.col("coverage")).alias("coverage"), "stability", "stable_days")
+    last = W.asof_values(anchors, readings, [("pressure_msl", 0), ("pressure_msl", 24), ("wind_ms", 0)], key)
+    rows = rows.join(last, [key, "at"]).join(norms.select(key, *(["at"] if "at" in norms.columns else []), "norm"), [key, *(["at"] if "at" in norms.columns else [])], "left")
+    if scored_only:
+        # Of the inputs, not of the index: a condition on that would carry its whole formula down to the joins.
+        rows = rows.dropna(subset=["water_c", "wind_ms_0", "pressure_msl_0", "norm"])
+    now, ago, norm = F.col("pressure_msl_0"), F.col("pressure_msl_24"), F.col("norm")
+    rows = C.with_oxygen(rows, F.col("water_c"), F.col("wind_ms_0"), F.lit(P.OXYGEN["fetch"])).withColumns({
+        "f_pressure": C.pressure_comfort(now, norm), "approach": C.pressure_approach(now, norm, ago),
         "f_oxygen": C.oxygen_term(F.col("oxygen")), "f_temp": C.temperature_term(F.col("water_c"), F.lit(t_opt)),
         "phase": C.phase_from_water(F.col("water_c"), F.col("trend_24h"), F.lit(t_opt)),
     })
-    return assess(rows.repartition(key, "at"))
+    return assess(rows)
 
 
 def sun_times(rows: DataFrame, day: str = "day") -> DataFrame:

@@ -30,6 +30,17 @@ def asof_offsets(anchors: DataFrame, readings: DataFrame, value: str, hours: Seq
     return found.groupBy(key, "at").agg(*(F.max(F.when(F.col("h") == h, F.col(f"{value}_asof"))).alias(f"v_{h}") for h in hours))
 
 
+def asof_values(anchors: DataFrame, readings: DataFrame, wanted: Sequence[tuple[str, int]], key: str = "site_id") -> DataFrame:
+    """(key, at) with a column ``{value}_{h}`` for each (value, h) wanted: its last non-null reading at or before ``at - h`` hours, in one pass."""
+    values, hours = sorted({v for v, _ in wanted}), sorted({h for _, h in wanted})
+    left = anchors.select(key, "at", F.explode(F.array(*map(F.lit, hours))).alias("h"), *(F.lit(None).cast(readings.schema[v].dataType).alias(v) for v in values))
+    left = left.withColumn("ts", F.col("at") - F.col("h") * P.HOUR)
+    w = Window.partitionBy(key).orderBy("ts", F.col("h").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    both = left.unionByName(readings.select(key, "ts", *values), allowMissingColumns=True)
+    found = both.withColumns({v: F.last(v, ignorenulls=True).over(w) for v in values}).where("h is not null")
+    return found.groupBy(key, "at").agg(*(F.max(F.when(F.col("h") == h, F.col(v))).alias(f"{v}_{h}") for v, h in wanted))
+
+
 def lookback(anchors: DataFrame, readings: DataFrame, hours: int, key: str = "site_id") -> DataFrame:
     """Readings within [at - hours, at] of each anchor; an equi-join on time buckets as wide as the window."""
     width = hours * P.HOUR
@@ -67,6 +78,31 @@ def norm(readings: DataFrame, value: str, min_samples: int = P.NORM["min_samples
     return readings.groupBy(key).agg(F.count(value).alias("n"), F.median(value).alias("m")).select(key, "n", F.when(F.col("n") >= min_samples, F.col("m")).alias("norm"))
 
 
+def value_counts(readings: DataFrame, value: str, step_days: int = P.NORM["step_days"], key: str = "site_id") -> DataFrame:
+    """(key, chunk, value, n): how often each value stands in each stretch of ``step_days``, counted from 1970.
+
+    Exact and mergeable: counts of new hours are added, so a stored table of them replaces the hours.
+    """
+    chunk = F.floor(F.col("ts") / (step_days * P.DAY)).alias("chunk")
+    return readings.where(F.col(value).isNotNull()).groupBy(key, chunk, F.col(value).cast("double").alias("value")).agg(F.count("*").alias("n"))
+
+
+def rolling_norm(anchors: DataFrame, counts: DataFrame, p: dict = P.NORM, key: str = "site_id") -> DataFrame:
+    """Each anchor with ``n`` and ``norm``: the exact median as it was known at the last recomputation, null for a short record.
+
+    A norm is computed every ``step_days``, over the ``window_days`` before, from ``value_counts`` of that step: a
+    stretch that an instant lies in doesn't count, so nothing after ``at`` does.  One norm serves all anchors
+    of a site between two recomputations, and is merged from counts map-side, so a long record is many tasks.
+    """
+    spans = p["window_days"] // p["step_days"]
+    known = F.floor(F.col("at") / (p["step_days"] * P.DAY))
+    due = anchors.select(key, known.alias("known")).distinct()
+    held = due.withColumn("chunk", F.explode(F.sequence(F.col("known") - spans, F.col("known") - 1))).join(counts, [key, "chunk"])
+    found = held.groupBy(key, "known").agg(F.sum("n").alias("n"), F.percentile("value", F.lit(0.5), F.col("n")).alias("m"))
+    found = found.select(key, "known", "n", F.when(F.col("n") >= p["min_samples"], F.col("m")).alias("norm"))
+    return anchors.withColumn("known", known).join(found, [key, "known"], "left").withColumn("n", F.coalesce("n", F.lit(0))).drop("known")
+
+
 def daily_spans(anchors: DataFrame, readings: DataFrame, days: int = 7, key: str = "site_id") -> DataFrame:
     """Ranges of pressure and temperature in each of the last 24-hour blocks, an edge reading in both; null under two readings."""
     blocks = anchors.select("*", F.explode(F.sequence(F.lit(0), F.lit(days - 1))).alias("block")).withColumn("_end", F.col("at") - F.col("block") * P.DAY)

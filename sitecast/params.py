@@ -7,7 +7,7 @@ DAY = 24 * HOUR
 
 # Fixed values of the ruleset: they decide the results, so they stand here as plain text.
 STABILITY = {"hours": 72, "min_coverage": 0.8, "pressure_full": 12.0, "temp_full": 14.0, "day_pressure_max": 4.0, "day_temp_max": 8.0, "days": 7, "ideal_days": 2.0}
-NORM = {"min_samples": 8760}
+NORM = {"min_samples": 8760, "window_days": 1095, "step_days": 30}
 WATER = {"tau_days_per_m": 0.9, "air_weight": 1.0, "sun_gain": 2.5, "evaporation": 0.10, "wind_ref": 8.0, "wind_cap": 2.0, "below_min": 6.0, "above_max": 4.0, "hours": 72, "min_coverage": 0.8, "depth_m": 2.9}
 ENSEMBLE = {"tau": (0.6, 1.0, 1.6), "sun": (0.5, 1.0, 1.5), "evaporation": (0.5, 1.0, 1.5)}
 OXYGEN = {"saturation": (14.652, -0.41022, 0.007991, -0.000077774), "wind_ref": 6.0, "max_boost": 0.35, "r20": 2.0, "q10": 2.3, "stops": None, "good": None, "provisional_stops": 5.0, "provisional_good": 8.5, "fetch": 0.5}

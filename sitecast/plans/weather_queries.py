@@ -17,6 +17,9 @@ QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 BASE = f"WITH {OBS_SQL}, {ANCHORS_SQL}"
 NORM_SAMPLES = 400  # the synthetic record is a month long
+ROLLING = {"min_samples": 200, "window_days": 20, "step_days": 1}
+ROLLING_SQL = f"""nm AS (SELECT a.site_id, a.at, count(o.ts) AS n, CASE WHEN count(o.ts) >= {ROLLING["min_samples"]} THEN quantile_cont(o.pressure_msl, 0.5) END AS norm
+  FROM anchors a LEFT JOIN obs o ON a.site_id = o.site_id AND NOT o.is_forecast AND o.ts < (a.at // 86400) * 86400 AND o.ts >= (a.at // 86400 - {ROLLING["window_days"]}) * 86400 GROUP BY 1, 2)"""
 TODAY = DAY0 + 21
 
 
@@ -102,6 +105,17 @@ def agg3_pressure_norm(spark, sf_dir):
     return r6(W.norm(obs(spark, sf_dir), "pressure_msl", NORM_SAMPLES))
 
 
+def _norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counts = W.value_counts(obs(spark, sf_dir).where("not is_forecast"), "pressure_msl", ROLLING["step_days"])
+    return W.rolling_norm(anchors(spark, sf_dir), counts, ROLLING)
+
+
+@query(f"{BASE}, {ROLLING_SQL} SELECT site_id, at, n, round(norm, 6) AS norm FROM nm")
+def agg3_rolling_norm(spark, sf_dir):
+    """The norm that was known at each past instant, from observed hours before it."""
+    return r6(_norms(spark, sf_dir))
+
+
 SPANS = """spans AS (SELECT a.site_id, a.at, b.block, CASE WHEN count(o.ts) >= 2 THEN max(o.pressure_msl) - min(o.pressure_msl) END AS span_p, CASE WHEN count(o.ts) >= 2 THEN max(o.temp_c) - min(o.temp_c) END AS span_t
   FROM anchors a CROSS JOIN range(0, 7) b(block) LEFT JOIN obs o ON a.site_id = o.site_id AND o.ts BETWEEN a.at - (b.block + 1) * 86400 AND a.at - b.block * 86400 GROUP BY 1, 2, 3)"""
 STREAK = "streak AS (SELECT site_id, at, coalesce(min(block) FILTER (NOT coalesce(span_p <= 4.0 AND span_t <= 8.0, false)), 7) AS stable_days FROM spans GROUP BY 1, 2)"
@@ -378,10 +392,10 @@ def mod13_temperature_factor(spark, sf_dir):
     return rows.select("site_id", "ts", "s.species", F.round(C.temperature_term(F.col("temp_c"), F.col("s.t_opt")) + 1e-9, 6).alias("f_temp"))
 
 
-REPLAY = f"""{WATER}, {STABILITY}, {SPANS}, {STREAK}, nm AS (SELECT site_id, CASE WHEN count(*) >= {NORM_SAMPLES} THEN quantile_cont(pressure_msl, 0.5) END AS norm FROM obs GROUP BY 1),
+REPLAY = f"""{WATER}, {STABILITY}, {SPANS}, {STREAK}, {ROLLING_SQL},
   j AS (SELECT a.site_id, a.at, w.water_c, w.trend_24h, w.coverage, st.stability, streak.stable_days, n.pressure_msl AS p, d.pressure_msl AS ago, n.wind_ms AS wind, nm.norm, greatest(0.0, least(40.0, w.water_c))::double AS t
     FROM anchors a JOIN water w ON a.site_id = w.site_id AND a.at = w.at JOIN st ON a.site_id = st.site_id AND a.at = st.at JOIN streak ON a.site_id = streak.site_id AND a.at = streak.at
-    ASOF LEFT JOIN obs n ON a.site_id = n.site_id AND a.at >= n.ts ASOF LEFT JOIN obs d ON a.site_id = d.site_id AND a.at - 86400 >= d.ts JOIN nm ON nm.site_id = a.site_id),
+    ASOF LEFT JOIN obs n ON a.site_id = n.site_id AND a.at >= n.ts ASOF LEFT JOIN obs d ON a.site_id = d.site_id AND a.at - 86400 >= d.ts JOIN nm ON nm.site_id = a.site_id AND nm.at = a.at),
   j1 AS (SELECT *, {SAT} AS sat, greatest(0.0, {SAT} - 2.0 * pow(2.3, (water_c - 20) / 10)) AS before FROM j WHERE water_c IS NOT NULL),
   j2 AS (SELECT *, least(sat, before + least(greatest(0.0, least(1.0, 0.5 * (wind / 6.0) * (wind / 6.0))) * 0.35 * sat, greatest(0.0, sat - before))) AS oxygen FROM j1),
   j3 AS (SELECT *, CASE WHEN norm IS NOT NULL THEN greatest(0.0, least(1.0, 1 - abs(p - norm) / 14.0)) END AS fp, greatest(0.0, least(1.0, (oxygen - 5.0) / 3.5)) AS fo, greatest(0.0, least(1.0, (water_c - 4.0) / 22.8)) AS ft,
@@ -393,16 +407,14 @@ REPLAY = f"""{WATER}, {STABILITY}, {SPANS}, {STREAK}, nm AS (SELECT site_id, CAS
 @query(f"{BASE}, {REPLAY} SELECT site_id, at, round(water_c, 5) AS water_c, round(oxygen, 5) AS oxygen, round(fp, 5) AS f_pressure, round(fo, 5) AS f_oxygen, round(ft, 5) AS f_temp, round(ap, 5) AS approach, round(bite, 5) AS bite_index, round(CASE WHEN stability IS NOT NULL THEN conf END, 5) AS confidence, CASE WHEN fp <= fo AND fp <= ft THEN 'pressure' WHEN fo <= ft THEN 'oxygen' ELSE 'temperature' END AS limiting FROM j4")
 def mod21_replay(spark, sf_dir):
     """MOD5 and MOD8 to MOD16 for every site at all its past instants; rows without an index are in mod16_assessment."""
-    weather = obs(spark, sf_dir)
-    rows = M.replay(anchors(spark, sf_dir), weather, W.norm(weather, "pressure_msl", NORM_SAMPLES)).where("bite_index is not null")
+    rows = M.replay(anchors(spark, sf_dir), obs(spark, sf_dir), _norms(spark, sf_dir), scored_only=True)
     five = lambda c: F.round(c, 5).alias(c)
     return rows.select("site_id", "at", *map(five, ("water_c", "oxygen", "f_pressure", "f_oxygen", "f_temp", "approach", "bite_index", "confidence")), "limiting")
 
 
-@query(f"{BASE}, {REPLAY} SELECT a.site_id, a.at, w.water_c IS NOT NULL AND nm.norm IS NOT NULL AS scored, concat_ws(',', CASE WHEN nm.norm IS NULL THEN 'pressure' END, CASE WHEN w.water_c IS NULL THEN 'oxygen' END, CASE WHEN w.water_c IS NULL THEN 'temperature' END) AS missing FROM anchors a JOIN water w ON a.site_id = w.site_id AND a.at = w.at JOIN nm ON nm.site_id = a.site_id")
+@query(f"{BASE}, {REPLAY} SELECT a.site_id, a.at, w.water_c IS NOT NULL AND nm.norm IS NOT NULL AS scored, concat_ws(',', CASE WHEN nm.norm IS NULL THEN 'pressure' END, CASE WHEN w.water_c IS NULL THEN 'oxygen' END, CASE WHEN w.water_c IS NULL THEN 'temperature' END) AS missing FROM anchors a JOIN water w ON a.site_id = w.site_id AND a.at = w.at JOIN nm ON nm.site_id = a.site_id AND nm.at = a.at")
 def mod16_assessment(spark, sf_dir):
-    weather = obs(spark, sf_dir)
-    rows = M.replay(anchors(spark, sf_dir), weather, W.norm(weather, "pressure_msl", NORM_SAMPLES))
+    rows = M.replay(anchors(spark, sf_dir), obs(spark, sf_dir), _norms(spark, sf_dir))
     return rows.select("site_id", "at", F.col("bite_index").isNotNull().alias("scored"), "missing")
 
 
