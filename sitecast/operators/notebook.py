@@ -113,29 +113,63 @@ def trailing_quota(adds: DataFrame, limit: int = 5, window: int = 86400, key: st
 LIMITS = (("pair", ("email", "ip"), 5, 900), ("email", ("email",), 20, 3600), ("ip", ("ip",), 30, 900))
 
 
+def _cleared(attempts: DataFrame, widest: int) -> DataFrame:
+    """Failures (attempt_id, email, ip, ts, cleared): when the next success of the email comes, if that is within the ``widest`` window.
+
+    An email's history is cut into stretches of time; successes early in one also stand at the end of the one before.
+    """
+    length = 4 * widest
+    own = attempts.where("email is not null").select("attempt_id", "email", "ip", "ts", "ok", F.floor(F.col("ts") / length).alias("part"), F.lit(True).alias("own"))
+    ahead = own.where(F.col("ok") & (F.col("ts") - F.col("part") * length <= widest)).withColumn("part", F.col("part") - 1).withColumn("own", F.lit(False))
+    after = Window.partitionBy("email", "part").orderBy(F.desc("ts"), F.desc("attempt_id")).rowsBetween(Window.unboundedPreceding, -1)
+    found = own.unionByName(ahead).withColumn("cleared", F.min(F.when(F.col("ok"), F.col("ts"))).over(after)).where("own and not ok").select("attempt_id", "email", "ip", "ts", "cleared")
+    # Attempts without an email are kept out of the window: they are one key, and nothing clears them.
+    bare = attempts.where("email is null and not ok").select("attempt_id", "email", "ip", "ts", F.lit(None).cast("long").alias("cleared"))
+    return found.unionByName(bare)
+
+
+def _breached(failures: DataFrame, keys: Sequence[str], most: int, width: int) -> DataFrame:
+    """(attempt_id, wait) of the failures that find ``most`` earlier ones of their keys live.
+
+    A failure is live for instants in (ts, end], end being where its window ends or it is cleared.  In the order of
+    time, a running sum of starts and ends counts the live ones at each failure.  The oldest of them is the first whose end
+    is not before now: among starts in order the running maximum of the ends never falls, so the smallest start whose
+    maximum reaches now is the one, a running minimum in falling order of the maxima.  Two sorts of a stretch of time of
+    one key; a stretch also holds the starts of the window before it.
+    """
+    length = 4 * width
+    end = F.least(F.col("ts") + width, F.coalesce(F.col("cleared") - 1, F.col("ts") + width))
+    live = failures.dropna(subset=list(keys)).select("attempt_id", *keys, "ts", end.alias("end"), F.floor(F.col("ts") / length).alias("part"))
+    event = lambda t, kind, delta: F.struct(F.col(t).alias("t"), F.lit(kind).alias("kind"), F.lit(delta).alias("delta"))
+    span = F.array(event("ts", 1, 1), event("end", 2, -1))
+    asked = live.select("attempt_id", *keys, "ts", "end", "part", F.explode(F.when(F.col("end") > F.col("ts"), F.array_append(span, event("ts", 0, 0))).otherwise(F.array(event("ts", 0, 0)))).alias("e"))
+    ahead = live.where((F.col("end") > F.col("ts")) & (F.col("ts") >= (F.col("part") + 1) * length - width)).select("attempt_id", *keys, "ts", "end", (F.col("part") + 1).alias("part"), F.explode(span).alias("e"))
+    rows = asked.unionByName(ahead).select("attempt_id", *keys, "part", "ts", "end", "e.*")
+    by = [*keys, "part"]
+    told = Window.partitionBy(*by).orderBy("t", "kind").rowsBetween(Window.unboundedPreceding, 0)
+    counted = rows.withColumn("n", F.sum("delta").over(told)).withColumn("reach", F.max(F.when(F.col("kind") == 1, F.col("end"))).over(told))
+    reach = F.when(F.col("kind") == 1, F.col("reach")).otherwise(F.col("t"))
+    due = counted.where((F.col("kind") == 1) | ((F.col("kind") == 0) & (F.col("n") >= most))).withColumn("reach", reach)
+    falling = Window.partitionBy(*by).orderBy(F.desc("reach"), F.desc("kind")).rowsBetween(Window.unboundedPreceding, 0)
+    oldest = due.withColumn("oldest", F.min(F.when(F.col("kind") == 1, F.col("ts"))).over(falling)).where("kind = 0")
+    return oldest.select("attempt_id", (F.col("oldest") + width - F.col("ts")).alias("wait"))
+
+
 def limiter(attempts: DataFrame, limits: Sequence[tuple] = LIMITS) -> DataFrame:
     """The rule that each failed attempt finds breached by earlier failures, and the seconds to wait.
 
-    attempts: attempt_id, email, ip, ts (epoch seconds), ok.  A success clears the earlier failures of its
+    attempts: attempt_id (unique), email, ip, ts (epoch seconds), ok.  A success clears the earlier failures of its
     email, for every rule.  A failure counts in [ts - window, ts); one without the rule's key counts for
-    nothing.  The self-join meets within time buckets of the window's width.
+    nothing.  No attempt meets another: each rule is sorted by key and stretch of time, so a million attempts of one
+    address take a sort, and a key's history is as many tasks as it has stretches.
     """
-    after = Window.partitionBy("email").orderBy("ts", "attempt_id").rowsBetween(1, Window.unboundedFollowing)
-    # Attempts without an email are kept out of the window: they are one key, and nothing clears them.
-    cleared = attempts.where("email is not null").withColumn("cleared", F.min(F.when(F.col("ok"), F.col("ts"))).over(after))
-    failures = cleared.unionByName(attempts.where("email is null").withColumn("cleared", F.lit(None).cast("long"))).where("not ok")
-    out = failures.select("attempt_id", "email", "ip", "ts")
-    for name, keys, most, width in limits:
-        keyed = failures.dropna(subset=list(keys)).select("attempt_id", *keys, "ts", "cleared")
-        now = keyed.select(*keys, F.col("attempt_id").alias("now_id"), F.col("ts").alias("now_ts"), F.explode(F.array(F.floor(F.col("ts") / width), F.floor(F.col("ts") / width) - 1)).alias("b"))
-        past = keyed.withColumn("b", F.floor(F.col("ts") / width))
-        counted = now.join(past, [*keys, "b"]).where((F.col("ts") >= F.col("now_ts") - width) & (F.col("ts") < F.col("now_ts")) & (F.col("cleared").isNull() | (F.col("cleared") > F.col("now_ts"))))
-        held = counted.groupBy("now_id", "now_ts").agg(F.count("*").alias("n"), F.min("ts").alias("oldest")).where(F.col("n") >= most)
-        out = out.join(held.select(F.col("now_id").alias("attempt_id"), (F.col("oldest") + width - F.col("now_ts")).alias(f"wait_{name}")), "attempt_id", "left")
-    rule = F
-    for name, *_ in limits:
-        rule = rule.when(F.col(f"wait_{name}").isNotNull(), name)
-    return out.select("attempt_id", rule.alias("rule"), F.coalesce(*(f"wait_{name}" for name, *_ in limits)).alias("retry_after")).where("rule is not null")
+    failures = _cleared(attempts, max(width for *_, width in limits))
+    found = [_breached(failures, keys, most, width).select("attempt_id", F.lit(i).alias("place"), F.lit(name).alias("rule"), "wait") for i, (name, keys, most, width) in enumerate(limits)]
+    every = found[0]
+    for x in found[1:]:
+        every = every.unionByName(x)
+    first = every.groupBy("attempt_id").agg(F.min_by(F.struct("rule", "wait"), "place").alias("r"))
+    return first.select("attempt_id", "r.rule", F.col("r.wait").alias("retry_after"))
 
 
 def spearman(rows: DataFrame, keys: Sequence[str], x: str, y: str, order: str) -> DataFrame:
