@@ -150,11 +150,17 @@ def stm2_daily_summary(spark, sf_dir):
     return r6(last.select("site_id", F.floor((F.unix_timestamp("day.start") + P.HOUR) / P.DAY).alias("day"), "r.*"))
 
 
-@query(f"WITH {NQ.ATTEMPTS}, k AS (SELECT * FROM a WHERE ip IS NOT NULL), g AS (SELECT *, count(*) FILTER (ok) OVER (PARTITION BY email, ip ORDER BY ts, attempt_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS run FROM k), f AS (SELECT * FROM g WHERE NOT ok), n AS (SELECT f.attempt_id, f.ts, count(p.ts) AS c, min(p.ts) AS oldest FROM f LEFT JOIN f p ON p.email = f.email AND p.ip = f.ip AND p.run = f.run AND p.ts >= f.ts - 36000 AND p.ts < f.ts GROUP BY 1, 2) SELECT attempt_id, c >= 2 AS blocked, CASE WHEN c >= 2 THEN greatest(0, oldest + 36000 - ts) ELSE 0 END AS retry_after FROM n")
+@query(NQ.limit_sql(NQ.SMALL_LIMITS[:2]))
 def stm3_attempt_limits(spark, sf_dir):
-    """The pair rule over the attempt stream, in the order of time."""
-    rows = NQ.attempts(spark, sf_dir).withColumn("week", _week()).withColumnRenamed("ts", "epoch")
-    return _collected(S.limiter_stream(_stream(spark, rows, "attempts", "week"), 2, 36000), "limits")
+    """The limits by email over the attempt stream, decided at once, in the order of time."""
+    rows = NQ.attempts(spark, sf_dir).withColumn("week", _week()).withColumnRenamed("ts", "epoch").withColumn("ts", F.timestamp_seconds("epoch"))
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, S.STATE_STORE)
+    try:
+        return _collected(S.limiter_stream(_stream(spark, rows, "attempts", "week"), NQ.SMALL_LIMITS), "limits")
+    finally:
+        spark.conf.set(store, before)
 
 
 @query(NQ.ORACLES["win12_attempt_limits"])

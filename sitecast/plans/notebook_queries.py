@@ -180,9 +180,9 @@ def attempts(spark, sf_dir):
     return table(spark, sf_dir, "events").where("event_type in ('error', 'purchase')").select(F.col("event_id").alias("attempt_id"), F.col("user_id").alias("email"), F.when(F.col("user_id") % 17 != 0, F.col("user_id") % 20).alias("ip"), (F.expr(EPOCH) + F.expr("minute(ts) * 60L")).alias("ts"), (F.col("event_type") == "purchase").alias("ok"))
 
 
-def _limit_sql() -> str:
+def limit_sql(limits: tuple) -> str:
     parts, waits = [], []
-    for name, keys, most, width in SMALL_LIMITS:
+    for name, keys, most, width in limits:
         on = " AND ".join(f"p.{k} = n.{k}" for k in keys)
         parts.append(f"w_{name} AS (SELECT n.attempt_id, min(p.ts) + {width} - n.ts AS wait FROM x n JOIN x p ON {on} AND NOT p.ok AND p.ts >= n.ts - {width} AND p.ts < n.ts AND (p.cleared IS NULL OR p.cleared > n.ts) WHERE NOT n.ok GROUP BY n.attempt_id, n.ts HAVING count(*) >= {most})")
         waits.append(name)
@@ -191,7 +191,7 @@ def _limit_sql() -> str:
     return f"WITH {ATTEMPTS}, x AS (SELECT *, min(CASE WHEN ok THEN ts END) OVER (PARTITION BY email ORDER BY ts, attempt_id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS cleared FROM a), {', '.join(parts)} SELECT * FROM (SELECT x.attempt_id, CASE {case} END AS rule, coalesce({', '.join(f'w_{n}.wait' for n in waits)}) AS retry_after FROM x {joins} WHERE NOT x.ok) WHERE rule IS NOT NULL"
 
 
-@query(_limit_sql())
+@query(limit_sql(SMALL_LIMITS))
 def win12_attempt_limits(spark, sf_dir):
     """The synthetic attempts are far apart, so the windows are wider and the limits lower than the defaults."""
     return N.limiter(attempts(spark, sf_dir), SMALL_LIMITS)

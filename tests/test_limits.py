@@ -51,3 +51,35 @@ def test_a_million_attempts_of_one_address_in_one_window(spark):
     found = N.limiter(rows).groupBy("rule").count().collect()
     assert time.time() - begin < 120
     assert {r["rule"] for r in found} == {"ip"} and 800_000 < found[0]["count"] < n
+
+
+def test_the_stateful_pass_equals_the_batch_and_is_linear():
+    """The pass over one email's attempts, cut into batches in the order of time."""
+    import pandas as pd
+
+    from sitecast.streaming import jobs as S
+
+    own = LIMITS[:2]
+    rows = sorted(((i, "a", ip, ts, ok) for i, _, ip, ts, ok in attempts(900, 5)), key=lambda r: (r[3], r[0]))
+    rows = [(i, *r[1:]) for i, r in enumerate(rows)]
+    processor, held, decided = S._EmailLimits(own), {}, []
+    edges = [0, *(i for i in range(1, len(rows)) if i % 13 == 0 and rows[i][3] != rows[i - 1][3]), len(rows)]
+    for begin, stop in zip(edges, edges[1:], strict=False):
+        batch = pd.DataFrame(rows[begin:stop], columns=["attempt_id", "email", "ip", "epoch", "ok"])
+        more, held = processor._decide(batch, held)
+        decided += more
+    assert {a: (rule, wait) for a, rule, wait in decided} == by_definition(rows, own)
+    n = 300_000
+    hot = pd.DataFrame({"attempt_id": range(n), "email": "a", "ip": "x", "epoch": [i % 900 for i in range(n)], "ok": False})
+    begin = time.time()
+    decided, held = processor._decide(hot, {})
+    assert time.time() - begin < 30 and len(decided) > 0.9 * n and len(held) == 900
+
+
+def test_the_limiter_stream_equals_the_batch(spark):
+    from sitecast.plans import job_queries, notebook_queries
+
+    sf = "/root/testdata/sf0.001"
+    want = N.limiter(notebook_queries.attempts(spark, sf), notebook_queries.SMALL_LIMITS[:2]).collect()
+    found = job_queries.stm3_attempt_limits(spark, sf).collect()
+    assert {(r.attempt_id, r.rule, r.retry_after) for r in found} == {(r.attempt_id, r.rule, r.retry_after) for r in want}
