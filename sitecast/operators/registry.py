@@ -5,6 +5,7 @@ Where several candidates fit, an operator refuses; it never picks one.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from sitecast.functions import text as T
-from sitecast.functions.columns import flat_distance_m
+from sitecast.functions.columns import M_PER_DEG as M, flat_distance_m
+from sitecast.sources.scratch import drop, kept
 
 
 def load_union(sources: Sequence[DataFrame]) -> DataFrame:
@@ -129,11 +131,70 @@ def unique_slugs(rows: DataFrame, order: str) -> DataFrame:
     return rows.withColumn("base", T.slug(F.col("name"))).withColumn("_p", place).withColumn("slug", F.when(F.col("_p") == 1, F.col("base")).otherwise(F.concat_ws("-", "base", F.col("_p")))).drop("_p")
 
 
+def _tiled(rows: DataFrame, metres: float) -> DataFrame:
+    """``rows`` (key, lat, lon) with their tile (ty, tx): bands of that height, tiles as wide as it takes at the band's edge nearest to a pole."""
+    band = F.floor(F.col("lat") * M / metres)
+    return rows.withColumn("ty", band).withColumn("tx", F.floor(F.col("lon") / _tile_degrees(F.col("ty"), metres)))
+
+
+def _tile_degrees(ty: Column, metres: float) -> Column:
+    """Width of a band's tiles: nothing in it or in the bands beside it is further than one tile where it is within ``metres``."""
+    far = F.radians(F.least(F.lit(90.0), (F.greatest(F.abs(ty), F.abs(ty + 1)) + 1) * metres / M))
+    return metres / M / F.greatest(F.lit(0.01), F.cos(far))
+
+
+def _wide(ty: int, metres: float) -> float:
+    """The same for one band, inside a task."""
+    far = math.radians(min(90.0, (max(abs(ty), abs(ty + 1)) + 1) * metres / M))
+    return metres / M / max(0.01, math.cos(far))
+
+
+def _touching(tiled: DataFrame, metres: float) -> DataFrame:
+    """Edges (u, v), u above v, between the tiles of one key that hold points which may be within ``metres``."""
+    tile = F.xxhash64("key", "ty", "tx")
+    own = tiled.select("key", "ty", "tx", tile.alias("u")).distinct()
+    width = _tile_degrees(F.col("ty"), metres)
+    near = own.select("key", "u", (F.col("tx") * width).alias("lo"), ((F.col("tx") + 1) * width).alias("hi"), F.explode(F.sequence(F.col("ty") - 1, F.col("ty") + 1)).alias("ty"))
+    beside = _tile_degrees(F.col("ty"), metres)
+    near = near.withColumn("tx", F.explode(F.sequence(F.floor(F.col("lo") / beside) - 1, F.floor(F.col("hi") / beside) + 1))).drop("lo", "hi")
+    met = near.join(own.withColumnRenamed("u", "v"), ["key", "ty", "tx"]).where("u <> v")
+    return met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
+
+
+def roots(edges: DataFrame) -> DataFrame:
+    """(node, root) for every node of ``edges`` (u, v: long): the smallest node that is reached.
+
+    Every round each root hangs on its smallest neighbour and chains are halved until they end; what then still joins
+    different roots are the next round's edges, so these shrink by half at least.
+    """
+    tree = kept(edges.select(F.explode(F.array("u", "v")).alias("node")).distinct().withColumn("root", F.col("node")), "roots")
+    left = kept(edges, "joins")
+    while left.limit(1).count():
+        both = left.unionByName(left.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        up = kept(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("v")), "hooks")
+        while True:
+            above = up.select(F.col("u").alias("v"), F.col("v").alias("w"))
+            nxt = kept(up.join(above, "v").select("u", F.col("w").alias("v"), (F.col("v") != F.col("w")).alias("moved")), "hooks")
+            drop(up)
+            up = nxt.select("u", "v")
+            if not nxt.where("moved").limit(1).count():
+                break
+        grown = kept(tree.join(up.select(F.col("u").alias("root"), F.col("v").alias("to")), "root", "left").select("node", F.coalesce("to", "root").alias("root")), "roots")
+        name = lambda c, up=up: up.select(F.col("u").alias(c), F.col("v").alias(f"{c}_root"))
+        rest = left.join(name("u"), "u").join(name("v"), "v").select(F.col("u_root").alias("u"), F.col("v_root").alias("v")).where("u <> v")
+        rest = kept(rest.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "joins")
+        for x in (tree, left, up):
+            drop(x)
+        tree, left = grown, rest
+    return tree
+
+
 def collapse(rows: DataFrame, metres: float = 1500.0) -> DataFrame:
     """One row for each water: equal key and both lines, or equal key and both areas near the group's first in order.
 
-    Areas are led greedily by the first of their group, so the order matters; the rows of one key are few
-    map objects of one name and are taken together.  Of a group stays the relation, else the way, then
+    Areas are led greedily by the first of their group, so the order matters.  What lies in tiles that don't
+    touch can't decide on each other: the objects of one name fall into patches of touching tiles, each led on its own, in
+    one pass that looks for leaders in the tiles around.  Of a group stays the relation, else the way, then
     the largest.
     """
     keyed = rows.withColumn("key", T.name_key(F.col("name"))).withColumn("linear", F.col("kind").isin(*T.LINEAR_TYPES))
@@ -143,20 +204,28 @@ def collapse(rows: DataFrame, metres: float = 1500.0) -> DataFrame:
     lines = keyed.where("linear").groupBy("key").agg(best, F.count("*").alias("members"))
 
     def lead(group: pd.DataFrame) -> pd.DataFrame:
-        import numpy as np
-
         group = group.sort_values("pos")
-        leads: list[tuple[float, float]] = []
+        held: dict[tuple, list[tuple[int, float, float]]] = {}
         of = []
-        for lat, lon in zip(group["lat"], group["lon"], strict=True):
-            at = next((i for i, (a, b) in enumerate(leads) if np.hypot((lat - a) * 111_320, (lon - b) * 111_320 * np.cos(np.radians((lat + a) / 2))) <= metres), len(leads))
-            if at == len(leads):
-                leads.append((lat, lon))
-            of.append(at)
+        for key, lat, lon in zip(group["key"], group["lat"], group["lon"], strict=True):
+            near = []
+            if not (math.isnan(lat) or math.isnan(lon)):  # without a place: a group of its own
+                ty = math.floor(lat * M / metres)
+                tile = {y: (key, y, math.floor(lon / _wide(y, metres))) for y in (ty - 1, ty, ty + 1)}
+                around = [x for k, y, c in tile.values() for d in (-1, 0, 1) for x in held.get((k, y, c + d), ())]
+                near = [i for i, a, b in around if math.hypot((lat - a) * M, (lon - b) * M * math.cos(math.radians((lat + a) / 2))) <= metres]
+                if not near:
+                    held.setdefault(tile[ty], []).append((len(of), lat, lon))
+            of.append(min(near, default=len(of)))
         return group[["key", "cand_id", "pos", "_rank", "_area"]].assign(part=of)
 
-    areas = keyed.where("not linear").select("key", "cand_id", "pos", "_rank", "_area", "lat", "lon").groupBy("key").applyInPandas(lead, "key string, cand_id long, pos long, _rank int, _area double, part long")
-    return lines.unionByName(areas.groupBy("key", "part").agg(best, F.count("*").alias("members")).drop("part"))
+    areas = kept(_tiled(keyed.where("not linear").select("key", "cand_id", "pos", "_rank", "_area", "lat", "lon"), metres).withColumn("tile", F.xxhash64("key", "ty", "tx")), "areas")
+    patches = roots(_touching(areas, metres))
+    # A task leads some thousand objects at once: whole patches, which can't decide on each other.
+    some = F.pmod(F.xxhash64(F.coalesce("root", "tile")), F.lit(1 + areas.count() // 5_000))
+    dealt = areas.join(patches.withColumnRenamed("node", "tile"), "tile", "left").withColumn("some", some)
+    led = dealt.select("some", "key", "cand_id", "pos", "_rank", "_area", "lat", "lon").groupBy("some").applyInPandas(lambda g: lead(g).assign(some=g["some"].iloc[0]), "some long, key string, cand_id long, pos long, _rank int, _area double, part long")
+    return lines.unionByName(led.groupBy("some", "key", "part").agg(best, F.count("*").alias("members")).drop("some", "part"))
 
 
 @F.pandas_udf(DoubleType())

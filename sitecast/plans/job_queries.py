@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +12,7 @@ from sitecast.plans import notebook_queries as NQ
 from sitecast.plans.fixtures import DAY0, OBS_SQL, anchors, obs, r6, table
 from sitecast.plans.weather_queries import BASE, FEATURES, ORACLES as WEATHER_SQL, QUERIES as WEATHER
 from sitecast.sources import weather_json as J
+from sitecast.sources.scratch import scratch
 from sitecast.streaming import jobs as S
 
 QUERIES: dict = {}
@@ -30,14 +29,6 @@ def query(oracle: str | None = None):
     return add
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder that all executors see."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file:///tmp/checkpoints/sitecast" if spark.sparkContext.master.startswith("local") else spark.conf.get("spark.sql.warehouse.dir") + "/sitecast_scratch"
-    return f"{found}/{name}-{uuid.uuid4().hex}"
-
-
 @query(f"WITH {OBS_SQL} SELECT site_id, ts, round(greatest(0.0, least(1.0, 1 - abs(pressure_msl - 1013) / 14)), 6) AS comfort, round(greatest(0.0, least(1.0, 1 - abs(pressure_msl - 1013) / 14)) * greatest(0.0, least(1.0, temp_c / 30)), 6) AS index_value FROM obs")
 def udf1_rule_columns(spark, sf_dir):
     rules = {"comfort": "clamp(1 - abs(pressure_msl - 1013) / 14, 0, 1)", "index_value": "comfort * clamp(temp_c / 30, 0, 1)"}
