@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 from sitecast import params as P
 from sitecast.functions import columns as C
+from sitecast.operators.scans import ordinal_ranks, with_ranks
 
 M = C.M_PER_DEG
 RING = "array<struct<lon:double,lat:double>>"
@@ -218,17 +220,70 @@ def fetch_edges(points: DataFrame, wind: Column, reach: float = 500.0, key: str
     return e.groupBy(key).agg(F.least(F.lit(reach), F.coalesce(F.min(F.when(hit, t)), F.lit(reach))).alias("fetch_m"))
 
 
-def points_in_rings(points: DataFrame, rings: DataFrame, tile: float = 0.25) -> DataFrame:
+#: Sides of a cover's tiles in degrees, each sixteen to the one before; a tile stays whole while few edges touch it.
+LEVELS = (8.0, 2.0, 0.5, 0.125, 0.03125)
+FEW_EDGES = 12
+COVER = "entry_id long, level int, ty long, tx long, inner boolean, edges array<struct<ax:double,ay:double,bx:double,by:double>>"
+
+
+def _cover(ring: np.ndarray) -> Iterator[tuple[int, int, int, bool, np.ndarray]]:
+    """Tiles (level, ty, tx, inner, edges) of a ring (lon, lat): inside as a whole, or with the edges that a ray to the east from it can cross."""
+    ax, ay = ring[:, 0], ring[:, 1]
+    bx, by = np.append(ax[1:], ax[0]), np.append(ay[1:], ay[0])
+    x0, x1, y0, y1 = np.minimum(ax, bx), np.maximum(ax, bx), np.minimum(ay, by), np.maximum(ay, by)
+    size = LEVELS[0]
+    todo = [(0, ty, tx, np.arange(len(ax))) for ty in range(math.floor(ay.min() / size), math.floor(ay.max() / size) + 1) for tx in range(math.floor(ax.min() / size), math.floor(ax.max() / size) + 1)]
+    while todo:
+        level, ty, tx, e = todo.pop()
+        size = LEVELS[level]
+        south, west = ty * size, tx * size
+        # A hair beyond the tile on all sides, so that no rounding of its corners leaves out an edge.
+        hair = 1e-9 * (1 + abs(south) + abs(west))
+        e = e[(x1[e] >= west - hair) & (x0[e] <= west + size + hair) & (y1[e] >= south - hair) & (y0[e] <= south + size + hair)]
+        if len(e) == 0:
+            around = south <= ay.max() and ay.min() <= south + size and west <= ax.max() and ax.min() <= west + size
+            if around and _inside(np.array([south + size / 2]), np.array([west + size / 2]), ax, ay)[0, 0]:
+                yield level, ty, tx, True, e
+        elif level == len(LEVELS) - 1 or len(e) <= FEW_EDGES:
+            yield level, ty, tx, False, np.flatnonzero((y1 >= south - hair) & (y0 <= south + size + hair) & (x1 >= west - hair))
+        else:
+            n = round(size / LEVELS[level + 1])
+            todo += [(level + 1, ty * n + i, tx * n + j, e) for i in range(n) for j in range(n)]
+
+
+def ring_cover(rings: DataFrame) -> DataFrame:
+    """Rings (entry_id, ring) as tiles of several sizes (``COVER``): large ones where a ring is whole, small ones along its edges."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = pa.schema([("entry_id", pa.int64()), ("level", pa.int32()), ("ty", pa.int64()), ("tx", pa.int64()), ("inner", pa.bool_()), ("edges", pa.list_(pa.struct([(c, pa.float64()) for c in ("ax", "ay", "bx", "by")])))])
+        for batch in batches:
+            for i, entry in enumerate(batch.column(0).to_pylist()):
+                ring = np.stack([batch.column(c)[i].values.to_numpy() for c in (1, 2)], axis=1)
+                ends = np.concatenate((ring, np.roll(ring, -1, axis=0)), axis=1)
+                tiles = list(_cover(ring))
+                for begin in range(0, len(tiles), 500):
+                    some = tiles[begin : begin + 500]
+                    flat = ends[np.concatenate([e for *_, e in some])]
+                    edges = pa.ListArray.from_arrays(np.cumsum([0, *(len(e) for *_, e in some)]).astype(np.int32), pa.StructArray.from_arrays([pa.array(flat[:, k]) for k in range(4)], ["ax", "ay", "bx", "by"]))
+                    level, ty, tx, inner, _ = zip(*some, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array([entry] * len(some), pa.int64()), pa.array(level, pa.int32()), pa.array(ty, pa.int64()), pa.array(tx, pa.int64()), pa.array(inner), edges], schema=kinds)
+
+    flat = lambda c: F.transform("ring", lambda p: p[c])
+    rows = rings.where(F.size("ring") > 0).select(F.col("entry_id").cast("long").alias("entry_id"), flat("lon").alias("lons"), flat("lat").alias("lats"))
+    return rows.repartition("entry_id").mapInArrow(run, COVER)
+
+
+def points_in_rings(points: DataFrame, rings: DataFrame) -> DataFrame:
     """Points (query_id, lat, lon) with the only ring (entry_id, ring) around them; refused where there are several.
 
-    Rings go to the tiles that their bounding box touches, points to their own: an equi-join, then the box, then the ring.
+    Rings become covers (``ring_cover``), points go to their tile of each size: an equi-join.  In an inner tile that is
+    all; in one along the edge a ray meets the edges that the tile carries, by the formula of ``point_in_ring``.
     """
-    lats, lons = F.transform("ring", lambda p: p["lat"]), F.transform("ring", lambda p: p["lon"])
-    box = rings.withColumns({"y0": F.array_min(lats), "y1": F.array_max(lats), "x0": F.array_min(lons), "x1": F.array_max(lons)})
-    cells = lambda a, b: F.explode(F.sequence(F.floor(F.col(a) / tile), F.floor(F.col(b) / tile)))
-    box = box.withColumn("ty", cells("y0", "y1")).withColumn("tx", cells("x0", "x1"))
-    met = points.withColumn("ty", F.floor(F.col("lat") / tile)).withColumn("tx", F.floor(F.col("lon") / tile)).join(box, ["ty", "tx"])
-    met = met.where(F.col("lat").between(F.col("y0"), F.col("y1")) & F.col("lon").between(F.col("x0"), F.col("x1"))).where(C.point_in_ring(F.col("lat"), F.col("lon"), F.col("ring")))
+    tiles = F.array(*[F.struct(F.lit(i).alias("level"), F.floor(F.col("lat") / size).alias("ty"), F.floor(F.col("lon") / size).alias("tx")) for i, size in enumerate(LEVELS)])
+    at = points.select("query_id", "lat", "lon", F.explode(tiles).alias("t")).select("query_id", "lat", "lon", "t.*")
+    lat, lon = F.col("lat"), F.col("lon")
+    crossed = F.filter("edges", lambda e: ((e["ay"] > lat) != (e["by"] > lat)) & (lon < (e["bx"] - e["ax"]) * (lat - e["ay"]) / F.when(e["by"] != e["ay"], e["by"] - e["ay"]) + e["ax"]))
+    met = at.join(ring_cover(rings), ["level", "ty", "tx"]).where(F.col("inner") | (F.size(crossed) % 2 == 1))
     hits = met.groupBy("query_id").agg(F.count_distinct("entry_id").alias("hits"), F.min("entry_id").alias("entry_id"))
     return points.select("query_id").join(hits, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"), F.when(F.col("hits") == 1, F.col("entry_id")).alias("entry_id"))
 
@@ -255,6 +310,42 @@ def nearest_vertex(points: DataFrame, lines: DataFrame, km: float = 8.0) -> Data
     return met.groupBy("query_id").agg(F.min_by("entry_id", F.struct("km", "entry_id")).alias("entry_id"), F.min("km").alias("km"))
 
 
+#: Sides in degrees of the tiles through which ``nearest_any`` descends; of the coarsest there are 44 from -120 to 120 and -240 to 420 degrees.
+STEPS = (60.0, 15.0, 3.75, 0.9375, 0.234375, 0.05859375)
+
+
+def nearest_any(points: DataFrame, others: DataFrame) -> DataFrame:
+    """(query_id, entry_id, km): of ``others`` (entry_id, lat, lon) the nearest to each of ``points`` (query_id, lat, lon), however far; ties to the smaller id.
+
+    A descent through tiles that hold any: of the tiles in question the furthest corner of the best bounds the distance, tiles that
+    begin beyond it go, and the rest are opened.  A point keeps a few tiles at each size, wherever the others lie, and
+    only the last tiles' contents are measured.
+    """
+    held = others.select("entry_id", F.col("lat").alias("elat"), F.col("lon").alias("elon")).where("elat is not null and elon is not null")
+    name = lambda k: [F.floor(F.col("elat") / STEPS[k]).alias(f"y{k}"), F.floor(F.col("elon") / STEPS[k]).alias(f"x{k}")]
+    own = points.select("query_id", "lat", "lon").where("lat is not null and lon is not null")
+    globe = [F.explode(F.sequence(F.lit(-2), F.lit(1))).alias("y0"), F.explode(F.sequence(F.lit(-4), F.lit(6))).alias("x0")]
+    asked = own.select("*", globe[0]).select("*", globe[1])
+    for k in range(len(STEPS)):
+        above = ["y0", "x0"] if k == 0 else [f"y{k - 1}", f"x{k - 1}"]
+        # The box of what a tile holds is tighter than the tile.
+        box = [F.min("elat").alias("s"), F.max("elat").alias("n"), F.min("elon").alias("w"), F.max("elon").alias("e")]
+        tiles = held.select("elat", "elon", *(name(k - 1) if k else []), *name(k)).groupBy(*dict.fromkeys([*above, f"y{k}", f"x{k}"])).agg(*box)
+        met = asked.join(tiles, above)
+        lat, lon = F.col("lat"), F.col("lon")
+        apart = lambda lo, hi, x: F.greatest(F.col(lo) - x, x - F.col(hi), F.lit(0.0)) * M
+        reach = lambda lo, hi, x: F.greatest(F.abs(F.col(lo) - x), F.abs(F.col(hi) - x)) * M
+        shrink = [F.cos(F.radians((lat + F.col(c)) / 2)) for c in ("s", "n")]
+        widest = F.when((lat + F.col("s")) * (lat + F.col("n")) <= 0, F.lit(1.0)).otherwise(F.greatest(*shrink))
+        met = met.withColumn("least", F.hypot(apart("s", "n", lat), apart("w", "e", lon) * F.least(*shrink))).withColumn("most", F.hypot(reach("s", "n", lat), reach("w", "e", lon) * widest))
+        bound = F.min("most").over(Window.partitionBy("query_id"))
+        asked = met.withColumn("bound", bound).where(F.col("least") <= F.col("bound") * (1 + 1e-9) + 1e-6).select("query_id", "lat", "lon", f"y{k}", f"x{k}")
+    last = len(STEPS) - 1
+    measured = asked.join(held.select("entry_id", "elat", "elon", *name(last)), [f"y{last}", f"x{last}"])
+    km = C.flat_distance_m(F.col("lat"), F.col("lon"), F.col("elat"), F.col("elon")) / 1000
+    return measured.withColumn("km", km).groupBy("query_id").agg(F.min_by("entry_id", F.struct("km", "entry_id")).alias("entry_id"), F.min("km").alias("km"))
+
+
 def points_near(points: DataFrame, others: DataFrame, metres: float = 20.0) -> DataFrame:
     """Pairs (query_id, entry_id, metres) of ``points`` (query_id, lat, lon) and ``others`` (entry_id, lat, lon) no further apart than that."""
     held = others.select("entry_id", F.col("lat").alias("elat"), F.col("lon").alias("elon"))
@@ -361,12 +452,11 @@ def thin(line: Column, most: int = 160) -> Column:
 # Scores
 
 
-def percentile_ties(raw: str, keys: list[str]) -> Column:
-    """Mean rank of equal values over n - 1; one row is 0.5."""
-    w = Window.partitionBy(*keys)
-    n = F.count("*").over(w)
-    same = F.count("*").over(Window.partitionBy(*keys, raw))
-    return F.when(n == 1, 0.5).otherwise((F.rank().over(w.orderBy(raw)) - 1 + (same - 1) / 2) / (n - 1))
+def percentile_ties(rows: DataFrame, raw: str, keys: list[str], name: str = "score") -> DataFrame:
+    """``rows`` with the mean rank of equal values over n - 1; one row is 0.5."""
+    ranked = with_ranks(rows, keys, raw)
+    mean = (F.col("below") + (F.col("same") - 1) / 2) / (F.col("n") - 1)
+    return ranked.withColumn("_p", F.when(F.col("n") == 1, 0.5).otherwise(mean)).select(*rows.columns, F.col("_p").alias(name))
 
 
 def min_max(raw: str, keys: list[str]) -> Column:
@@ -375,12 +465,12 @@ def min_max(raw: str, keys: list[str]) -> Column:
     return F.when(span == 0, 0.5).otherwise((F.col(raw) - F.min(raw).over(w)) / span)
 
 
-def ordinal(raw: str, order: str, keys: list[str]) -> Column:
-    """Place over n - 1, ties by ``order``; all 0.5 where the values don't spread."""
-    w = Window.partitionBy(*keys)
-    n = F.count("*").over(w)
-    flat = (F.max(raw).over(w) - F.min(raw).over(w)) < 1e-9
-    return F.when((n == 1) | flat, 0.5).otherwise((F.row_number().over(w.orderBy(raw, order)) - 1) / (n - 1))
+def ordinal(rows: DataFrame, raw: str, order: str, keys: list[str], name: str = "score") -> DataFrame:
+    """``rows`` with their place over n - 1, ties by ``order``; all 0.5 where the values don't spread."""
+    ranked = ordinal_ranks(rows, keys, {"_place": raw}, order)
+    spread = rows.groupBy(*keys).agg(F.count("*").alias("_n"), (F.max(raw) - F.min(raw)).alias("_spread"))
+    place = F.when((F.col("_n") == 1) | (F.col("_spread") < 1e-9), 0.5).otherwise((F.col("_place") - 1) / (F.col("_n") - 1))
+    return ranked.join(spread, keys).withColumn("_p", place).select(*rows.columns, F.col("_p").alias(name))
 
 
 def zone_inputs(cells: DataFrame, p: dict = P.FALLBACK) -> DataFrame:

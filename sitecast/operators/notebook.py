@@ -7,6 +7,9 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sitecast.operators.scans import ordinal_ranks
+from sitecast.sources.scratch import kept
+
 
 def effort_minutes(started: Column, ended: Column) -> Column:
     """Whole minutes, one at least; null while the session is open.  Both in epoch seconds."""
@@ -174,8 +177,8 @@ def limiter(attempts: DataFrame, limits: Sequence[tuple] = LIMITS) -> DataFrame:
 
 def spearman(rows: DataFrame, keys: Sequence[str], x: str, y: str, order: str) -> DataFrame:
     """Rank correlation of two scores within each group, on ordinal ranks (ties by ``order``); null for one row."""
-    w = Window.partitionBy(*keys)
-    ranked = rows.withColumn("_x", F.row_number().over(w.orderBy(x, order))).withColumn("_y", F.row_number().over(w.orderBy(y, order)))
+    own = kept(rows.select(*keys, F.col(x).alias("x"), F.col(y).alias("y"), F.col(order).alias("o")), "scores")
+    ranked = ordinal_ranks(own, keys, {"_x": "x", "_y": "y"}, "o")
     d2 = F.sum((F.col("_x") - F.col("_y")) * (F.col("_x") - F.col("_y")))
     n = F.count("*")
     return ranked.groupBy(*keys).agg(n.alias("n"), F.when(n > 1, 1 - 6 * d2 / (n * (n * n - 1))).alias("rho"))

@@ -12,15 +12,16 @@ from pyspark.sql import functions as F
 
 from sitecast import params as P
 from sitecast.functions import columns as C
+from sitecast.operators import scans as S
 
 
-def asof_backward(anchors: DataFrame, readings: DataFrame, value: str, key: str = "site_id", at: str = "at") -> DataFrame:
-    """``anchors`` with the last non-null ``value`` at or before each, however old: one sort per key, no range join."""
-    left = anchors.select("*", F.lit(None).cast(readings.schema[value].dataType).alias("_v"), F.col(at).alias("_ts"), F.lit(1).alias("_side"))
-    right = readings.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_v"), F.col("ts").alias("_ts"), F.lit(0).alias("_side"))
-    w = Window.partitionBy(key).orderBy("_ts", "_side").rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(right, allowMissingColumns=True)
-    return both.withColumn(f"{value}_asof", F.last("_v", ignorenulls=True).over(w)).where("_side = 1").drop("_v", "_ts", "_side")
+def asof_backward(anchors: DataFrame, readings: DataFrame, value: str, key: str = "site_id", at: str = "at", stretch: int = S.STRETCH) -> DataFrame:
+    """``anchors`` with the last non-null ``value`` at or before each, however old: no range join, one sort for each stretch of a site's time."""
+    left = anchors.select("*", F.lit(None).cast(readings.schema[value].dataType).alias("_r"), F.col(at).alias("_ts"), F.lit(1).alias("_side"))
+    right = readings.where(F.col(value).isNotNull()).select(key, F.col(value).alias("_r"), F.col("ts").alias("_ts"), F.lit(0).alias("_side"))
+    both = S.cut(left.unionByName(right, allowMissingColumns=True), "_ts", stretch)
+    found = S.last_before(both, [key], ["_ts", "_side"], F.col("_r"), f"{value}_asof")
+    return found.where("_side = 1").drop("_r", "_ts", "_side", S.PART).select(*anchors.columns, f"{value}_asof")
 
 
 def asof_offsets(anchors: DataFrame, readings: DataFrame, value: str, hours: Sequence[int], key: str = "site_id") -> DataFrame:
@@ -30,15 +31,15 @@ def asof_offsets(anchors: DataFrame, readings: DataFrame, value: str, hours: Seq
     return found.groupBy(key, "at").agg(*(F.max(F.when(F.col("h") == h, F.col(f"{value}_asof"))).alias(f"v_{h}") for h in hours))
 
 
-def asof_values(anchors: DataFrame, readings: DataFrame, wanted: Sequence[tuple[str, int]], key: str = "site_id") -> DataFrame:
+def asof_values(anchors: DataFrame, readings: DataFrame, wanted: Sequence[tuple[str, int]], key: str = "site_id", stretch: int = S.STRETCH) -> DataFrame:
     """(key, at) with a column ``{value}_{h}`` for each (value, h) wanted: its last non-null reading at or before ``at - h`` hours, in one pass."""
     values, hours = sorted({v for v, _ in wanted}), sorted({h for _, h in wanted})
     left = anchors.select(key, "at", F.explode(F.array(*map(F.lit, hours))).alias("h"), *(F.lit(None).cast(readings.schema[v].dataType).alias(v) for v in values))
-    left = left.withColumn("ts", F.col("at") - F.col("h") * P.HOUR)
-    w = Window.partitionBy(key).orderBy("ts", F.col("h").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    both = left.unionByName(readings.select(key, "ts", *values), allowMissingColumns=True)
-    found = both.withColumns({v: F.last(v, ignorenulls=True).over(w) for v in values}).where("h is not null")
-    return found.groupBy(key, "at").agg(*(F.max(F.when(F.col("h") == h, F.col(v))).alias(f"{v}_{h}") for v, h in wanted))
+    left = left.withColumn("ts", F.col("at") - F.col("h") * P.HOUR).withColumn("side", F.lit(1))
+    both = S.cut(left.unionByName(readings.select(key, "ts", *values).withColumn("side", F.lit(0)), allowMissingColumns=True), "ts", stretch)
+    for v in values:
+        both = S.last_before(both, [key], ["ts", "side"], F.col(v), v)
+    return both.where("side = 1").groupBy(key, "at").agg(*(F.max(F.when(F.col("h") == h, F.col(v))).alias(f"{v}_{h}") for v, h in wanted))
 
 
 def lookback(anchors: DataFrame, readings: DataFrame, hours: int, key: str = "site_id") -> DataFrame:
@@ -208,26 +209,26 @@ def source_bias(rows: DataFrame, a: str, b: str, value: str, key: str = "site_id
     return x.join(y, [key, "ts"]).groupBy(key).agg(F.avg(F.col("x") - F.col("y")).alias("bias"), F.stddev_pop(F.col("x") - F.col("y")).alias("spread"), F.count("*").alias("n"))
 
 
-def since_change(rows: DataFrame, column: str, key: str = "site_id") -> DataFrame:
+def since_change(rows: DataFrame, column: str, key: str = "site_id", stretch: int = S.STRETCH) -> DataFrame:
     """Hours since ``column`` last changed, by runs of equal values (nulls are a value of their own)."""
-    w = Window.partitionBy(key).orderBy("at")
-    flagged = rows.withColumn("_new", (F.lag("at").over(w).isNull() | ~F.lag(column).over(w).eqNullSafe(F.col(column))).cast("int"))
-    runs = flagged.withColumn("_run", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return runs.withColumn("hours_since_change", (F.col("at") - F.min("at").over(Window.partitionBy(key, "_run"))) / P.HOUR).drop("_new", "_run")
+    known = S.last_before(S.cut(rows, "at", stretch), [key], ["at"], F.struct(F.col(column).alias("v")), "_before", inclusive=False)
+    new = F.col("_before").isNull() | ~F.col("_before.v").eqNullSafe(F.col(column))
+    begun = S.last_before(known, [key], ["at"], F.when(new, F.col("at")), "_since")
+    return begun.withColumn("hours_since_change", (F.col("at") - F.col("_since")) / P.HOUR).select(*rows.columns, "hours_since_change")
 
 
-def degree_days(readings: DataFrame, base: float, season_start: Column, key: str = "site_id") -> DataFrame:
+def degree_days(readings: DataFrame, base: float, season_start: Column, key: str = "site_id", stretch: int = S.STRETCH) -> DataFrame:
     """Running degree-days above ``base`` from the season's start, for every hour."""
-    rows = readings.where((F.col("ts") >= season_start) & F.col("temp_c").isNotNull())
-    w = Window.partitionBy(key).orderBy("ts").rowsBetween(Window.unboundedPreceding, 0)
-    return rows.withColumn("degree_days", F.sum(F.greatest(F.col("temp_c") - base, F.lit(0.0))).over(w) / 24)
+    rows = S.cut(readings.where((F.col("ts") >= season_start) & F.col("temp_c").isNotNull()), "ts", stretch)
+    summed = S.running_sum(rows, [key], ["ts"], F.greatest(F.col("temp_c") - base, F.lit(0.0)), "degree_days")
+    return summed.withColumn("degree_days", F.col("degree_days") / 24).select(*readings.columns, "degree_days")
 
 
-def settle(rows: DataFrame, candidate: str, hours: int = 48, key: str = "site_id") -> DataFrame:
+def settle(rows: DataFrame, candidate: str, hours: int = 48, key: str = "site_id", stretch: int = S.STRETCH) -> DataFrame:
     """Phase with hysteresis: a candidate holds once it has lasted ``hours``; until then the phase before it stays."""
-    w = Window.partitionBy(key).orderBy("at").rowsBetween(Window.unboundedPreceding, 0)
-    aged = since_change(rows, candidate, key)
-    return aged.withColumn("phase", F.last(F.when(F.col("hours_since_change") >= hours, F.col(candidate)), ignorenulls=True).over(w))
+    aged = S.cut(since_change(rows, candidate, key, stretch), "at", stretch)
+    held = F.when(F.col("hours_since_change") >= hours, F.col(candidate))
+    return S.last_before(aged, [key], ["at"], held, "phase").drop(S.PART)
 
 
 def latest(rows: DataFrame, keys: Sequence[str], order: str) -> DataFrame:

@@ -189,10 +189,11 @@ def geo19_shore_segments(spark, sf_dir):
     return found.select("site_id", F.col("index").cast("long").alias("index"), F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.round("normal_deg", 2).alias("normal_deg"))
 
 
-@query(f"""WITH {SITES}, st AS (SELECT n_nationkey AS entry_id, 49 + n_nationkey / 4.0::double AS y, 14 + n_nationkey / 3.0::double AS x FROM nation), d AS (SELECT site_id AS query_id, entry_id, sqrt(pow((y - lat) * 111320, 2) + pow((x - lon) * 111320 * cos(radians((lat + y) / 2)), 2)) / 1000 AS km FROM s CROSS JOIN st) SELECT query_id, arg_min(entry_id, (km, entry_id)) AS entry_id, round(min(km), 4) AS km FROM d WHERE km <= 150 GROUP BY 1""")
+@query(f"""WITH {SITES}, st AS (SELECT n_nationkey AS entry_id, 49 + n_nationkey / 4.0::double AS y, 14 + n_nationkey / 3.0::double AS x FROM nation), d AS (SELECT site_id AS query_id, entry_id, sqrt(pow((y - lat) * 111320, 2) + pow((x - lon) * 111320 * cos(radians((lat + y) / 2)), 2)) / 1000 AS km FROM s CROSS JOIN st) SELECT query_id, arg_min(entry_id, (km, entry_id)) AS entry_id, round(min(km), 4) AS km FROM d GROUP BY 1""")
 def geo19_nearest_station(spark, sf_dir):
-    stations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("entry_id"), F.array(F.struct((49 + F.col("n_nationkey") / 4).alias("lat"), (14 + F.col("n_nationkey") / 3).alias("lon"))).alias("line"))
-    found = G.nearest_vertex(sites(spark, sf_dir).select(F.col("site_id").alias("query_id"), "lat", "lon"), stations, 150.0)
+    """Every site has a station, however far."""
+    stations = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("entry_id"), (49 + F.col("n_nationkey") / 4).alias("lat"), (14 + F.col("n_nationkey") / 3).alias("lon"))
+    found = G.nearest_any(sites(spark, sf_dir).select(F.col("site_id").alias("query_id"), "lat", "lon"), stations)
     return found.select("query_id", "entry_id", F.round("km", 4).alias("km"))
 
 
@@ -244,7 +245,7 @@ RANKED = "r AS (SELECT site_id, row, col, round(fetch_m, 1) AS raw FROM c0)"
 @query(f"WITH {CELLS}, {RANKED} SELECT site_id, row, col, round((rank() OVER (PARTITION BY site_id ORDER BY raw) - 1 + (count(*) OVER (PARTITION BY site_id, raw) - 1) / 2.0) / (count(*) OVER (PARTITION BY site_id) - 1), 3) AS score FROM r")
 def win1_tie_percentile(spark, sf_dir):
     rows = score_cells(spark, sf_dir).withColumn("raw", F.round("fetch_m", 1))
-    return rows.select("site_id", "row", "col", F.round(G.percentile_ties("raw", ["site_id"]), 3).alias("score"))
+    return G.percentile_ties(rows, "raw", ["site_id"]).select("site_id", "row", "col", F.round("score", 3).alias("score"))
 
 
 @query(f"WITH {CELLS}, {RANKED} SELECT site_id, row, col, round((raw - min(raw) OVER w) / (max(raw) OVER w - min(raw) OVER w), 6) AS score FROM r WINDOW w AS (PARTITION BY site_id)")
@@ -256,7 +257,7 @@ def win2_min_max(spark, sf_dir):
 @query(f"WITH {CELLS}, {RANKED} SELECT site_id, row, col, round((row_number() OVER (PARTITION BY site_id ORDER BY raw, row * 10 + col) - 1) / (count(*) OVER (PARTITION BY site_id) - 1)::double, 6) AS score FROM r")
 def win3_ordinal_percentile(spark, sf_dir):
     rows = score_cells(spark, sf_dir).withColumn("raw", F.round("fetch_m", 1)).withColumn("place", F.col("row") * 10 + F.col("col"))
-    return r6(rows.select("site_id", "row", "col", G.ordinal("raw", "place", ["site_id"]).alias("score")))
+    return r6(G.ordinal(rows, "raw", "place", ["site_id"]).select("site_id", "row", "col", "score"))
 
 
 SAT = "(14.652 - 0.41022 * {0} + 0.007991 * {0} * {0} - 0.000077774 * {0} * {0} * {0})"
@@ -300,7 +301,7 @@ def zon4_type_weights(spark, sf_dir):
 def zon5_river_score(spark, sf_dir):
     """Raw scores to six places, so that sections alike but for the last bits rank by their order."""
     rows = G.river_score(sections(spark, sf_dir).join(sites(spark, sf_dir).select("site_id", F.when(F.col("site_id") % 3 > 0, F.col("wind")).alias("wind_dir")), "site_id")).withColumn("raw", F.round("raw", 6))
-    return rows.select("site_id", F.col("index").cast("long").alias("index"), "raw", F.round(G.ordinal("raw", "index", ["site_id"]), 4).alias("score"))
+    return G.ordinal(rows.select("site_id", F.col("index").cast("long").alias("index"), "raw"), "raw", "index", ["site_id"]).withColumn("score", F.round("score", 4))
 
 
 def biased(spark, sf_dir, biases=(-2.0, -1.0, 1.0, 2.0)):

@@ -104,7 +104,7 @@ def test_both_fetches_agree(spark):
 
 def test_percentiles_and_live_terms(spark):
     cells = spark.createDataFrame([(1, i, 100 + i * 0.001) for i in range(40)] + [(2, 0, 1.0)], "site_id long, row long, raw double")
-    got = cells.select("site_id", G.percentile_ties("raw", ["site_id"]).alias("p")).collect()
+    got = G.percentile_ties(cells, "raw", ["site_id"], "p").collect()
     assert {r.p for r in got if r.site_id == 2} == {0.5}
     own = [r.p for r in got if r.site_id == 1]
     assert min(own) == 0 and max(own) == 1 and sum(p <= 0.25 for p in own) >= 8
