@@ -497,10 +497,13 @@ TERMS = {"w_o2": "t_o2", "w_temp": "t_temp", "w_food": "lee_shore", "w_margin":
 
 
 def live_weights(rows: DataFrame, keys: list[str], p: dict = P.ZONE) -> DataFrame:
-    """Weights of the terms that vary over a site's cells, scaled to sum to one; sites where none does have no rows."""
-    w = Window.partitionBy(*keys)
-    live = {k: F.when(F.max(t).over(w) - F.min(t).over(w) >= p["dead_spread"], F.col(k)).otherwise(0.0) for k, t in TERMS.items()}
-    rows = rows.withColumns({f"l_{k}": c for k, c in live.items()})
+    """Weights of the terms that vary over a site's cells, scaled to sum to one; sites where none does have no rows.
+
+    The spreads are one aggregate a site, a row that meets its cells again; no site is sorted or held by one task.
+    """
+    spreads = rows.groupBy(*keys).agg(*((F.max(t) - F.min(t)).alias(f"_s_{k}") for k, t in TERMS.items()))
+    live = {f"l_{k}": F.when(F.col(f"_s_{k}") >= p["dead_spread"], F.col(k)).otherwise(0.0) for k in TERMS}
+    rows = rows.join(spreads, keys).withColumns(live).drop(*(f"_s_{k}" for k in TERMS))
     total = sum((F.col(f"l_{k}") for k in TERMS), F.lit(0.0))
     return rows.withColumn("_total", total).where("_total > 0").withColumns({f"l_{k}": F.col(f"l_{k}") / F.col("_total") for k in TERMS}).drop("_total")
 

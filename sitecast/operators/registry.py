@@ -9,6 +9,7 @@ import math
 from collections.abc import Sequence
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -228,10 +229,49 @@ def collapse(rows: DataFrame, metres: float = 1500.0) -> DataFrame:
     return lines.unionByName(led.groupBy("some", "key", "part").agg(best, F.count("*").alias("members")).drop("some", "part"))
 
 
+def common_at_most(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The longest common subsequence of each pair of strings, all pairs at once, a bit for each letter of ``a``.
+
+    No matching of blocks has more letters.  Letters that keys don't use count as one, and strings of more than 64 letters as
+    their length, which only raises the bound.
+    """
+    most = np.minimum([len(x) for x in a], [len(x) for x in b]).astype(np.int64)
+    short = np.flatnonzero(np.fromiter((len(x) <= 64 for x in a), bool, len(a)))
+    if not len(short):
+        return most
+    codes = {c: i for i, c in enumerate(" 0123456789abcdefghijklmnopqrstuvwxyz")}
+    one = np.uint64(1)
+    masks = np.zeros((len(short), len(codes) + 1), np.uint64)
+    for row, i in enumerate(short):
+        for j, c in enumerate(a[i]):
+            masks[row, codes.get(c, len(codes))] |= one << np.uint64(j)
+    sizes = np.array([len(b[i]) for i in short])
+    letters = np.full((len(short), max(1, int(sizes.max()))), -1)
+    for row, i in enumerate(short):
+        letters[row, : len(b[i])] = [codes.get(c, len(codes)) for c in b[i]]
+    state = np.full(len(short), np.iinfo(np.uint64).max)
+    with np.errstate(over="ignore"):
+        for j in range(letters.shape[1]):
+            on = np.flatnonzero(letters[:, j] >= 0)
+            m = masks[on, letters[on, j]]
+            v = state[on]
+            state[on] = (v + (v & m)) | (v & ~m)
+    width = np.array([len(a[i]) for i in short], np.uint64)
+    used = np.where(width == 64, np.iinfo(np.uint64).max, (one << (width % np.uint64(64))) - one)
+    most[short] = np.bitwise_count(~state & used)
+    return most
+
+
 @F.pandas_udf(DoubleType())
-def similarity(a: pd.Series, b: pd.Series) -> pd.Series:
-    """Ratio of matching blocks (Ratcliff-Obershelp), as the standard library has it."""
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b, strict=True)])
+def similarity(a: pd.Series, b: pd.Series, least: pd.Series) -> pd.Series:
+    """Ratio of matching blocks (Ratcliff-Obershelp), as the standard library has it; null where it is certain to be below ``least``."""
+    x, y = a.to_numpy(object), b.to_numpy(object)
+    total = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)])
+    able = 2.0 * common_at_most(x, y) >= (least.to_numpy() - 1e-9) * total
+    out = np.full(len(x), np.nan)
+    for i in np.flatnonzero(able):
+        out[i] = SequenceMatcher(None, x[i], y[i]).ratio()
+    return pd.Series(out).where(able, None)
 
 
 #: Letters by how rarely names hold them, rare ones first; others come before all.
@@ -277,7 +317,7 @@ def suggest(queries: DataFrame, registry: DataFrame, k: int = 5, cut: float = 0.
             begins = met if begins is None else begins.unionByName(met)
     pairs = begins.unionByName(_alike_in_letters(words, listed.select("key"), cut)).distinct()
     bound = 2 * F.least(F.length("q"), F.length("key")) / (F.length("q") + F.length("key"))
-    scored = pairs.withColumn("gain", gain).where(bound + F.col("gain") >= cut).withColumn("ratio", similarity("q", "key") + F.col("gain")).where(F.col("ratio") >= cut)
+    scored = pairs.withColumn("gain", gain).where(bound + F.col("gain") >= cut).withColumn("ratio", similarity("q", "key", cut - F.col("gain")) + F.col("gain")).where((F.col("ratio") >= cut) & ~F.isnan("ratio"))
     found = asked.join(scored, "q").join(listed, "key")
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("ratio"), "name", "key"))
     return found.withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", "key", "name", "ratio")
@@ -296,7 +336,7 @@ def districts(queries: DataFrame, registry: DataFrame, k: int = 8, cut: float =
     holding = words.withColumn("e", F.get(_letters(F.col("q")), F.lit(0))).join(listed.withColumn("e", F.explode(_letters(F.col("key")))), "e").where(F.col("key").contains(F.col("q"))).select("q", "key")
     pairs = holding.unionByName(_alike_in_letters(words, listed, cut)).distinct()
     gain = F.when(F.col("key").startswith(F.col("q")), front).when(F.col("key").contains(F.col("q")), within).otherwise(0.0)
-    scored = pairs.withColumn("ratio", similarity("q", "key") + gain).where(F.col("ratio") >= cut)
+    scored = pairs.withColumn("ratio", similarity("q", "key", cut - gain) + gain).where((F.col("ratio") >= cut) & ~F.isnan("ratio"))
     place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("ratio"), "name", "entry_id"))
     return asked.join(scored, "q").join(placed, "key").withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", "entry_id", "key", "name", "ratio")
 
