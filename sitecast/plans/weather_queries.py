@@ -339,7 +339,13 @@ def mod7_water_band_central(spark, sf_dir):
     return r6(M.water_band(anchors(spark, sf_dir), obs(spark, sf_dir), e=one).select("site_id", "at", "central"))
 
 
-@query()
+MEMBERS = ", ".join(f"(VALUES {', '.join(f'({float(x)}::double)' for x in P.ENSEMBLE[name])}) {c}({c})" for c, name in (("tau", "tau"), ("sun", "sun"), ("dry", "evaporation")))
+BAND27 = f"""w7 AS (SELECT a.site_id, a.at, list({{'ts': o.ts, 'air': temp_c, 'gain': 2.5 * shortwave / 1000.0, 'loss': 0.10 * greatest(0.0, temp_c - dewpoint_c) * least(2.0, 1 + wind_ms / 8.0), 'w': 0.0::double}} ORDER BY o.ts) AS s, avg(temp_c) AS seed, count(*) AS hours, min(temp_c) - 6 AS lo, max(temp_c) + 4 AS hi FROM anchors a JOIN obs o ON a.site_id = o.site_id AND o.ts BETWEEN a.at - 259200 AND a.at GROUP BY 1, 2),
+  m7 AS (SELECT site_id, at, greatest(lo, least(hi, list_reduce(s, lambda x, y: {{'ts': y.ts, 'air': y.air, 'gain': y.gain, 'loss': y.loss, 'w': x.w + (y.air + y.gain * sun - y.loss * dry - x.w) * (greatest(0.0, least(CASE WHEN x.ts < 0 THEN 1.0 ELSE (y.ts - x.ts) / 3600.0 END, 62.64 * tau)) / (62.64 * tau))}}, {{'ts': -1::bigint, 'air': 0.0::double, 'gain': 0.0::double, 'loss': 0.0::double, 'w': seed}}).w)) AS w
+    FROM w7, {MEMBERS} WHERE hours >= 2 AND least(1.0, hours / 72.0) >= 0.8), b7 AS (SELECT site_id, at, list_sort(list(w)) AS r FROM m7 GROUP BY 1, 2)"""
+
+
+@query(f"{BASE}, {BAND27} SELECT a.site_id, a.at, round(r[14], 6) AS central, round(r[1], 6) AS low, round(r[27], 6) AS high FROM anchors a LEFT JOIN b7 ON a.site_id = b7.site_id AND a.at = b7.at")
 def mod7_water_band(spark, sf_dir):
     return r6(M.water_band(anchors(spark, sf_dir), obs(spark, sf_dir)))
 
