@@ -125,16 +125,15 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, size: int = 13, sh
     if n == 1:
         found = _scan(docs, block(0), size)
     else:
-        # Rows meet by id and text, so that equal rows (which have equal results) stay apart by count alone.
-        keyed = docs.select("doc_id", "text").groupBy("doc_id", "text").agg(F.count("*").alias("copies"))
-        keyed = keyed.withColumn("key", F.xxhash64("doc_id", "text"))
-        each = [materialize(_scan(keyed.select(F.col("key").alias("doc_id"), "text"), block(i), size), "hits") for i in range(n)]
+        # Rows are numbered once and for all in a written table, and meet by their numbers.
+        rows = docs.select(F.col("doc_id").cast("long").alias("own"), F.col("text").cast("string").alias("text")).withColumn("key", F.monotonically_increasing_id())
+        rows = materialize(rows, "numbered")
+        each = [materialize(_scan(rows.select(F.col("key").alias("doc_id"), "text"), block(i), size), "hits") for i in range(n)]
         every = each[0]
         for x in each[1:]:
             every = every.unionByName(x)
         met = every.groupBy("doc_id").agg(F.max("n_words").alias("n_words"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("hit_words")))).alias("hit_words"), F.sort_array(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"), F.sort_array(F.flatten(F.collect_list("spans"))).alias("spans"))
-        back = keyed.select("key", F.col("doc_id").alias("own"), "copies")
-        found = met.join(back, met["doc_id"] == back["key"]).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int")))).select(F.col("own").alias("doc_id"), "n_words", "hit_words", "item_ids", "spans")
+        found = met.join(rows.select("key", "own"), met["doc_id"] == F.col("key")).select(F.col("own").alias("doc_id"), "n_words", "hit_words", "item_ids", "spans")
     n_hit = F.size("hit_words").cast("long")
     return found.withColumns({"n_hit": n_hit, "n_items": F.size("item_ids").cast("long"), "contaminated": (n_hit > 0) & (share * n_hit >= F.col("n_words"))})
 
