@@ -41,7 +41,8 @@ class QualityParams:
     #: hundred words: a symbol or mark in 400 (the root of 1 / 400), a capital in 400 letters, one of 16 lines or of
     #: 16 words repeated, a third of a letter in the mean word.
     floors: tuple[float, ...] = (0.35, 0.05, 0.06, 0.06, 0.05, 0.04)
-    #: Rows of one group meet its estimate in so many tasks.
+    #: Estimates of up to so many rows (some hundred bytes each) are broadcast; beyond, rows of one group meet theirs in ``salts`` tasks.
+    small: int = 10_000
     salts: int = 64
 
 
@@ -107,7 +108,9 @@ def _blended(est: DataFrame, p: QualityParams) -> DataFrame:
 
 
 def _meet(rows: DataFrame, est: DataFrame, p: QualityParams) -> DataFrame:
-    """``rows`` with the estimates of their group, over salted keys: Spark broadcasts a small ``est`` by its size, else a hot group is spread."""
+    """``rows`` with the estimates of their group: a written table, broadcast if its rows are counted to be few, else met over salted keys, so that a hot group is spread."""
+    if est.count() <= p.small:
+        return rows.join(F.broadcast(est), "g")
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(*FEATURES), F.lit(p.salts)))
     return salted.join(est.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(p.salts - 1).cast("long")))), ["g", "salt"]).drop("salt")
 
