@@ -7,17 +7,20 @@ signs around the medians.  In a step the documents with the smallest Mahalanobis
 of the group) give the next mean and covariance; of the three results the one with the smallest
 determinant stands.  Documents far off by it go.
 
+A step is one pass: the sums that make moments are gathered by group, start and narrow bins of the distance
+(``bins`` to an octave), and the nearest bins that hold the share count, the last of them in part.
+
 A group's estimate is blended with that of all documents as if ``prior`` documents more had shown the
 latter, at every group size, so verdicts don't turn where a group passes some size.  All estimates are
-aggregates that are combined before the shuffle, and rows meet them over salted keys, so no task gathers a
-group.
+aggregates that are combined before the shuffle, and rows meet them broadcast or over salted keys, so no task
+gathers a group.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sitecast.llm.common import delete, materialize
@@ -31,6 +34,8 @@ FEATURES = ("x_length", "x_symbols", "x_lines", "x_repeats", "x_capitals", "x_ma
 class QualityParams:
     core: float = 0.75
     steps: int = 3
+    #: Bins of distances to an octave, from 2 ** -10 on.
+    bins: int = 16
     #: Documents of all groups that a group's estimate is blended with.
     prior: float = 200.0
     #: Median of the chi-square distribution of six degrees of freedom, which ``scale`` refers to, and the distance
@@ -78,38 +83,36 @@ def statistics(docs: DataFrame) -> DataFrame:
     )
 
 
-PAIRS = [(i, j) for i in range(len(FEATURES)) for j in range(i, len(FEATURES))]
+#: Coordinates and their pairs.  The long lists of expressions below are SQL, each parsed in one call.
+K = range(len(FEATURES))
+PAIRS = [(i, j) for i in K for j in K if i <= j]
 
 
 def _with_factor(est: DataFrame, p: QualityParams) -> DataFrame:
     """``est`` (means m_i, covariances c_i_j) with the Cholesky factor l_i_j, whose columns build on each other, instead of the covariances."""
     made = []
-    for i in range(len(FEATURES)):
+    for i in K:
         for j in range(i + 1):
-            rest = F.col(f"c_{j}_{i}") + (p.floors[i] ** 2 if i == j else 0.0)
-            for m in range(j):
-                rest = rest - F.col(f"l_{i}_{m}") * F.col(f"l_{j}_{m}")
-            made.append((F.sqrt(F.greatest(rest, F.lit(p.floors[i] ** 2 / 4))) if i == j else rest / F.col(f"l_{j}_{j}")).alias(f"l_{i}_{j}"))
+            rest = " - ".join([f"c_{j}_{i}", *(f"l_{i}_{m} * l_{j}_{m}" for m in range(j))])
+            least = p.floors[i] ** 2
+            made.append(f"sqrt(greatest({rest} + {least!r}D, {least / 4!r}D)) as l_{i}_{i}" if i == j else f"({rest}) / l_{j}_{j} as l_{i}_{j}")
     covariances = {f"c_{i}_{j}" for i, j in PAIRS}
-    return est.select(*(c for c in est.columns if c not in covariances), *made)
+    return est.selectExpr(*(c for c in est.columns if c not in covariances), *made)
 
 
 def _blended(est: DataFrame, p: QualityParams) -> DataFrame:
     """``est`` (g, start, size, m_i, c_i_j) with each group's moments blended with those of all rows (g empty) of the same start."""
-    k = range(len(FEATURES))
-    every = est.where("g = ''").select("start", *(F.col(f"m_{i}").alias(f"am_{i}") for i in k), *(F.col(f"c_{i}_{j}").alias(f"ac_{i}_{j}") for i, j in PAIRS))
-    own = F.when(F.col("g") == "", 1.0).otherwise(F.col("size") / (F.col("size") + p.prior))
-    met = est.join(F.broadcast(every), "start").withColumn("own", own)  # one row a start
-    both = lambda a, b: F.col("own") * a + (1 - F.col("own")) * b
-    off = lambda i: F.col(f"m_{i}") - F.col(f"am_{i}")
-    means = [both(F.col(f"m_{i}"), F.col(f"am_{i}")).alias(f"m_{i}") for i in k]
-    spread = [(both(F.col(f"c_{i}_{j}"), F.col(f"ac_{i}_{j}")) + F.col("own") * (1 - F.col("own")) * off(i) * off(j)).alias(f"c_{i}_{j}") for i, j in PAIRS]
-    return met.select("g", "start", "size", *means, *spread)
-
-
-def _meet(rows: DataFrame, est: DataFrame, p: QualityParams) -> DataFrame:
-    """``rows`` with the estimates of their group: a written table, broadcast if its rows are counted to be few, else met over salted keys, so that a hot group is spread."""
-    if est.count() <= p.small:
+    every = est.where("g = ''").selectExpr("start", *(f"m_{i} as am_{i}" for i in K), *(f"c_{i}_{j} as ac_{i}_{j}" for i, j in PAIRS))
+    met = est.join(F.broadcast(every), "start").withColumn("own", F.expr(f"case when g = '' then 1D else size / (size + {p.prior!r}D) end"))  # one row a start
+    # Means of other names until the spreads, which go by the unblended ones, are made.
+    means = [f"own * m_{i} + (1 - own) * am_{i} as b_{i}" for i in K]
+    spread = [f"own * c_{i}_{j} + (1 - own) * ac_{i}_{j} + own * (1 - own) * (m_{i} - am_{i}) * (m_{j} - am_{j}) as c_{i}_{j}" for i, j in PAIRS]
+    return met.selectExpr("g", "start", "size", *means, *spread).withColumnsRenamed({f"b_{i}": f"m_{i}" for i in K})
+
+
+def _meet(rows: DataFrame, est: DataFrame, few: bool, p: QualityParams) -> DataFrame:
+    """``rows`` with the estimates of their group: broadcast where they are counted to be few, else met over salted keys, so that a hot group is spread."""
+    if few:
         return rows.join(F.broadcast(est), "g")
     salted = rows.withColumn("salt", F.pmod(F.xxhash64(*FEATURES), F.lit(p.salts)))
     return salted.join(est.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(p.salts - 1).cast("long")))), ["g", "salt"]).drop("salt")
@@ -117,67 +120,73 @@ def _meet(rows: DataFrame, est: DataFrame, p: QualityParams) -> DataFrame:
 
 def _distance(rows: DataFrame) -> DataFrame:
     """``rows`` with the squared Mahalanobis distance d2, by forward substitution: the columns build on each other."""
-    made = []
-    for i, x in enumerate(FEATURES):
-        z = F.col(x) - F.col(f"m_{i}")
-        for j in range(i):
-            z = z - F.col(f"l_{i}_{j}") * F.col(f"z_{j}")
-        made.append((z / F.col(f"l_{i}_{i}")).alias(f"z_{i}"))
-    d2 = sum((F.col(f"z_{i}") * F.col(f"z_{i}") for i in range(len(FEATURES))), F.lit(0.0))
-    return rows.select(*rows.columns, *made, d2.alias("d2"))
+    made = [f"({' - '.join([f'({x} - m_{i})', *(f'l_{i}_{j} * z_{j}' for j in range(i))])}) / l_{i}_{i} as z_{i}" for i, x in enumerate(FEATURES)]
+    return rows.selectExpr("*", *made, " + ".join(f"z_{i} * z_{i}" for i in K) + " as d2")
+
 
+def _sums(weight: str = "") -> list[Column]:
+    """The count n and sums s_i, s_i_j of the features and their products; with ``weight``, of such sums."""
+    if weight:
+        return [F.expr(f"sum({x} * {weight}) as {x}") for x in ("n", *(f"s_{i}" for i in K), *(f"s_{i}_{j}" for i, j in PAIRS))]
+    return [F.expr(x) for x in ("count(*) as n", *(f"sum({x}) as s_{i}" for i, x in enumerate(FEATURES)), *(f"sum({FEATURES[i]} * {FEATURES[j]}) as s_{i}_{j}" for i, j in PAIRS))]
 
-def _moments(columns: tuple[str, ...] = FEATURES) -> list[Column]:
-    return [F.avg(x).alias(f"m_{i}") for i, x in enumerate(columns)] + [F.covar_pop(columns[i], columns[j]).alias(f"c_{i}_{j}") for i, j in PAIRS]
+
+def _moments() -> list[str]:
+    """Means m_i and covariances c_i_j of such sums."""
+    return [f"s_{i} / n as m_{i}" for i in K] + [f"s_{i}_{j} / n - (s_{i} / n) * (s_{j} / n) as c_{i}_{j}" for i, j in PAIRS]
 
 
 def group_key() -> Column:
     return F.concat_ws("\x01", F.coalesce("lang", F.lit("\x02")), F.coalesce("source", F.lit("\x02")))
 
 
-def estimates(stats: DataFrame, p: QualityParams) -> DataFrame:
-    """A row for each group of rows, and one with an empty key for all: g, means, factor, and ``scale``, which makes the median distance that of chi-square."""
-    k = range(len(FEATURES))
-    # Every row counts for its group and for all.
-    rows = stats.select(F.explode(F.array(group_key(), F.lit(""))).alias("g"), *FEATURES)
-    made: list[DataFrame] = []
+def _starts(rows: DataFrame, seen: DataFrame, few: bool, p: QualityParams) -> DataFrame:
+    """The moments (g, start, size, m_i, c_i_j) of the three starts, from counts, sums and quartiles of the groups."""
+    spread = lambda i: f"pow((q_{i}[2] - q_{i}[0]) / 1.349D, 2)"
+    middle = seen.selectExpr("g", "0 as start", "n as size", *(f"q_{i}[1] as m_{i}" for i in K), *(f"{spread(i) if i == j else '0D'} as c_{i}_{j}" for i, j in PAIRS))
+    # Signs: directions from the medians, in units of the spreads, as long as one.
+    units = _blended(middle, p).selectExpr("g", "size", *(f"m_{i}" for i in K), *(f"sqrt(c_{i}_{i} + {p.floors[i] ** 2!r}D) as u_{i}" for i in K))
+    away = _meet(rows, units.drop("size"), few, p).selectExpr("g", *(f"({x} - m_{i}) / u_{i} as d_{i}" for i, x in enumerate(FEATURES)))
+    away = away.selectExpr("*", " + ".join(f"d_{i} * d_{i}" for i in K) + " + 1e-12D as square")
+    signs = away.groupBy("g").agg(*(F.expr(f"avg(d_{i} * d_{j} / square) as v_{i}_{j}") for i, j in PAIRS)).join(units, "g")
+    signs = signs.selectExpr("g", "2 as start", "size", *(f"m_{i}" for i in K), *(f"v_{i}_{j} * u_{i} * u_{j} * {len(FEATURES)} as c_{i}_{j}" for i, j in PAIRS))
+    return middle.unionByName(seen.selectExpr("g", "1 as start", "n as size", *_moments())).unionByName(signs)
+
 
-    def kept(est: DataFrame) -> DataFrame:
-        made.append(materialize(_with_factor(_blended(est, p), p), "estimates"))
-        return made[-1]
+def _concentrated(rows: DataFrame, est: DataFrame, few: bool, p: QualityParams) -> DataFrame:
+    """The moments of each group's and start's nearest rows, a share ``core`` of them, by ``est``."""
+    binned = _distance(_meet(rows, est, few, p)).groupBy("g", "start", F.expr(f"floor(log2(greatest(d2, pow(2D, -10))) * {p.bins}) as bin")).agg(*_sums())
+    own = Window.partitionBy("g", "start")
+    binned = binned.withColumns({"size": F.sum("n").over(own), "upto": F.sum("n").over(own.orderBy("bin"))})
+    core = binned.withColumn("part", F.expr(f"least(1D, (size * {p.core!r}D - upto + n) / n)")).where("part > 0")
+    return core.groupBy("g", "start").agg(F.first("size").alias("size"), *_sums("part")).selectExpr("g", "start", "size", *_moments())
 
+
+def estimates(stats: DataFrame, p: QualityParams) -> tuple[DataFrame, bool]:
+    """A row for each group of rows, and one with an empty key for all: g, means, factor, and ``scale``, which makes the median distance that of chi-square.
+
+    With them, whether they are few enough to be broadcast.
+    """
+    # Every row counts for its group and for all.
+    rows = stats.select(F.explode(F.array(group_key(), F.lit(""))).alias("g"), *FEATURES)
     quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
-    seen = rows.groupBy("g").agg(F.count("*").alias("size"), *_moments(), *(F.percentile_approx(x, quarters, 2000).alias(f"q_{i}") for i, x in enumerate(FEATURES)))
-    made.append(materialize(seen, "estimates"))
-    spread = lambda i: F.pow((F.col(f"q_{i}")[2] - F.col(f"q_{i}")[0]) / 1.349, 2)
-    middle = made[0].select("g", F.lit(0).alias("start"), "size", *(F.col(f"q_{i}")[1].alias(f"m_{i}") for i in k), *((spread(i) if i == j else F.lit(0.0)).alias(f"c_{i}_{j}") for i, j in PAIRS))
-    first = kept(middle)
-    # Signs: directions from the medians, in units of the spreads, as long as one.
-    away = _meet(rows, first, p).withColumns({f"s_{i}": (F.col(x) - F.col(f"m_{i}")) / F.col(f"l_{i}_{i}") for i, x in enumerate(FEATURES)})
-    length = F.sqrt(sum((F.col(f"s_{i}") * F.col(f"s_{i}") for i in k), F.lit(1e-12)))
-    signs = away.groupBy("g").agg(F.first("size").alias("size"), *(F.first(f"{x}_{i}" if x == "m" else f"l_{i}_{i}").alias(f"{x}_{i}") for i in k for x in "ml"), *(F.avg(F.col(f"s_{i}") * F.col(f"s_{j}") / (length * length)).alias(f"u_{i}_{j}") for i, j in PAIRS))
-    signs = signs.select("g", F.lit(2).alias("start"), "size", *(f"m_{i}" for i in k), *((F.col(f"u_{i}_{j}") * F.col(f"l_{i}") * F.col(f"l_{j}") * len(FEATURES)).alias(f"c_{i}_{j}") for i, j in PAIRS))
-    starts = made[0].select("g", F.lit(1).alias("start"), "size", *(f"m_{i}" for i in k), *(f"c_{i}_{j}" for i, j in PAIRS)).unionByName(signs)
-    est = materialize(first.unionByName(kept(starts)), "estimates")
-    made.append(est)
+    seen = materialize(rows.groupBy("g").agg(*_sums(), *(F.percentile_approx(x, quarters, 2000).alias(f"q_{i}") for i, x in enumerate(FEATURES))), "estimates")
+    few = 3 * seen.count() <= p.small
+    made = [seen, materialize(_starts(rows, seen, few, p), "estimates")]
     for _ in range(p.steps):
-        core = _distance(_meet(rows, est, p)).groupBy("g", "start").agg(F.percentile_approx("d2", p.core, 2000).alias("most"))
-        within = materialize(est.join(core, ["g", "start"]), "estimates")
-        made.append(within)
-        near = _distance(_meet(rows, within, p)).where("d2 <= most")
-        est = kept(near.groupBy("g", "start").agg(F.first("size").alias("size"), *_moments()))
-    lowest = F.min_by(F.struct(*(c for c in est.columns if c not in ("g", "start"))), F.struct(F.round(sum((F.log(f"l_{i}_{i}") for i in k), F.lit(0.0)), 9), F.col("start"))).alias("e")
+        made.append(materialize(_concentrated(rows, _with_factor(_blended(made[-1], p), p), few, p), "estimates"))
+    est = _with_factor(_blended(made[-1], p), p)
+    volume = F.expr(f"round({' + '.join(f'ln(l_{i}_{i})' for i in K)}, 9)")
+    lowest = F.min_by(F.struct(*(c for c in est.columns if c not in ("g", "start"))), F.struct(volume, F.col("start"))).alias("e")
     best = materialize(est.groupBy("g").agg(lowest).select("g", "e.*"), "estimates")
-    made.append(best)
-    scale = _distance(_meet(rows, best, p)).groupBy("g").agg((F.percentile_approx("d2", 0.5, 2000) / p.median).alias("scale"))
+    scale = materialize(_distance(_meet(rows, best, few, p)).groupBy("g").agg((F.percentile_approx("d2", 0.5, 2000) / p.median).alias("scale")), "estimates")
+    for df in made:
+        delete(df)
     # A group's scale is blended as its moments are.
     every = scale.where("g = ''").select(F.col("scale").alias("all_scale"))
     own = F.col("size") / (F.col("size") + p.prior)
     scaled = best.join(scale, "g").join(F.broadcast(every), F.lit(True))  # one row
-    out = materialize(scaled.withColumn("scale", F.greatest(own * F.col("scale") + (1 - own) * F.col("all_scale"), F.lit(1.0))).drop("all_scale", "size"), "estimates")
-    for df in made:
-        delete(df)
-    return out
+    return scaled.withColumn("scale", F.greatest(own * F.col("scale") + (1 - own) * F.col("all_scale"), F.lit(1.0))).drop("all_scale", "size"), few
 
 
 def judge(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
@@ -190,8 +199,8 @@ def judge(docs: DataFrame, p: QualityParams = QualityParams()) -> DataFrame:
     stats = materialize(statistics(docs), "statistics")
     stats = stats.withColumn("base_failed", F.expr("n_words < 50 or 100 * n_repeat_words > 50 * n_words"))
     passed = stats.where("not base_failed")
-    est = estimates(passed, p)
-    far = _distance(_meet(passed.withColumn("g", group_key()), est, p)).withColumn("distance", F.col("d2") / F.col("scale"))
+    est, few = estimates(passed, p)
+    far = _distance(_meet(passed.withColumn("g", group_key()), est, few, p)).withColumn("distance", F.col("d2") / F.col("scale"))
     base = [c for c in stats.columns if c not in FEATURES and c not in ("lang", "source")]
     good = far.select(*base, "distance", (F.col("distance") <= p.cutoff).alias("kept"))
     return good.unionByName(stats.where("base_failed").select(*base, F.lit(None).cast("double").alias("distance"), F.lit(False).alias("kept")))
