@@ -6,14 +6,16 @@ A window that holds ``share`` of a template's shingles has a Jaccard similarity
 with it; with min-hashes of one row each, such a window and template agree in some band but for a chance of
 (1 - least) ** bands, and each class of sizes has as many bands as bring that to ``miss``.  Windows that agree are verified by exact shingle containment.
 
-Min-hashes can only agree on a shingle that both hold, and every shingle of a template holds one of the
-pairs of neighbouring words picked as anchors.  So windows without an anchor can't retrieve anything, and
-aren't hashed.
+A window that matches misses few of a template's shingles, so of one more than these it holds one.  For each
+template as many shingles are covered by anchors, pairs of neighbouring words; windows that hold no anchor of their
+class can't match and aren't hashed, and texts without the longest word of any anchor keep no words.
 """
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 import re
 from dataclasses import dataclass, field
 
@@ -60,17 +62,30 @@ def _shingles(own: list[str], size: int) -> list[str]:
     return list(dict.fromkeys(" ".join(own[i : i + size]) for i in range(max(1, len(own) - size + 1)))) if own else []
 
 
-def anchors(shingles: list[str]) -> list[str]:
-    """Word pairs (or words, of one-word shingles) of which every shingle holds one, pairs of longer words first: greedily those that cover most."""
-    pairs = [{" ".join(w[i : i + 2]) for i in range(max(1, len(w) - 1))} for w in (s.split() for s in shingles)]
+def sure_anchors(templates: list[list[str]], share: float) -> list[str]:
+    """Word pairs (or words, of one-word shingles) of which every match holds one, pairs of longer words first: greedily those that cover most.
+
+    Of each template fewer than ``share`` of the shingles stay without an anchor.
+    """
+    left = {i: list(own) for i, own in enumerate(templates)}
     out: list[str] = []
-    while pairs:
-        best = max(sorted({p for s in pairs for p in s}), key=lambda p: (min(map(len, p.split())) >= 4, sum(p in s for s in pairs), len(p)))
-        out.append(best)
-        pairs = [s for s in pairs if best not in s]
+    while needy := [i for i, own in left.items() if own and len(own) >= _need(len(templates[i]), share)]:
+        pairs = [{" ".join(w[j : j + 2]) for j in range(max(1, len(w) - 1))} for w in (s.split() for i in needy for s in left[i])]
+        out.append(best := max(sorted({p for s in pairs for p in s}), key=lambda p: (min(map(len, p.split())) >= 4, sum(p in s for s in pairs), len(p))))
+        left = {i: [s for s in own if f" {best} " not in f" {s} "] for i, own in left.items()}
     return out
 
 
+def anchors(shingles: list[str]) -> list[str]:
+    """Anchors of which every shingle holds one."""
+    return sure_anchors([[s] for s in shingles], 1.0)
+
+
+def _need(n: int, share: float) -> int:
+    """Shingles of ``n`` that a match holds at least."""
+    return math.ceil(share * n - 1e-9)
+
+
 def size_class(n: int) -> int:
     c = 8
     while c < n:
@@ -80,7 +95,7 @@ def size_class(n: int) -> int:
 
 def bands_of(counts: list[int], window: int, p: LicenseParams) -> int:
     """One-row bands for templates of so many shingles and windows of ``window``: by the least Jaccard similarity of a match."""
-    need = [(math.ceil(p.share * n - 1e-9), n) for n in counts]
+    need = [(_need(n, p.share), n) for n in counts]
     least = min(k / (window + n - k) for k, n in need)
     return 1 if least >= 1 else max(1, math.ceil(math.log(p.miss) / math.log(1 - least)))
 
@@ -106,18 +121,20 @@ def find_licenses(docs: DataFrame, p: LicenseParams = LicenseParams()) -> DataFr
     groups: dict[tuple[int, int], list[str]] = {}
     for name, own in split.items():
         groups.setdefault((size_class(len(own)), min(size, len(own))), []).append(name)
-    picked = anchors([s for own in split.values() for s in _shingles(own, size)])
-    # Documents without an anchor keep no words.
+    picked = {key: sure_anchors([_shingles(split[n], key[1]) for n in own], p.share) for key, own in groups.items()}
+    # Texts without the longest word of an anchor keep no words; lower() leaves ASCII letters where they are.
+    longest = sorted({max(a.split(), key=len) for own in picked.values() for a in own})
+    rows = rows.withColumn("low", F.lower("text"))
+    held = functools.reduce(operator.or_, (F.contains("low", F.lit(x)) for x in longest))
     low = F.translate("text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-    held = F.col("text").rlike("(?i)" + "|".join(p.replace(" ", "[^a-z0-9]+") for p in picked))
-    rows = rows.withColumn("w", F.when(held, F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0))))
-    names = ", ".join(repr(a) for a in picked)
-    rows = rows.withColumn("at", F.expr(f"filter(transform(w, (x, i) -> case when concat_ws(' ', x, get(w, i + 1)) in ({names}) or x in ({names}) then i end), i -> i is not null)"))
+    rows = rows.withColumn("w", F.when(held, F.regexp_extract_all(low, F.lit("[a-z0-9]+"), F.lit(0)))).drop("low", "text")
     found = []
     for (c, k), own in groups.items():
         hashes = {n: [F.xxhash64(F.lit(s)) for s in _shingles(split[n], k)] for n in own}
         bands = bands_of([len(x) for x in hashes.values()], 2 * c - k + 1, p)
         templates = F.array(*[F.struct(F.lit(n).alias("name"), F.array(*hashes[n]).alias("own"), _bands(F.array(*hashes[n]), bands).alias("bands")) for n in own])
+        names = ", ".join(repr(a) for a in picked[c, k])
+        rows = rows.withColumn("at", F.expr(f"filter(transform(w, (x, i) -> case when concat_ws(' ', x, get(w, i + 1)) in ({names}) or x in ({names}) then i end), i -> i is not null)"))
         rows = rows.withColumn("numbers", F.expr(f"array_distinct(flatten(transform(at, i -> filter(array(cast(i div {c} as int) - 1, cast(i div {c} as int)), b -> b >= 0))))"))
         rows = rows.withColumn("windows", F.expr(f"filter(transform(numbers, b -> transform(sequence(0, greatest(0, least({2 * c}, size(w) - b * {c}) - {k})), i -> xxhash64(array_join(slice(w, b * {c} + i + 1, {k}), ' ')))), x -> size(x) > 0)"))
         rows = rows.withColumn("signed", F.transform("windows", lambda x: F.struct(x.alias("own"), _bands(x, bands).alias("bands"))))
@@ -128,7 +145,7 @@ def find_licenses(docs: DataFrame, p: LicenseParams = LicenseParams()) -> DataFr
 
         rows = rows.withColumn(f"m_{c}_{k}", F.transform(f"t_{c}_{k}", lambda t: F.struct(t["name"].alias("template"), F.array_max(near(t)).alias("containment"))))
         found.append(F.coalesce(f"m_{c}_{k}", F.array().cast(kind)))
-        rows = rows.drop("numbers", "windows", "signed", f"t_{c}_{k}")
+        rows = rows.drop("at", "numbers", "windows", "signed", f"t_{c}_{k}")
     return rows.select("doc_id", F.sort_array(F.filter(F.concat(*found), lambda m: m["containment"] >= p.share)).alias("matches"))
 
 

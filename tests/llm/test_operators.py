@@ -369,6 +369,18 @@ def test_licenses(docs, spark, empty):
     assert all(any(p in s for p in picked) for s in shingles_)
 
 
+def test_license_anchors_are_in_every_match_and_not_in_prose():
+    picked = []
+    for text in licenses.TEMPLATES.values():
+        own = licenses._shingles(licenses.words(text), 5)
+        keep, found = licenses._need(len(own), 0.8), licenses.sure_anchors([own], 0.8)
+        # Where no more shingles lack an anchor than a match may miss, each match holds one.
+        assert sum(not any(f" {a} " in f" {s} " for a in found) for s in own) < keep
+        picked += found
+    prose = " you may see a copy of the map on an island, as published in source after source under conditions of this day "
+    assert not any(f" {a} " in prose for a in picked)
+
+
 def test_licenses_equal_containment_in_every_window(spark):
     """Whole, shortened, stretched and mixed notices against every window's exact shingle containment."""
     rng = random.Random(6)
