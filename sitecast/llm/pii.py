@@ -1,17 +1,20 @@
 """Personal data with a skip-chain conditional random field (op 5).
 
-Base patterns find addresses and numbers.  A text in which they found something, or which holds an address
-written with ``at`` or a number after a word for telephones, is then read again by a field over its
-candidate tokens: neighbours are tied in a chain, and tokens of the same normalised form, however far
-apart, are tied along their occurrences (each to the next, so a form with n occurrences costs n - 1 ties).
-Node potentials come from the token's shape, its overlap with a base span and what stands before it; ties
-favour equal labels.  Found mentions are observed: every other mention of their form has a tie of its own
-to them, whose message no number of bare mentions between weakens, and so, more loosely, has every
-mention of a similar form: the same but for separators or one edit, or the same last digits.  Loopy belief
-propagation spreads the rest of the evidence, so that a mention that the patterns miss (a number without its
+Base patterns find addresses and numbers.  Candidate tokens are variables: neighbours are tied in a chain, and
+tokens of the same normalised form, however far apart, along their occurrences (each to the next, so a form with
+n occurrences costs n - 1 ties).  Node potentials come from the token's shape and what stands before it; ties
+favour equal labels.  Found mentions are observed variables.  Every other mention of their form has ties of its own
+to the nearest of each kind, whose message no number of bare mentions between weakens, and so, more loosely, has
+every mention of a similar form: the same but for separators or one edit, or the same last digits.  Where nothing is
+found, a form's addresses written with ``at`` and numbers after a word for telephones have such ties to its other
+mentions.  These ties reward agreement on a kind only, so bare mentions can't outvote what tells of one.
+Loopy belief propagation spreads the evidence, so that a mention that the patterns miss (a number without its
 prefix, an address spelled with ``at``, the local part of a found address) takes the label of the entity
 that it repeats, however often it is repeated.  Where found mentions of a form differ in kind, the most
-frequent counts, of equally frequent ones the first of ``KINDS``.
+frequent is tied in full, of equally frequent ones the first of ``KINDS``, and others by a third of their share of it.
+
+Where no variable prefers a kind to nothing by itself, symmetric ties can't make one do so: no label passes one half,
+and such texts aren't propagated.
 
 No rows are labelled with personal data, so the potentials are parameters, not fitted.
 """
@@ -39,8 +42,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 
 @dataclass(frozen=True)
 class FieldParams:
-    #: Log potentials: a token inside a base span, one of the same form as such, others; ties in the chain and over equal forms.
-    inside: float = 6.0
+    #: Log potentials: a token that no base span holds, its shape, a word before it; ties in the chain and over equal forms.
     outside: float = -2.0
     shape: float = 0.8
     cue: float = 1.0
@@ -124,9 +126,15 @@ def _near_forms(form: str) -> set[str]:
     return {bare, *(bare[:i] + bare[i + 1 :] for i in range(len(bare)))}
 
 
-def propagate(node: np.ndarray, u: np.ndarray, v: np.ndarray, tie: np.ndarray, rounds: int) -> np.ndarray:
-    """Marginal probabilities by damped loopy belief propagation; ties (u, v) add ``tie`` to equal labels' log potential."""
-    src, dst, tie = np.concatenate((u, v)), np.concatenate((v, u)), np.concatenate((tie, tie))
+def propagate(node: np.ndarray, u: np.ndarray, v: np.ndarray, tie: np.ndarray, rounds: int, kinds_only: np.ndarray | None = None) -> np.ndarray:
+    """Marginal probabilities by damped loopy belief propagation; ties (u, v) add ``tie`` to equal labels' log potential.
+
+    Ties marked in ``kinds_only`` add nothing where both ends have the last label.  A label whose potential is -inf is ruled out.
+    """
+    gain = np.repeat(np.expm1(tie)[:, None], node.shape[1], axis=1)
+    if kinds_only is not None:
+        gain[kinds_only, -1] = 0.0
+    src, dst, gain = np.concatenate((u, v)), np.concatenate((v, u)), np.concatenate((gain, gain))
     back = np.concatenate((np.arange(len(u)) + len(u), np.arange(len(u))))
     message = np.zeros((len(src), node.shape[1]))
     for _ in range(rounds):
@@ -134,7 +142,7 @@ def propagate(node: np.ndarray, u: np.ndarray, v: np.ndarray, tie: np.ndarray, r
         np.add.at(belief, dst, message)
         cavity = belief[src] - message[back]
         e = np.exp(cavity - cavity.max(axis=1, keepdims=True))
-        new = np.log(e.sum(axis=1, keepdims=True) + (np.exp(tie)[:, None] - 1) * e)
+        new = np.log(e.sum(axis=1, keepdims=True) + gain * e)
         message = 0.5 * message + 0.5 * (new - new.max(axis=1, keepdims=True))
     belief = node.copy()
     np.add.at(belief, dst, message)
@@ -142,10 +150,24 @@ def propagate(node: np.ndarray, u: np.ndarray, v: np.ndarray, tie: np.ndarray, r
     return odds / odds.sum(axis=1, keepdims=True)
 
 
+def _told(told: np.ndarray, bare: np.ndarray, says: np.ndarray, skip: float) -> list[tuple[int, int, float, bool]]:
+    """Ties of each of ``bare`` to the nearest of ``told`` by kind, in full to the kind most of them tell of."""
+    out: list[tuple[int, int, float, bool]] = []
+    counts = says[told].sum(axis=0)
+    for k in np.flatnonzero(counts).tolist():
+        own = told[says[told, k]]
+        after = np.searchsorted(own, bare)
+        before, after = own[np.maximum(after - 1, 0)], own[np.minimum(after, len(own) - 1)]
+        nearest = np.where(np.abs(bare - before) <= np.abs(after - bare), before, after)
+        tie = skip if k == counts.argmax() else skip * float(counts[k] / counts.max()) / 3
+        out += [(x, y, tie, True) for x, y in zip(nearest.tolist(), bare.tolist(), strict=True)]
+    return out
+
+
 def field_spans(text: str, base: list[tuple[int, int, int]], p: FieldParams) -> list[tuple[int, int, int]]:
     """Added spans of a text; none overlaps a base span."""
-    if not base and not _HINT.search(text):
-        return []
+    if not base and p.outside + p.shape + p.cue <= 0 and not _HINT.search(text):
+        return []  # no token can prefer a kind
     tokens = [m.span() for m in _TOKEN.finditer(text) if m.end() - m.start() >= 2]
     if not tokens:
         return []
@@ -154,28 +176,26 @@ def field_spans(text: str, base: list[tuple[int, int, int]], p: FieldParams) ->
     n, labels = len(tokens), len(KINDS)
     node = np.full((n, labels + 1), p.outside)
     node[:, labels] = 0.0  # the last label: nothing personal
-    inside = np.zeros(n, bool)
+    inside, says = np.zeros(n, bool), np.zeros((n, labels), bool)  # observed; which kinds a mention tells its form's others of
     forms: dict[str, list[int]] = {}
     whole: list[str] = []
-    strong = False
     for i, (a, b) in enumerate(tokens):
         word = text[a:b]
         for q in range(max(0, int(np.searchsorted(starts, b)) - 4), min(len(spans), int(np.searchsorted(starts, b)) + 1)):
             if spans[q][0] < b and a < spans[q][1]:
-                node[i, spans[q][2]] = p.inside
-                inside[i] = True
+                says[i, spans[q][2]] = inside[i] = True
         if not inside[i]:
             digits = sum(c.isdigit() for c in word)
             if "@" in word or "at" in word and re.search(r"[\[(]at[\])]", word):
                 node[i, 0] += p.shape
                 if _SPELLED.fullmatch(word):
                     node[i, 0] += p.spelled
-                    strong = True
+                    says[i, 0] = True
             if digits >= 9 and not _DATE.match(word):
                 node[i, 3] += p.shape
                 if digits <= 15 and not re.search(r"[^\W\d_]", word) and _CALL.search(text, max(0, a - 12), a):
                     node[i, 3] += p.called
-                    strong = True
+                    says[i, 3] = True
             if digits >= 13:
                 node[i, 2] += p.shape
             if word.count(".") == 3 and digits >= 4:
@@ -186,30 +206,31 @@ def field_spans(text: str, base: list[tuple[int, int, int]], p: FieldParams) ->
         for form in {f, f.split("@")[0]}:
             if len(form) >= p.least_form:
                 forms.setdefault(form, []).append(i)
-    edges, tied = [(i, i + 1, p.chain) for i in range(n - 1)], strong
-    is_kind = node[:, :labels] == p.inside
+    if not says.any() and node[:, :labels].max() <= 0:
+        return []
+    node[inside] = np.where(np.pad(says[inside], ((0, 0), (0, 1))), 0.0, -np.inf)
+    edges = [(i, i + 1, p.chain, False) for i in range(n - 1)]
     repeated = inside.copy()
     for held in forms.values():
-        bare = [i for i in held if not inside[i]]
-        if bare and len(bare) < len(held):
-            kind = int(is_kind[[i for i in held if inside[i]]].sum(axis=0).argmax())
-            node[bare, kind] += p.skip  # the message of a tie to an observed label
-            edges += [(x, y, p.skip) for x, y in zip(bare, bare[1:], strict=False)]
-            repeated[bare] = tied = True
-    if inside.any():
-        found: dict[str, int] = {}
-        for i in np.flatnonzero(inside).tolist():
-            if len(whole[i]) >= p.least_similar:
-                for form in _near_forms(whole[i]):
-                    found.setdefault(form, int(is_kind[i].argmax()))
-        for i in np.flatnonzero(~repeated).tolist():
-            if found and len(whole[i]) >= p.least_similar and (near := sorted(found[f] for f in _near_forms(whole[i]) | {whole[i]} if f in found)):
-                node[i, near[0]] += p.similar
-                tied = True
-    if not tied:
-        return []
-    u, v, w = (np.array(x) for x in zip(*edges, strict=True)) if edges else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
-    odds = propagate(node, u, v, w, p.rounds)
+        if len(held) > 1:
+            at = np.array(held)
+            told, bare = at[inside[at]], at[~inside[at]]
+            edges += [(x, y, p.skip, False) for x, y in zip(bare.tolist(), bare[1:].tolist(), strict=False)]
+            if len(told):
+                repeated[bare] = True
+            else:
+                told, bare = at[says[at].any(axis=1)], at[~says[at].any(axis=1)]
+            edges += _told(told, bare, says, p.skip)
+    found: dict[str, int] = {}
+    for i in np.flatnonzero(inside).tolist():
+        if len(whole[i]) >= p.least_similar:
+            for form in _near_forms(whole[i]):
+                found.setdefault(form, i)
+    for i in np.flatnonzero(~repeated).tolist():
+        if found and len(whole[i]) >= p.least_similar and (near := [found[f] for f in _near_forms(whole[i]) | {whole[i]} if f in found]):
+            edges.append((min(near, key=lambda j: (int(says[j].argmax()), j)), i, p.similar, True))
+    u, v, w, kinds_only = (np.array(x) for x in zip(*edges, strict=True)) if edges else (np.zeros(0, int), np.zeros(0, int), np.zeros(0), np.zeros(0, bool))
+    odds = propagate(node, u, v, w, p.rounds, kinds_only)
     out = []
     for i in np.flatnonzero(~inside & (odds[:, :labels].max(axis=1) > p.accept)).tolist():
         out.append((int(odds[i, :labels].argmax()), *tokens[i]))

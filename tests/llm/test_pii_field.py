@@ -47,3 +47,47 @@ def test_dates_are_no_telephones():
         assert pii.field_spans(text, pii.base_spans(text), params) == [], text
     for text in ("tel 555 0134 778", "call 2024-0101-10", "phone 1999 13 45 67"):
         assert [k for k, _, _ in pii.field_spans(text, pii.base_spans(text), params)] == [3], text
+
+
+def test_ties_to_kinds_are_exact_on_trees_and_labels_can_be_observed():
+    rng = np.random.default_rng(5)
+    for _ in range(10):
+        n, k = 5, 3
+        node = rng.normal(0, 1.5, (n, k))
+        node[0] = [-np.inf, 0.0, -np.inf]
+        u = np.array([rng.integers(0, i) for i in range(1, n)])
+        v, tie, only = np.arange(1, n), rng.uniform(0, 2, n - 1), rng.random(n - 1) < 0.5
+        weight = np.zeros((n, k))
+        for labels in itertools.product(range(k), repeat=n):
+            x = np.array(labels)
+            weight[np.arange(n), x] += np.exp(node[np.arange(n), x].sum() + tie[(x[u] == x[v]) & ~(only & (x[u] == k - 1))].sum())
+        assert np.allclose(pii.propagate(node, u, v, tie, 60, only), weight / weight.sum(axis=1, keepdims=True), atol=1e-6)
+
+
+def test_mentions_of_a_form_that_no_pattern_finds_are_tied():
+    for n in (1, 2, 3, 30):
+        assert added("please call 988 555 24 85 now" + "; then 9885552485 again" * n) == [("phone", "988 555 24 85"), *[("phone", "9885552485")] * n]
+        assert added("so jane.roe said; " * n + "reach jane.roe [at] mail.org") == [*[("email", "jane.roe")] * n, ("email", "jane.roe [at] mail.org")]
+        assert added("order 9885552485 and again; " * n) == []
+
+
+def test_found_mentions_send_messages(monkeypatch):
+    seen = []
+    real = pii.propagate
+
+    def watched(node, u, v, tie, *rest):
+        seen.append((node, set(zip(u.tolist(), v.tolist(), strict=True))))
+        return real(node, u, v, tie, *rest)
+
+    monkeypatch.setattr(pii, "propagate", watched)
+    assert added("write john.doe@x.org; then john.doe came") == [("email", "john.doe")]
+    node, ties = seen[0]
+    # The bare mention has the potentials of any such word; what it is told comes by the tie alone.
+    assert (0, 1) in ties and node[1].tolist() == [-2.0] * 4 + [0.0] and np.isneginf(node[0]).sum() == 4
+
+
+def test_found_mentions_that_differ_in_kind():
+    both = "ip 100.100.100.20 or +1.001001002 0; "
+    for text in (both + "see 10010010020 now", both * 12 + "see 10010010020 now", "ip 100.100.100.20; " + both + "see 10010010020 now"):
+        assert added(text) == [("ip", "10010010020")], text
+    assert added(both + "+1.001001002 0; see 10010010020 now") == [("phone", "10010010020")]
