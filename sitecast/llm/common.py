@@ -88,6 +88,8 @@ def text_arrays(batches: Iterator[pa.RecordBatch], max_bytes: int = 2_000_000) -
 _MARKS = ".,;:!?#$%&*()"
 #: Letters below this have been letters in every version of the character tables that the library may hold.
 _SETTLED = "\u0530"
+#: Kinds of characters in a word.
+_END, _LETTER, _MARK, _ODD = range(4)
 
 
 def _byte_chars() -> np.ndarray:
@@ -121,7 +123,7 @@ class Encoder:
     The byte-level tokenizer never lets a token cross from one word into the white space before the next,
     so where words are set apart by one blank or by line ends, the ids of a word, with what stands before
     it, don't depend on the rest.  Arrow splits the texts and numbers their words; the library is asked
-    once for each word while it is remembered.  Texts with any other white space, and those with added
+    once for the new words of a batch, which are remembered.  Texts with any other white space, and those with added
     tokens, go to the library whole.  Beyond ``max_words`` the words met least often are forgotten, half of
     them at least, which bounds the memory.
 
@@ -133,6 +135,16 @@ class Encoder:
         self.path, self.max_words, self.chars = path, max_words, _byte_chars()
         self.around = _Runs(path)
         self.model = tokenizer(path).model
+        vocabulary, zero = tokenizer(path).get_vocab(), chr(self.chars[0])
+        #: By id, whether the token starts with a blank; the id of byte 0, and whether it stands in no other token.
+        self.blank = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.blank[[i for token, i in vocabulary.items() if token[0] == chr(self.chars[32])]] = True
+        self.zero = vocabulary.get(zero)
+        self.sole = [token for token in vocabulary if zero in token] == [zero]
+        self.kinds = np.full(ord(_SETTLED) + 1, _ODD, np.uint8)
+        self.kinds[[i for i in range(ord(_SETTLED)) if chr(i).isalpha()]] = _LETTER
+        self.kinds[[ord(x) for x in _MARKS]] = _MARK
+        self.kinds[0] = _END
         self._keep({}, np.zeros(0, np.int64))
 
     def _keep(self, known: dict[str, int], kept: np.ndarray) -> None:
@@ -161,14 +173,15 @@ class Encoder:
 
     def _numbers(self, keys: list[str]) -> np.ndarray:
         """The numbers of distinct words; the next free ones for those that aren't known, which are learned."""
-        found = list(map(self.known.get, keys))
-        new = [w for w, n in zip(keys, found, strict=True) if n is None]
-        if new:
-            free = itertools.count(len(self.known))
-            found = [next(free) if n is None else n for n in found]
-            self.known.update(zip(new, range(len(self.known), len(self.known) + len(new)), strict=True))
+        found = np.array(list(map(self.known.get, keys, itertools.repeat(-1))), np.int64)
+        missing = found < 0
+        if missing.any():
+            new = list(itertools.compress(keys, missing.tolist()))
+            free = range(len(self.known), len(self.known) + len(new))
+            found[missing] = free
+            self.known.update(zip(new, free, strict=True))
             self._learn(new)
-        return np.array(found, np.int64)
+        return found
 
     def _gather(self, at: np.ndarray) -> np.ndarray:
         """The ids of the words numbered ``at``, in order."""
@@ -188,6 +201,49 @@ class Encoder:
         return key[: len(key) - len(rest)], stem if rest is not bare or rest is not key else f" {stem}", bare[len(stem) :]
 
     def _learn(self, new: list[str]) -> None:
+        plain, behind = self._together(new)
+        starts = np.flatnonzero(self.blank[behind])
+        if len(starts) != plain.sum():
+            raise ValueError("a word without a token that starts with its blank")
+        other, own = self._one_by_one(list(itertools.compress(new, (~plain).tolist())))
+        sizes, begins = np.empty(len(new), np.int64), np.empty(len(new), np.int64)
+        sizes[plain], begins[plain] = np.diff(starts, append=len(behind)), starts + len(self.flat)
+        sizes[~plain], begins[~plain] = own[0], own[1] + len(self.flat) + len(behind)
+        apart = np.zeros(len(new), bool)
+        apart[~plain] = own[2]
+        self.starts, self.sizes, self.apart = np.concatenate((self.starts, begins)), np.concatenate((self.sizes, sizes)), np.concatenate((self.apart, apart))
+        self.uses = np.concatenate((self.uses, np.zeros(len(new), np.int64)))
+        self.flat = np.concatenate((self.flat, behind, other))
+
+    def _together(self, new: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Which words are letters behind a blank, with marks behind them or not, and the ids of all these, one after another.
+
+        Letters and marks are pre-tokens of their own.  Between them stands byte 0, which no token but its own holds, so
+        that the model takes many at once.
+        """
+        points = np.frombuffer("\0".join([*new, ""]).encode("utf-32-le"), "<u4")
+        kind = self.kinds[np.minimum(points, len(self.kinds) - 1)]
+        ends = np.flatnonzero(kind == _END)
+        if len(ends) != len(new) or not self.sole:  # a word holds byte 0
+            return np.zeros(len(new), bool), np.zeros(0, np.uint32)
+        begins = np.concatenate(([0], ends[:-1] + 1))
+        odd = kind == _ODD
+        odd[1:] |= (kind[1:] == _LETTER) & (kind[:-1] == _MARK)
+        odd = np.cumsum(odd)
+        plain = (kind[begins] == _LETTER) & (odd[ends] == odd[begins])
+        keep = np.repeat(plain, ends - begins + 1)
+        points, kind = points[keep], kind[keep]
+        before = np.concatenate(([_END], kind[:-1])) if len(kind) else kind
+        words, tails = np.flatnonzero(before == _END), np.flatnonzero((kind == _MARK) & (before == _LETTER))
+        points = np.insert(points, np.concatenate((words, tails)), np.repeat(np.array([32, 0], "<u4"), (len(words), len(tails))))
+        raw = np.frombuffer(points.tobytes().decode("utf-32-le").encode(), np.uint8)
+        spelled, tokenize = self.chars[raw].tobytes().decode("utf-16-le"), self.model.tokenize
+        edges = [0, *np.flatnonzero(raw == 0)[63::64].tolist(), len(raw)]
+        ids = np.array([t.id for a, b in itertools.pairwise(edges) for t in tokenize(spelled[a:b])], np.uint32)
+        return plain, ids[ids != self.zero]
+
+    def _one_by_one(self, new: list[str]) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids of words at the start of a text or behind line ends, and of odd ones: their sizes, where they start, and which send their text to the library."""
         split = list(map(self._plain, new))
         plain = np.fromiter((p is not None for p in split), bool, len(new))
         leads, stems, tails = zip(*filter(None, split), strict=True) if plain.any() else ((), (), ())
@@ -216,10 +272,7 @@ class Encoder:
         order = np.empty(len(new), np.int64)
         order[np.concatenate((np.flatnonzero(plain), np.array(hard, np.int64)))] = np.arange(len(new))
         edges = np.array(ends, np.int64)
-        self.starts = np.concatenate((self.starts, edges[order] + len(self.flat)))
-        self.sizes, self.apart = np.concatenate((self.sizes, np.diff(edges)[order])), np.concatenate((self.apart, apart))
-        self.uses = np.concatenate((self.uses, np.zeros(len(new), np.int64)))
-        self.flat = np.concatenate((self.flat, np.array(flat, np.uint32)))
+        return np.array(flat, np.uint32), (np.diff(edges)[order], edges[order], apart)
 
     def __call__(self, texts: pa.StringArray, end_id: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts one after another, each with ``end_id`` behind it unless that is None, and how many each has."""

@@ -78,6 +78,23 @@ def test_encoder_matches_the_library():
         assert [x.tolist() for x in np.split(ids, np.cumsum(sizes)[:-1])] == [[*x, 0] for x in encode(PATH, batch)]
 
 
+def test_encoder_asks_for_many_new_words_at_once():
+    """Letters with and without marks behind them, as the library has them; few calls of the model for a thousand words."""
+    rng = random.Random(9)
+    made = ["".join(rng.choice("abcdeßöżж") for _ in range(rng.randint(1, 9))) + rng.choice(("", "", ".", ",", "!?", "...)")) for _ in range(1000)]
+    encoder, calls = Encoder(PATH), []
+
+    class Counted:
+        def tokenize(self, word, model=encoder.model):
+            calls.append(word)
+            return model.tokenize(word)
+
+    encoder.model = Counted()
+    ids, sizes = encoder(pa.array([" ".join(made)]))
+    assert ids.tolist() == encode(PATH, [" ".join(made)])[0] and len(ids) == sizes[0]
+    assert 0 < len(calls) < 50
+
+
 def test_cuts_are_optimal():
     rng = np.random.default_rng(5)
     cost = lambda n: 0 if n & (n - 1) == 0 else 16 - n
