@@ -49,7 +49,7 @@ def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_trip(table(spark, sf_dir, "documents"), TOKENIZER).drop("ids")
+    return round_trip(table(spark, sf_dir, "documents"), TOKENIZER, keep_ids=False).drop("ids")
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:

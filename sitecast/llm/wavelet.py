@@ -155,8 +155,8 @@ def write_shards(docs: DataFrame, tokenizer_path: str, path: str, end_id: int =
     rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text").mapInArrow(run, SHARD_SCHEMA).write.parquet(path)
 
 
-def read_shards(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document of the shards at ``path``: doc_id, start, n_tokens, ids_crc32, ids (binary, unsigned 32-bit).
+def read_shards(spark: SparkSession, path: str, keep_ids: bool = True) -> DataFrame:
+    """One row per document of the shards at ``path``: doc_id, start, n_tokens, ids_crc32, ids (binary, unsigned 32-bit; null unless ``keep_ids``).
 
     ``start`` counts the ids before the document over all shards: sums per input split, of which there
     are as many as there were partitions, then inside a split and inside a shard.
@@ -173,8 +173,9 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
             for row in batch.to_pylist():
                 ids = WaveletMatrix(row["data"]).decode().astype("<u4")
                 ends = np.cumsum(row["doc_sizes"])
-                raw = [x.tobytes() for x in np.split(ids, ends[:-1])]
-                columns = [[row["split"]] * len(raw), [row["shard"]] * len(raw), row["doc_ids"], ends - row["doc_sizes"], row["doc_sizes"], list(map(zlib.crc32, raw)), raw]
+                begins, whole = ends - row["doc_sizes"], memoryview(ids).cast("B")
+                raw = [whole[4 * a : 4 * b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)]
+                columns = [[row["split"]] * len(raw), [row["shard"]] * len(raw), row["doc_ids"], begins, row["doc_sizes"], list(map(zlib.crc32, raw)), raw if keep_ids else [None] * len(raw)]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, [pa.int64()] * 6 + [pa.binary()], strict=True)], names=["split", "shard", "doc_id", "in_shard", "n_tokens", "ids_crc32", "ids"])
 
     docs = shards.select("split", "shard", "n_ids", "doc_ids", "doc_sizes", "data").mapInArrow(run, "split long, shard long, doc_id long, in_shard long, n_tokens long, ids_crc32 long, ids binary")
@@ -182,8 +183,8 @@ def read_shards(spark: SparkSession, path: str) -> DataFrame:
     return docs.join(starts.drop("n_ids"), ["split", "shard"]).select("doc_id", start.alias("start"), "n_tokens", "ids_crc32", "ids")
 
 
-def round_trip(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
+def round_trip(docs: DataFrame, tokenizer_path: str, keep_ids: bool = True, **options) -> DataFrame:
     """Write ``docs`` as shards to the shared folder and read them back."""
     path = f"{shared_dir(docs.sparkSession)}/wavelet-{uuid.uuid4().hex}"
     write_shards(docs, tokenizer_path, path, **options)
-    return read_shards(docs.sparkSession, path)
+    return read_shards(docs.sparkSession, path, keep_ids)
