@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import os
 import uuid
 from collections.abc import Iterator
@@ -27,10 +28,17 @@ def shared_dir(spark: SparkSession) -> str:
     return spark.conf.get("spark.sql.warehouse.dir") + "/sitecast_scratch"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lost executors don't recompute what led to it."""
+def materialize(df: DataFrame, name: str, rows: int | None = None, each: int = 10_000) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back: lost executors don't recompute what led to it.
+
+    Where about how many ``rows`` the last stage handles is known, it has a task and a file for every ``each`` of them,
+    but no more than it would have.  Hadoop's local file system starts several processes for each file, and while one
+    starts, the executor's memory counts twice.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    if rows is not None:
+        df = df.coalesce(max(1, math.ceil(rows / each)))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

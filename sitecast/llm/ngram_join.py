@@ -242,8 +242,8 @@ def _shared(bucketed: DataFrame, buckets: int) -> DataFrame:
     return bucketed.groupBy("bucket").applyInArrow(run, "sig long, node long, n long, held long")
 
 
-def _sets_of(pairs: DataFrame, docs: DataFrame, rows: DataFrame, size: int) -> DataFrame:
-    """(node, shingles) of the sets in ``pairs``; only their texts are read again."""
+def _sets_of(pairs: DataFrame, docs: DataFrame, rows: DataFrame, size: int, most: int) -> DataFrame:
+    """(node, shingles) of the ``most`` sets at most in ``pairs``; only their texts are read again."""
     wanted = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).distinct()
     ids = wanted.join(rows.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id")), "node").select(F.col("doc_id").alias("wanted")).distinct()
 
@@ -261,7 +261,7 @@ def _sets_of(pairs: DataFrame, docs: DataFrame, rows: DataFrame, size: int) -> D
             yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(raw, pa.binary())], names=["node", "shingles"])
 
     texts = _sets(docs).join(ids, F.col("doc_id").eqNullSafe(F.col("wanted")), "left_semi")
-    return materialize(texts.mapInArrow(run, "node long, shingles binary"), "sets")
+    return materialize(texts.mapInArrow(run, "node long, shingles binary"), "sets", most, 1_000)
 
 
 def _with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -282,7 +282,7 @@ def _verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
                 linked.append(common * 1_000_000 >= round(threshold * 1_000_000) * (len(both) - common))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
-    return materialize(_with_sets(pairs, sets).select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long, linked boolean"), "links")
+    return materialize(_with_sets(pairs, sets).select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long, linked boolean"), "links", pairs.count(), 2_000)
 
 
 def _cores(family: DataFrame, sets: DataFrame, sample: int) -> DataFrame:
@@ -358,11 +358,11 @@ def _nearest(entries: DataFrame) -> DataFrame:
     return entries.groupBy("a", "e").agg(best).select("a", "e", "s.*")
 
 
-def _rerooted(entries: DataFrame, roots: DataFrame) -> DataFrame:
+def _rerooted(entries: DataFrame, roots: DataFrame, rows: int) -> DataFrame:
     """``entries`` under new components, without the families that have become one."""
     now = entries.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     split = now.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi").select("a")
-    return materialize(now.join(split, "a", "left_semi"), "entries")
+    return materialize(now.join(split, "a", "left_semi"), "entries", rows, 50_000)
 
 
 def _shared_ways(entries: DataFrame, against: DataFrame, threshold: float) -> DataFrame:
@@ -398,35 +398,38 @@ def join_components(docs: DataFrame, size: int = 5, threshold: float = 0.8, entr
     # First round: every set against its group's leader, the set that shares most signatures.
     fame = shared.groupBy("node").agg(F.sum("held").alias("fame"))
     lead = shared.join(fame, "node").groupBy("sig").agg(F.max(F.struct("fame", "node")).alias("lead")).select("sig", F.col("lead.node").alias("a"))
-    pairs = materialize(shared.join(lead, "sig").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs")
+    pairs = materialize(shared.join(lead, "sig").where("node <> a").select("a", F.col("node").alias("b")).distinct(), "pairs", shared.count())
     delete(shared)
-    sets = _sets_of(pairs, docs, rows, size)
+    n = pairs.count()
+    sets = _sets_of(pairs, docs, rows, size, min(2 * n, rows.count()))
     tried = _verified(pairs, sets, threshold)
     delete(pairs)
     links = tried.where("linked").select("a", "b")
-    roots = materialize(components(links), "roots")
+    roots = components(links, rows=n)
 
     # Second round: in families that still hold several components, members that differ from the leader in the same way.
     tagged = tried.join(roots.select(F.col("node").alias("b"), "root"), "b", "left").withColumn("root", F.coalesce("root", "b"))
     tagged = tagged.join(roots.select(F.col("node").alias("a"), F.col("root").alias("root_a")), "a", "left").withColumn("root_a", F.coalesce("root_a", "a"))
     split = tagged.groupBy("a").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("members")).where("members > 1 and lo <> hi").select("a")
     family = tagged.join(split, "a", "left_semi")
-    residues = materialize(_residues(family, sets, threshold), "entries")
+    residues = materialize(_residues(family, sets, threshold), "entries", n, 1_000)
+    n_entries = residues.count()
     entries = residues.where("at > 0")
     # First only against each element's nearest holders, which links most that can be; then the rest against all.
-    apart = materialize(_shared_ways(entries, _nearest(entries), threshold), "pairs")
+    apart = materialize(_shared_ways(entries, _nearest(entries), threshold), "pairs", n_entries, 50_000)
     found = _verified(apart, sets, threshold)
-    close = materialize(_near_core(residues.where("at = 0"), threshold), "links")
+    close = materialize(_near_core(residues.where("at = 0"), threshold), "links", n)
     links = links.unionByName(found.where("linked").select("a", "b")).unionByName(close)
+    n += apart.count() + close.count()
     delete(roots)
-    roots = materialize(components(links), "roots")
-    entries = _rerooted(entries, roots)
+    roots = components(links, rows=n)
+    entries = _rerooted(entries, roots, n_entries)
     more = _shared_ways(entries, entries, threshold).join(apart, ["a", "b"], "left_anti")
-    more = materialize(more, "pairs")
+    more = materialize(more, "pairs", n_entries, 50_000)
     last = _verified(more, sets, threshold).where("linked").select("a", "b")
     if last.limit(1).count():
         delete(roots)
-        roots = materialize(components(links.unionByName(last)), "roots")
+        roots = components(links.unionByName(last), rows=n + more.count())
     for done in (sets, tried, residues, apart, found, close, entries, more, last):
         delete(done)
 

@@ -171,15 +171,18 @@ def estimates(stats: DataFrame, p: QualityParams) -> tuple[DataFrame, bool]:
     rows = stats.select(F.explode(F.array(group_key(), F.lit(""))).alias("g"), *FEATURES)
     quarters = F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))
     seen = materialize(rows.groupBy("g").agg(*_sums(), *(F.percentile_approx(x, quarters, 2000).alias(f"q_{i}") for i, x in enumerate(FEATURES))), "estimates")
-    few = 3 * seen.count() <= p.small
-    made = [seen, materialize(_starts(rows, seen, few, p), "estimates")]
+    groups = seen.count()
+    few = 3 * groups <= p.small
+    # Every estimate comes from a few hundred bins at most.
+    kept = lambda est: materialize(est, "estimates", 3 * groups * 16 * p.bins)
+    made = [seen, kept(_starts(rows, seen, few, p))]
     for _ in range(p.steps):
-        made.append(materialize(_concentrated(rows, _with_factor(_blended(made[-1], p), p), few, p), "estimates"))
+        made.append(kept(_concentrated(rows, _with_factor(_blended(made[-1], p), p), few, p)))
     est = _with_factor(_blended(made[-1], p), p)
     volume = F.expr(f"round({' + '.join(f'ln(l_{i}_{i})' for i in K)}, 9)")
     lowest = F.min_by(F.struct(*(c for c in est.columns if c not in ("g", "start"))), F.struct(volume, F.col("start"))).alias("e")
-    best = materialize(est.groupBy("g").agg(lowest).select("g", "e.*"), "estimates")
-    scale = materialize(_distance(_meet(rows, best, few, p)).groupBy("g").agg((F.percentile_approx("d2", 0.5, 2000) / p.median).alias("scale")), "estimates")
+    best = kept(est.groupBy("g").agg(lowest).select("g", "e.*"))
+    scale = kept(_distance(_meet(rows, best, few, p)).groupBy("g").agg((F.percentile_approx("d2", 0.5, 2000) / p.median).alias("scale")))
     for df in made:
         delete(df)
     # A group's scale is blended as its moments are.
