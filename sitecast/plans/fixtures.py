@@ -25,6 +25,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def dealt(rows: DataFrame, key: str) -> DataFrame:
+    """``rows`` over as many tasks as a shuffle has: a small file is one task, however much its rows make work."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+
+
 def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hourly weather of five sites: site_id, ts (epoch seconds), hod, temp_c, pressure_msl, dewpoint_c, wind_ms, wind_dir, shortwave, is_forecast."""
     events = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("site_id"), F.expr(EPOCH).alias("epoch"), F.hour("ts").alias("hod"), "value", "user_id")

@@ -9,7 +9,7 @@ from sitecast.functions import text as T
 from sitecast.functions.columns import flat_distance_m
 from sitecast.operators import extract as X
 from sitecast.operators import registry as R
-from sitecast.plans.fixtures import r6, table
+from sitecast.plans.fixtures import dealt, r6, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -119,7 +119,7 @@ def _reports(spark, sf_dir):
     text = f"""concat('Spis treści\n1. Jezioro Inne (Tabela nr 9) 12 wędkarzy ..... 5\nII. Łowiska wędkarskie\n1.2. Jezioro Żół-\nwie ', {n}, ' (Tabela nr ', {n} % 900 + 1, ')\n1 ', 100 + {n} % 900, ' wędkarzy złożyło rejestry. Roczne odłowy wyniosły ', {n} % 5000, ',5 kg. Jeden łowił 2,', {n} % 10, ' kg rocznie. ',
       'Średni dzienny odłów to 0,', {n} % 10, ' kg. Wędkowano 12,5 dni. Łowiono karpia (', {n} % 60, ',5%) i ryby karpiowate 99%. leszcz o średniej masie 1,', {n} % 10, ' kg stanowił ', {n} % 40, '%. Największym udziałem (', {n} % 30, '%) zaznaczył się sum. Płoć, jaź i lin stanowiące odpowiednio 7%, 6% i 5%.\n',
       '2. Rzeka Mała (Tabela nr ', {n} % 7, ')\nWędkarze łowili średnio 1,', {n} % 10, ' kg ryb na dzień. Złowiono średnio 3,36-kilogramowy karp.')"""
-    return table(spark, sf_dir, "part").select(F.col("p_partkey").alias("report_id"), F.expr(text).alias("text"))
+    return dealt(table(spark, sf_dir, "part").select("p_partkey"), "p_partkey").select(F.col("p_partkey").alias("report_id"), F.expr(text).alias("text"))
 
 
 @query("""SELECT p_partkey AS report_id, p_partkey % 900 + 1 AS table_no, 'Jezioro Żółwie ' || p_partkey AS name, 1100 + p_partkey % 900 AS anglers, p_partkey % 5000 + 0.5::double AS total_kg, 2 + (p_partkey % 10) / 10.0::double AS kg_per_angler_year, (p_partkey % 10) / 10.0::double AS kg_per_angler_day, 12.5::double AS days_per_angler, p_partkey % 60 + 0.5::double AS carp, (p_partkey % 40)::double AS bream, (p_partkey % 30)::double AS catfish, 3 AS n_species, 1 + (p_partkey % 10) / 10.0::double AS bream_kg, NULL::double AS carp_kg FROM part
