@@ -66,16 +66,29 @@ def tokens_match(a: Column, b: Column) -> Column:
 def match_fuzzy(queries: DataFrame, registry: DataFrame) -> DataFrame:
     """Queries with their only entry whose tokens hold the query's head and all its others.
 
-    Matching tokens are equal or share four characters, so candidates meet on the first four of the head
-    and of some token: nothing is missed, nothing else is compared.  Distinct keys meet, not rows: tokens
-    that many entries share are compared once for each spelling, and only then are the entries counted.
+    Each of a query's tokens must match, so candidates meet on one of them alone: the one that the fewest spellings
+    answer.  Matching tokens are equal or share the first four letters and 0.7 of each, so a token meets those that begin
+    with that much of it: nothing is missed.  Distinct keys meet, not rows: tokens that many entries share are
+    compared once for each spelling, and only then are the entries counted.
     """
-    asked = queries.select(F.col("key").alias("asked")).distinct().withColumn("q", tokens(F.col("asked"))).where(F.size("q") > 0).withColumn("b", F.left(F.get("q", F.lit(0)), F.lit(4)))
-    listed = registry.select("key").distinct().withColumn("k", tokens(F.col("key"))).withColumn("b", F.explode(F.array_distinct(F.transform("k", lambda t: F.left(t, F.lit(4))))))
+    asked = queries.select(F.col("key").alias("asked")).distinct()
+    entries = kept(registry.where(F.col("key").isNotNull()).select("key", "entry_id").distinct(), "entries")
     has = lambda t: F.exists("k", lambda o: tokens_match(t, o))
-    met = asked.join(listed, "b").where(has(F.get("q", F.lit(0))) & F.forall("q", has)).select("asked", "key").distinct()
-    entries = met.join(registry.select("key", "entry_id").distinct(), "key").select("asked", "entry_id").distinct()
-    return _only(queries, entries.groupBy(F.col("asked").alias("key")).agg(F.count("*").alias("hits"), F.min("entry_id").alias("entry_id")))
+    met = fuzzy_candidates(asked, entries.select("key").distinct()).withColumns({"q": tokens(F.col("asked")), "k": tokens(F.col("key"))}).where(F.forall("q", has)).select("asked", "key")
+    found = met.join(entries, "key").select("asked", "entry_id").distinct()
+    return _only(queries, found.groupBy(F.col("asked").alias("key")).agg(F.count("*").alias("hits"), F.min("entry_id").alias("entry_id")))
+
+
+def fuzzy_candidates(asked: DataFrame, listed: DataFrame) -> DataFrame:
+    """Pairs (asked, key) of distinct ``asked`` and ``key`` that meet on the token of asked which the fewest keys answer."""
+    # What a token must begin with, and all that a listed one begins with; tokens of three letters only as a whole.
+    start = F.transform(F.array_distinct(tokens(F.col("asked"))), lambda t: F.left(t, F.greatest(F.lit(4), F.ceil(F.length(t) * 7 / F.lit(10) - 1e-9).cast("int"))))
+    starts = F.array_distinct(F.flatten(F.transform(tokens(F.col("key")), lambda t: F.transform(F.sequence(F.least(F.lit(4), F.length(t)), F.length(t)), lambda n: F.left(t, n)))))
+    wanted = kept(asked.select("asked", F.explode(start).alias("b")), "asked")
+    answers = kept(listed.select("key", F.explode(starts).alias("b")).join(wanted.select("b").distinct(), "b", "left_semi"), "answers")
+    many = answers.groupBy("b").agg(F.count("*").alias("many"))
+    fewest = wanted.join(many, "b", "left").groupBy("asked").agg(F.min_by("b", F.struct(F.coalesce("many", F.lit(0)), "b")).alias("b"))
+    return fewest.join(answers, "b").select("asked", "key")
 
 
 def cascade(queries: DataFrame, inside: DataFrame, exact: DataFrame, fuzzy: DataFrame) -> DataFrame:

@@ -25,10 +25,11 @@ def query(oracle: str | None = None):
     return add
 
 
-def part(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Registry entries: the name is dressed up so that the key has something to undo."""
+def part(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """Registry entries: the name is dressed up so that the key has something to undo; ``spread`` deals them over tasks first."""
     name = F.expr("concat(case p_partkey % 4 when 0 then 'Jezioro ' when 1 then 'j. ' when 2 then '0.10 Stawy ' else '' end, initcap(p_name), case when p_partkey % 5 = 0 then ' Żółw nr 3' else '' end)")
-    rows = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("entry_id"), name.alias("name"), F.expr("case when p_size % 3 > 0 then p_brand else '' end").alias("place"), F.expr("case when p_size % 4 > 0 then p_type end").alias("section"), F.expr("case when p_size > 5 then cast(p_size as double) end").alias("area_ha"), (F.col("p_partkey") % 3).alias("src_ord"))
+    parts = table(spark, sf_dir, "part")
+    rows = (dealt(parts, "p_partkey") if spread else parts).select(F.col("p_partkey").alias("entry_id"), name.alias("name"), F.expr("case when p_size % 3 > 0 then p_brand else '' end").alias("place"), F.expr("case when p_size % 4 > 0 then p_type end").alias("section"), F.expr("case when p_size > 5 then cast(p_size as double) end").alias("area_ha"), (F.col("p_partkey") % 3).alias("src_ord"))
     return rows.withColumn("key", T.name_key(F.col("name")))
 
 
@@ -245,7 +246,7 @@ QUERIES_SQL = """listed AS (SELECT entry_id, name, key || CASE WHEN entry_id % 3
 
 def listed(spark, sf_dir):
     own = F.when(F.col("entry_id") % 3 == 0, F.concat(F.lit(" "), F.translate(F.col("entry_id").cast("string"), "0123456789", "abcdefghij"), F.lit("own"))).otherwise("")
-    return part(spark, sf_dir).withColumn("key", F.concat("key", own))
+    return part(spark, sf_dir, spread=True).withColumn("key", F.concat("key", own))
 
 
 def asked(spark, sf_dir):
