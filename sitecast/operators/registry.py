@@ -350,8 +350,10 @@ def districts(queries: DataFrame, registry: DataFrame, k: int = 8, cut: float =
     pairs = holding.unionByName(_alike_in_letters(words, listed, cut)).distinct()
     gain = F.when(F.col("key").startswith(F.col("q")), front).when(F.col("key").contains(F.col("q")), within).otherwise(0.0)
     scored = pairs.withColumn("ratio", similarity("q", "key", cut - gain) + gain).where((F.col("ratio") >= cut) & ~F.isnan("ratio"))
-    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("ratio"), "name", "entry_id"))
-    return asked.join(scored, "q").join(placed, "key").withColumn("place", place).where(F.col("place") <= k).select("query_id", "place", "entry_id", "key", "name", "ratio")
+    # What was typed is ranked once, however many typed it, and of equal keys the first ``k`` can be among its best.
+    first = lambda df, by, *order: df.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("place") <= k)
+    best = first(scored.join(first(placed, "key", "name", "entry_id").drop("place"), "key"), "q", F.desc("ratio"), "name", "entry_id")
+    return asked.join(best, "q").select("query_id", "place", "entry_id", "key", "name", "ratio")
 
 
 def sync_reference(source: DataFrame, target: DataFrame, columns: Sequence[str], key: str = "slug") -> DataFrame:

@@ -334,7 +334,7 @@ def top1_by_area(spark, sf_dir):
 
 @query()
 def top2_district_suggestions(spark, sf_dir):
-    rows = part(spark, sf_dir).select("entry_id", "name", "key", F.when(F.col("entry_id") % 3 > 0, F.col("area_ha")).alias("lat"), F.when(F.col("entry_id") % 6 == 0, F.array(F.lit(1.0))).alias("line"))
+    rows = part(spark, sf_dir, spread=True).select("entry_id", "name", "key", F.when(F.col("entry_id") % 3 > 0, F.col("area_ha")).alias("lat"), F.when(F.col("entry_id") % 6 == 0, F.array(F.lit(1.0))).alias("line"))
     queries = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("query_id"), F.expr("element_at(array('small ring', 'red', 'zolw', 'green bolt', 'widget zolw nr', 'ed'), cast(s_suppkey % 6 as int) + 1)").alias("key"))
     return r6(R.districts(queries, rows))
 

@@ -13,3 +13,13 @@ def test_queries_meet_on_their_rarest_token(spark):
     found = {r.key: (r.hits, r.entry_id) for r in queries.join(R.match_fuzzy(queries, listed.selectExpr("cast(substring_index(key, ' ', -1) = 'aaaxwlasne' as long) as entry_id", "key").union(spark.createDataFrame([(7, "inne")], "entry_id long, key string"))), "query_id").collect()}
     assert found["nic"] == (0, None) and found["wspolne jezioro"] == (2, None) and found[names[0][:-1]] == (1, 1) and found[names[5][:-1]] == (1, 0)
 
+
+def test_a_word_is_ranked_once(spark):
+    registry = spark.createDataFrame([(i, f"Zolw {i % 3} nr {i % 40}", f"zolw {i % 3}", 1.0) for i in range(400)], "entry_id long, name string, key string, lat double").selectExpr("*", "array(1.0) as line")
+    queries = spark.createDataFrame([(i, "zolw") for i in range(300)], "query_id long, key string")
+    found = R.districts(queries, registry)
+    want = sorted((f"Zolw {i % 3} nr {i % 40}", i) for i in range(400))[:8]
+    rows = found.collect()
+    assert len(rows) == 2400 and all((r.name, r.entry_id) == want[r.place - 1] for r in rows)
+    windows = [line for line in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "windowspecdefinition" in line]
+    assert windows and not any("query_id" in line for line in windows)
