@@ -54,10 +54,20 @@ def _boxes(sites: DataFrame) -> DataFrame:
 
 
 def grid(sites: DataFrame, key: str = "site_id") -> DataFrame:
-    """Cells of ``cell_m`` whose centre lies in the ring: (key, row, col, lat, lon); one row for each candidate row of cells first, then its columns."""
-    cells = _boxes(sites).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("col", F.explode(F.sequence(F.lit(0), F.col("cols") - 1)))
-    cells = cells.withColumn("clat", F.col("y0") + (F.col("row") + 0.5) * F.col("dy")).withColumn("clon", F.col("x0") + (F.col("col") + 0.5) * F.col("dx"))
-    return cells.where(C.point_in_ring(F.col("clat"), F.col("clon"), F.col("ring"))).select(key, "row", "col", F.col("clat").alias("lat"), F.col("clon").alias("lon"))
+    """Cells of ``cell_m`` whose centre lies in the ring: (key, row, col, lat, lon).
+
+    A row of candidate cells is one row first, with the longitudes at which the ring crosses its latitude; a cell lies in the ring
+    if an odd number of them is east of it, so the ring isn't carried to the cells.
+    """
+    rows = _boxes(sites).withColumn("row", F.explode(F.sequence(F.lit(0), F.col("rows") - 1))).withColumn("lat", F.col("y0") + (F.col("row") + 0.5) * F.col("dy"))
+    ends = F.zip_with("ring", F.concat(F.slice("ring", 2, F.size("ring") - 1), F.slice("ring", 1, 1)), lambda a, b: F.when((a["lat"] > F.col("lat")) != (b["lat"] > F.col("lat")), (b["lon"] - a["lon"]) * (F.col("lat") - a["lat"]) / (b["lat"] - a["lat"]) + a["lon"]))
+    crossed = rows.select(key, "row", "lat", "x0", "dx", "cols", F.array_sort(F.filter(ends, lambda x: x.isNotNull())).alias("at"))
+    # Between the first and the second crossing a row is inside, between the second and the third it isn't, and so on.
+    spans = crossed.select("*", F.explode(F.when(F.size("at") >= 2, F.sequence(F.lit(0), F.size("at") - 2, F.lit(2)))).alias("i")).select(key, "row", "lat", "x0", "dx", "cols", F.get("at", F.col("i")).alias("west"), F.get("at", F.col("i") + 1).alias("east"))
+    # One column more on each side, so that no rounding leaves out a cell; the cell's own centre decides.
+    edge = lambda c, more: F.least(F.col("cols") - 1, F.greatest(F.lit(0), F.floor((F.col(c) - F.col("x0")) / F.col("dx") - 0.5) + more))
+    cells = spans.withColumn("col", F.explode(F.sequence(edge("west", -1), edge("east", 2)))).withColumn("lon", F.col("x0") + (F.col("col") + 0.5) * F.col("dx"))
+    return cells.where("lon >= west and lon < east").select(key, "row", "col", "lat", "lon")
 
 
 def _inside(lat: np.ndarray, lon: np.ndarray, ax: np.ndarray, ay: np.ndarray) -> np.ndarray:
@@ -288,8 +298,8 @@ def points_in_rings(points: DataFrame, rings: DataFrame) -> DataFrame:
     return points.select("query_id").join(hits, "query_id", "left").select("query_id", F.coalesce("hits", F.lit(0)).alias("hits"), F.when(F.col("hits") == 1, F.col("entry_id")).alias("entry_id"))
 
 
-def _near_pairs(points: DataFrame, others: DataFrame, km: float, lat: str, lon: str) -> DataFrame:
-    """Pairs of ``points`` (lat, lon) and ``others`` (columns ``lat`` and ``lon``) that may be within ``km``, met in tiles and their neighbours.
+def near_pairs(points: DataFrame, others: DataFrame, km: float, lat: str, lon: str, by: tuple[str, ...] = ()) -> DataFrame:
+    """Pairs of ``points`` (lat, lon) and ``others`` (columns ``lat`` and ``lon``) alike in ``by`` that may be within ``km``, met in tiles and their neighbours.
 
     Tiles are bands of that height, as wide as it takes at the band's edge nearest to a pole.
     """
@@ -300,14 +310,18 @@ def _near_pairs(points: DataFrame, others: DataFrame, km: float, lat: str, lon:
     held = others.withColumn("ty", band(F.col(lat))).withColumn("tx", F.floor(F.col(lon) / width(F.col("ty"))))
     around = points.withColumn("ty", F.explode(F.sequence(band(F.col("lat")) - 1, band(F.col("lat")) + 1)))
     tile = F.floor(F.col("lon") / width(F.col("ty")))
-    return around.withColumn("tx", F.explode(F.sequence(tile - 1, tile + 1))).join(held, ["ty", "tx"]).drop("ty", "tx")
+    return around.withColumn("tx", F.explode(F.sequence(tile - 1, tile + 1))).join(held, [*by, "ty", "tx"]).drop("ty", "tx")
 
 
 def nearest_vertex(points: DataFrame, lines: DataFrame, km: float = 8.0) -> DataFrame:
-    """Points with the line (entry_id, line) that has the nearest vertex, none beyond ``km``."""
-    v = lines.select("entry_id", F.explode("line").alias("p")).select("entry_id", F.col("p.lat").alias("vlat"), F.col("p.lon").alias("vlon"))
-    met = _near_pairs(points, v, km, "vlat", "vlon").withColumn("km", C.flat_distance_m(F.col("lat"), F.col("lon"), F.col("vlat"), F.col("vlon")) / 1000).where(F.col("km") <= km)
-    return met.groupBy("query_id").agg(F.min_by("entry_id", F.struct("km", "entry_id")).alias("entry_id"), F.min("km").alias("km"))
+    """Points with the line (entry_id, line) that has the nearest vertex, none beyond ``km``; of equally near ones the smallest id.
+
+    Places meet, not rows: points of one place have one answer, and of lines with a vertex at one place only the smallest id can be it.
+    """
+    v = lines.select("entry_id", F.explode("line").alias("p")).groupBy(F.col("p.lat").alias("vlat"), F.col("p.lon").alias("vlon")).agg(F.min("entry_id").alias("entry_id"))
+    met = near_pairs(points.select("lat", "lon").distinct(), v, km, "vlat", "vlon").withColumn("km", C.flat_distance_m(F.col("lat"), F.col("lon"), F.col("vlat"), F.col("vlon")) / 1000).where(F.col("km") <= km)
+    found = met.groupBy("lat", "lon").agg(F.min(F.struct("km", "entry_id")).alias("best"))
+    return points.select("query_id", "lat", "lon").join(found, ["lat", "lon"]).groupBy("query_id").agg(F.min("best").alias("best")).select("query_id", "best.entry_id", "best.km")
 
 
 #: Sides in degrees of the tiles through which ``nearest_any`` descends; of the coarsest there are 44 from -120 to 120 and -240 to 420 degrees.
@@ -349,7 +363,7 @@ def nearest_any(points: DataFrame, others: DataFrame) -> DataFrame:
 def points_near(points: DataFrame, others: DataFrame, metres: float = 20.0) -> DataFrame:
     """Pairs (query_id, entry_id, metres) of ``points`` (query_id, lat, lon) and ``others`` (entry_id, lat, lon) no further apart than that."""
     held = others.select("entry_id", F.col("lat").alias("elat"), F.col("lon").alias("elon"))
-    met = _near_pairs(points.select("query_id", "lat", "lon"), held, metres / 1000, "elat", "elon")
+    met = near_pairs(points.select("query_id", "lat", "lon"), held, metres / 1000, "elat", "elon")
     return met.select("query_id", "entry_id", C.flat_distance_m(F.col("lat"), F.col("lon"), F.col("elat"), F.col("elon")).alias("metres")).where(F.col("metres") <= metres)
 
 

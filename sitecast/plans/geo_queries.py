@@ -9,7 +9,7 @@ from sitecast import params as P
 from sitecast.functions import columns as C
 from sitecast.operators import geo as G
 from sitecast.operators import notebook as N
-from sitecast.plans.fixtures import r6, table
+from sitecast.plans.fixtures import dealt, r6, table
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -25,12 +25,14 @@ def query(oracle: str | None = None):
     return add
 
 
-def sites(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("site_id"), F.expr("49 + (s_suppkey % 60) / 10").alias("lat"), F.expr("14 + (s_suppkey % 90) / 10").alias("lon"), F.expr("1 + abs(s_acctbal) / 100").alias("area_ha"), (F.col("s_suppkey") * 37 % 360).cast("double").alias("wind"), F.expr("element_at(array('pzw', 'commercial'), cast(s_suppkey % 2 as int) + 1)").alias("water_type"))
+def sites(spark: SparkSession, sf_dir: str, spread: bool = False) -> DataFrame:
+    """One site a supplier; ``spread`` deals them over tasks, where each makes many rows."""
+    rows = table(spark, sf_dir, "supplier")
+    return (dealt(rows, "s_suppkey") if spread else rows).select(F.col("s_suppkey").alias("site_id"), F.expr("49 + (s_suppkey % 60) / 10").alias("lat"), F.expr("14 + (s_suppkey % 90) / 10").alias("lon"), F.expr("1 + abs(s_acctbal) / 100").alias("area_ha"), (F.col("s_suppkey") * 37 % 360).cast("double").alias("wind"), F.expr("element_at(array('pzw', 'commercial'), cast(s_suppkey % 2 as int) + 1)").alias("water_type"))
 
 
-def rings(spark, sf_dir):
-    return sites(spark, sf_dir).withColumn("ring", C.circle_ring(F.col("lat"), F.col("lon"), F.col("area_ha")))
+def rings(spark, sf_dir, spread: bool = False):
+    return sites(spark, sf_dir, spread).withColumn("ring", C.circle_ring(F.col("lat"), F.col("lon"), F.col("area_ha")))
 
 
 SITES = "s AS (SELECT s_suppkey AS site_id, 49 + (s_suppkey % 60) / 10.0::double AS lat, 14 + (s_suppkey % 90) / 10.0::double AS lon, 1 + abs(s_acctbal) / 100 AS area_ha, (s_suppkey * 37 % 360)::double AS wind, CASE WHEN s_suppkey % 2 = 0 THEN 'pzw' ELSE 'commercial' END AS water_type FROM supplier)"
@@ -85,8 +87,8 @@ def geo8_cell_size(spark, sf_dir):
 
 def cells(spark, sf_dir, scale: float = 3.0):
     """The circles' cells, coarser than the default so that the synthetic sites stay small."""
-    base = rings(spark, sf_dir).withColumn("cell_m", C.cell_size(F.col("area_ha")) * scale)
-    return G.grid(base), base
+    base, spread = (rings(spark, sf_dir, x).withColumn("cell_m", C.cell_size(F.col("area_ha")) * scale) for x in (False, True))
+    return G.grid(spread), base
 
 
 CELLED = """bx AS (SELECT v.site_id, min(vlat) AS y0, max(vlat) AS y1, min(vlon) AS x0, max(vlon) AS x1, greatest(5.0, least(150.0, round_even(sqrt(max(v.area_ha) * 10000 / 5000), 0))) * 3 AS cell_m FROM v GROUP BY 1),
