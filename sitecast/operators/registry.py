@@ -17,6 +17,7 @@ from pyspark.sql.types import DoubleType
 
 from sitecast.functions import text as T
 from sitecast.functions.columns import M_PER_DEG as M, flat_distance_m
+from sitecast.operators.geo import near_pairs
 from sitecast.sources.scratch import drop, kept
 
 
@@ -102,9 +103,12 @@ def cascade(queries: DataFrame, inside: DataFrame, exact: DataFrame, fuzzy: Data
 def find_existing(candidates: DataFrame, sites: DataFrame, metres: float = 600.0) -> DataFrame:
     """The stored site of each candidate: same map object first, else the same name (either spelling) within reach, the nearest."""
     by_id = candidates.join(sites.select("osm_type", "osm_id", F.col("site_id").alias("by_id")), ["osm_type", "osm_id"]).groupBy("cand_id").agg(F.min("by_id").alias("by_id"))
-    names = sites.select("site_id", F.col("lat").alias("slat"), F.col("lon").alias("slon"), F.explode(F.array_distinct(F.filter(F.array(F.lower("name"), F.lower("name_alt")), lambda x: x.isNotNull()))).alias("n"))
-    near = candidates.withColumn("n", F.lower("name")).join(names, "n").withColumn("d", flat_distance_m(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))).where(F.col("d") <= metres)
-    by_name = near.groupBy("cand_id").agg(F.min_by("site_id", F.struct("d", "site_id")).alias("by_name"))
+    # Names and places meet, not rows: what is equal in both has one answer, the smallest id.
+    names = sites.select("site_id", F.col("lat").alias("slat"), F.col("lon").alias("slon"), F.explode(F.array_distinct(F.filter(F.array(F.lower("name"), F.lower("name_alt")), lambda x: x.isNotNull()))).alias("n")).groupBy("n", "slat", "slon").agg(F.min("site_id").alias("site_id"))
+    named = candidates.select("cand_id", F.lower("name").alias("n"), "lat", "lon")
+    near = near_pairs(named.select("n", "lat", "lon").distinct(), names, metres / 1000, "slat", "slon", ("n",)).withColumn("d", flat_distance_m(F.col("lat"), F.col("lon"), F.col("slat"), F.col("slon"))).where(F.col("d") <= metres)
+    nearest = near.groupBy("n", "lat", "lon").agg(F.min(F.struct("d", "site_id")).alias("best"))
+    by_name = named.join(nearest, ["n", "lat", "lon"]).groupBy("cand_id").agg(F.min("best")["site_id"].alias("by_name"))
     return candidates.select("cand_id").join(by_id, "cand_id", "left").join(by_name, "cand_id", "left").select("cand_id", F.coalesce("by_id", "by_name").alias("site_id"), F.when(F.col("by_id").isNotNull(), "id").when(F.col("by_name").isNotNull(), "name").alias("how"))
 
 

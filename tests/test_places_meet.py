@@ -52,3 +52,16 @@ def test_cells_of_a_ring_that_turns_back(spark):
     box = box.withColumn("clat", F.col("y0") + (F.col("row") + 0.5) * F.col("dy")).withColumn("clon", F.col("x0") + (F.col("col") + 0.5) * F.col("dx"))
     want = {tuple(r) for r in box.where(C.point_in_ring(F.col("clat"), F.col("clon"), F.col("ring"))).select("row", "col", "clat", "clon").collect()}
     assert {(r.row, r.col, r.lat, r.lon) for r in G.grid(base).collect()} == want and len(want) > 100
+
+
+def test_existing_sites_of_places(spark):
+    rng = random.Random(2)
+    named = lambda rows: [(i, f"Name {rng.randrange(3)}", rng.choice((None, "NAME 1")), "way", i, y, x) for i, y, x in rows]
+    candidates, stored = named(spots(rng, 200)), named(spots(rng, 200, 150))
+    found = R.find_existing(*(spark.createDataFrame(rows, f"{key} long, name string, name_alt string, osm_type string, osm_id long, lat double, lon double") for rows, key in ((candidates, "cand_id"), (stored, "site_id"))), 900.0)
+    for r in found.collect():
+        _, name, _, _, osm, y, x = candidates[r.cand_id]
+        near = [(metres(y, x, b, c), i) for i, n, alt, _, _, b, c in stored if name.lower() in (n.lower(), (alt or "").lower())]
+        close = min((p for p in near if p[0] <= 900), default=(0, None))[1]
+        assert (r.site_id, r.how) == ((osm, "id") if osm >= 150 else (close, close and "name"))
+    assert aggregates(found) >= 5
