@@ -376,9 +376,14 @@ def _walked(line: str) -> Column:
 def _point_at(line: str, walked: str, metres: Column) -> Column:
     """The point so far along a line."""
     i = F.greatest(F.lit(1), F.least(F.size(line) - 1, F.size(F.filter(walked, lambda c: c < metres))))
-    a, b, c0, c1 = F.get(line, i - 1), F.get(line, i), F.get(walked, i - 1), F.get(walked, i)
-    f = F.when(c1 > c0, (metres - c0) / (c1 - c0)).otherwise(0.0)
-    return F.struct((a["lat"] + (b["lat"] - a["lat"]) * f).alias("lat"), (a["lon"] + (b["lon"] - a["lon"]) * f).alias("lon"))
+
+    def between(i: Column) -> Column:
+        a, b, c0, c1 = F.get(line, i - 1), F.get(line, i), F.get(walked, i - 1), F.get(walked, i)
+        f = F.when(c1 > c0, (metres - c0) / (c1 - c0)).otherwise(0.0)
+        return F.struct((a["lat"] + (b["lat"] - a["lat"]) * f).alias("lat"), (a["lon"] + (b["lon"] - a["lon"]) * f).alias("lon"))
+
+    # As the argument of a function the place is looked for once, not wherever it is used.
+    return F.get(F.transform(F.array(i), between), F.lit(0))
 
 
 def shore_segments(rings: DataFrame, piece_m: float = 25.0, key: str = "site_id") -> DataFrame:
@@ -479,8 +484,16 @@ def min_max(raw: str, keys: list[str]) -> Column:
     return F.when(span == 0, 0.5).otherwise((F.col(raw) - F.min(raw).over(w)) / span)
 
 
-def ordinal(rows: DataFrame, raw: str, order: str, keys: list[str], name: str = "score") -> DataFrame:
-    """``rows`` with their place over n - 1, ties by ``order``; all 0.5 where the values don't spread."""
+def ordinal(rows: DataFrame, raw: str, order: str, keys: list[str], name: str = "score", small: bool = False) -> DataFrame:
+    """``rows`` with their place over n - 1, ties by ``order``; all 0.5 where the values don't spread.
+
+    ``small`` says that no group can be large, as the sections of a line: then a group is a window.
+    """
+    if small:
+        w = Window.partitionBy(*keys)
+        n, spread = F.count("*").over(w), F.max(raw).over(w) - F.min(raw).over(w)
+        ranked = rows.withColumns({"_place": F.row_number().over(w.orderBy(raw, order)), "_n": n, "_spread": spread})
+        return ranked.withColumn("_p", F.when((F.col("_n") == 1) | (F.col("_spread") < 1e-9), 0.5).otherwise((F.col("_place") - 1) / (F.col("_n") - 1))).select(*rows.columns, F.col("_p").alias(name))
     ranked = ordinal_ranks(rows, keys, {"_place": raw}, order)
     spread = rows.groupBy(*keys).agg(F.count("*").alias("_n"), (F.max(raw) - F.min(raw)).alias("_spread"))
     place = F.when((F.col("_n") == 1) | (F.col("_spread") < 1e-9), 0.5).otherwise((F.col("_place") - 1) / (F.col("_n") - 1))

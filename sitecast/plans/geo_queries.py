@@ -131,7 +131,10 @@ def geo12_wind_bucket(spark, sf_dir):
 
 def sections(spark, sf_dir):
     line = F.transform(F.sequence(F.lit(0), F.lit(20)), lambda i: F.struct((F.col("lat") + i * 0.003 * (1 + F.col("site_id") % 4)).alias("lat"), (F.col("lon") + (i % 2) * 0.002 * (F.col("site_id") % 3)).alias("lon")))
-    return G.section_shape(G.cut_sections(sites(spark, sf_dir).select("site_id", "wind", line.alias("line"))))
+    rows = sites(spark, sf_dir, spread=True).select("site_id", "lat", "lon", "wind")
+    # Through Python as they are: else the test for lines without length, which walks each line, is done before the sites are dealt, in one task.
+    rows = rows.mapInArrow(lambda batches: batches, rows.schema)
+    return G.section_shape(G.cut_sections(rows.select("site_id", "wind", line.alias("line"))))
 
 
 LINES = f"""{SITES}, lv AS (SELECT site_id, i.i AS i, lat + i.i * 0.003::double * (1 + site_id % 4) AS y, lon + (i.i % 2) * 0.002::double * (site_id % 3) AS x FROM s CROSS JOIN range(0, 21) i(i)), lg AS (SELECT site_id, sqrt(pow((y - lag(y) OVER w) * 111320, 2) + pow((x - lag(x) OVER w) * 111320 * cos(radians((y + lag(y) OVER w) / 2)), 2)) AS d FROM lv WINDOW w AS (PARTITION BY site_id ORDER BY i)),
@@ -303,7 +306,7 @@ def zon4_type_weights(spark, sf_dir):
 def zon5_river_score(spark, sf_dir):
     """Raw scores to six places, so that sections alike but for the last bits rank by their order."""
     rows = G.river_score(sections(spark, sf_dir).join(sites(spark, sf_dir).select("site_id", F.when(F.col("site_id") % 3 > 0, F.col("wind")).alias("wind_dir")), "site_id")).withColumn("raw", F.round("raw", 6))
-    return G.ordinal(rows.select("site_id", F.col("index").cast("long").alias("index"), "raw"), "raw", "index", ["site_id"]).withColumn("score", F.round("score", 4))
+    return G.ordinal(rows.select("site_id", F.col("index").cast("long").alias("index"), "raw"), "raw", "index", ["site_id"], small=True).withColumn("score", F.round("score", 4))
 
 
 def biased(spark, sf_dir, biases=(-2.0, -1.0, 1.0, 2.0)):

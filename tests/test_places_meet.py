@@ -65,3 +65,11 @@ def test_existing_sites_of_places(spark):
         close = min((p for p in near if p[0] <= 900), default=(0, None))[1]
         assert (r.site_id, r.how) == ((osm, "id") if osm >= 150 else (close, close and "name"))
     assert aggregates(found) >= 5
+
+
+def test_sections_of_a_small_file_are_many_tasks(spark):
+    found = Q.sections(spark, SF)
+    assert found.rdd.getNumPartitions() == 4
+    rows = spark.createDataFrame([(g, i, float((i * 7 + g) % 5)) for g in range(3) for i in range(20)] + [(7, 0, 1.0), (8, 0, 2.0), (8, 1, 2.0)], "site_id long, index long, raw double")
+    small, large = ({tuple(r) for r in G.ordinal(rows, "raw", "index", ["site_id"], small=x).collect()} for x in (True, False))
+    assert small == large and len(small) == 63
